@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, mixing, sharding
+from ..session import cut
+from . import decontaminate, minhash_dedup, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,20 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured = cut(quality.features(table(spark, sf_dir, "documents")), "features")
+    return quality.score_documents(featured, quality.train(featured, table(spark, sf_dir, "labels")))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
