@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import cut
-from . import decontaminate, minhash_dedup, mixing, quality, sharding
+from . import decontaminate, minhash_dedup, mixing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(featured, quality.train(featured, table(spark, sf_dir, "labels")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.build_index(docs, table(spark, sf_dir, "labels")))
+    nearest = F.when(F.size("similarities") > 0, F.col("similarities")[0]).otherwise(0.0)
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("neighbours"), nearest.alias("nearest"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
