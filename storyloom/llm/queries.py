@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import decontaminate, minhash_dedup, mixing, quality, sharding, toxicity, warc
+from . import decontaminate, html_extract, minhash_dedup, mixing, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(featured, quality.train(featured, table(spark, sf_dir, "labels")))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.build_index(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
