@@ -2,8 +2,9 @@
 
 Documents with the same word sequence are one class, so copies never meet each other. In a bucket of classes that agree
 in a band, each is compared with the bucket's leader, not with all others; where that leaves more than one component in
-a bucket, new leaders are drawn, and in the end every pair of the bucket that lies in different components is compared.
-So components are those of all pairs that share a band, though hardly any pairs are made.
+a bucket, others of it lead in turn, and in the end every pair of the bucket that lies in different components, and that
+shingles found in one document only do not rule out, is compared. So components are those of all pairs that share a
+band, though hardly any pairs are made.
 
 With 128 coordinates in 32 bands of 4, a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32, 5e-8.
 
@@ -22,7 +23,7 @@ from ..session import cut, forget
 from .shingles import full_sets, sketched
 
 COORDINATES, ROWS = 128, 4
-#: Rounds with drawn leaders before all pairs that are left are compared.
+#: Rounds with leaders before all pairs that are left are compared.
 LEADER_ROUNDS = 3
 #: Most ids that are broadcast (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -68,38 +69,52 @@ def _shared(classes: DataFrame) -> DataFrame:
     return classes.join(respread(many), "band").select("band", "doc_id", "n_shingles").distinct()
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(doc_id, u): how many of a document's shingles no other document of ``sets`` has; documents with none are left
+    out. Counts are combined before the shuffle, so that a very common shingle is no burden."""
+    shared = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    return shared.where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
+
+
 def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that hold together all that links over shared buckets would."""
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    """Links (a, b) that hold together all that links over shared buckets would.
+
+    A document's own shingles, which none of the others has, bound its overlap with any of them. The document with the
+    least share of these is the likeliest original of a bucket, so it leads; and pairs whose bound stays below the
+    threshold need no comparison.
+    """
     ids = cut(buckets.select("doc_id").distinct(), "ids")
     sets = cut(full_sets(only(docs, ids), width).dropDuplicates(["doc_id"]), "sets")
+    own = cut(_own_shingles(sets), "own")
+    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    live = buckets.join(own, "doc_id", "left").select(
+        "band", "doc_id", F.col("n_shingles").alias("n"), F.coalesce("u", F.lit(0)).alias("u"), F.col("doc_id").alias("c"), F.lit(False).alias("led")
+    )
+    most = F.least(F.col("x.n") - F.col("x.u"), F.col("y.n") - F.col("y.u"))
+    fits = (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)) & (F.col("x.c") != F.col("y.c"))
     links = tested = None
-    live = buckets.withColumn("c", F.col("doc_id"))
     for step in range(LEADER_ROUNDS + 1):
         if step < LEADER_ROUNDS:
-            lead = F.min(F.struct(F.xxhash64("doc_id", F.lit(step)).alias("h"), "doc_id", "n_shingles", "c")).alias("l")
-            leaders = respread(live.groupBy("band").agg(lead))
-            pairs = live.join(leaders, "band").where("c <> l.c").select(
-                F.col("l.doc_id").alias("x"), F.col("l.n_shingles").alias("na"), F.col("l.c").alias("cx"),
-                F.col("doc_id").alias("y"), F.col("n_shingles").alias("nb"), F.col("c").alias("cy"),
-            )
+            rank = F.struct((F.col("u") / F.col("n")).alias("r"), F.xxhash64("doc_id").alias("h"), "doc_id", "n", "u", "c")
+            x = respread(live.where(~F.col("led")).groupBy("band").agg(F.min(rank).alias("l"))).select("band", "l.*")
+            pairs = live.alias("y").join(x.alias("x"), "band").where(fits)
         else:
-            x = live.select("band", F.col("doc_id").alias("x"), F.col("n_shingles").alias("na"), F.col("c").alias("cx"))
-            y = live.select("band", F.col("doc_id").alias("y"), F.col("n_shingles").alias("nb"), F.col("c").alias("cy"))
-            pairs = x.join(y, "band").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & fits)
-        pairs = pairs.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("cx", "cy").alias("ca"), F.greatest("cx", "cy").alias("cb")).distinct()
+            pairs = live.alias("x").join(live.alias("y"), "band").where((F.col("x.doc_id") < F.col("y.doc_id")) & fits)
+        end = [f(F.col(f"x.{k}"), F.col(f"y.{k}")).alias(n) for n, f, k in (("a", F.least, "doc_id"), ("b", F.greatest, "doc_id"), ("ca", F.least, "c"), ("cb", F.greatest, "c"))]
+        pairs = pairs.select(*end).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = _verified(sets, pairs, percent)
         links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         if step == LEADER_ROUNDS:
             break
-        if found.isEmpty():
-            continue
         comp = cut(connected_components(found, "ca", "cb"), "components")
         named = live.join(comp, F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("component", "c")).drop("node", "component")
-        mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
-        live = cut(named.join(respread(mixed), "band").select("band", "doc_id", "n_shingles", "c"), "buckets")
+        named = named.join(x.select("band", F.col("doc_id").alias("l")), "band", "left")
+        state = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("doc_id") == F.col("l"), F.col("c"))).alias("lc"))
+        state = respread(state.where("c0 <> c1").select("band", "lc"))
+        led = F.col("led") | F.coalesce(F.col("c") == F.col("lc"), F.lit(False))
+        live = cut(named.join(state, "band").select("band", "doc_id", "n", "u", "c", led.alias("led")), "buckets")
         if live.isEmpty():
             break
     forget(sets)
