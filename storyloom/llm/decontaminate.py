@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches
+from .bounded import without
 
 #: Edits allowed for each character of an item.
 BUDGET = 0.05
@@ -138,4 +139,4 @@ def contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, bloc
 
 def clean_documents(docs: DataFrame, items: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The documents in which no item is found."""
-    return docs.join(contaminated(docs, items, budget).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, contaminated(docs, items, budget))

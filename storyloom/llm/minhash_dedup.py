@@ -9,7 +9,7 @@ band, though hardly any pairs are made.
 With 128 coordinates in 32 bands of 4, a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32, 5e-8.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and link with nothing, themselves
-included; a null doc_id is kept and links with nothing; repeated rows of a doc_id give equal rows; other columns are
+included; a row with a null doc_id links with nothing; repeated rows of a doc_id give equal rows; other columns are
 ignored, whatever their names; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
 """
 
@@ -20,18 +20,12 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, respread
 from ..session import cut, forget
+from .bounded import bounded_ids
 from .shingles import full_sets, sketched
 
 COORDINATES, ROWS = 128, 4
 #: Rounds with leaders before all pairs that are left are compared.
 LEADER_ROUNDS = 3
-#: Most ids that are broadcast (8 bytes each); beyond that they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-
-
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in the small table ``ids``; that is broadcast up to a counted bound."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -83,10 +77,9 @@ def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> Data
     least share of these is the likeliest original of a bucket, so it leads; and pairs whose bound stays below the
     threshold need no comparison.
     """
-    ids = cut(buckets.select("doc_id").distinct(), "ids")
-    sets = cut(full_sets(only(docs, ids), width).dropDuplicates(["doc_id"]), "sets")
-    own = cut(_own_shingles(sets), "own")
-    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    ids = bounded_ids(buckets.select("doc_id").distinct())
+    sets = cut(full_sets(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+    own = bounded_ids(_own_shingles(sets))
     live = buckets.join(own, "doc_id", "left").select(
         "band", "doc_id", F.col("n_shingles").alias("n"), F.coalesce("u", F.lit(0)).alias("u"), F.col("doc_id").alias("c"), F.lit(False).alias("led")
     )
@@ -119,3 +112,13 @@ def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> Data
             break
     forget(sets)
     return links
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each component, that with the least doc_id; rows that repeat a doc_id are one."""
+    found = cut(near_components(docs, width, percent), "found")
+    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    gone = bounded_ids(found.where("not kept").select("doc_id").union(twice).distinct())
+    again = bounded_ids(found.where("kept").join(twice, "doc_id", "left_semi").select("doc_id").distinct())
+    once = docs.join(gone, "doc_id", "left_anti")
+    return once.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*once.columns))

@@ -135,7 +135,9 @@ def mix_documents(docs: DataFrame, schedule: DataFrame | None = None, share: flo
     planned = plan_mix(docs, schedule, share, times).where(F.col("taken") > 0)
     copies = F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))
     rows = planned.withColumn("epoch", F.explode(copies)).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size")))
-    cut = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), F.col("words").cast("string"), F.lit("}")), 0)
+    parts = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    blank = F.rlike("text", F.lit(r"^[\x20\x09-\x0D]")).cast("int")
+    cut = F.regexp_replace(F.array_join(F.slice(parts, 1, (F.col("words") + blank).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
     rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
     placed = first_positions(rows, schedule, F.col("epoch"))
     order = ["position", "source", "doc_id", "epoch"]

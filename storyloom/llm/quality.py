@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches
+from .bounded import without
 from .labelled import remainder, training_ids
 from .shingles import word_hashes
 
@@ -149,5 +150,4 @@ def score_documents(featured: DataFrame, ranking: Ranking) -> DataFrame:
 
 def keep_quality(docs: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
     """The documents that are not rejected: those with a score at or above the threshold, a quantile of the scores."""
-    low = scored.where(F.col("score") < threshold).select("doc_id").distinct()
-    return docs.join(low, "doc_id", "left_anti")
+    return without(docs, scored.where(F.col("score") < threshold))
