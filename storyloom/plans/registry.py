@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import story_queries, text_queries
+
+PARTS = (text_queries, story_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.ORACLES.items()}
