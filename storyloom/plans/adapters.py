@@ -44,6 +44,11 @@ def with_articles(sql: str) -> str:
     return f"WITH {ARTICLES}\n{sql}"
 
 
+def minute_of(ts):
+    """Minutes since 1970 of a timestamp without a zone."""
+    return (F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 1440 + F.hour(ts) * 60 + F.minute(ts)).cast("long")
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as closing prices: a symbol's last value of a day."""
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 26).alias("symbol"), F.to_date("ts").alias("day"), "ts", "event_id", F.col("value").alias("close"))
