@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components, respread
 from ..session import cut, forget
 from .bounded import bounded_ids
-from .shingles import full_sets, sketched
+from .shingles import PARITIES, full_sets, sketched
 
 COORDINATES, ROWS = 128, 4
 #: Rounds with leaders before all pairs that are left are compared.
@@ -75,7 +75,8 @@ def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> Data
 
     A document's own shingles, which none of the others has, bound its overlap with any of them. The document with the
     least share of these is the likeliest original of a bucket, so it leads; and pairs whose bound stays below the
-    threshold need no comparison.
+    threshold need no comparison. Nor do those whose parities differ in too many places: each is a shingle that one of
+    the two lacks.
     """
     ids = bounded_ids(buckets.select("doc_id").distinct())
     sets = cut(full_sets(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
@@ -92,7 +93,10 @@ def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> Data
             x = respread(live.where(~F.col("led")).groupBy("band").agg(F.min(rank).alias("l"))).select("band", "l.*")
             pairs = live.alias("y").join(x.alias("x"), "band").where(fits)
         else:
-            pairs = live.alias("x").join(live.alias("y"), "band").where((F.col("x.doc_id") < F.col("y.doc_id")) & fits)
+            told = live.join(sets.select("doc_id", "parity"), "doc_id")
+            odd = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITIES // 64)), F.lit(0))
+            near = (100 + percent) * odd <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+            pairs = told.alias("x").join(told.alias("y"), "band").where((F.col("x.doc_id") < F.col("y.doc_id")) & fits & near)
         end = [f(F.col(f"x.{k}"), F.col(f"y.{k}")).alias(n) for n, f, k in (("a", F.least, "doc_id"), ("b", F.greatest, "doc_id"), ("ca", F.least, "c"), ("cb", F.greatest, "c"))]
         pairs = pairs.select(*end).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -132,13 +132,30 @@ def sketched(docs: DataFrame, width: int, t: int, rows: int) -> DataFrame:
     return light.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, bands array<bigint>")
 
 
+PARITIES = 1024
+
+
+def parities(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each document the parities of how many of its shingles fall to each of :data:`PARITIES` hashed places, as 64-bit
+    words. Two documents differ in as many shingles at least as in parities."""
+    place = (mix(shingles ^ U(0x2545F4914F6CDD1D)) & U(PARITIES - 1)).astype(np.int64)
+    out = np.zeros((len(sizes), PARITIES // 64), np.uint64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for d in range(len(sizes)):
+        odd = (np.bincount(place[ends[d] : ends[d + 1]], minlength=PARITIES) & 1).astype(np.uint8)
+        out[d] = np.packbits(odd, bitorder="little").view(np.uint64)
+    return out
+
+
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of every document (doc_id, text)."""
+    """(doc_id, shingles, parity) of every document (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids, hashes, starts = _columns(batch)
-                yield pa.RecordBatch.from_arrays([ids, _lists(*shingle_sets(hashes, starts, width))], ["doc_id", "shingles"])
+                values, sizes = shingle_sets(hashes, starts, width)
+                words = parities(values, sizes)
+                yield pa.RecordBatch.from_arrays([ids, _lists(values, sizes), _lists(words.reshape(-1), np.full(len(sizes), words.shape[1]))], ["doc_id", "shingles", "parity"])
 
-    return docs.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "doc_id bigint, shingles array<bigint>, parity array<bigint>")
