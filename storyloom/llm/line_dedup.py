@@ -23,12 +23,14 @@ from ..session import cut, forget
 from .bounded import BROADCAST_IDS, bounded_ids
 
 EDITS, LEAST = 2, 24
+#: What lines are trimmed of.
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, key) of the lines that are not blank; line numbers count from 0."""
     parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    parts = parts.withColumn("line", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).where("line <> ''")
+    parts = parts.withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
     return parts.withColumn("key", F.unhex(F.md5("line")))
 
 
@@ -58,20 +60,22 @@ def search_rows(line: Column, edits: int = EDITS) -> Column:
     return F.array(*rows)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once; in a function of an array it would be for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def pair_sketch(line: Column) -> Column:
     """64 parities of hashed neighbouring characters; an edit changes four at most."""
-    chars = F.split(line, "")
 
-    def flip(acc: Column, i: Column) -> Column:
-        bit = F.pmod(F.xxhash64(F.get(chars, i - 1), F.get(chars, i)), F.lit(64)).cast("int")
-        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+    def walk(chars: Column) -> Column:
+        def flip(acc: Column, i: Column) -> Column:
+            bit = F.pmod(F.xxhash64(F.get(chars, i - 1), F.get(chars, i)), F.lit(64)).cast("int")
+            return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), F.lit(0).cast("bigint"), flip)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), F.lit(0).cast("bigint"), flip)
 
-
-def _let(value: Column, use) -> Column:
-    """``use(value)``, with the value worked out once."""
-    return F.transform(F.array(value), use)[0]
+    return _let(F.split(line, ""), walk)
 
 
 def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -83,13 +87,16 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    ca, cb = F.split(a, ""), F.split(b, "")
-    gap = F.length(a) - F.length(b)
 
     def lit(x: int) -> Column:
         return F.lit(x).cast("bigint")
 
-    def step(s: Column, j: Column) -> Column:
+    def walk(t: Column) -> Column:
+        first = F.struct(lit(mask & ~((1 << edits) - 1)).alias("up"), lit(0).alias("down"), t["gap"].cast("bigint").alias("score"))
+        walked = F.aggregate(F.sequence(F.lit(0), F.size(t["b"]) - 1), first, lambda s, j: step(t["a"], t["b"], t["gap"], s, j))["score"]
+        return walked.cast("int")
+
+    def step(ca: Column, cb: Column, gap: Column, s: Column, j: Column) -> Column:
         c = F.get(cb, j)
         eq = lit(0)
         for t in range(width):
@@ -114,9 +121,8 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
         return _let(eq, with_eq)
 
-    first = F.struct(lit(mask & ~((1 << edits) - 1)).alias("up"), lit(0).alias("down"), gap.cast("bigint").alias("score"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), first, step)["score"]
-    return F.when(F.length(b) > 0, walked).otherwise(gap.cast("bigint")).cast("int")
+    both = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), (F.length(a) - F.length(b)).alias("gap"))
+    return F.when(F.length(b) > 0, _let(both, walk)).otherwise(F.length(a))
 
 
 def _firsts(lines: DataFrame, known: DataFrame) -> DataFrame:
@@ -137,7 +143,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     place = F.struct("doc_id", "line_no")
     known = cut(light.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "known")
     single = _firsts(lines, known).where(F.length("line") >= least)
-    rows = single.select(F.xxhash64("line").alias("id"), F.explode(search_rows(F.col("line"), edits)).alias("r")).select("id", "r.h", "r.seg")
+    rows = single.select(F.xxhash64("line").alias("id"), search_rows(F.col("line"), edits).alias("rows")).select("id", F.inline_outer("rows"))
     by = Window.partitionBy("h")
     met = rows.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).withColumn("any", F.max("seg").over(by))
     live = cut(met.where("lo <> hi and any").select("h", "id", "seg").distinct(), "live")
@@ -179,7 +185,7 @@ def without_near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST)
     kept = near_lines(docs, edits, least).where("kept").select("doc_id", "line_no").distinct()
     whole = docs.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     stays = whole.join(kept.withColumn("stay", F.lit(True)), ["doc_id", "line_no"], "left")
-    blank = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", "")) == ""
+    blank = F.btrim("line", F.lit(BLANK)) == ""
     good = stays.where(F.col("stay") | blank)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
     left = good.groupBy("doc_id").agg(text.alias("text"))
