@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import decontaminate, embedding_dedup, html_extract, line_dedup, minhash_dedup, mixing, quality, sharding, toxicity, warc
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(table(spark, sf_dir, "documents"))
+    return mixing.mix_report(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 6))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
