@@ -49,7 +49,7 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bound_batches(spark: SparkSession, size: str = "32m") -> None:
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound Arrow batches by bytes, so that very long texts do not pile up in a Python worker. A set value stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in (None, "2147483647", "2147483647b"):
