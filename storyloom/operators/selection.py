@@ -151,3 +151,34 @@ def fit_sections(lines: DataFrame, limit: int) -> DataFrame:
 def first_per(items: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key."""
     return items.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def vote_category_balanced(votes: DataFrame, categories) -> DataFrame:
+    """(run_id, id, category) of vote rows (run_id, id, tag, votes): most votes, then the category given least so far in
+    the edition, then the list's order. Sequential, an edition at a time."""
+
+    def run(frame):
+        import pandas as pd
+
+        given = dict.fromkeys(categories, 0)
+        out = []
+        for key, rows in frame.sort_values("id").groupby("id", sort=True):
+            most = rows["votes"].max()
+            tied = set(rows.loc[rows["votes"] == most, "tag"])
+            best = min((c for c in categories if c in tied), key=lambda c: (given[c], categories.index(c)), default=None)
+            if best is not None:
+                given[best] += 1
+                out.append((frame["run_id"].iloc[0], key, best))
+        return pd.DataFrame(out, columns=["run_id", "id", "category"])
+
+    return votes.select("run_id", "id", "tag", "votes").groupBy("run_id").applyInPandas(run, "run_id bigint, id bigint, category string")
+
+
+def selection_outcomes(stories: DataFrame, deck: DataFrame, target: int = 25, ceiling: int = 5) -> DataFrame:
+    """Every story with how its selection came out: selected, deck full, category full, or outranked."""
+    s = deck.select("run_id", "id", F.lit(True).alias("in"))
+    j = stories.join(s, ["run_id", "id"], "left")
+    size = F.count("in").over(Window.partitionBy("run_id"))
+    own = F.count("in").over(Window.partitionBy("run_id", "category"))
+    reason = F.when(F.col("in"), "selected").when(own >= ceiling, "category full").when(size >= target, "deck full").otherwise("outranked")
+    return j.select("run_id", "id", reason.alias("outcome"))

@@ -24,8 +24,8 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-@register("split_sentences")
-def split_sentences(spark, sf_dir):
+@register("explode_sentences")
+def explode_sentences(spark, sf_dir):
     return articles(spark, sf_dir).select("article_id", F.posexplode(X.split_sentences(F.col("summary"))).alias("pos", "sentence"))
 
 
@@ -117,3 +117,94 @@ def stream_suppress(spark, sf_dir):
     """Keys that a stream lets pass at least once."""
     first = stream.suppress_repeats(stream_of(landed(spark, sf_dir)), ["alert_id", "event_type"], "at")
     return drained(first, "suppressed").groupBy("alert_id", "event_type").agg((F.count(F.lit(1)) > 0).alias("seen"))
+
+
+@register("enrichment_select")
+def enrichment_select(spark, sf_dir):
+    """Stories worth fetching pages for: eight of each category in turn, sixty of an edition."""
+    a = articles(spark, sf_dir).select("run_id", F.col("article_id").alias("id"), (-F.length("summary")).alias("rank"), "tags")
+    return Sel.reserve_select(a, CATEGORIES, 8, 60)
+
+
+def votes(spark, sf_dir):
+    a = articles(spark, sf_dir).select("run_id", F.expr("run_id * 40 + article_id % 40").alias("id"), F.explode("tags").alias("tag"))
+    return a.groupBy("run_id", "id", "tag").agg(F.count(F.lit(1)).alias("votes"))
+
+
+@register("vote_category_balanced")
+def vote_category_balanced(spark, sf_dir):
+    return Sel.vote_category_balanced(votes(spark, sf_dir), CATEGORIES)
+
+
+@register("selection_outcomes")
+def selection_outcomes(spark, sf_dir):
+    from .join_queries import single
+
+    s = single(spark, sf_dir)
+    return Sel.selection_outcomes(s, Sel.select_deck(s))
+
+
+@register("watchlist_score", with_articles("""SELECT article_id, CASE WHEN article_id % 3 = 0 THEN round(least(2.0, 0.35::DOUBLE * w), 6) ELSE round(least(0.1, 0.35::DOUBLE * w), 6) END AS score
+ FROM (SELECT article_id, 1.5 * CAST(contains(lower(summary), 'the') AS INT) + 2.5 * CAST(contains(lower(summary), 'und') AS INT) + CAST(contains(lower(summary), 'que') AS INT) AS w FROM articles)"""))
+def watchlist_score(spark, sf_dir):
+    from ..operators.scoring import watchlist_score as score
+
+    low = F.lower("summary")
+    weights = 1.5 * F.contains(low, F.lit("the")).cast("int") + 2.5 * F.contains(low, F.lit("und")).cast("int") + F.contains(low, F.lit("que")).cast("int")
+    return articles(spark, sf_dir).select("article_id", F.round(score(weights, F.col("article_id") % 3 == 0), 6).alias("score"))
+
+
+@register("bind_run", with_articles("SELECT article_id, sha256('run-' || run_id || '|' || url) AS record_id FROM articles"))
+def bind_run(spark, sf_dir):
+    """Record ids hashed anew under the final run id."""
+    return articles(spark, sf_dir).select("article_id", F.sha2(F.concat(F.lit("run-"), F.col("run_id").cast("string"), F.lit("|"), "url"), 256).alias("record_id"))
+
+
+@register("gate_progress", "SELECT source, greatest(0, 20 - count(quality)) AS remaining FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def gate_progress(spark, sf_dir):
+    """Reviews that each source still lacks."""
+    j = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return j.groupBy("source").agg(F.greatest(F.lit(0), 20 - F.count("quality")).alias("remaining"))
+
+
+@register("miss_rate", "SELECT lang, count(*) AS n, round(count(*) FILTER (toxic = 1 AND doc_id % 4 = 0)::DOUBLE / nullif(count(*) FILTER (toxic = 1), 0), 6) AS rate, count(*) FILTER (toxic = 1) >= 10 AS reportable FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def miss_rate(spark, sf_dir):
+    """The share of positives that were missed, and whether there are enough of them to report it."""
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    hit, missed = F.count_if(F.col("toxic") == 1), F.count_if((F.col("toxic") == 1) & (F.col("doc_id") % 4 == 0))
+    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.try_divide(missed, hit), 6).alias("rate"), (hit >= 10).alias("reportable"))
+
+
+@register("rewrite_summary", "SELECT l_shipinstruct AS status, count(*) AS n, round(median(l_discount), 6) AS ratio FROM (SELECT l_returnflag || l_linestatus AS l_shipinstruct, l_discount FROM lineitem) GROUP BY 1")
+def rewrite_summary(spark, sf_dir):
+    """Rewrites by status, with their median ratio."""
+    li = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("status"), "l_discount")
+    return li.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("l_discount"), 6).alias("ratio"))
+
+
+@register("load_dims", "SELECT c_custkey AS id, c_name AS label, CASE WHEN c_custkey % 7 = 0 THEN 'no weight' WHEN n_regionkey > 3 THEN 'unknown region' ELSE '' END AS problem FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def load_dims(spark, sf_dir):
+    """Reference entries read from JSON, each with what is wrong with it."""
+    n = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    weight = F.when(F.col("c_custkey") % 7 != 0, F.lit(1.0))
+    j = n.select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.col("n_regionkey").alias("region"), weight.alias("weight"))).alias("j"))
+    e = j.select(F.from_json("j", "id bigint, label string, region int, weight double").alias("e")).select("e.*")
+    known = table(spark, sf_dir, "region").where("r_regionkey <= 3").select(F.col("r_regionkey").alias("region"), F.lit(True).alias("known"))
+    problem = F.when(F.col("weight").isNull(), "no weight").when(F.col("known").isNull(), "unknown region").otherwise("")
+    return e.join(known, "region", "left").select("id", "label", problem.alias("problem"))
+
+
+@register("stream_articles", "SELECT event_id % 5 <> 0 AS timestamp_valid, count(*) AS n FROM events GROUP BY 1")
+def stream_articles(spark, sf_dir):
+    """A stream whose rows without a valid time get the given one and a flag."""
+    flagged = stream.split_invalid(stream_of(landed(spark, sf_dir)), "at", F.col("event_id") % 5 != 0, F.lit("2024-01-01").cast("timestamp"))
+    return drained(flagged, "articles").groupBy("timestamp_valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stream_filings", "SELECT user_id % 50 AS alert_id, max(event_id) AS latest FROM events GROUP BY 1")
+def stream_filings(spark, sf_dir):
+    """Micro-batches appended under their number, so that one that runs twice is written once; then the latest per source."""
+    out, marks = fresh_path(spark, "filings"), fresh_path(spark, "filings-checkpoint")
+    query = stream.load_incremental(stream_of(landed(spark, sf_dir)), marks, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    query.awaitTermination()
+    return spark.read.parquet(out).groupBy("alert_id").agg(F.max("event_id").alias("latest"))
