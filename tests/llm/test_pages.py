@@ -75,3 +75,8 @@ def test_parser_survives_broken_pages():
     for source in ("<", "<p", "</p></div>", "<!--", "<script>", "<a href='x>y", "a<b>c</i>d", "<table><tr><td>1<td>2<tr><td>3"):
         dom.blocks(dom.parse(source))
     assert dom.blocks(dom.parse("<table><tr><td>1<td>2<tr><td>3</table>")) == ["1 2", "3"]
+
+
+def test_an_articles_own_header_stays():
+    page = '<header><h1>Site</h1></header><article><div class="article-header"><h1>Title</h1></div><p>Text.</p><header>Menu</header><div class="footer">x</div></article>'
+    assert html_extract.extract(page, None) == "Title\nText."
