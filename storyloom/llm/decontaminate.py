@@ -92,6 +92,8 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], budget: float) -> DataF
         for i, t in enumerate(texts):
             for offset, piece in pieces(t, budgets[i]):
                 where.setdefault(piece, []).append((i, offset))
+        if not where:
+            return
         automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             automaton.add_word(piece, (len(piece), places))

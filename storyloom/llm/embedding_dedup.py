@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, respread
 from ..session import cut
 
 #: Vectors for each pivot, most pivots, and most vectors of a cell's part.
@@ -185,7 +185,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     grouped = valid.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
     classes = cut(grouped.withColumn("dim", F.size("e")), "classes")
     copies = classes.where("w > 1").select("e", "rep")
-    member = cut(valid.join(copies.repartition(8), "e").where("vec_id <> rep").select("vec_id", "rep"), "members")
+    member = cut(valid.join(respread(copies), "e").where("vec_id <> rep").select("vec_id", "rep"), "members")
     links = None
     for dim in [r["dim"] for r in classes.select("dim").distinct().orderBy("dim").collect()]:
         found = _links(classes.where(F.col("dim") == dim), cosine)

@@ -59,3 +59,5 @@ def test_matches_brute_force(spark, prose):
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(docs, items).count() == 0
+    some = spark.createDataFrame([(1, "a text")], "doc_id bigint, text string")
+    assert decontaminate.contaminated(some, items).count() == 0 and decontaminate.clean_documents(some, items).count() == 1
