@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, respread
-from ..session import cut, forget
+from ..session import bound_batches, cut, forget
 from .bounded import bounded_ids
 from .shingles import PARITIES, full_sets, sketched
 
@@ -39,6 +39,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(sketched(docs, width, COORDINATES, ROWS), "sketches")
     linkable = seen.where("n_shingles > 0 and doc_id is not null")

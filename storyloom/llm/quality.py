@@ -40,15 +40,19 @@ def _byte_classes() -> np.ndarray:
     digit, space = (b >= 48) & (b <= 57), (b == 32) | ((b >= 9) & (b <= 13))
     other = b >= 128
     marks = ~(lower | upper | digit | space | other)
-    return np.stack([lower | upper | other, upper, digit, marks, b == 124, space, b == 10]).astype(np.int64)
+    return np.stack([lower | upper | other, upper, digit, marks, b == 124, space, b == 10]).astype(np.uint8)
 
 
 _CLASSES = _byte_classes()
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    run = np.concatenate([[0], np.cumsum(values)])
-    return run[starts[1:]] - run[starts[:-1]]
+    """Sums of the stretches of ``values`` between ``starts``, without widening all values at once."""
+    out = np.zeros(len(starts) - 1, np.int64)
+    some = np.flatnonzero(np.diff(starts))
+    if len(some):
+        out[some] = np.add.reduceat(values, starts[:-1][some], dtype=np.int64)
+    return out
 
 
 def text_features(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -57,7 +61,7 @@ def text_features(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, word
     size = np.maximum(np.diff(starts), 1)
     n = np.diff(words)
     some = np.maximum(n, 1)
-    same = np.concatenate([[0], (hashes[1:] == hashes[:-1]).astype(np.int64)]) if len(hashes) else np.zeros(0, np.int64)
+    same = np.concatenate([[0], (hashes[1:] == hashes[:-1])]).astype(np.uint8) if len(hashes) else np.zeros(0, np.uint8)
     first = words[:-1][n > 0]
     same[first] = 0  # a text's first word has none before it
     distinct = np.array([len(np.unique(hashes[words[d] : words[d + 1]])) for d in range(len(n))], np.float64)
