@@ -1,4 +1,4 @@
-"""Bounded, repeatable samples of labelled rows."""
+"""Labelled rows, and bounded, repeatable samples of them."""
 
 from __future__ import annotations
 
@@ -11,16 +11,22 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
-def training_ids(labels: DataFrame, label: str, of: int, held: int, most: int) -> DataFrame:
-    """(doc_id, y) of about ``most`` labelled rows at most that are not held out.
+def labelled_ids(labels: DataFrame, label: str, of: int, held: int) -> DataFrame:
+    """(doc_id, y) of all labelled rows that are not held out.
 
-    Where there are more, rows are taken by the hash of their id: the same ones each time, whatever the partitions. Rows
-    with a null id or label are left out; of a doc_id that is labelled twice the larger label counts.
+    Rows with a null id or label are left out; of a doc_id that is labelled twice the larger label counts.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), of) != held))
-    own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    n = own.count()
-    if n > most:
-        share = int(most / n * 2**31)
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share)
-    return own
+    return own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
+def sample_ids(ids: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the ids at most; where there are more, they are taken by their hash: the same ones each time,
+    whatever the partitions."""
+    n = ids.count()
+    return ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < int(most / n * 2**31)) if n > most else ids
+
+
+def training_ids(labels: DataFrame, label: str, of: int, held: int, most: int) -> DataFrame:
+    """A sample of about ``most`` :func:`labelled_ids` at most."""
+    return sample_ids(labelled_ids(labels, label, of, held), most)

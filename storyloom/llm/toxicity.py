@@ -1,10 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the beginnings of words. From the training rows those terms are kept that go with either label
-(a chi-square test over all training rows); over them every document is a TF-IDF vector of length one. The examples are
-a bounded sample, indexed by postings in blocks of examples, each with its greatest weight for a term. A query bounds
-each block by these, visits blocks from the highest bound down, and stops where no block can beat its k-th neighbour:
-the neighbours are exact. Their votes, weighted by similarity, are calibrated on the examples with each example's own
+Terms are words and the beginnings of words. Those terms are kept that go with either label; their numbers of rows, the
+chi-square test and the idf cover all labelled rows outside the held-out fold. Over them every document is a TF-IDF
+vector of length one. Only the examples are a bounded sample of these rows, by the hash of their id; they are indexed
+by postings, which a query sums up over all of its terms: the neighbours are exact. Their votes, weighted by similarity, are calibrated on the examples with each example's own
 vote left out.
 
 Defined cases: a document without kept terms (also null or empty) has no neighbours, and its score is the calibrated
@@ -25,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, cut
-from .labelled import remainder, training_ids
-
-#: Most examples in the index; kept terms; neighbours; examples in a block.
-MOST_EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 12_000, 4096, 15, 64
-#: A kept term occurs in this many training rows, and in this share of them, at least; its chi-square reaches the last.
-LEAST_ROWS, LEAST_SHARE, LEAST_CHI = 4, 1 / 1500, 40.0
+from .bounded import bounded_ids
+from .labelled import labelled_ids, remainder, sample_ids
+
+#: Most examples in the index; kept terms; neighbours.
+MOST_EXAMPLES, TERMS, NEIGHBOURS = 12_000, 4096, 15
+#: A kept term occurs in this many training rows at least; its chi-square, whose law for a term that goes with neither
+#: label is the same for any number of rows, reaches the last.
+LEAST_ROWS, LEAST_CHI = 4, 40.0
 FOLDS, HELD, CUT = 4, 2, 0.3
 #: Lengths of the beginnings of words that are terms beside the words themselves.
 STARTS = (4, 5)
@@ -46,8 +47,9 @@ def terms(text: str | None) -> list[str]:
     return out
 
 
-def vocabulary(rows: DataFrame, most: int = TERMS, chi: float = LEAST_CHI) -> list[tuple[str, int]]:
-    """(term, rows that hold it) of the terms that go with either label most, from (text, y) rows."""
+def vocabulary(rows: DataFrame, n: int, pos: int, most: int = TERMS, chi: float = LEAST_CHI) -> list[tuple[str, int]]:
+    """(term, rows that hold it) of the terms that go with either label most, from ``n`` (text, y) rows, ``pos`` of them
+    with label 1."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -59,61 +61,44 @@ def vocabulary(rows: DataFrame, most: int = TERMS, chi: float = LEAST_CHI) -> li
                     with_y.update(own)
             yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "p": [with_y[t] for t in seen]})
 
-    whole = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
-    n, pos = whole[0], whole[1] or 0
     counts = rows.select("text", "y").mapInPandas(count, "term string, n bigint, p bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     a, df = F.col("p").cast("double"), F.col("n").cast("double")
     value = n * F.pow(a * n - df * pos, 2) / (df * (n - df) * pos * (n - pos))
-    best = counts.where((F.col("n") >= max(LEAST_ROWS, n * LEAST_SHARE)) & (F.col("n") < n)).withColumn("chi", value).where(F.col("chi") >= chi)
+    best = counts.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < n)).withColumn("chi", value).where(F.col("chi") >= chi)
     return [(r["term"], r["n"]) for r in best.orderBy(F.desc("chi"), "term").limit(most).collect()]
 
 
 class Index:
-    """Block-max inverted index of labelled examples."""
+    """Inverted index of labelled examples."""
 
     def __init__(self, vocab: list[tuple[str, int]], rows: int, examples: list[tuple[int, list[int], list[float]]], y: list[int]):
         self.place = {t: i for i, (t, _) in enumerate(vocab)}
         self.idf = np.log((1 + rows) / (1 + np.array([n for _, n in vocab], float))) + 1
         self.ids, self.y = np.array([e[0] for e in examples], np.int64), np.array(y, float)
-        self.blocks = -(-len(examples) // BLOCK)
         term = np.array([t for _, ts, _ in examples for t in ts], np.int64)
         doc = np.repeat(np.arange(len(examples)), [len(ts) for _, ts, _ in examples])
         weight = np.array([w for _, _, ws in examples for w in ws], float)
         order = np.lexsort((doc, term))
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(len(vocab) + 1))
-        self.most = np.zeros((len(vocab), self.blocks))
-        np.maximum.at(self.most, (term[order], self.doc // BLOCK), self.weight)
         self.none = 0.0
         self.slope, self.shift = 1.0, 0.0
 
     def nearest(self, ts: list[int], ws: list[float], k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, those with cosine 0 left out; ties go to the lower example."""
-        q = np.array(ws)
-        bound = q @ self.most[ts]
-        order = np.argsort(-bound, kind="stable")
-        posts = [(self.doc[self.start[t] : self.start[t + 1]], self.weight[self.start[t] : self.start[t + 1]]) for t in ts]
-        found, cos, floor, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 8
-        while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] >= floor - 1e-12):
-            take = order[at : at + step]
-            take = np.sort(take[bound[take] >= floor - 1e-12])
-            slot = np.full(self.blocks, -1)
-            slot[take] = np.arange(len(take))
-            sums = np.zeros(len(take) * BLOCK)
-            for (docs, weights), w in zip(posts, ws, strict=True):
-                s = slot[docs // BLOCK]
-                own = s >= 0
-                sums[s[own] * BLOCK + docs[own] % BLOCK] += w * weights[own]
-            hit = np.flatnonzero(sums)
-            ex = take[hit // BLOCK] * BLOCK + hit % BLOCK
-            new = ex != leave
-            found, cos = np.concatenate([found, ex[new]]), np.concatenate([cos, sums[hit][new]])
-            best = np.lexsort((found, -np.round(cos, 12)))[:k]
-            found, cos = found[best], cos[best]
-            floor = cos[-1] if len(cos) == k else 0.0
-            at += step
-            step *= 2
-        return found, cos
+        sums = np.zeros(len(self.y))
+        for t, w in zip(ts, ws, strict=True):
+            own = slice(self.start[t], self.start[t + 1])
+            sums[self.doc[own]] += w * self.weight[own]
+        if leave >= 0:
+            sums[leave] = 0.0
+        found = np.flatnonzero(sums)
+        cos = sums[found]
+        if len(found) > k:
+            near = cos >= np.partition(cos, -k)[-k] - 1e-11
+            found, cos = found[near], cos[near]
+        best = np.lexsort((found, -np.round(cos, 12)))[:k]
+        return found[best], cos[best]
 
     def vector(self, text: str | None) -> tuple[list[int], list[float]]:
         tf = Counter(self.place[t] for t in terms(text) if t in self.place)
@@ -135,14 +120,16 @@ class Index:
 def build_index(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Index:
     """The calibrated index, from the labelled rows outside the held-out fold."""
     bound_batches(docs.sparkSession)
-    ids = training_ids(labels, "toxic", FOLDS, HELD, most)
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "examples")
-    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    ids = bounded_ids(labelled_ids(labels, "toxic", FOLDS, HELD))
+    texts = docs.select("doc_id", "text")
+    whole = texts.join(ids, "doc_id").dropDuplicates(["doc_id"])
+    n, pos = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or pos in (0, n):
         empty = Index([], n, [], [])
         empty.none = pos / n if n else 0.0
         return empty
-    vocab = vocabulary(rows)
+    vocab = vocabulary(whole, n, pos)
+    rows = cut(texts.join(F.broadcast(sample_ids(ids, most)), "doc_id").dropDuplicates(["doc_id"]), "examples")
     bare = Index(vocab, n, [], [])
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

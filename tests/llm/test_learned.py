@@ -72,6 +72,19 @@ def test_toxicity_on_held_out_rows(spark, prose):
     assert caught.evidence and caught.similarities == sorted(caught.similarities, reverse=True)
 
 
+def test_toxicity_statistics_cover_all_training_rows(spark, prose):
+    docs, labels = labelled(prose, 600)
+    docs = [(i, t + (" rareword" if y and i % 5 == 0 else "")) for (i, t), (_, _, y) in zip(docs, labels, strict=True)]
+    frame, marks = spark.createDataFrame([*docs, docs[0]], SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    index = toxicity.build_index(frame, marks, most=60)
+    held = {x.doc_id for x in toxicity.score_documents(frame, index).where("held_out").collect()}
+    rows = [set(toxicity.terms(t)) for i, t in docs if i not in held]
+    assert len(index.ids) < 120 < len(rows)
+    df = {t: sum(t in own for own in rows) for t in index.place}
+    assert "rareword" in df and np.allclose(index.idf, [np.log((1 + len(rows)) / (1 + n)) + 1 for n in df.values()])
+    assert index.place == toxicity.build_index(frame, marks).place
+
+
 def test_neighbours_are_exact():
     r = np.random.default_rng(3)
     examples = []
