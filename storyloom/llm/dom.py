@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -142,46 +143,78 @@ def links_share(node: Node) -> float:
     return linked / whole if whole else 0.0
 
 
-#: Sibling lists whose product of lengths is above this are aligned from both ends instead of by the full table.
-WIDE = 40_000
+#: Most sizes of matches that :func:`align` keeps at once.
+SIZES = 1_000_000
+
+
+def _kinds(root: Node, known: dict) -> dict[int, int]:
+    """A number for each node, equal where whole trees of labels are."""
+    order, stack, out = [], [root], {}
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(x.nodes())
+    for x in reversed(order):
+        out[id(x)] = known.setdefault((x.label, *(out[id(c)] for c in x.nodes())), len(known))
+    return out
 
 
 def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching of two trees with equal labels: the size of the largest order-keeping match of nodes under
-    matched parents, and its pairs."""
-    xs, ys = a.nodes(), b.nodes()
-    pairs = [(a, b)]
-    if len(xs) * len(ys) > WIDE:
-        n, m = min(len(xs), len(ys)), 0
-        while m < n and xs[m].label == ys[m].label:
-            m += 1
-        ends = [(xs[i], ys[i]) for i in range(m)]
-        k = 1
-        while k <= n - m and xs[-k].label == ys[-k].label:
-            ends.append((xs[-k], ys[-k]))
-            k += 1
-        size = 1
-        for x, y in ends:
-            s, own = align(x, y)
-            size += s
-            pairs += own
-        return size, pairs
-    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    own: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(xs, 1):
+    matched parents, and its pairs. Of a table of siblings only some rows are kept, from which the way back is redone."""
+    known: dict = {}
+    kinds = _kinds(a, known) | _kinds(b, known)
+    sizes: dict[tuple[int, int], int] = {}
+    pairs: list[tuple[Node, Node]] = []
+
+    def row(x: Node, ys: list[Node], before: list[int]) -> list[int]:
+        out = [0]
         for j, y in enumerate(ys, 1):
-            best = max(table[i - 1][j], table[i][j - 1])
+            own = size(x, y)
+            out.append(max(before[j], out[-1], before[j - 1] + own if own else 0))
+        return out
+
+    def size(x: Node, y: Node) -> int:
+        key = kinds[id(x)], kinds[id(y)]
+        own = sizes.get(key)
+        if own is None:
+            own = 0
             if x.label == y.label:
-                own[i, j] = align(x, y)
-                best = max(best, table[i - 1][j - 1] + own[i, j][0])
-            table[i][j] = best
-    i, j = len(xs), len(ys)
-    while i and j:
-        if (i, j) in own and table[i][j] == table[i - 1][j - 1] + own[i, j][0]:
-            pairs += own[i, j][1]
-            i, j = i - 1, j - 1
-        elif table[i][j] == table[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + table[-1][-1], pairs
+                ys = y.nodes()
+                last = [0] * (len(ys) + 1)
+                for c in x.nodes():
+                    last = row(c, ys, last)
+                own = 1 + last[-1]
+            if len(sizes) >= SIZES:
+                sizes.clear()
+            sizes[key] = own
+        return own
+
+    def walk(x: Node, y: Node) -> int:
+        pairs.append((x, y))
+        xs, ys = x.nodes(), y.nodes()
+        step = math.isqrt(len(xs)) + 1
+        last = [0] * (len(ys) + 1)
+        kept, rows, low = [last], [last], -1
+        for i, c in enumerate(xs, 1):
+            last = row(c, ys, last)
+            if i % step == 0:
+                kept.append(last)
+        i, j = len(xs), len(ys)
+        while i and j:
+            if (i - 1) // step != low:
+                low = (i - 1) // step
+                rows = [kept[low]]
+                for c in xs[low * step : i]:
+                    rows.append(row(c, ys, rows[-1]))
+            now, before, own = rows[i - low * step], rows[i - low * step - 1], size(xs[i - 1], ys[j - 1])
+            if own and now[j] == before[j - 1] + own:
+                walk(xs[i - 1], ys[j - 1])
+                i, j = i - 1, j - 1
+            elif now[j] == before[j]:
+                i -= 1
+            else:
+                j -= 1
+        return 1 + last[-1]
+
+    return walk(a, b), pairs

@@ -71,6 +71,15 @@ def test_tree_matching():
     assert size == len(pairs) == 4  # div, p, ul and li, or div, p and p with ul and li
 
 
+def test_tree_matching_of_long_lists():
+    middle = "<p>x <b>y</b></p>" * 150 + "<h2>z</h2>" + "<p>x</p>" * 100
+    a = dom.parse(f"<div><ul></ul>{middle}<table></table></div>").nodes()[0]
+    b = dom.parse(f"<div><h3>n</h3>{middle}<pre></pre></div>").nodes()[0]
+    size, pairs = dom.align(a, b)
+    assert size == len(pairs) == 1 + 150 * 2 + 1 + 100
+    assert [dom.blocks(x) for x, _ in pairs[1:]] == [dom.blocks(y) for _, y in pairs[1:]]
+
+
 def test_parser_survives_broken_pages():
     for source in ("<", "<p", "</p></div>", "<!--", "<script>", "<a href='x>y", "a<b>c</i>d", "<table><tr><td>1<td>2<tr><td>3"):
         dom.blocks(dom.parse(source))
