@@ -90,7 +90,7 @@ def components(spark, sf_dir):
 
 @register("pack_components")
 def pack_components(spark, sf_dir):
-    e = connected_components(edges(spark, sf_dir).where("a % 30 = 0")).groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max("node").cast("double").alias("score"))
+    e = connected_components(edges(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max("node").cast("double").alias("score"))
     return So.pack_components(e.withColumn("run_id", F.floor(F.col("component") / 1000)))
 
 

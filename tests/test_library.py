@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import numbers as N
@@ -130,3 +131,32 @@ def test_streamed_cooldown_equals_the_rule(spark):
             last[i] = at
             want.append((i, at))
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(want)
+
+
+def test_pack_components_takes_all_edges(spark):
+    from storyloom.plans import join_queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in join_queries.edges(spark, sf).collect():
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    members = {}
+    for x in up:
+        members.setdefault(root(x), []).append(x)
+    left, want = {}, set()
+    for c, own in sorted(members.items(), key=lambda m: (-len(m[1]), -max(m[1]), m[0])):
+        taken = len(own) <= left.setdefault(c // 1000, 40)
+        left[c // 1000] -= len(own) * taken
+        want.add((c // 1000, c, taken))
+    got = join_queries.QUERIES["pack_components"](spark, sf).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert max(map(len, members.values())) > 2
