@@ -3,8 +3,8 @@
 Terms are words and the beginnings of words. Those terms are kept that go with either label; their numbers of rows, the
 chi-square test and the idf cover all labelled rows outside the held-out fold. Over them every document is a TF-IDF
 vector of length one. Only the examples are a bounded sample of these rows, by the hash of their id; they are indexed
-by postings, which a query sums up over all of its terms: the neighbours are exact. Their votes, weighted by similarity, are calibrated on the examples with each example's own
-vote left out.
+by postings, which a query sums up over all of its terms: the neighbours are exact. Their votes, weighted by similarity,
+are calibrated on the examples with each example's own vote left out.
 
 Defined cases: a document without kept terms (also null or empty) has no neighbours, and its score is the calibrated
 share of such training rows; without labels of both kinds every score is the share of label 1 (0 without any); repeated
