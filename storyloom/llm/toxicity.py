@@ -1,159 +1,213 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
-
-Terms are words and the beginnings of words. Those terms are kept that go with either label; their numbers of rows, the
-chi-square test and the idf cover all labelled rows outside the held-out fold. Over them every document is a TF-IDF
-vector of length one. Only the examples are a bounded sample of these rows, by the hash of their id; they are indexed
-by postings, which a query sums up over all of its terms: the neighbours are exact. Their votes, weighted by similarity,
-are calibrated on the examples with each example's own vote left out.
-
-Defined cases: a document without kept terms (also null or empty) has no neighbours, and its score is the calibrated
-share of such training rows; without labels of both kinds every score is the share of label 1 (0 without any); repeated
-rows give equal rows; other columns are ignored, whatever their names. Labels, language, source and id never enter a
-score.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
+
+Every word of a text is a term. A term weighs (1 + ln tf) * idf * r^2 in the vectors, r = chi2 / (chi2 + 40) being how
+surely its presence goes with either label; without r the few telling words of a long text drown among its others.
+Numbers of rows, idf and chi-square cover all labelled rows outside the held-out fold; only the examples are a bounded
+sample of these rows, by the hash of their id, and all of their words are indexed. Votes of the nearest examples,
+weighted by similarity, are calibrated on the examples with each example's own vote left out.
+
+Terms are summed up by falling impact. Those of little impact are only bounded, the common ones by their greatest value
+in each block of examples, and blocks whose bound stays below the neighbours found so far are never opened. The
+neighbours are those of a full comparison.
+
+Defined cases: a document without a word of the examples (also null or empty) has no neighbours, and its score is the
+calibrated share of label 1; without labels of both kinds every score is the share of label 1 (0 without any); repeated
+rows give equal rows; null ids stay null; other columns are ignored, whatever their names; texts are read whole, however
+long. Labels, language, source and id never enter a score.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, cut
 from .bounded import bounded_ids
 from .labelled import labelled_ids, remainder, sample_ids
 
-#: Most examples in the index; kept terms; neighbours.
-MOST_EXAMPLES, TERMS, NEIGHBOURS = 12_000, 4096, 15
-#: A kept term occurs in this many training rows at least; its chi-square, whose law for a term that goes with neither
-#: label is the same for any number of rows, reaches the last.
-LEAST_ROWS, LEAST_CHI = 4, 40.0
+#: Most labelled rows in the index, most of them that calibrate it, and neighbours that vote.
+MOST_EXAMPLES, MOST_CALIBRATED, NEIGHBOURS = 12_000, 3_000, 15
+#: The chi-square at which a term has half of its full say (before squaring).
+HALF_CHI = 40.0
 FOLDS, HELD, CUT = 4, 2, 0.3
-#: Lengths of the beginnings of words that are terms beside the words themselves.
-STARTS = (4, 5)
-WORD = re.compile(r"[^\W\d_]+")
+#: Examples in a block, how many of the commonest terms have a row of values, and the cosine that may be left to terms
+#: of little impact in the first pass; none of them changes a result.
+BLOCK, COMMON, REST = 64, 128, 0.05
+EPS = 1e-11
 
 
-def terms(text: str | None) -> list[str]:
-    """The terms of the whole text: each word in lower case, and its first letters marked as such."""
-    out: list[str] = []
-    for w in WORD.findall((text or "").lower()):
-        out.append(w)
-        out.extend(w[:n] + "*" for n in STARTS if len(w) > n)
-    return out
+def words(text: Column) -> Column:
+    """The 64-bit hashes of the words of the whole text in lower case, in order; empty for null."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\P{L}+")
+    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def vocabulary(rows: DataFrame, n: int, pos: int, most: int = TERMS, chi: float = LEAST_CHI) -> list[tuple[str, int]]:
-    """(term, rows that hold it) of the terms that go with either label most, from ``n`` (text, y) rows, ``pos`` of them
-    with label 1."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, n, p): in how many rows (words, y) a term occurs, and in how many of label 1."""
+    each = rows.select(F.col("y").cast("long").alias("y"), F.explode(F.array_distinct("words")).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            with_y, seen = Counter(), Counter()
-            for text, y in zip(frame["text"], frame["y"], strict=True):
-                own = set(terms(text))
-                seen.update(own)
-                if y == 1:
-                    with_y.update(own)
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values()), "p": [with_y[t] for t in seen]})
 
-    counts = rows.select("text", "y").mapInPandas(count, "term string, n bigint, p bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    a, df = F.col("p").cast("double"), F.col("n").cast("double")
-    value = n * F.pow(a * n - df * pos, 2) / (df * (n - df) * pos * (n - pos))
-    best = counts.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < n)).withColumn("chi", value).where(F.col("chi") >= chi)
-    return [(r["term"], r["n"]) for r in best.orderBy(F.desc("chi"), "term").limit(most).collect()]
+def term_weights(n: np.ndarray, p: np.ndarray, rows: int, pos: int) -> np.ndarray:
+    """idf * r^2 of terms that occur in ``n`` of the rows, ``p`` of them with label 1."""
+    n, p = n.astype(float), p.astype(float)
+    below = np.maximum(n * (rows - n) * pos * (rows - pos), 1e-300)
+    chi = np.where(n < rows, rows * (p * rows - n * pos) ** 2 / below, 0.0)
+    return (np.log((1 + rows) / (1 + n)) + 1) * (chi / (chi + HALF_CHI)) ** 2
 
 
 class Index:
-    """Inverted index of labelled examples."""
-
-    def __init__(self, vocab: list[tuple[str, int]], rows: int, examples: list[tuple[int, list[int], list[float]]], y: list[int]):
-        self.place = {t: i for i, (t, _) in enumerate(vocab)}
-        self.idf = np.log((1 + rows) / (1 + np.array([n for _, n in vocab], float))) + 1
-        self.ids, self.y = np.array([e[0] for e in examples], np.int64), np.array(y, float)
-        term = np.array([t for _, ts, _ in examples for t in ts], np.int64)
-        doc = np.repeat(np.arange(len(examples)), [len(ts) for _, ts, _ in examples])
-        weight = np.array([w for _, _, ws in examples for w in ws], float)
-        order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(len(vocab) + 1))
-        self.none = 0.0
-        self.slope, self.shift = 1.0, 0.0
-
-    def nearest(self, ts: list[int], ws: list[float], k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest, those with cosine 0 left out; ties go to the lower example."""
-        sums = np.zeros(len(self.y))
-        for t, w in zip(ts, ws, strict=True):
+    """Inverted index of labelled examples, each given by the hashes of its words."""
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, ids: list[int], labels: list[int], texts: list[np.ndarray], none: float = 0.0):
+        self.terms, self.weights, self.none, self.slope, self.shift = terms, weights, none, 1.0, 0.0
+        vectors = [self.vector(t) for t in texts]
+        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))  # like stands by like: blocks have tight bounds
+        self.ids, self.y = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], float)
+        self.base = float(self.y.mean()) if len(order) else none
+        n = len(order)
+        self.ends = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in order], dtype=np.int64)]) if n else np.zeros(1, np.int64)
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))
+        self.term = np.concatenate([vectors[i][0] for i in order]).astype(np.int32) if n else np.zeros(0, np.int32)
+        self.weight = np.concatenate([vectors[i][1] for i in order]) if n else np.zeros(0)
+        by = np.lexsort((doc, self.term))
+        self.doc, self.value = doc[by], self.weight[by]
+        self.start = np.searchsorted(self.term[by], np.arange(len(terms) + 1))
+        self.blocks = max(1, -(-n // BLOCK))
+        size = np.diff(self.start)
+        self.greatest = np.zeros(len(terms))
+        self.greatest[size > 0] = np.maximum.reduceat(self.value, self.start[:-1][size > 0]) if len(self.value) else 0.0
+        common = np.argsort(-size, kind="stable")[:COMMON]
+        common = common[size[common] > self.blocks]
+        self.place = np.full(len(terms), -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        for k, t in enumerate(common):
             own = slice(self.start[t], self.start[t + 1])
-            sums[self.doc[own]] += w * self.weight[own]
+            self.dense[k, self.doc[own]] = self.value[own]
+        self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(2) if len(common) else np.zeros((0, self.blocks))
+        self.opened = self.passed = 0
+
+    def vector(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text and their weights, scaled to length one; terms that no example has are not in the space."""
+        found, tf = np.unique(hashes, return_counts=True)
+        if not len(self.terms) or not len(found):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
+        known = self.terms[at] == found
+        at = at[known]
+        w = (1 + np.log(tf[known])) * self.weights[at]
+        long = np.linalg.norm(w)
+        return (at[w > 0], w[w > 0] / long) if long > 0 else (np.zeros(0, np.int64), np.zeros(0))
+
+    def _sums(self, ts: np.ndarray, ws: np.ndarray) -> np.ndarray:
+        """What these terms give to the cosine of each example."""
+        at = self.place[ts]
+        few = at < 0
+        low, size = self.start[ts[few]], self.start[ts[few] + 1] - self.start[ts[few]]
+        total = int(size.sum())
+        sums = np.zeros(self.blocks * BLOCK)
+        if total:
+            take = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
+            sums[: len(self.y)] = np.bincount(self.doc[take], np.repeat(ws[few], size) * self.value[take], len(self.y))
+        for k, w in zip(at[~few], ws[~few], strict=True):
+            sums += w * self.dense[k]
+        return sums
+
+    def _exact(self, place: np.ndarray, ts: np.ndarray, ws: np.ndarray) -> np.ndarray:
+        """The cosines of the examples at ``place``, from all of their terms."""
+        query = np.zeros(len(self.terms))
+        query[ts] = ws
+        size = self.ends[place + 1] - self.ends[place]
+        first = np.cumsum(size) - size
+        take = np.repeat(self.ends[place] - first, size) + np.arange(int(size.sum()))
+        out = np.zeros(len(place))
+        if len(take):
+            out[size > 0] = np.add.reduceat(query[self.term[take]] * self.weight[take], first[size > 0])
+        return out
+
+    def nearest(self, ts: np.ndarray, ws: np.ndarray, k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples, those with cosine 0 left out; ties go to the lower place.
+
+        Terms are summed up in the order of their greatest impact until the others can add no more than :data:`REST`;
+        of the rest only bounds are taken, by block where a term is common. Examples whose sum and bound stay below the
+        k-th greatest sum are out; the cosines of the others are worked out in full.
+        """
+        impact = ws * self.greatest[ts]
+        order = np.argsort(-impact, kind="stable")
+        rest = np.append(impact[order].sum() - np.cumsum(impact[order]), 0.0)
+        m = min(int(np.argmax(rest <= REST)) + 1, len(ts))
+        sums = self._sums(ts[order[:m]], ws[order[:m]])
         if leave >= 0:
-            sums[leave] = 0.0
-        found = np.flatnonzero(sums)
-        cos = sums[found]
-        if len(found) > k:
-            near = cos >= np.partition(cos, -k)[-k] - 1e-11
-            found, cos = found[near], cos[near]
-        best = np.lexsort((found, -np.round(cos, 12)))[:k]
-        return found[best], cos[best]
-
-    def vector(self, text: str | None) -> tuple[list[int], list[float]]:
-        tf = Counter(self.place[t] for t in terms(text) if t in self.place)
-        ts = sorted(tf)
-        w = (1 + np.log([tf[t] for t in ts])) * self.idf[ts] if ts else np.zeros(0)
-        return ts, list(w / np.linalg.norm(w)) if ts else []
-
-    def vote(self, found: np.ndarray, cos: np.ndarray) -> float:
-        """The share of label 1 among the neighbours by similarity, with half a neighbour's weight for neither."""
-        return float((cos @ self.y[found] + 0.25) / (cos.sum() + 0.5))
-
-    def score(self, ts: list[int], ws: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
-        found, cos = self.nearest(ts, ws, NEIGHBOURS) if ts else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(found):
-            return self.none, found, cos
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(found, cos) + self.shift, -30, 30)))), found, cos
+            sums[leave] = -np.inf
+        least = max(np.partition(sums, -k)[-k], 0.0) if len(sums) >= k else 0.0
+        later = order[m:]
+        at = self.place[ts[later]]
+        bound = np.full(self.blocks, impact[later[at < 0]].sum())
+        if (at >= 0).any():
+            bound += ws[later[at >= 0]] @ self.most[at[at >= 0]]
+        hope = (sums.reshape(self.blocks, BLOCK) + bound[:, None]).reshape(-1)[: len(self.y)]
+        place = np.flatnonzero((hope >= least - EPS) & (hope > 0))
+        self.opened += len(np.unique(place // BLOCK))
+        self.passed += self.blocks
+        if not len(later):
+            cos = sums[place]
+        elif (self.ends[place + 1] - self.ends[place]).sum() < (self.start[ts[later] + 1] - self.start[ts[later]]).sum():
+            cos = self._exact(place, ts, ws)
+        else:
+            cos = sums[place] + self._sums(ts[later], ws[later])[place]
+        place, cos = place[cos > 0], cos[cos > 0]
+        if len(cos) > k:
+            near = cos >= np.partition(cos, -k)[-k] - EPS
+            place, cos = place[near], cos[near]
+        best = np.lexsort((place, -np.round(cos, 12)))[:k]
+        return place[best], cos[best]
+
+    def vote(self, place: np.ndarray, cos: np.ndarray) -> float:
+        """The share of label 1 among the neighbours by similarity, with half a neighbour's weight for its usual share."""
+        return float((cos @ self.y[place] + 0.5 * self.base) / (cos.sum() + 0.5))
+
+    def score(self, hashes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        place, cos = self.nearest(*self.vector(hashes))
+        if not len(place):
+            return self.none, place, cos
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(place, cos) + self.shift, -30, 30)))), place, cos
 
 
 def build_index(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Index:
     """The calibrated index, from the labelled rows outside the held-out fold."""
     bound_batches(docs.sparkSession)
     ids = bounded_ids(labelled_ids(labels, "toxic", FOLDS, HELD))
-    texts = docs.select("doc_id", "text")
-    whole = texts.join(ids, "doc_id").dropDuplicates(["doc_id"])
-    n, pos = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
+    rows = cut(rows.select("doc_id", "y", words(F.col("text")).alias("words")), "labelled")
+    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or pos in (0, n):
-        empty = Index([], n, [], [])
-        empty.none = pos / n if n else 0.0
-        return empty
-    vocab = vocabulary(whole, n, pos)
-    rows = cut(texts.join(F.broadcast(sample_ids(ids, most)), "doc_id").dropDuplicates(["doc_id"]), "examples")
-    bare = Index(vocab, n, [], [])
-
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            got = [bare.vector(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "ts": [g[0] for g in got], "ws": [g[1] for g in got]})
-
-    held = rows.mapInPandas(vectors, "doc_id bigint, y int, ts array<int>, ws array<double>").toPandas().sort_values("doc_id")
-    some = held[held["ts"].map(len) > 0]
-    rest = held[held["ts"].map(len) == 0]
-    index = Index(vocab, n, [(r.doc_id, list(r.ts), list(r.ws)) for r in some.itertuples()], some["y"].tolist())
-    index.none = float((rest["y"].sum() + 0.5) / (len(rest) + 1)) if len(rest) else pos / n
-    _calibrate(index, some)
+        return Index(np.zeros(0, np.int64), np.zeros(0), [], [], [], pos / n if n else 0.0)
+    sample = cut(sample_ids(rows.select("doc_id"), most).join(rows, "doc_id"), "examples")
+    held = sample.toPandas().sort_values("doc_id")
+    own = sample.select(F.explode("words").alias("term")).distinct()
+    stats = term_counts(rows).join(own, "term", "left_semi").toPandas().sort_values("term")
+    terms, weights = stats["term"].to_numpy(np.int64), term_weights(stats["n"].to_numpy(), stats["p"].to_numpy(), n, pos)
+    texts = [np.asarray(w, np.int64) for w in held["words"]]
+    index = Index(terms, weights, held["doc_id"].tolist(), held["y"].tolist(), texts, pos / n)
+    _calibrate(index, {int(i): t for i, t in zip(held["doc_id"], texts, strict=True)})
     return index
 
 
-def _calibrate(index: Index, some: pd.DataFrame, rows: int = 3000) -> None:
+def _calibrate(index: Index, texts: dict[int, np.ndarray], rows: int = MOST_CALIBRATED) -> None:
     """A logistic curve from votes to labels, over at most ``rows`` examples, each without its own vote."""
-    at = np.linspace(0, len(some) - 1, min(rows, len(some))).astype(int)
+    n = len(index.y)
+    order = np.argsort(index.ids, kind="stable")
     votes, y = [], []
-    for i in at:
-        found, cos = index.nearest(list(some["ts"].iloc[i]), list(some["ws"].iloc[i]), NEIGHBOURS, leave=int(i))
-        if len(found):
-            votes.append(index.vote(found, cos))
+    for i in order[np.linspace(0, n - 1, min(rows, n)).astype(int)]:
+        place, cos = index.nearest(*index.vector(texts[int(index.ids[i])]), leave=int(i))
+        if len(place):
+            votes.append(index.vote(place, cos))
             y.append(index.y[i])
     if not votes:
         return
@@ -170,15 +224,23 @@ def _calibrate(index: Index, some: pd.DataFrame, rows: int = 3000) -> None:
 def score_documents(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, similarities): the neighbours' doc_ids and cosines are the
     evidence."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for frame in frames:
-            got = [own.score(*own.vector(t)) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [g[0] for g in got], "evidence": [own.ids[g[1]].tolist() for g in got], "similarities": [g[2].tolist() for g in got]})
-
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double, evidence array<bigint>, similarities array<double>")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            ends, hashes = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            got = [own.score(hashes[ends[i] : ends[i + 1]]) for i in range(len(lists))]
+            evidence = pa.array([own.ids[g[1]].tolist() for g in got], pa.list_(pa.int64()))
+            near = pa.array([g[2].tolist() for g in got], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), evidence, near], ["doc_id", "score", "evidence", "similarities"])
+
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
+    scored = light.mapInArrow(run, "doc_id bigint, score double, evidence array<bigint>, similarities array<double>")
     return scored.select(
         "doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence", "similarities"
     )
