@@ -6,10 +6,14 @@ read by its offset alone. Archives go to the shared folder. A task writes to a n
 archive to its place, and readers only open archives that a finished task has reported: a lost executor leaves nothing
 that is read.
 
-Defined cases: a null payload is empty; equal payloads refer to the first by id; rows with a null page_id are written
-and returned with a null page_id, and never are the first of equal payloads unless all ids are null; repeated rows are
-records of their own, of which those that share the least page_id are all responses; other columns are ignored,
-whatever their names; an empty table gives an empty result and no archive.
+An archive's first record is a ``warcinfo``. A revisit names the record that it repeats (``WARC-Refers-To``); ids of
+records follow from page, payload and type, so that rows repeated in full share one.
+
+Defined cases: a null payload is empty; of rows with equal payloads those with the least page_id are responses and the
+others revisits of it, so that a page_id with several payloads keeps each of them; rows with a null page_id are written
+and returned with a null page_id, and are revisits unless no row with that payload has an id; repeated rows are records
+of their own; other columns are ignored, whatever their names; an empty table gives an empty result and no archive.
+Payloads are stored whole, however long.
 """
 
 from __future__ import annotations
@@ -19,9 +23,10 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import respread
@@ -31,8 +36,9 @@ MAGIC = 0x184D2A5D
 LEVEL = 3
 #: Bytes of the dictionary, of the records that it is built from at most, and of an archive about.
 DICT_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES = 64 << 10, 4 << 20, 64 << 20
-#: Revisits that are broadcast to the writers (16 bytes each); beyond that they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of revisits that are broadcast to the writers (64 for a row's two ids and digest); beyond that they are joined
+#: by a shuffle.
+BROADCAST_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -40,21 +46,31 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id: int | None, digest: str, kind: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {kind}')}>"
+
+
 def record(uri: str, payload: bytes, page_id: int | None, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no block and names the page whose payload it repeats."""
-    kind = "response" if refers_to is None else "revisit"
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{uri}\n{kind}")
+    """One WARC/1.1 record; a revisit has no block and names the record and the page whose payload it repeats."""
+    kind, digest = "response" if refers_to is None else "revisit", sha1_base32(payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{ident}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {''.join(uri.split())}",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"X-Payload-Length: {len(payload)}", f"X-Page-ID: {'' if page_id is None else page_id}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, kind)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {''.join(uri.split())}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest, 'response')}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     block = payload if refers_to is None else b""
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(name: str) -> bytes:
+    """The record that describes an archive."""
+    block = b"format: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name, 'warcinfo')}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}"]
+    return "\r\n".join([*head, "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -69,16 +85,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary from the records, or nothing where there are too few to build one."""
+    """A dictionary from the records: a trained one, or where training finds too little in them the last of their bytes as
+    a dictionary of raw content."""
     import zstandard
 
-    if len(samples) < 16:
-        return b""
     try:
-        size = min(DICT_BYTES, sum(map(len, samples)) // 8)
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[-DICT_BYTES:]
 
 
 def frames(records: Iterable[bytes]) -> Iterator[bytes]:
@@ -94,7 +108,7 @@ def frames(records: Iterable[bytes]) -> Iterator[bytes]:
             break
     trained = dictionary(first)
     yield struct.pack("<II", MAGIC, len(trained)) + trained
-    pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained))
     for part in (first, rest):
         for r in part:
             yield pack.compress(r)
@@ -108,7 +122,7 @@ def read_frames(stream) -> Iterator[bytes]:
     if magic != MAGIC:
         raise ValueError("the archive has no dictionary frame")
     trained = stream.read(n)
-    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained))
     data, at_end = b"", False
     while True:
         if not data and not at_end:
@@ -134,20 +148,25 @@ def _store(uri: str):
     return FileSystem.from_uri(uri)
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload an earlier page has. Only digests are shuffled."""
-    keys = cut(pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("k")), "digests")
-    firsts = keys.groupBy("k").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keys.join(respread(firsts.drop("n")), "k").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    """(page_id, digest, refers_to) of the rows whose payload a page of a lower id has. Only digests are shuffled."""
+    keys = cut(pages.select("page_id", _digest().alias("digest")), "digests")
+    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
+    again = keys.join(respread(firsts.drop("n")), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return again.select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
     """Write a record for each page (page_id, url, html) below ``root``; returns (path, records) of the archives."""
     bound_batches(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html")
-    again = cut(revisits(pages), "revisits")
-    small = again.count() <= BROADCAST_ROWS
-    rows = pages.join(F.broadcast(again) if small else again, "page_id", "left")
+    rows = pages.select("page_id", "url", "html", _digest().alias("digest"))
+    again = cut(revisits(pages).select(F.col("page_id").alias("again"), F.col("digest").alias("same"), "refers_to"), "revisits")
+    small = again.count() * 64 <= BROADCAST_BYTES
+    rows = rows.join(F.broadcast(again) if small else again, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def records() -> Iterator[bytes]:
@@ -173,7 +192,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
                     yield now
 
             with fs.open_output_stream(f"{base}/{name}.part", compression=None) as out:
-                for frame in frames(some()):
+                for frame in frames(chain([info(name)], some())):
                     out.write(frame)
                     room -= len(frame)
             fs.move(f"{base}/{name}.part", f"{base}/{name}")
@@ -185,7 +204,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
 
 
 def read_archives(spark, archives: DataFrame) -> DataFrame:
-    """The records of the archives: page_id, uri, record_type, payload_bytes, payload_digest, refers_to, payload.
+    """The pages' records of the archives: page_id, uri, record_type, payload_bytes, payload_digest, refers_to, payload.
 
     A response's length and digest are computed from its payload and held against its headers."""
 
@@ -198,6 +217,8 @@ def read_archives(spark, archives: DataFrame) -> DataFrame:
                 with fs.open_input_stream(name, compression=None) as stream:
                     for data in read_frames(stream):
                         head, block = parse(data)
+                        if head["WARC-Type"] == "warcinfo":
+                            continue
                         digest, n = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                         kind = head["WARC-Type"]
                         if kind == "response" and (len(block) != n or sha1_base32(block) != digest):
