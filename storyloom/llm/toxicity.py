@@ -37,7 +37,8 @@ FOLDS, HELD, CUT = 4, 2, 0.3
 #: Examples in a block, how many of the commonest terms have a row of values, and the cosine that may be left to terms
 #: of little impact in the first pass; none of them changes a result.
 BLOCK, COMMON, REST = 64, 128, 0.05
-EPS = 1e-11
+#: Sums in the index are of single precision, neighbours of double: candidates may miss the bound by this.
+MARGIN = 1e-6
 
 
 def words(text: Column) -> Column:
@@ -61,32 +62,40 @@ def term_weights(n: np.ndarray, p: np.ndarray, rows: int, pos: int) -> np.ndarra
 
 
 class Index:
-    """Inverted index of labelled examples, each given by the hashes of its words."""
+    """Inverted index of labelled examples. The hashes of an example's words lie in ``hashes`` between its ``ends``."""
 
-    def __init__(self, terms: np.ndarray, weights: np.ndarray, ids: list[int], labels: list[int], texts: list[np.ndarray], none: float = 0.0):
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, ends: np.ndarray, hashes: np.ndarray, none: float = 0.0):
         self.terms, self.weights, self.none, self.slope, self.shift = terms, weights, none, 1.0, 0.0
-        vectors = [self.vector(t) for t in texts]
-        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))  # like stands by like: blocks have tight bounds
-        self.ids, self.y = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], float)
-        self.base = float(self.y.mean()) if len(order) else none
-        n = len(order)
-        self.ends = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in order], dtype=np.int64)]) if n else np.zeros(1, np.int64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends))
-        self.term = np.concatenate([vectors[i][0] for i in order]).astype(np.int32) if n else np.zeros(0, np.int32)
-        self.weight = np.concatenate([vectors[i][1] for i in order]) if n else np.zeros(0)
-        by = np.lexsort((doc, self.term))
-        self.doc, self.value = doc[by], self.weight[by]
+        n, v = len(ids), max(len(terms), 1)
+        key = np.repeat(np.arange(n, dtype=np.int64), np.diff(ends)) * v + np.searchsorted(terms, hashes)
+        key, tf = np.unique(key, return_counts=True)
+        doc, term = (key // v).astype(np.int32), (key % v).astype(np.int32)
+        w = (1 + np.log(tf)) * weights[term] if n else np.zeros(0)
+        doc, term, w = doc[w > 0], term[w > 0], w[w > 0]
+        w /= np.sqrt(np.bincount(doc, w * w, n))[doc] if n else 1.0
+        first = np.searchsorted(doc, np.arange(n + 1))
+        heaviest = [int(term[a + np.argmax(w[a:b])]) if b > a else -1 for a, b in zip(first[:-1], first[1:], strict=True)]
+        order = np.lexsort((ids, heaviest)).astype(np.int64) if n else np.zeros(0, np.int64)  # like stands by like: blocks have tight bounds
+        self.ids, self.y = np.asarray(ids, np.int64)[order], np.asarray(labels, float)[order]
+        self.base = float(self.y.mean()) if n else none
+        new = np.zeros(n, np.int32)
+        new[order] = np.arange(n)
+        by = np.argsort(new[doc], kind="stable")
+        doc, self.term, self.weight = new[doc][by], term[by], w[by]
+        self.ends = np.searchsorted(doc, np.arange(n + 1))
+        by = np.argsort(self.term, kind="stable")
+        self.doc, self.value = doc[by], self.weight[by].astype(np.float32)
         self.start = np.searchsorted(self.term[by], np.arange(len(terms) + 1))
         self.blocks = max(1, -(-n // BLOCK))
         size = np.diff(self.start)
         self.greatest = np.zeros(len(terms))
-        self.greatest[size > 0] = np.maximum.reduceat(self.value, self.start[:-1][size > 0]) if len(self.value) else 0.0
+        if len(self.value):
+            self.greatest[size > 0] = np.maximum.reduceat(self.value, self.start[:-1][size > 0])
         common = np.argsort(-size, kind="stable")[:COMMON]
         common = common[size[common] > self.blocks]
         self.place = np.full(len(terms), -1, np.int32)
         self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         for k, t in enumerate(common):
             own = slice(self.start[t], self.start[t + 1])
             self.dense[k, self.doc[own]] = self.value[own]
@@ -152,19 +161,15 @@ class Index:
         if (at >= 0).any():
             bound += ws[later[at >= 0]] @ self.most[at[at >= 0]]
         hope = (sums.reshape(self.blocks, BLOCK) + bound[:, None]).reshape(-1)[: len(self.y)]
-        place = np.flatnonzero((hope >= least - EPS) & (hope > 0))
+        place = np.flatnonzero((hope >= least - MARGIN) & (hope > 0))
         self.opened += len(np.unique(place // BLOCK))
         self.passed += self.blocks
-        if not len(later):
-            cos = sums[place]
-        elif (self.ends[place + 1] - self.ends[place]).sum() < (self.start[ts[later] + 1] - self.start[ts[later]]).sum():
-            cos = self._exact(place, ts, ws)
-        else:
+        if (self.ends[place + 1] - self.ends[place]).sum() > (self.start[ts[later] + 1] - self.start[ts[later]]).sum():
             cos = sums[place] + self._sums(ts[later], ws[later])[place]
+            if len(place) > k:
+                place = place[cos >= np.partition(cos, -k)[-k] - MARGIN]
+        cos = self._exact(place, ts, ws)
         place, cos = place[cos > 0], cos[cos > 0]
-        if len(cos) > k:
-            near = cos >= np.partition(cos, -k)[-k] - EPS
-            place, cos = place[near], cos[near]
         best = np.lexsort((place, -np.round(cos, 12)))[:k]
         return place[best], cos[best]
 
@@ -187,25 +192,29 @@ def build_index(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -
     rows = cut(rows.select("doc_id", "y", words(F.col("text")).alias("words")), "labelled")
     n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or pos in (0, n):
-        return Index(np.zeros(0, np.int64), np.zeros(0), [], [], [], pos / n if n else 0.0)
+        none = np.zeros(0, np.int64)
+        return Index(none, np.zeros(0), none, none, np.zeros(1, np.int64), none, pos / n if n else 0.0)
     sample = cut(sample_ids(rows.select("doc_id"), most).join(rows, "doc_id"), "examples")
-    held = sample.toPandas().sort_values("doc_id")
     own = sample.select(F.explode("words").alias("term")).distinct()
-    stats = term_counts(rows).join(own, "term", "left_semi").toPandas().sort_values("term")
-    terms, weights = stats["term"].to_numpy(np.int64), term_weights(stats["n"].to_numpy(), stats["p"].to_numpy(), n, pos)
-    texts = [np.asarray(w, np.int64) for w in held["words"]]
-    index = Index(terms, weights, held["doc_id"].tolist(), held["y"].tolist(), texts, pos / n)
-    _calibrate(index, {int(i): t for i, t in zip(held["doc_id"], texts, strict=True)})
+    stats = term_counts(rows).join(own, "term", "left_semi").orderBy("term").toArrow()
+    weights = term_weights(stats["n"].to_numpy(), stats["p"].to_numpy(), n, pos)
+    held = sample.select("doc_id", "y", "words").orderBy("doc_id").toArrow().combine_chunks()
+    lists = held["words"].combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int64()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ends, hashes = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+    index = Index(stats["term"].to_numpy(), weights, held["doc_id"].to_numpy(), held["y"].to_numpy(), ends - ends[0], hashes[ends[0] : ends[-1]], pos / n)
+    _calibrate(index)
     return index
 
 
-def _calibrate(index: Index, texts: dict[int, np.ndarray], rows: int = MOST_CALIBRATED) -> None:
+def _calibrate(index: Index, rows: int = MOST_CALIBRATED) -> None:
     """A logistic curve from votes to labels, over at most ``rows`` examples, each without its own vote."""
     n = len(index.y)
     order = np.argsort(index.ids, kind="stable")
     votes, y = [], []
     for i in order[np.linspace(0, n - 1, min(rows, n)).astype(int)]:
-        place, cos = index.nearest(*index.vector(texts[int(index.ids[i])]), leave=int(i))
+        own = slice(index.ends[i], index.ends[i + 1])
+        place, cos = index.nearest(index.term[own], index.weight[own], leave=int(i))
         if len(place):
             votes.append(index.vote(place, cos))
             y.append(index.y[i])

@@ -1,6 +1,9 @@
 """Quality and toxicity: held-out accuracy, exact neighbours, and defined cases."""
 
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -74,31 +77,78 @@ def test_toxicity_on_held_out_rows(spark, prose):
 
 def test_toxicity_statistics_cover_all_training_rows(spark, prose):
     docs, labels = labelled(prose, 600)
-    docs = [(i, t + (" rareword" if y and i % 5 == 0 else "")) for (i, t), (_, _, y) in zip(docs, labels, strict=True)]
     frame, marks = spark.createDataFrame([*docs, docs[0]], SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     index = toxicity.build_index(frame, marks, most=60)
-    held = {x.doc_id for x in toxicity.score_documents(frame, index).where("held_out").collect()}
-    rows = [set(toxicity.terms(t)) for i, t in docs if i not in held]
-    assert len(index.ids) < 120 < len(rows)
-    df = {t: sum(t in own for own in rows) for t in index.place}
-    assert "rareword" in df and np.allclose(index.idf, [np.log((1 + len(rows)) / (1 + n)) + 1 for n in df.values()])
-    assert index.place == toxicity.build_index(frame, marks).place
+    label = {i: t for i, _, t in labels}
+    rows = [(set(re.findall(r"[^\W\d_]+", t.lower())), label[i]) for i, t in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    n, pos = len(rows), sum(y for _, y in rows)
+    assert len(index.ids) < 120 < n
+    every = sorted(set().union(*(own for own, _ in rows)))
+    hashed = {t: h for t, h in spark.createDataFrame([(t,) for t in every], "t string").select("t", toxicity.words(F.col("t"))[0]).collect()}
+    weight = dict(zip(index.terms.tolist(), index.weights.tolist(), strict=True))
+    seen = 0
+    for t in every:
+        if hashed[t] in weight:
+            df, p = sum(t in own for own, _ in rows), sum(t in own and y for own, y in rows)
+            chi = n * (p * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos)) if df < n else 0.0
+            assert abs(weight[hashed[t]] - (math.log((1 + n) / (1 + df)) + 1) * (chi / (chi + 40)) ** 2) < 1e-9
+            seen += 1
+    assert seen == len(weight) > 100
+    again = toxicity.build_index(frame.repartition(5), marks, most=60)
+    assert (again.terms == index.terms).all() and again.slope == index.slope
+
+
+def test_scores_are_those_of_a_full_comparison(spark, prose):
+    docs, labels = labelled(prose, 500)
+    frame = spark.createDataFrame(docs, SCHEMA)
+    index = toxicity.build_index(frame, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    hashes = {i: np.array(w, np.int64) for i, w in frame.select("doc_id", toxicity.words(F.col("text"))).collect()}
+    dense = np.zeros((len(index.ids), len(index.terms)))
+    for r, i in enumerate(index.ids):
+        ts, ws = index.vector(hashes[int(i)])
+        dense[r, ts] = ws
+    got = {x.doc_id: x for x in toxicity.score_documents(frame, index).collect()}
+    for i, h in hashes.items():
+        q = np.zeros(len(index.terms))
+        ts, ws = index.vector(h)
+        q[ts] = ws
+        cos = dense @ q
+        best = sorted(range(len(cos)), key=lambda r: (-round(cos[r], 12), r))[:15]
+        best = [r for r in best if cos[r] > 0]
+        vote = (sum(cos[r] * index.y[r] for r in best) + 0.5 * index.base) / (sum(cos[r] for r in best) + 0.5)
+        score = 1 / (1 + math.exp(-(index.slope * vote + index.shift))) if best else index.none
+        assert got[i].evidence == [int(index.ids[r]) for r in best] and abs(got[i].score - score) < 1e-9
 
 
-def test_neighbours_are_exact():
+def test_toxicity_cases(spark, prose):
+    docs, labels = labelled(prose, 200)
+    frame = spark.createDataFrame(docs, SCHEMA)
+    index = toxicity.build_index(frame, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    rows = [(2**53 + 1, "w1 nastyish"), (None, "w1 nastyish"), (3, None), (3, ""), (4, "12 34 --"), (5, "w1 nastyish"), (5, "w1 nastyish"), (6, "wa wb wc " * 200_000 + "nastyish")]
+    odd = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS score", "'a' AS words", "2 AS evidence").coalesce(1)
+    got = toxicity.score_documents(odd, index).collect()
+    assert sorted((x.doc_id for x in got), key=str) == sorted((i for i, _ in rows), key=str)
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, set()).add(round(x.score, 12))
+    assert all(len(v) == 1 for v in by.values()) and by[2**53 + 1] == by[None] == by[5]
+    assert by[3] == by[4] == {round(index.none, 12)}
+
+
+def test_common_terms_are_bounded_by_block():
     r = np.random.default_rng(3)
-    examples = []
-    for i in range(500):
-        ts = sorted(r.choice(40, r.integers(1, 7), replace=False).tolist())
-        w = r.random(len(ts)) + 0.1
-        examples.append((i, ts, list(w / np.linalg.norm(w))))
-    index = toxicity.Index([(f"t{k}", 5) for k in range(40)], 500, examples, r.integers(0, 2, 500).tolist())
-    dense = np.zeros((500, 40))
-    for i, ts, ws in examples:
-        dense[i, ts] = ws
-    for _, ts, ws in examples[:60]:
-        q = np.zeros(40)
-        q[ts] = ws
-        cos = dense @ q
-        found, got = index.nearest(ts, ws, 15)
-        assert np.allclose(got, np.sort(cos)[::-1][:15]) and np.allclose(cos[found], got)
+    n, v = 3000, 60
+    texts = [r.choice(v, r.integers(1, 12), p=np.arange(1, v + 1) / (v * (v + 1) / 2)) for _ in range(n)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    index = toxicity.Index(np.arange(v), r.random(v) ** 4 + 1e-4, np.arange(n), r.integers(0, 2, n), ends, np.concatenate(texts))
+    dense = np.zeros((n, v))
+    for k in range(n):
+        own = slice(index.ends[k], index.ends[k + 1])
+        dense[k, index.term[own]] = index.weight[own]
+    for k in range(0, n, 50):
+        cos = dense @ dense[k]
+        own = slice(index.ends[k], index.ends[k + 1])
+        place, got = index.nearest(index.term[own], index.weight[own], 15)
+        best = sorted(range(n), key=lambda i: (-round(cos[i], 12), i))[:15]
+        assert place.tolist() == best and np.allclose(got, cos[best])
+    assert index.opened < index.passed
