@@ -20,21 +20,25 @@ def bucket_of(hex_key: Column, buckets: int) -> Column:
 
 
 def running_before(
-    df: DataFrame, group: str, hex_key: str, value: str, ties: list[str], rows: int, out: str, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, group: str, hex_key: str, value: str, ties: list[str], rows: int, out: str, bucket_rows: int = BUCKET_ROWS, light: DataFrame | None = None
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the group's rows before this one in the order ``hex_key, ties``.
 
     ``rows`` is the number of rows of ``df``; it only sets how fine the buckets are, not the result. Null groups are a
-    group of their own. Rows equal in the key and all ties may swap places.
+    group of their own. Rows equal in the key and all ties may swap places. ``light`` is a lighter table of the same rows
+    (group, key and value) from which the totals of buckets are made, where ``df`` is dear to read.
     """
     buckets = max(1, -(-rows // bucket_rows))
     b, g = "__bucket", "__group"
-    keyed = df.withColumn(g, F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))).withColumn(
-        b, bucket_of(F.col(hex_key), buckets)
-    )
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        named = rows.withColumn(g, F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
+        return named.withColumn(b, bucket_of(F.col(hex_key), buckets))
+
+    keyed = bucketed(df)
     ordered = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy(g, b)
+        (keyed if light is None else bucketed(light)).groupBy(g, b)
         .agg(F.sum(value).alias("__sum"))
         .select(g, b, F.coalesce(F.sum("__sum").over(ordered), F.lit(0)).cast("long").alias("__offset"))
     )
