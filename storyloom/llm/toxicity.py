@@ -12,7 +12,7 @@ neighbours are those of a full comparison.
 
 Defined cases: a document without a word of the examples (also null or empty) has no neighbours, and its score is the
 calibrated share of label 1; without labels of both kinds every score is the share of label 1 (0 without any); repeated
-rows give equal rows; null ids stay null; other columns are ignored, whatever their names; texts are read whole, however
+rows give equal rows, and a labelled id's rows are each an example; null ids stay null; other columns are ignored, whatever their names; texts are read whole, however
 long. Labels, language, source and id never enter a score.
 """
 
@@ -47,10 +47,10 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, n, p): in how many rows (words, y) a term occurs, and in how many of label 1."""
+def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n, p) of the ``terms``: in how many rows (words, y) each occurs, and in how many of label 1."""
     each = rows.select(F.col("y").cast("long").alias("y"), F.explode(F.array_distinct("words")).alias("term"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
+    return each.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
 
 
 def term_weights(n: np.ndarray, p: np.ndarray, rows: int, pos: int) -> np.ndarray:
@@ -188,17 +188,17 @@ def build_index(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -
     """The calibrated index, from the labelled rows outside the held-out fold."""
     bound_batches(docs.sparkSession)
     ids = bounded_ids(labelled_ids(labels, "toxic", FOLDS, HELD))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
-    rows = cut(rows.select("doc_id", "y", words(F.col("text")).alias("words")), "labelled")
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "y", words(F.col("text")).alias("words"))
+    rows = cut(rows, "labelled")
     n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or pos in (0, n):
         none = np.zeros(0, np.int64)
         return Index(none, np.zeros(0), none, none, np.zeros(1, np.int64), none, pos / n if n else 0.0)
-    sample = cut(sample_ids(rows.select("doc_id"), most).join(rows, "doc_id"), "examples")
-    own = sample.select(F.explode("words").alias("term")).distinct()
-    stats = term_counts(rows).join(own, "term", "left_semi").orderBy("term").toArrow()
+    sample = sample_ids(rows, most)
+    own = bounded_ids(sample.select(F.explode("words").alias("term")).distinct())
+    stats = term_counts(rows, own).orderBy("term").toArrow()
     weights = term_weights(stats["n"].to_numpy(), stats["p"].to_numpy(), n, pos)
-    held = sample.select("doc_id", "y", "words").orderBy("doc_id").toArrow().combine_chunks()
+    held = sample.orderBy("doc_id", F.xxhash64("words")).toArrow().combine_chunks()
     lists = held["words"].combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int64()))
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     ends, hashes = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
