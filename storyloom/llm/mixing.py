@@ -5,6 +5,10 @@ source's share; what a source may give is capped, and the excess goes to the oth
 place in its source's demand is inverted through the schedule's running integral: that is its training position, by
 which documents are range-sorted.
 
+A source that a schedule does not name has weight 0, and so target 0; its documents stay in the report with nothing taken.
+Other columns are kept by :func:`mix_documents`, whatever their names, but for ``epoch``, ``words`` and ``position``, which
+are the operator's own; :func:`mix_report` leaves them out. Texts are counted whole, however long.
+
 Defined cases: a null text has size 0 and takes no words; a null source is a source of its own, ordered last; sources
 without words have target 0; empty tables give empty results; repeated rows are documents of their own. The document at
 the edge of a source's budget is taken in part, so that each source meets its target within a word.
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.prefix import running_before
+from ..session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in the order of their names, repeating; their share of all words; most times a word is taken.
@@ -71,9 +76,10 @@ def targets(sizes: DataFrame, share: float = SHARE, times: float = TIMES) -> Dat
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     every = Window.partitionBy()
+    whole = sizes.select("source", "source_size", "weight", (F.sum("source_size").over(every) * F.lit(share)).alias("__total"))
     levels = (
-        sizes.withColumn("__cap", cap)
-        .withColumn("__total", F.sum("source_size").over(every) * F.lit(share))
+        whole.where("weight > 0")
+        .withColumn("__cap", cap)
         .withColumn("__left", F.col("__total") - F.coalesce(F.sum("__cap").over(before), F.lit(0.0)))
         .withColumn("__weights", F.sum("weight").over(onward))
         .withColumn("__full", F.col("__cap") * F.col("__weights") <= F.col("__left") * F.col("weight"))
@@ -84,7 +90,8 @@ def targets(sizes: DataFrame, share: float = SHARE, times: float = TIMES) -> Dat
         .withColumn("__free", F.min(F.when(~F.col("__full"), F.struct("__n", free.alias("v")))).over(every))
     )
     target = F.when(F.col("__full"), F.col("__cap")).otherwise(F.col("__free.v.__left") * F.col("weight") / F.col("__free.v.__weights"))
-    return level.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
+    weighed = level.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
+    return weighed.union(whole.where("not weight > 0").select("source", "source_size", "weight", F.lit(0.0).alias("target")))
 
 
 def _position(place: Column) -> Column:
@@ -96,32 +103,38 @@ def _position(place: Column) -> Column:
     return F.least(F.col("t0") + F.when(rest > 0, 2 * rest / (F.col("w0") + root)).otherwise(F.lit(0.0)), F.col("t1"))
 
 
-def plan_mix(docs: DataFrame, schedule: DataFrame | None = None, share: float = SHARE, times: float = TIMES) -> DataFrame:
-    """The documents with ``size``, ``source_size``, ``target``, ``taken`` (words, repeats counted) and ``__before``
-    (words of the source before it, in the order of the hashed id). All columns are kept."""
-    sized = docs.withColumn("size", words(F.col("text"))).withColumn("__key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    by_source = docs.groupBy("source").agg(F.sum(words(F.col("text"))).alias("source_size"))
-    schedule = standard_schedule(by_source.select("source")) if schedule is None else schedule
+def _sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, __key), with the hash that orders a source's documents."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("__key"))
+
+
+def _plan(rows: DataFrame, light: DataFrame, schedule: DataFrame | None, share: float, times: float) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``source_size``, ``target``, ``taken`` (words, repeats counted) and ``__before`` (words of the source
+    before it, in the order of the hashed id), and the schedule. ``light``, a written table, has the same documents without
+    their texts; all sums are made from it."""
+    by_source = cut(light.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    schedule = standard_schedule(by_source.select("source")) if schedule is None else schedule.select("source", "t", "weight")
     mass = integrate(schedule).groupBy("source").agg(F.max("mass").alias("weight"))
-    weighed = by_source.alias("a").join(mass.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "source_size", "weight")
+    weighed = by_source.alias("a").join(mass.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     goal = targets(weighed, share, times).select(F.col("source").alias("__source"), "source_size", "target")
-    placed = running_before(sized, "source", "__key", "size", ["doc_id", "size"], docs.count(), "__before")
+    placed = running_before(rows, "source", "__key", "size", ["doc_id", "size"], light.count(), "__before", light=light)
     joined = placed.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "__key")
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     rest = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     extra = F.greatest(F.least(rest - F.col("__before"), F.col("size")), F.lit(0))
-    return joined.withColumn("taken", (whole * F.col("size") + extra).cast("long"))
+    return joined.withColumn("taken", (whole * F.col("size") + extra).cast("long")), schedule
 
 
 def first_positions(planned: DataFrame, schedule: DataFrame, epoch: Column) -> DataFrame:
-    """Add ``position``: the training time of the document's copy number ``epoch`` (0, 1, ...)."""
+    """Add ``position``: the training time of the document's copy number ``epoch`` (0, 1, ...); null without a schedule."""
     stretch = integrate(schedule).withColumnRenamed("source", "__s")
     share = F.when(F.col("target") > 0, (epoch * F.col("source_size") + F.col("__before")) / F.col("target")).otherwise(F.lit(0.0))
     place = F.least(share, F.lit(1.0)) * F.col("mass")
     last = F.col("before") + F.col("area") >= F.col("mass")
     inside = (place >= F.col("before")) & ((place < F.col("before") + F.col("area")) | last)
     return (
-        planned.join(stretch, F.col("source").eqNullSafe(F.col("__s")) & inside)
+        planned.join(stretch, F.col("source").eqNullSafe(F.col("__s")) & inside, "left")
         .withColumn("position", _position(place))
         .drop("__s", "t0", "w0", "t1", "w1", "area", "before", "mass")
     )
@@ -130,25 +143,27 @@ def first_positions(planned: DataFrame, schedule: DataFrame, epoch: Column) -> D
 def mix_documents(docs: DataFrame, schedule: DataFrame | None = None, share: float = SHARE, times: float = TIMES) -> DataFrame:
     """The training stream: a row for each taken copy, range-sorted by position, with ``epoch``, ``words`` (those taken
     of this copy) and ``position``. The text of a copy that is taken in part ends at its last taken word."""
-    kept = docs.columns
-    schedule = standard_schedule(docs.select("source").distinct()) if schedule is None else schedule
-    planned = plan_mix(docs, schedule, share, times).where(F.col("taken") > 0)
+    light = cut(_sized(docs), "sizes")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__key"))
+    planned, schedule = _plan(packed, light, schedule, share, times)
+    planned = planned.where(F.col("taken") > 0)
     copies = F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))
     rows = planned.withColumn("epoch", F.explode(copies)).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size")))
-    parts = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    blank = F.rlike("text", F.lit(r"^[\x20\x09-\x0D]")).cast("int")
-    cut = F.regexp_replace(F.array_join(F.slice(parts, 1, (F.col("words") + blank).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
-    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
-    placed = first_positions(rows, schedule, F.col("epoch"))
+    text = F.col("__row").getField("text")
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    blank = F.rlike(text, F.lit(r"^[\x20\x09-\x0D]")).cast("int")
+    short = F.regexp_replace(F.array_join(F.slice(parts, 1, (F.col("words") + blank).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
+    rows = rows.withColumn("__text", F.when(F.col("words") < F.col("size"), short).otherwise(text))
     order = ["position", "source", "doc_id", "epoch"]
-    return placed.select(*kept, "epoch", "words", "position").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = first_positions(rows, schedule, F.col("epoch")).repartitionByRange(*order).sortWithinPartitions(*order)
+    own = ("epoch", "words", "position")
+    return placed.select(*[(F.col("__text") if c == "text" else F.col("__row").getField(c)).alias(c) for c in docs.columns if c not in own], *own)
 
 
-def mix_report(docs: DataFrame) -> DataFrame:
+def mix_report(docs: DataFrame, schedule: DataFrame | None = None, share: float = SHARE, times: float = TIMES) -> DataFrame:
     """Every document with its size, its source's size and target, the words taken and the position of its first copy
     (null if none is taken)."""
-    light = docs.select("doc_id", "source", "text")
-    schedule = standard_schedule(light.select("source").distinct())
-    planned = plan_mix(light, schedule).drop("text")
+    light = cut(_sized(docs), "sizes")
+    planned, schedule = _plan(light, light, schedule, share, times)
     placed = first_positions(planned, schedule, F.lit(0))
     return placed.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("position")).alias("position"))
