@@ -7,7 +7,8 @@ no farther than r beyond the border between the two pivots; only there it is rep
 in parts of bounded size, each part held against the vectors that visit it, a batch at a time.
 
 Equal vectors are one class with a weight, so copies never meet. A pair is compared in one cell only, that of the lower
-number, so links are counted once. Each part sends on counts and a spanning forest of its links, not its pairs.
+number, so links are counted once. Each part sends on counts and a spanning forest of its links, not its pairs. A pair
+links if the sum of products of its scaled vectors, in doubles, is at least the bound.
 
 In many dimensions without clusters distances are nearly equal, borders are near to most vectors, and replication comes
 to nearly every cell: the join is then a blocked comparison of all pairs, still exact and of bounded memory.
@@ -27,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, respread
-from ..session import cut
+from ..session import bound_batches, cut
+from .shingles import mix
 
 #: Vectors for each pivot, most pivots, and most vectors of a cell's part.
 PER_PIVOT, MOST_PIVOTS, PART = 2048, 512, 2048
+#: Rows of copies that are dealt out at once, and bytes of a batch of them.
+DEALT_ROWS, DEALT_BYTES = 200_000, 8 << 20
 SLACK = 1e-9
 
 
@@ -89,27 +93,34 @@ def _dealt(celled: DataFrame, pivots: np.ndarray, radius: float, parts: dict[int
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, parts, reach = shared.value
-        gaps = np.linalg.norm(p[:, None] - p[None], axis=2)
+        gaps = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0) + 1e-12)  # never below the true distance
+        many = np.array([parts.get(c, 0) for c in range(len(p))])
+        far = np.array([reach.get(c, -10.0) for c in range(len(p))])
         for frame in frames:
             if not len(frame):
                 continue
-            x, home = np.stack(frame["e"].to_list()), frame["cell"].to_numpy()
+            x, home, rep, w = np.stack(frame["e"].to_list()), frame["cell"].to_numpy(), frame["rep"].to_numpy(), frame["w"].to_numpy()
+            own = (mix(rep.view(np.uint64)) % many[home].astype(np.uint64)).astype(np.int64)
             dots = x @ p.T
             dist = np.sqrt(np.maximum(2 - 2 * dots, 0))
-            beyond = (dots[np.arange(len(x)), home][:, None] - dots) / np.maximum(gaps[home], 1e-12)
-            near = (beyond <= radius + SLACK) & (dist <= np.array([reach.get(c, -10.0) for c in range(len(p))]) + radius + SLACK)
-            near &= np.arange(len(p))[None] < home[:, None]
-            out: list[tuple[int, int, int, int]] = []
-            for i, (rep, c) in enumerate(zip(frame["rep"], home, strict=True)):
-                own = int(rep * 2654435761 % (1 << 32)) % parts[c]
-                out.append((i, c, own, 0))
-                out.extend((i, c, k, 1) for k in range(own + 1, parts[c]))
-                for d in np.flatnonzero(near[i]):
-                    out.extend((i, int(d), k, 1) for k in range(parts[int(d)]))
-            at = np.array(out)
-            for some in np.array_split(at, max(1, len(at) // 20_000)):
-                i = some[:, 0]
-                yield pd.DataFrame({"cell": some[:, 1], "part": some[:, 2], "role": some[:, 3], "rep": frame["rep"].to_numpy()[i], "w": frame["w"].to_numpy()[i], "e": list(x[i])})
+            beyond = (dots[np.arange(len(x)), home][:, None] - dots) / gaps[home]
+            near = (beyond <= radius + SLACK) & (dist <= far + radius + SLACK) & (np.arange(len(p))[None] < home[:, None])
+            copies = np.cumsum(near @ many + many[home] - own)
+            low = 0
+            while low < len(x):
+                high = max(low + 1, int(np.searchsorted(copies, (copies[low - 1] if low else 0) + DEALT_ROWS, side="right")))
+                i = np.arange(low, high)
+                visitor, cell = np.nonzero(near[low:high])
+                visitor += low
+                pieces = [(i, home[i], own[i], many[home[i]] - own[i]), (visitor, cell, np.zeros_like(cell), many[cell])]
+                at = np.concatenate([np.repeat(v, n) for v, _, _, n in pieces])
+                cells = np.concatenate([np.repeat(c, n) for _, c, _, n in pieces])
+                part = np.concatenate([np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for _, _, first, n in pieces])
+                role = 1 - ((cells == home[at]) & (part == own[at])).astype(int)
+                for k in range(0, len(at), max(1, DEALT_BYTES // (8 * x.shape[1]))):
+                    s = slice(k, k + max(1, DEALT_BYTES // (8 * x.shape[1])))
+                    yield pd.DataFrame({"cell": cells[s], "part": part[s], "role": role[s], "rep": rep[at[s]], "w": w[at[s]], "e": list(x[at[s]])})
+                low = high
 
     return celled.mapInPandas(run, "cell int, part int, role int, rep bigint, w bigint, e array<double>")
 
@@ -134,8 +145,11 @@ def _join(dealt: DataFrame, least: float) -> DataFrame:
             if same:
                 hit &= other_ids[:, None] < ids[None]
             r, c = np.nonzero(hit)
-            exact = np.einsum("ij,ij->i", others[r], x[c]) >= least - 1e-15
-            r, c = r[exact], c[exact]
+            edge = np.flatnonzero(np.abs(dots[r, c] - least) <= SLACK)  # the others are clear of rounding
+            fits = np.ones(len(r), bool)
+            for some in np.array_split(edge, len(edge) // 10_000 + 1):
+                fits[some] = np.einsum("ij,ij->i", others[r[some]], x[c[some]]) >= least
+            r, c = r[fits], c[fits]
             counts = {}
             for side, mine, weight in ((other_ids, r, w[c]), (ids, c, other_w[r])):
                 sums = np.bincount(mine, weight, len(side))
@@ -180,6 +194,7 @@ def _join(dealt: DataFrame, least: float) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
+    bound_batches(vectors.sparkSession)
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     valid = cut(valid_vectors(every).groupBy("vec_id").agg(F.min("e").alias("e")), "vectors")
     grouped = valid.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))

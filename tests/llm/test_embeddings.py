@@ -45,3 +45,25 @@ def test_links_match_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_none_below_the_bound(spark):
+    """Pairs a few units in the last place on either side of the bound."""
+    rows = [(0, [1.0, 0.0, 0.0])]
+    for k in range(-40, 41):
+        c = 0.95 + k * 1e-16
+        rows.append((k + 100, [c, 0.0 if k % 2 else float(np.sqrt(1 - c * c)), float(np.sqrt(1 - c * c)) if k % 2 else 0.0]))
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.95).collect()}
+    x = embedding_dedup._unit(__import__("pandas").Series([v for _, v in rows]))
+    want = sum(float(np.einsum("i,i->", x[0], y)) >= 0.95 for y in x[1:])
+    assert got[0] == want and 0 < want < 81
+
+
+def test_copies_of_a_hot_cell_are_dealt_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PART", 8)
+    monkeypatch.setattr(embedding_dedup, "DEALT_ROWS", 50)
+    monkeypatch.setattr(embedding_dedup, "DEALT_BYTES", 800)
+    r = np.random.default_rng(1)
+    rows = [(i, (np.ones(6) + r.normal(size=6) * 0.25).tolist()) for i in range(150)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.95).collect()}
+    assert got == brute(rows, 0.95)
