@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut, forget
-from .bounded import BROADCAST_IDS, bounded_ids
+from .bounded import BROADCAST_BYTES, KEY_BYTES, bounded_ids
 
 EDITS, LEAST = 2, 24
 #: What lines are trimmed of.
@@ -127,7 +127,7 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 def _firsts(lines: DataFrame, known: DataFrame) -> DataFrame:
     """One row of each line: those that occur once, and the first of the others (``known``)."""
-    few = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+    few = F.broadcast(known) if known.count() * KEY_BYTES <= BROADCAST_BYTES else known
     joined = lines.join(few, "key", "left")
     return joined.where(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no"))).select("key", "line")
 

@@ -6,7 +6,8 @@ preference pairs. Documents are then rejected below a quantile of the scores.
 
 Defined cases: null and empty texts, and texts of white space, have all features 0 and are scored like any other row;
 without labels of both kinds every score is 0.5; repeated rows give equal rows; other columns are not read by the
-scorer, whatever their names, and :func:`keep_quality` returns them as they are. Labels, language, source and id never
+scorer, whatever their names, and :func:`keep_quality` returns them as they are; it tells rows by their text, so that
+rows with null or repeated ids are judged each for itself; texts are read whole, however long. Labels, language, source and id never
 enter a score.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches
-from .bounded import without
+from .bounded import text_key, without_texts
 from .labelled import remainder, training_ids
 from .shingles import word_hashes
 
@@ -73,24 +74,24 @@ def text_features(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, word
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``docs`` (any columns, with ``text``) reduced to (doc_id, x): the features of each text."""
+    """``docs`` (any columns, with ``text``) reduced to (doc_id, key, x): the text's digest and features."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text, hashes = batch.column(1), batch.column(2)
-            starts = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+            text, hashes = batch.column(2).cast(pa.large_string()), batch.column(3)
+            starts = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             data = np.frombuffer(text.buffers()[2], np.uint8)[starts[0] : starts[-1]] if text.buffers()[2] else np.zeros(0, np.uint8)
             words = hashes.offsets.to_numpy().astype(np.int64)
             values = hashes.values.to_numpy(zero_copy_only=False)[words[0] : words[-1]]
             x = text_features(data, starts - starts[0], values, words - words[0])
             ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1)))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1)))], ["doc_id", "key", "x"])
 
-    light = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("string").alias("text"))
-    return light.select("doc_id", "text", word_hashes(F.col("text")).alias("w")).mapInArrow(run, "doc_id bigint, x array<double>")
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
+    return light.select("doc_id", "key", "text", word_hashes(F.col("text")).alias("w")).mapInArrow(run, "doc_id bigint, key binary, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -147,11 +148,11 @@ def train(featured: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
 
 
 def score_documents(featured: DataFrame, ranking: Ranking) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every featured row."""
-    scored = featured.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), ranking.score(F.col("x")).alias("score"))
+    """(doc_id, key, held_out, score, predicted) of every featured row."""
+    scored = featured.select("doc_id", "key", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), ranking.score(F.col("x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_quality(docs: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
     """The documents that are not rejected: those with a score at or above the threshold, a quantile of the scores."""
-    return without(docs, scored.where(F.col("score") < threshold))
+    return without_texts(docs, scored.where(F.col("score") < threshold))

@@ -42,7 +42,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     featured = cut(quality.features(table(spark, sf_dir, "documents")), "features")
-    return quality.score_documents(featured, quality.train(featured, table(spark, sf_dir, "labels")))
+    return quality.score_documents(featured, quality.train(featured, table(spark, sf_dir, "labels"))).drop("key")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

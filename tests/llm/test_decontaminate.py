@@ -61,3 +61,15 @@ def test_empty_tables(spark):
     assert decontaminate.contaminated(docs, items).count() == 0
     some = spark.createDataFrame([(1, "a text")], "doc_id bigint, text string")
     assert decontaminate.contaminated(some, items).count() == 0 and decontaminate.clean_documents(some, items).count() == 1
+
+
+def test_rows_are_judged_each_for_itself(spark, prose):
+    item = prose(1, 20)
+    rows = [(2**53 + 1, "a " + item, "x"), (2**53, "clean", "x"), (None, "b " + item, "x"), (None, "clean too", None), (7, "c " + item, "x"), (7, "clean again", "x"), (7, "clean again", "x"), (8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id string").selectExpr("*", "1 AS t", "'k' AS key").coalesce(1)
+    items = spark.createDataFrame([(2**53 + 3, item, 1), (None, prose(2, 20), 1)], "item_id bigint, text string, block int")
+    got = sorted(((x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, items).collect()), key=str)
+    assert got == sorted([(2**53 + 1, 2**53 + 3), (None, 2**53 + 3), (7, 2**53 + 3)], key=str)
+    left = decontaminate.clean_documents(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(i, t) for i, t, _ in rows if item not in (t or "")], key=str)
