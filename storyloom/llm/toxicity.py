@@ -30,7 +30,7 @@ from .bounded import bounded_ids
 from .labelled import labelled_ids, remainder, sample_ids
 
 #: Most labelled rows in the index, most of them that calibrate it, and neighbours that vote.
-MOST_EXAMPLES, MOST_CALIBRATED, NEIGHBOURS = 12_000, 3_000, 15
+MOST_EXAMPLES, MOST_CALIBRATED, NEIGHBOURS = 6_000, 3_000, 15
 #: The chi-square at which a term has half of its full say (before squaring).
 HALF_CHI = 40.0
 FOLDS, HELD, CUT = 4, 2, 0.3
