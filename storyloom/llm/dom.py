@@ -6,6 +6,8 @@ import html
 import math
 import re
 
+import xxhash
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -128,71 +130,158 @@ def blocks(node: Node, drop=lambda n: False) -> list[str]:
     return out
 
 
-def links_share(node: Node) -> float:
-    """The share of the node's text that lies in links."""
-    whole, linked, stack = 0, 0, [(node, False)]
+def preorder(root) -> list:
+    """All nodes of a tree, parents before children, in page order."""
+    out, stack = [], [root]
     while stack:
-        x, inside = stack.pop()
-        for c in x.children:
-            if isinstance(c, str):
-                n = len(c.strip())
-                whole += n
-                linked += n * inside
-            else:
-                stack.append((c, inside or c.tag == "a"))
-    return linked / whole if whole else 0.0
+        x = stack.pop()
+        out.append(x)
+        stack.extend(reversed(x.nodes()))
+    return out
+
+
+class Facts:
+    """Of each node of a page: a hash of the texts below it in order, their length, how much of it lies in links, whether
+    a block is below it, and a hash of its labels' tree."""
+
+    def __init__(self, root: Node):
+        self.hash: dict[int, int] = {}
+        self.length: dict[int, int] = {}
+        self.linked: dict[int, int] = {}
+        self.holds: dict[int, bool] = {}
+        self.form: dict[int, int] = {}
+        for x in reversed(preorder(root)):
+            parts, length, linked, holds = [], 0, 0, False
+            for c in x.children:
+                if isinstance(c, str):
+                    text = " ".join(html.unescape(c).split())
+                    if text:
+                        parts.append(xxhash.xxh64_intdigest(text))
+                        length += len(text)
+                else:
+                    k = id(c)
+                    if self.length[k]:
+                        parts.append(self.hash[k])
+                        length += self.length[k]
+                        linked += self.linked[k]
+                    holds = holds or self.holds[k] or c.tag in BLOCKS
+            k = id(x)
+            self.form[k] = xxhash.xxh64_intdigest(repr((x.label, [self.form[id(c)] for c in x.nodes()])))
+            self.hash[k] = parts[0] if len(parts) == 1 else xxhash.xxh64_intdigest(repr(parts))
+            self.length[k], self.linked[k], self.holds[k] = length, length if x.tag == "a" else linked, holds
 
 
-#: Most sizes of matches that :func:`align` keeps at once.
-SIZES = 1_000_000
+class Outline:
+    """A node of a page's outline: a block, or a run of paragraphs, items or headings with the same label."""
 
+    __slots__ = ("label", "kids", "members")
 
-def _kinds(root: Node, known: dict) -> dict[int, int]:
-    """A number for each node, equal where whole trees of labels are."""
-    order, stack, out = [], [root], {}
+    def __init__(self, label: str, members: list[Node] | None = None):
+        self.label, self.kids, self.members = label, [], members or []
+
+    def nodes(self) -> list[Outline]:
+        return self.kids
+
+
+#: Blocks of text; neighbours of one label are a list whose length may vary, and their insides are not outlined.
+TEXTUAL = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre blockquote figcaption option".split())
+
+
+def outline(root: Node, facts: Facts) -> Outline:
+    """The blocks of a page, without what is inline."""
+    top = Outline(root.label, [root])
+    stack = [top]
     while stack:
         x = stack.pop()
-        order.append(x)
-        stack.extend(x.nodes())
-    for x in reversed(order):
-        out[id(x)] = known.setdefault((x.label, *(out[id(c)] for c in x.nodes())), len(known))
+        for c in x.members[0].nodes():
+            if c.tag not in BLOCKS and not facts.holds[id(c)]:
+                continue
+            if c.tag in TEXTUAL and x.kids and x.kids[-1].label == c.label:
+                x.kids[-1].members.append(c)
+                continue
+            x.kids.append(Outline(c.label, [c]))
+            if c.tag not in TEXTUAL:
+                stack.append(x.kids[-1])
+    return top
+
+
+def _kinds(root, known: dict, count: dict[int, int]) -> dict[int, int]:
+    """A number for each node, equal where whole trees of labels are; ``count`` has the nodes of a tree of that kind."""
+    out: dict[int, int] = {}
+    for x in reversed(preorder(root)):
+        own = [out[id(c)] for c in x.nodes()]
+        k = out[id(x)] = known.setdefault((x.label, *own), len(known))
+        if k not in count:
+            count[k] = 1 + sum(count[c] for c in own)
     return out
 
 
-def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+def align(a, b) -> tuple[int, list[tuple]]:
     """Simple tree matching of two trees with equal labels: the size of the largest order-keeping match of nodes under
-    matched parents, and its pairs. Of a table of siblings only some rows are kept, from which the way back is redone."""
+    matched parents, and its pairs, the roots first.
+
+    Trees of one kind match in full; other sizes are worked out from the leaves, for each pair of kinds once. Equal kinds
+    at both ends of two sibling lists are paired at once. Of the table of the rest only some rows are kept, from which the
+    way back is redone. Nothing recurses, however deep the trees.
+    """
     known: dict = {}
-    kinds = _kinds(a, known) | _kinds(b, known)
+    count: dict[int, int] = {}
+    kinds = _kinds(a, known, count) | _kinds(b, known, count)
     sizes: dict[tuple[int, int], int] = {}
-    pairs: list[tuple[Node, Node]] = []
 
-    def row(x: Node, ys: list[Node], before: list[int]) -> list[int]:
+    def size(x, y) -> int:
+        i, j = kinds[id(x)], kinds[id(y)]
+        return 0 if x.label != y.label else count[i] if i == j else sizes[i, j]
+
+    def ends(xs: list, ys: list) -> tuple[int, int]:
+        """How many siblings of equal kinds lead both lists, and how many end them."""
+        most = min(len(xs), len(ys))
+        head = next((i for i in range(most) if kinds[id(xs[i])] != kinds[id(ys[i])]), most)
+        most -= head
+        tail = next((i for i in range(most) if kinds[id(xs[-1 - i])] != kinds[id(ys[-1 - i])]), most)
+        return head, tail
+
+    def row(x, ys: list, before: list[int]) -> list[int]:
         out = [0]
         for j, y in enumerate(ys, 1):
             own = size(x, y)
             out.append(max(before[j], out[-1], before[j - 1] + own if own else 0))
         return out
 
-    def size(x: Node, y: Node) -> int:
+    def middle(x, y) -> tuple[list, list, int, int]:
+        xs, ys = x.nodes(), y.nodes()
+        head, tail = ends(xs, ys)
+        return xs[head : len(xs) - tail], ys[head : len(ys) - tail], head, tail
+
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
         key = kinds[id(x)], kinds[id(y)]
-        own = sizes.get(key)
-        if own is None:
-            own = 0
-            if x.label == y.label:
-                ys = y.nodes()
-                last = [0] * (len(ys) + 1)
-                for c in x.nodes():
-                    last = row(c, ys, last)
-                own = 1 + last[-1]
-            if len(sizes) >= SIZES:
-                sizes.clear()
-            sizes[key] = own
-        return own
-
-    def walk(x: Node, y: Node) -> int:
+        if key in sizes or key[0] == key[1]:
+            stack.pop()
+            continue
+        xs, ys, head, tail = middle(x, y)
+        ones, others = {kinds[id(c)]: c for c in xs}, {kinds[id(c)]: c for c in ys}
+        todo = [(c, d) for i, c in ones.items() for j, d in others.items() if i != j and c.label == d.label and (i, j) not in sizes]
+        if todo:
+            stack.extend(todo)
+            continue
+        last = [0] * (len(ys) + 1)
+        for c in xs:
+            last = row(c, ys, last)
+        same = x.nodes()[:head] + x.nodes()[len(x.nodes()) - tail :]
+        sizes[key] = 1 + last[-1] + sum(count[kinds[id(c)]] for c in same)
+        stack.pop()
+
+    pairs: list[tuple] = []
+    stack = [(a, b)]
+    while stack:
+        x, y = stack.pop()
         pairs.append((x, y))
-        xs, ys = x.nodes(), y.nodes()
+        xs, ys, head, tail = middle(x, y)
+        stack.extend(zip(x.nodes()[:head], y.nodes()[:head], strict=True))
+        if tail:
+            stack.extend(zip(x.nodes()[-tail:], y.nodes()[-tail:], strict=True))
         step = math.isqrt(len(xs)) + 1
         last = [0] * (len(ys) + 1)
         kept, rows, low = [last], [last], -1
@@ -209,12 +298,10 @@ def align(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
                     rows.append(row(c, ys, rows[-1]))
             now, before, own = rows[i - low * step], rows[i - low * step - 1], size(xs[i - 1], ys[j - 1])
             if own and now[j] == before[j - 1] + own:
-                walk(xs[i - 1], ys[j - 1])
+                stack.append((xs[i - 1], ys[j - 1]))
                 i, j = i - 1, j - 1
             elif now[j] == before[j]:
                 i -= 1
             else:
                 j -= 1
-        return 1 + last[-1]
-
-    return walk(a, b), pairs
+    return len(pairs), pairs

@@ -1,13 +1,20 @@
 """Main text of pages by wrapper induction.
 
-A bounded sample of each host's pages is aligned by simple tree matching. Nodes that nearly all share with the same text
-are template; the nodes under which pages differ are slots; slots that are set apart by tag, names or link share hold
-menus, notices, adverts and the like, the others content. The wrapper, a few nodes as JSON, is joined to all pages of
-its host and matched from the root; its content slots give the text. Where a host has too few pages, or a page does not
-fit its wrapper, the same rules are applied to the page by itself.
-
-Defined cases: null and empty pages have an empty text; a null url belongs to the host ""; repeated rows give equal
-rows; other columns are ignored, whatever their names; an empty table gives an empty result. Texts are never cut.
+Pages of a host with the same upper tags are a group. A bounded sample of a group's different pages is aligned by simple
+tree matching; what nearly all of them share is the skeleton, with lists of any length as one node. Every page of the
+group is then aligned with the skeleton, and the texts of its nodes are counted over all different pages: a text that
+most pages have at a node is template, whatever the node is called; nodes whose text varies are slots. The content is
+where the varying text outside links has its mass: from the root the skeleton is descended to the node, or the nodes,
+that hold it. Small blocks in it that every page has in one form are furniture, and slots of links are menus.
+
+Tags such as nav, footer or form, and the usual names of classes, only break ties: they keep a part out of the search
+where other parts remain, and drop small parts inside the content. The wrapper, a flat list as JSON, is joined to all
+pages of its host and aligned with each; its content slots give the text. Where a group has one page only, or a page
+lacks the slots, tags and names alone decide.
+
+Defined cases: null and empty pages have an empty text; a null url belongs to the host ""; null ids stay null; repeated
+rows give equal rows and count once; other columns are ignored, whatever their names; an empty table gives an empty
+result. Texts are never cut, and pages may be as deep and as wide as they are.
 """
 
 from __future__ import annotations
@@ -15,22 +22,28 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, cut
-from .dom import BLOCKS, Node, align, apart, blocks, links_share, parse
+from .bounded import BROADCAST_BYTES
+from .dom import TEXTUAL, Facts, Node, Outline, align, apart, blocks, outline, parse, preorder
 
-#: Pages of a host that its wrapper is induced from, how many there must be for constant nodes to be template, and the
-#: share of them that must have a node of the wrapper.
-SAMPLE, LEAST, SHARED = 8, 4, 0.75
+#: Different pages of a group that its skeleton is induced from, and the share of pages that make a node part of the
+#: skeleton and a text template.
+SAMPLE, SHARED = 8, 0.75
 #: Slots with a greater share of their text in links are menus.
 LINKS = 0.5
-#: Characters of wrappers that are broadcast; beyond that they are joined by a shuffle.
-BROADCAST_CHARS = 16_000_000
+#: The search descends to a part that holds all but the first share of the varying text, or half of it where only its
+#: form varies; a piece of furniture holds at most the second, and all together the first.
+MAJOR, MINOR = 0.15, 0.05
+#: Levels of tags that pages of a group share.
+LEVELS = 3
 MAIN = ("article", "main")
 
 
@@ -38,106 +51,147 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def _text(node: Node) -> str:
-    return "\n".join(blocks(node))
+class Page:
+    """A parsed page with its facts and outline."""
 
+    def __init__(self, source: str):
+        self.root = parse(source)
+        self.facts = Facts(self.root)
+        self.outline = outline(self.root, self.facts)
 
-def _shape(node: Node, depth: int) -> tuple:
-    """The labels of a tree's upper levels."""
-    return (node.label, *(_shape(c, depth - 1) for c in node.nodes())) if depth else ()
+    def shape(self) -> str:
+        """A hash of the tags of the upper levels, repeats as one."""
+        level, out = [self.outline], []
+        for _ in range(LEVELS):
+            below = []
+            for x in level:
+                tags = [k.label.split(".", 1)[0] for k in x.kids]
+                out.append([t for i, t in enumerate(tags) if not i or t != tags[i - 1]])
+                below += x.kids
+            level = below
+        return xxhash.xxh64_hexdigest(repr(out))
 
+    def matched(self, skeleton: Outline, places: dict[int, int]) -> dict[int, Outline]:
+        """The outline's nodes by the number of the skeleton's node that they are aligned with."""
+        return {places[id(a)]: b for a, b in align(skeleton, self.outline)[1]}
 
-def induce(pages: list[str]) -> dict | None:
-    """The wrapper of a host's pages, or nothing where they are too few."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    if len(trees) < 2:
-        return None
-    shapes = [_shape(t, 4) for t in trees]
-    usual = max(range(len(trees)), key=lambda i: (shapes.count(shapes[i]), -i))
-    first = trees[usual]
-    partners: dict[int, list[Node]] = {}
-    for i, other in enumerate(trees):
-        if i != usual:
-            for a, b in align(first, other)[1]:
-                partners.setdefault(id(a), []).append(b)
-    most = math.ceil(SHARED * (len(trees) - 1))
-
-    def constant(node: Node) -> bool:
-        own = partners.get(id(node), [])
-        if len(trees) < LEAST or len(own) < most:
-            return False
-        text = _text(node)
-        return bool(text) and all(_text(x) == text for x in own)
-
-    def constants(node: Node) -> list[list[str]]:
-        out = []
-        for c in node.nodes():
-            if c.tag in BLOCKS and constant(c):
-                out.append([c.label, _text(c)])
-            else:
-                out += constants(c)
-        return out
 
-    def describe(node: Node) -> dict:
-        out = {"l": node.label}
-        group = [node, *partners.get(id(node), [])]
-        if apart(node) or constant(node):
-            return out | {"r": "drop"}
-        shared = [c for c in node.nodes() if len(partners.get(id(c), [])) >= most and c.tag in BLOCKS]
-        if node.tag not in MAIN and any(c.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") for c in shared):
-            return out | {"r": "inner", "c": [describe(c) for c in node.nodes() if c in shared]}
-        if sum(links_share(x) for x in group) / len(group) > LINKS:
-            return out | {"r": "drop"}
-        return out | {"r": "slot", "k": constants(node)}
-
-    return describe(first)
-
-
-def _rooted(wrapper: dict) -> Node:
-    node = Node(*wrapper["l"].split(".", 1))
-    node.children = [_rooted(c) for c in wrapper.get("c", [])]
-    return node
-
-
-def _slots(node: Node, wrapper: dict, page: Node) -> list[tuple[Node, dict]] | None:
-    """The page's content nodes in order with their slots; nothing where the page does not fit."""
-    if wrapper["r"] == "drop":
-        return []
-    if wrapper["r"] == "slot":
-        return [(page, wrapper)]
-    found: dict[int, tuple[Node, dict]] = {}
-    for (child, own), (_, theirs) in _matched(node, wrapper, page):
-        found[id(theirs)] = (child, own)
-    if len(found) * 2 < len(wrapper["c"]):
+def induce(pages: list[Page]) -> list[list] | None:
+    """The skeleton of at least two pages: [label, number of the parent] of each node, parents first."""
+    if len(pages) < 2:
         return None
-    out: list[tuple[Node, dict]] = []
-    for c in page.nodes():
-        if id(c) in found:
-            inner = _slots(*found[id(c)], c)
-            if inner is None:
-                return None
-            out += inner
-        elif not apart(c) and c.tag in BLOCKS:
-            out.append((c, {"r": "slot", "k": []}))
+    first = sorted(pages, key=lambda p: len(preorder(p.outline)))[len(pages) // 2]
+    times: Counter[int] = Counter()
+    for other in pages:
+        if other is not first:
+            times.update(id(a) for a, _ in align(first.outline, other.outline)[1])
+    most = math.ceil(SHARED * (len(pages) - 1))
+    out, number = [], {}
+    stack: list[tuple[Outline, int]] = [(first.outline, -1)]
+    while stack:
+        x, up = stack.pop()
+        if up >= 0 and times[id(x)] < most:
+            continue
+        number[id(x)] = len(out)
+        out.append([x.label, up])
+        stack.extend((k, number[id(x)]) for k in reversed(x.kids))
     return out
 
 
-def _matched(node: Node, wrapper: dict, page: Node):
-    """Children of the wrapper's node with the page's children that they are aligned with."""
-    shallow = Node(page.tag, page.mark)
-    of = {}
-    for c in page.nodes():
-        twin = Node(c.tag, c.mark)
-        of[id(twin)] = c
-        shallow.children.append(twin)
-    flat = Node(node.tag, node.mark)
-    own = {}
-    for child, w in zip(node.children, wrapper["c"], strict=True):
-        twin = Node(child.tag, child.mark)
-        own[id(twin)] = (child, w)
-        flat.children.append(twin)
-    for a, b in align(flat, shallow)[1][1:]:
-        yield own[id(a)], (None, of[id(b)])
+def rooted(skeleton: list[list]) -> tuple[Outline, dict[int, int]]:
+    """The skeleton as a tree, and the numbers of its nodes."""
+    nodes = [Outline(label) for label, _ in skeleton]
+    for n, (_, up) in zip(nodes, skeleton, strict=True):
+        if up >= 0:
+            nodes[up].kids.append(n)
+    return nodes[0], {id(n): i for i, n in enumerate(nodes)}
+
+
+def observe(page: Page, skeleton: Outline, places: dict[int, int]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(node, own, text, length, linked, form) for each text at a node of the skeleton (own 1; lists give each of their
+    members), and below it for each block of text, wherever it stands, and each that is aligned with nothing (own 0)."""
+    facts, at = page.facts, {id(x): i for i, x in page.matched(skeleton, places).items()}
+    stack = [(page.outline, -1)]
+    while stack:
+        x, above = stack.pop()
+        own = at.get(id(x), -1)
+        for m in {facts.hash[id(m)]: m for m in x.members}.values():
+            k = id(m)
+            seen = facts.hash[k], facts.length[k], facts.linked[k], facts.form[k]
+            if seen[1] and own >= 0:
+                yield own, 1, *seen
+            if seen[1] and above >= 0 and (own < 0 or m.tag in TEXTUAL):
+                yield above, 0, *seen
+        stack.extend((k, own if own >= 0 else above) for k in x.kids)
+
+
+def decide(skeleton: list[list], seen: pd.DataFrame) -> dict:
+    """The wrapper: the skeleton, its content slots, the nodes left out in them, and template texts by node.
+
+    ``seen`` has (node, pages, length, linked, form, texts): on how many different pages the node has text, the mean of its
+    length and of what lies in links, the share of pages with its usual form, and the template texts with their lengths.
+    """
+    n = len(skeleton)
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for i, (_, up) in enumerate(skeleton):
+        if up >= 0:
+            kids[up].append(i)
+    length, linked, form, gone = [0.0] * n, [0.0] * n, [0.0] * n, defaultdict(dict)
+    for r in seen.itertuples():
+        length[r.node], linked[r.node], form[r.node] = r.length, r.linked, r.form
+        gone[r.node] = {int(t): float(c) for t, c in r.texts}
+    tags = [label.split(".", 1)[0] for label, _ in skeleton]
+    out_of_search = [apart(Node(*label.split(".", 1))) if label[0] != "#" else False for label, _ in skeleton]
+
+    def worth(count_apart: bool) -> list[float]:
+        """Varying text of each node outside links, menus and, if asked for, parts set apart by tag or name."""
+        out = [0.0] * n
+        for i in reversed(range(n)):
+            below = sum(max(length[k] - linked[k], 0.0) for k in kids[i])
+            template = sum(c for t, c in gone[i].items() if not any(t in gone[k] for k in kids[i]))
+            rest = max(length[i] - linked[i] - below - template, 0.0)
+            menu = linked[i] > LINKS * length[i]
+            out[i] = 0.0 if menu or (out_of_search[i] and not count_apart) else rest + sum(out[k] for k in kids[i])
+            if any(c >= 0.9 * length[i] for c in gone[i].values()):
+                out[i] = 0.0
+        return out
+
+    value = worth(False)
+    if value[0] <= 0:
+        value = worth(True)
+    slots: list[int] = []
+    heads: list[int] = []
+    stack = [0]
+    while stack:
+        i = stack.pop()
+        inner = [k for k in kids[i] if tags[k] not in TEXTUAL and value[k] > 0]
+        main = [k for k in inner if tags[k] in MAIN and value[k] >= MAJOR * value[i]]
+        titles = [k for k in kids[i] if tags[k] in ("h1", "h2") and value[k] > 0]
+        best = max(inner, key=lambda k: value[k], default=-1)
+        others = [k for k in inner if k != best]
+        plain = value[i] - sum(value[k] for k in inner) - sum(value[k] for k in titles)
+        alone_in_form = best >= 0 and form[best] < SHARED and all(form[k] >= SHARED for k in others)
+        if tags[i] not in MAIN and main:
+            heads += titles
+            stack.extend(reversed(main))
+        elif (
+            tags[i] not in MAIN and best >= 0 and plain <= MINOR * value[i]
+            and (value[best] >= (1 - MAJOR) * value[i] or alone_in_form and 2 * value[best] >= value[i])
+        ):
+            heads += titles
+            stack.append(best)
+        else:
+            slots.append(i)
+    leave, inside = [], set(slots)
+    for i in range(n):
+        if skeleton[i][1] in inside:
+            inside.add(i)
+    for i in slots:
+        fixed = [k for k in kids[i] if tags[k] not in TEXTUAL and form[k] >= SHARED and 0 < value[k] <= MINOR * value[i]]
+        if sum(value[k] for k in fixed) <= MAJOR * value[i]:
+            leave += fixed
+        leave += [k for k in kids[i] if length[k] and linked[k] > LINKS * length[k]]
+    return {"n": skeleton, "slots": sorted({*slots, *heads}), "leave": leave, "gone": sorted({str(t) for i in inside for t in gone[i]})}
 
 
 def _heads_article(node: Node) -> bool:
@@ -169,65 +223,145 @@ def alone(page: Node) -> list[Node]:
     return out or [page]
 
 
-def extract(source: str | None, wrapper: tuple[Node, dict] | None) -> str:
-    """The main text of a page under its host's wrapper."""
+class Wrapper:
+    """A wrapper that is ready to be aligned with pages."""
+
+    def __init__(self, read: dict):
+        self.tree, self.places = rooted(read["n"])
+        self.slots, self.leave, self.gone = read["slots"], read["leave"], {int(t) for t in read["gone"]}
+
+
+def extract(source: str | None, wrapper: Wrapper | dict[str, Wrapper] | None) -> str:
+    """The main text of a page under the wrapper of its group (one, or each by its shape)."""
     if not source:
         return ""
-    page = parse(source)
-    slots = _slots(*wrapper, page) if wrapper else None
-    if slots:
-        inside = [(n, w) for n, w in slots if n.tag in MAIN]
-        slots = inside or slots
-    if not slots:
-        slots = [(n, {"k": []}) for n in alone(page)]
-    out: list[str] = []
-    for node, w in slots:
-        fixed = {tuple(k) for k in w.get("k", [])}
-
-        def drop(n: Node, fixed=fixed) -> bool:
-            return apart(n) and not _heads_article(n) or bool(fixed) and n.tag in BLOCKS and (n.label, _text(n)) in fixed
+    page = Page(source)
+    if isinstance(wrapper, dict):
+        wrapper = wrapper.get(page.shape())
+    nodes, left, gone = [], set(), set()
+    if wrapper:
+        found = page.matched(wrapper.tree, wrapper.places)
+        nodes = [m for i in wrapper.slots if i in found for m in found[i].members]
+        left = {id(m) for i in wrapper.leave if i in found for m in found[i].members}
+        gone = wrapper.gone
+    if not any(page.facts.length[id(n)] for n in nodes):
+        nodes, left, gone = alone(page.root), set(), set()
+
+    def drop(n: Node) -> bool:
+        return id(n) in left or apart(n) and not _heads_article(n) or bool(gone) and page.facts.hash[id(n)] in gone and page.facts.length[id(n)] > 0
 
+    out: list[str] = []
+    for node in nodes:
         out += blocks(node, drop)
     return "\n".join(out)
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5(F.col("html").cast("binary")))
+
+
+def skeletons(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(host, shape, skeleton) of the groups of pages (url, html) with at least two different pages, from at most
+    ``sample`` of them, chosen by their digest. Copies count once."""
+
+    def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"host": frame["host"], "digest": frame["digest"], "shape": [Page(h).shape() for h in frame["html"]]})
+
+    known = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), _digest().alias("digest"), "html")
+    shaped = known.mapInPandas(shapes, "host string, digest binary, shape string").distinct()
+    order = Window.partitionBy("host", "shape").orderBy("digest")
+    chosen = cut(shaped.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("host", "shape", "digest"), "chosen")
+    few = F.broadcast(chosen) if chosen.count() * 128 <= BROADCAST_BYTES else chosen
+    rows = known.join(few, ["host", "digest"]).groupBy("host", "shape", "digest").agg(F.first("html").alias("html"))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        skeleton = induce([Page(h) for h in frame.sort_values("digest")["html"]])
+        return pd.DataFrame({"host": frame["host"].iloc[:1], "shape": frame["shape"].iloc[:1], "skeleton": [json.dumps(skeleton)]})
+
+    return rows.groupBy("host", "shape").applyInPandas(one, "host string, shape string, skeleton string").where("skeleton <> 'null'")
+
+
+def _with_host(pages: DataFrame, by_group: DataFrame, value: str) -> DataFrame:
+    """Pages (with ``url``) with ``known``: the values of their host's shapes as JSON, null where it has none."""
+    hosts = by_group.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("shape", value)))).alias("known"))
+    hosts = cut(hosts, "hosts")
+    small = (hosts.agg(F.sum(F.octet_length("known") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    return pages.withColumn("host", host_of(F.col("url"))).join(F.broadcast(hosts) if small else hosts, "host", "left")
+
+
 def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper) for each host of pages (page_id, url, html), induced from at most ``sample`` of its pages, chosen
-    by the hash of url and id."""
-    light = pages.where("html is not null").select("page_id", "url", host_of(F.col("url")).alias("host"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("url", "page_id"), "page_id")
-    chosen = cut(light.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("page_id", "host"), "chosen")
-    ids = F.broadcast(chosen) if chosen.count() <= 1_000_000 else chosen
-    rows = pages.select("page_id", "html").join(ids, "page_id").where("html is not null")
+    """(host, shape, wrapper) of every group; texts are counted over all of its different pages."""
+    bones = cut(skeletons(pages, sample), "skeletons")
+    rows = _with_host(pages.where("html <> ''").select("url", "html", _digest().alias("digest")), bones, "skeleton").where("known is not null")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready = _Ready(lambda read: {shape: rooted(json.loads(own)) for shape, own in read.items()})
+        for frame in frames:
+            out = []
+            for host, known, digest, source in zip(frame["host"], frame["known"], frame["digest"], frame["html"], strict=True):
+                page = Page(source)
+                shape = page.shape()
+                if shape in ready(known):
+                    out += [(host, shape, digest, *(_signed(v) for v in seen)) for seen in observe(page, *ready(known)[shape])]
+            yield pd.DataFrame(out, columns=["host", "shape", "digest", "node", "own", "text", "length", "linked", "form"])
+
+    names = "host string, shape string, digest binary, node bigint, own bigint, text bigint, length bigint, linked bigint, form bigint"
+    seen = cut(rows.select("host", "known", "digest", "html").mapInPandas(run, names).distinct(), "seen")
+    key = ["host", "shape", "node"]
+    pages_of = seen.where("own = 1").groupBy(*key, "digest").agg(F.sum("length").alias("length"), F.sum("linked").alias("linked"), F.min("form").alias("form"))
+    usual = pages_of.groupBy(*key, "form").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.sum("linked").alias("linked"))
+    n = F.sum("n")
+    means = usual.groupBy(*key).agg(n.alias("pages"), (F.sum("length") / n).alias("length"), (F.sum("linked") / n).alias("linked"), (F.max("n") / n).alias("form"))
+    texts = seen.groupBy(*key, "text").agg(F.count_distinct("digest").alias("n"), F.max("length").alias("chars")).where("n > 1")
+    same = texts.join(means.select(*key, "pages", F.col("length").alias("mean")), key).where((F.col("n") >= SHARED * F.col("pages")))
+    same = same.groupBy(*key).agg(F.collect_list(F.struct("text", "chars")).alias("texts"))
+    facts = means.join(same, key, "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<struct<text:bigint,chars:bigint>>")))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        best = frame.sort_values(["page_id", "html"])["html"].drop_duplicates().tolist()[: 2 * sample]
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(induce(best))]})
+        skeleton = json.loads(frame["skeleton"].iloc[0])
+        whole = frame.loc[frame["node"] == 0, "length"].max()
+        # what is more than half of a page is no template: most pages of the group are copies of one article
+        frame["texts"] = [[(r["text"] & MASK, r["chars"]) for r in t if r["chars"] <= whole / 2] for t in frame["texts"]]
+        return pd.DataFrame({"host": frame["host"].iloc[:1], "shape": frame["shape"].iloc[:1], "wrapper": [json.dumps(decide(skeleton, frame))]})
+
+    return facts.join(bones, ["host", "shape"]).groupBy("host", "shape").applyInPandas(one, "host string, shape string, wrapper string")
+
+
+MASK = (1 << 64) - 1
+
+
+def _signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+class _Ready:
+    """What is made of a JSON text, kept for the texts seen last."""
+
+    def __init__(self, make):
+        self.make, self.known = make, {}
 
-    return rows.groupBy("host").applyInPandas(one, "host string, wrapper string")
+    def __call__(self, text):
+        if not isinstance(text, str):
+            return {}
+        if text not in self.known:
+            if len(self.known) > 200:
+                self.known.clear()
+            self.known[text] = self.make(json.loads(text))
+        return self.known[text]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     bound_batches(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html")
-    induced = cut(wrappers(pages), "wrappers")
-    small = induced.agg(F.coalesce(F.sum(F.length("wrapper") + 64), F.lit(0))).first()[0] <= BROADCAST_CHARS
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(F.broadcast(induced) if small else induced, "host", "left")
+    pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    joined = _with_host(pages, cut(wrappers(pages), "wrappers"), "wrapper")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[Node, dict] | None] = {}
+        ready = _Ready(lambda read: {shape: Wrapper(json.loads(own)) for shape, own in read.items()})
         for frame in frames:
-            if len(known) > 1000:
-                known.clear()
-            texts = []
-            for source, w in zip(frame["html"], frame["wrapper"], strict=True):
-                if not isinstance(w, str):
-                    w = "null"
-                if w not in known:
-                    read = json.loads(w)
-                    known[w] = (_rooted(read), read) if read else None
-                texts.append(extract(source, known[w]))
+            texts = [extract(source, ready(known)) for source, known in zip(frame["html"], frame["known"], strict=True)]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper").mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
+    found = joined.select("page_id", "url", "html", "known").mapInPandas(run, "page_id string, url string, text string, n_chars bigint")
+    return found.withColumn("page_id", F.col("page_id").cast("long"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import random
 
 import pytest
 
@@ -80,6 +81,64 @@ def test_tree_matching():
     assert size == len(pairs) == 4  # div, p, ul and li, or div, p and p with ul and li
 
 
+def test_tree_matching_against_brute_force():
+    def brute(x, y):
+        if x.label != y.label:
+            return 0
+        xs, ys = x.nodes(), y.nodes()
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, c in enumerate(xs, 1):
+            for j, d in enumerate(ys, 1):
+                own = brute(c, d)
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + own if own else 0)
+        return 1 + best[-1][-1]
+
+    r = random.Random(1)
+
+    def tree(depth):
+        node = dom.Node(r.choice("ab") if depth < 4 else "a")
+        node.children = [tree(depth - 1) for _ in range(r.randrange(5))] if depth else []
+        return node
+
+    for _ in range(200):
+        a, b = tree(4), tree(4)
+        size, pairs = dom.align(a, b)
+        assert size == brute(a, b) == len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
+NEUTRAL = """<html><body><div class="a1"><div>Home {n}</div><div>World of {m}</div></div><div class="b2">Buy {m} now, only {n} left, it is the very best of all.</div>
+<div class="c3"><div class="k7">{text}<div class="q9">Quick {n} deals for you</div></div></div><div class="d4"><div>Written by robot {n}</div><div>All rights kept</div></div></body></html>"""
+
+
+def test_neutral_names_are_told_by_variation(spark, prose):
+    rows, want = [], {}
+    for i in range(12):
+        paragraphs = [prose(100 * i + k, 60) for k in range(2 + i % 5)]
+        text = "".join(f"<p>{p}</p>" + ("<h3>Part</h3>" if k % 2 else "") for k, p in enumerate(paragraphs)) + "<p>Read more in our app</p>"
+        rows.append((i, f"http://neutral/{i}", NEUTRAL.format(n=i, m=prose(i, 2), text=text)))
+        want[i] = [line for k, p in enumerate(paragraphs) for line in ([p, "Part"] if k % 2 else [p])]
+    rows += [(100 + i, u, h + " ") for i, (_, u, h) in enumerate(rows[:1] * 30)] + [(50, *rows[3][1:])] * 40
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {x.page_id: x.text.split("\n") for x in html_extract.main_text(frame).collect()}
+    for i in range(12):
+        lines = [x for x in got[i] if x != "Part"]
+        assert lines == [x for x in want[i] if x != "Part"], i
+    assert got[100] == got[0] and got[50] == got[3]
+    alone = html_extract.extract(rows[0][2], None)
+    assert "Buy" in alone and "Written by" in alone  # by tags and names only, the rest of the page stays
+
+
+def test_deep_and_wide_pages(spark):
+    deep = ["<div>" * 5000 + f"<p>core {i} of the page</p>" + "</div>" * 5000 for i in range(5)]
+    wide = ["<article>" + "".join(f"<div><p>part {k} of {i}</p></div>" for k in range(600)) + "</article>" for i in range(3)]
+    rows = [(i, "http://deep/x", h) for i, h in enumerate(deep)] + [(10 + i, "http://wide/x", h) for i, h in enumerate(wide)] + [(2**53 + 1, "http://big", "<p>big</p>"), (None, "http://big", "<p>none</p>")]
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'a' AS host", "'b' AS digest", "1 AS shape", "2 AS known").coalesce(1)
+    got = {x.page_id: x.text for x in html_extract.main_text(frame).collect()}
+    assert all(got[i] == f"core {i} of the page" for i in range(5))
+    assert all(got[10 + i].count("\n") == 599 for i in range(3))
+    assert got[2**53 + 1] == "big" and got[None] == "none"
+
+
 def test_tree_matching_of_long_lists():
     middle = "<p>x <b>y</b></p>" * 150 + "<h2>z</h2>" + "<p>x</p>" * 100
     a = dom.parse(f"<div><ul></ul>{middle}<table></table></div>").nodes()[0]
