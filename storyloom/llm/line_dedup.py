@@ -1,12 +1,14 @@
 """Near-duplicate lines by a segment-partition edit join, in column expressions only.
 
-Within k edits of each other, two lines share one of k + 1 segments unchanged, shifted by no more than the edits before
-and after it allow. Each line's segments are indexed under a hash of their text, number and the line's length; each line
-probes the substrings of its own at those shifts, for its own length and those up to k shorter. Pairs that meet in a
-bucket are held against a bound on their character pairs, and verified with a banded bit-parallel edit distance.
+The edits allowed between two lines grow with the shorter one, by :data:`BANDS`: none below 8 characters, 1 from 8, 2 from
+24 and 3 from 72 on. Within k edits, two lines share one of the k + 1 segments of the shorter unchanged, shifted by no more
+than the edits before and after it allow. Each line's segments are indexed under a hash of their text, number and the
+line's length; each line probes the substrings of its own at those shifts, for its own length and the shorter ones that it
+may link with. Where lines meet, what is left of them without the shared segment is split and probed in the same way, and
+once more: a common beginning does not bring lines together unless they share most of the rest. Pairs that meet in the
+end are held against a bound on their character pairs, and verified with a banded bit-parallel edit distance.
 
-Equal lines are one class, so a common line is searched once. Lines are trimmed; blank lines belong to no class. Lines
-shorter than ``least`` characters are compared exactly only: there a few edits make another line.
+Equal lines are one class, so a common line is searched once. Lines are trimmed; blank lines belong to no class.
 
 Defined cases: null and empty texts have no lines; repeated rows of a document give equal rows, the first of equal
 lines being the one of least (doc_id, line_no); a null doc_id sorts first; other columns are ignored, whatever their
@@ -22,11 +24,22 @@ from ..operators.graph import connected_components
 from ..session import cut, forget
 from .bounded import BROADCAST_BYTES, KEY_BYTES, bounded_ids
 
-EDITS, LEAST = 2, 24
+#: (characters, edits): lines of at least so many characters may differ by so many edits.
+BANDS = ((8, 1), (24, 2), (72, 3))
+#: How often lines that meet are split again.
+LEVELS = 2
 #: What lines are trimmed of.
 BLANK = " \t\n\x0b\x0c\r"
 
 
+def edits_of(n: Column, bands=BANDS) -> Column:
+    """The edits allowed for a shorter line of ``n`` characters."""
+    out = F.lit(0)
+    for least, edits in bands:
+        out = F.when(n >= least, F.lit(edits)).otherwise(out)
+    return out
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, key) of the lines that are not blank; line numbers count from 0."""
     parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -34,30 +47,79 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return parts.withColumn("key", F.unhex(F.md5("line")))
 
 
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 1) of a line of length ``n``."""
-    k = edits + 1
-    start = F.floor(n * (i - 1) / k).cast("int")
-    return start + 1, F.floor(n * i / k).cast("int") - start
+def _banded(bands=BANDS) -> list[tuple[int, int, int]]:
+    """(least, edits, below) of each band."""
+    return [(least, edits, bands[k + 1][0] if k + 1 < len(bands) else 2**31 - 1) for k, (least, edits) in enumerate(bands)]
 
 
-def search_rows(line: Column, edits: int = EDITS) -> Column:
-    """The line's index rows (h, seg true) and probe rows (h, seg false)."""
-    n = F.length(line)
+def _places(edits: int, gap: int | None) -> list[tuple[int, int, int]]:
+    """(i, shift, c) of the index rows (no gap) or of the probes of a line longer by ``gap``: segment, shift, and a number
+    that holds both, -i for an index row."""
+    if gap is None:
+        return [(i, 0, -i) for i in range(1, edits + 2)]
+    out = []
+    for i in range(1, edits + 2):
+        low, high = max(-(i - 1), gap - (edits + 1 - i)), min(i - 1, gap + (edits + 1 - i))
+        out += [(i, s, (gap * 16 + i) * 16 + s + 8) for s in range(low, high + 1)]
+    return out
 
-    def one(target: Column, i: int, start: Column, size: Column, seg: bool) -> Column:
-        return F.struct(F.xxhash64(F.substring(line, start, size), F.lit(i), target).alias("h"), F.lit(seg).alias("seg"))
 
-    rows = []
-    for i in range(1, edits + 2):
-        rows.append(one(n, i, *_segment(n, i, edits), True))
-    for gap in range(edits + 1):
-        for i in range(1, edits + 2):
-            start, size = _segment(n - gap, i, edits)
-            low = max(-(i - 1), gap - (edits + 1 - i))
-            high = min(i - 1, gap + (edits + 1 - i))
-            rows += [one(n - gap, i, start + s, size, False) for s in range(low, high + 1)]
-    return F.array(*rows)
+def _table(rows: list[tuple[int, ...]], names: tuple[str, ...]) -> Column:
+    """Rows of numbers as a constant array of structs."""
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in rows])
+
+
+def _part(line: Column, m: Column, k: Column, i: Column, shift: Column) -> Column:
+    """Segment ``i`` of ``k`` of a line of ``m`` characters, taken from ``line`` at a shift."""
+    start = F.floor(m * (i - 1) / k).cast("int")
+    return F.substring(line, start + 1 + shift, F.floor(m * i / k).cast("int") - start)
+
+
+def search_rows(lines: DataFrame, bands=BANDS) -> DataFrame:
+    """(id, h, c): the index rows (c < 0) and probes (c > 0) of lines (id, line)."""
+    names = ("least", "below", "k", "gap", "i", "shift", "c")
+    rows = [(least, below, edits + 1, gap or 0, *place) for least, edits, below in _banded(bands) for gap in (None, *range(edits + 1)) for place in _places(edits, gap)]
+    last = [r for r in rows if r[2] == bands[-1][1] + 1]
+    n = F.length("line")
+    plan = F.when(n >= sum(bands[-1]), _table(last, names)).otherwise(_table(rows, names))
+    each = lines.select("id", "line", n.alias("n")).select("id", "line", "n", F.explode(plan).alias("p")).select("id", "line", "p.*", (F.col("n") - F.col("p.gap")).alias("m"))
+    part = _part(F.col("line"), F.col("m"), F.col("k"), F.col("i"), F.col("shift"))
+    return each.where((F.col("m") >= F.col("least")) & (F.col("m") < F.col("below"))).select("id", F.xxhash64(part, "i", "m").alias("h"), "c")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """The rows (h, id, c, ...) whose bucket holds an index row and another line; of equal rows one."""
+    by = Window.partitionBy("h")
+    wide = rows.withColumn("__lo", F.min("id").over(by)).withColumn("__hi", F.max("id").over(by)).withColumn("__c", F.min("c").over(by))
+    return wide.where("__lo <> __hi and __c < 0").drop("__lo", "__hi", "__c").distinct()
+
+
+def split_again(live: DataFrame, texts: DataFrame, bands=BANDS) -> DataFrame:
+    """Rows (id, n, rest, h, c) of what is left of each line (``rest``) without the part by which it came into its bucket,
+    split and probed in turn within the bucket. ``live`` has (h, id, c) in the first round, and later ``rest`` and ``n``
+    too, n being the length of the shorter line as it was, which sets the edits."""
+    c, seg = F.col("c"), F.col("c") < 0
+    if "rest" in live.columns:
+        rows = live.withColumnRenamed("rest", "line")
+    else:
+        rows = live.join(texts.select("id", "line"), "id").withColumn("n", F.lit(None).cast("int"))
+    rows = rows.select(
+        "h", "id", "line", "n", seg.alias("seg"), F.when(seg, 0).otherwise(F.shiftright("c", 8)).alias("gap"),
+        F.when(seg, -c).otherwise(F.shiftright("c", 4).bitwiseAND(F.lit(15))).alias("i"), F.when(seg, 0).otherwise(c.bitwiseAND(F.lit(15)) - 8).alias("shift"),
+    )
+    rows = rows.withColumn("m", F.length("line") - F.col("gap")).withColumn("n", F.coalesce("n", "m")).withColumn("k", edits_of(F.col("n"), bands) + 1)
+    start = F.floor(F.col("m") * (F.col("i") - 1) / F.col("k")).cast("int")
+    size = F.floor(F.col("m") * F.col("i") / F.col("k")).cast("int") - start
+    at = start + F.col("shift")
+    rest = F.concat(F.substring(F.col("line"), F.lit(1), at), F.substring(F.col("line"), at + size + 1, F.length("line")))
+    plans = [_table(_places(edits, gap), ("i", "shift", "c")) for _, edits, _ in _banded(bands) for gap in (None, *range(edits + 1))]
+    first = F.lit(0)
+    for k, (_, edits) in enumerate(bands):
+        first = F.when(F.col("k") == edits + 1, F.lit(sum(e + 2 for _, e in bands[:k]))).otherwise(first)
+    plan = F.get(F.array(*plans), first + F.when(F.col("seg"), 0).otherwise(F.col("gap") + 1))
+    each = rows.select("h", "id", "n", "gap", "k", rest.alias("rest"), plan.alias("plan")).select("h", "id", "n", "gap", "k", "rest", F.explode("plan").alias("p"))
+    m = F.length("rest") - F.col("gap")
+    return each.select("id", "n", "rest", F.xxhash64("h", _part(F.col("rest"), m, F.col("k"), F.col("p.i"), F.col("p.shift")), "p.i", m).alias("h"), F.col("p.c").alias("c"))
 
 
 def _let(value: Column, use) -> Column:
@@ -78,7 +140,7 @@ def pair_sketch(line: Column) -> Column:
     return _let(F.split(line, ""), walk)
 
 
-def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
+def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """The edit distance of ``a`` and ``b`` where it is at most ``edits``, else a greater number.
 
     ``a`` must not be the shorter one, nor longer by more than ``edits``. A column of the table of distances is kept as
@@ -132,35 +194,43 @@ def _firsts(lines: DataFrame, known: DataFrame) -> DataFrame:
     return joined.where(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no"))).select("key", "line")
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def near_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
     """(doc_id, line_no, n_chars, class_doc, class_line, n_links, kept) of every line that is not blank.
 
-    The class is named by its first line; ``n_links`` counts the other texts within ``edits``; a line is kept if it is
-    the first of its class.
+    The class is named by its first line; ``n_links`` counts the other texts within the edits; a line is kept if it is the
+    first of its class.
     """
+    return _named_lines(docs, bands).drop("key")
+
+
+def _named_lines(docs: DataFrame, bands) -> DataFrame:
     lines = lines_of(docs)
     light = cut(lines.select("doc_id", "line_no", "key", F.length("line").alias("n_chars")), "lines")
     place = F.struct("doc_id", "line_no")
     known = cut(light.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "known")
-    single = _firsts(lines, known).where(F.length("line") >= least)
-    rows = single.select(F.xxhash64("line").alias("id"), search_rows(F.col("line"), edits).alias("rows")).select("id", F.inline_outer("rows"))
-    by = Window.partitionBy("h")
-    met = rows.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).withColumn("any", F.max("seg").over(by))
-    live = cut(met.where("lo <> hi and any").select("h", "id", "seg").distinct(), "live")
+    single = _firsts(lines, known).where(F.length("line") >= bands[0][0])
+    live = cut(met(search_rows(single.select(F.xxhash64("line").alias("id"), "line"), bands)), "live")
     ids = bounded_ids(live.select("id").distinct())
     again = _firsts(lines, known).withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi")
     texts = cut(again.select("id", "key", "line", pair_sketch(F.col("line")).alias("sig")).dropDuplicates(["key"]), "texts")
+    for _ in range(LEVELS):
+        live = cut(met(split_again(live, texts, bands)), "live")
     sketch = texts.select("id", "sig", F.length("line").alias("n"))
-    s, p = live.where("seg").join(sketch, "id").alias("s"), live.where("not seg").join(sketch, "id").alias("p")
-    close = F.bit_count(F.col("s.sig").bitwiseXOR(F.col("p.sig"))) <= 4 * edits
+    ends = live.select("h", "id", (F.col("c") < 0).alias("seg")).distinct().join(sketch, "id")
+    s, p = ends.where("seg").alias("s"), ends.where("not seg").alias("p")
+    close = F.bit_count(F.col("s.sig").bitwiseXOR(F.col("p.sig"))) <= 4 * edits_of(F.least("s.n", "p.n"), bands)
     other = (F.col("s.id") != F.col("p.id")) & ((F.col("s.n") < F.col("p.n")) | (F.col("s.id") < F.col("p.id")))
     pairs = s.join(p, (F.col("s.h") == F.col("p.h")) & other & close).select(F.col("s.id").alias("i"), F.col("p.id").alias("j")).distinct()
     pairs = cut(pairs, "pairs")
     forget(live)
     i, j = texts.select(F.col("id").alias("i"), F.col("key").alias("b"), F.col("line").alias("y")), texts.select(F.col("id").alias("j"), F.col("key").alias("a"), F.col("line").alias("x"))
     longer, shorter = F.when(F.length("x") >= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") >= F.length("y"), F.col("y")).otherwise(F.col("x"))
-    held = pairs.join(i, "i").join(j, "j").where(F.abs(F.length("x") - F.length("y")) <= edits).select("a", "b", longer.alias("x"), shorter.alias("y"))
-    links = cut(held.where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b").distinct(), "links")
+    held = pairs.join(i, "i").join(j, "j").select("a", "b", longer.alias("x"), shorter.alias("y"))
+    near = F.lit(False)
+    for least, edits, below in _banded(bands):
+        fits = (F.length("y") >= least) & (F.length("y") < below) & (F.length("x") - F.length("y") <= edits)
+        near = F.when(fits, banded_distance(F.col("x"), F.col("y"), edits) <= edits).otherwise(near)
+    links = cut(held.where(near).select("a", "b").distinct(), "links")
     return _classes(light, known, links)
 
 
@@ -175,18 +245,21 @@ def _classes(light: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
     state = cut(linked.union(alone), "classes")
     named = light.join(state, "key", "left").withColumn("c", F.coalesce("first", place))
     return named.select(
-        "doc_id", "line_no", "n_chars", F.col("c.doc_id").alias("class_doc"), F.col("c.line_no").alias("class_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "key", "doc_id", "line_no", "n_chars", F.col("c.doc_id").alias("class_doc"), F.col("c.line_no").alias("class_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("line_no") == F.col("c.line_no"))).alias("kept"),
     )
 
 
-def without_near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(doc_id, text): each document's text with its blank lines and the first line of each class."""
-    kept = near_lines(docs, edits, least).where("kept").select("doc_id", "line_no").distinct()
-    whole = docs.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    stays = whole.join(kept.withColumn("stay", F.lit(True)), ["doc_id", "line_no"], "left")
-    blank = F.btrim("line", F.lit(BLANK)) == ""
-    good = stays.where(F.col("stay") | blank)
+def without_near_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
+    """(doc_id, text): each document's text with its blank lines and the first line of each class. Rows that repeat both
+    id and text come back once, those with other texts each; a text of which no line is left is empty, null stays null."""
+    rows = docs.select("doc_id", "text").distinct().withColumn("whole", F.unhex(F.md5("text")))
+    kept = _named_lines(docs, bands).where("kept").select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("key").alias("k")).distinct()
+    lines = rows.select("doc_id", "whole", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("bare", F.btrim("line", F.lit(BLANK)))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")) & (F.unhex(F.md5("bare")) == F.col("k"))
+    good = lines.join(kept, same, "left").where((F.col("bare") == "") | F.col("k").isNotNull())
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
-    left = good.groupBy("doc_id").agg(text.alias("text"))
-    return docs.select("doc_id").distinct().join(left, "doc_id", "left")
+    left = good.groupBy(F.col("doc_id").alias("d"), F.col("whole").alias("w")).agg(text.alias("left"))
+    named = rows.join(left, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("whole") == F.col("w")), "left")
+    return named.select("doc_id", F.when(F.col("text").isNotNull(), F.coalesce("left", F.lit(""))).alias("text"))

@@ -46,8 +46,8 @@ def test_banded_distance(spark):
 
 def test_classes_match_brute_force(spark):
     r = random.Random(9)
-    bases = ["".join(r.choice("abcd efg") for _ in range(r.randrange(24, 60))).strip() or "x" * 30 for _ in range(15)]
-    docs = [(i, "\n".join(mutate(r, r.choice(bases), r.randrange(0, 4)) for _ in range(5)) + "\n\n  short line ") for i in range(25)]
+    bases = ["".join(r.choice("abcd efg") for _ in range(r.choice([9, 22, 24, 25, 50, 71, 72, 74, 120]))).strip() or "x" * 30 for _ in range(25)]
+    docs = [(i, "\n".join(mutate(r, r.choice(bases), r.randrange(0, 5)) for _ in range(8)) + "\n\n  short line ") for i in range(25)]
     docs += [(100, None), (101, ""), (102, "short line\n short line\t\n" + bases[0])]
     place, order = {}, []
     for i, t in docs:
@@ -64,10 +64,11 @@ def test_classes_match_brute_force(spark):
         return x
 
     links = dict.fromkeys(place, 0)
-    long = [x for x in place if len(x) >= line_dedup.LEAST]
-    for n, a in enumerate(long):
-        for b in long[:n]:
-            if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+    every = list(place)
+    for n, a in enumerate(every):
+        for b in every[:n]:
+            allowed = max([k for least, k in line_dedup.BANDS if min(len(a), len(b)) >= least], default=0)
+            if abs(len(a) - len(b)) <= allowed and edits(a, b) <= allowed:
                 links[a] += 1
                 links[b] += 1
                 x, y = root(place[a]), root(place[b])
@@ -83,3 +84,27 @@ def test_empty_and_repeated(spark):
     line = "a line that is long enough to be compared"
     got = line_dedup.near_lines(spark.createDataFrame([(1, line), (1, line), (2, line + "!")], SCHEMA)).collect()
     assert sorted((x.doc_id, x.class_doc, x.n_links, x.kept) for x in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_lines_with_a_common_beginning_meet_only_where_the_rest_is_alike(spark):
+    r = random.Random(3)
+    begin = "a beginning that very many lines have in common, "
+    lines = [begin + "".join(r.choice("abcdefghijklmnop") for _ in range(70)) for _ in range(400)]
+    lines += [lines[7][:-2] + "zz", lines[9][:60] + lines[9][61:]]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], SCHEMA)
+    got = {x.doc_id: (x.n_links, x.class_doc) for x in line_dedup.near_lines(docs).collect()}
+    assert {i: v for i, v in got.items() if v[0]} == {7: (1, 7), 400: (1, 7), 9: (1, 9), 401: (1, 9)}
+    texts = docs.select(F.xxhash64("text").alias("id"), F.col("text").alias("line"))
+    live = line_dedup.met(line_dedup.search_rows(texts))
+    most = lambda df: df.groupBy("h").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0]
+    assert most(live) > 300
+    for _ in range(2):
+        live = line_dedup.met(line_dedup.split_again(live, texts))
+    assert most(live) < 20
+
+
+def test_documents_without_near_lines(spark):
+    docs = [(1, "alpha line one\n\nbeta"), (1, "alpha line one\n\nbeta"), (1, "gamma line\nbeta"), (None, "delta line of nobody\nbeta two"), (2, "alpha line 0ne\n \nnew"), (3, None), (4, "beta"), (5, "")]
+    frame = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "'x' AS line", "1 AS line_no", "2 AS k", "'y' AS whole")
+    got = sorted(((x.doc_id, x.text) for x in line_dedup.without_near_lines(frame).collect()), key=str)
+    assert got == sorted([(1, "alpha line one\n"), (1, "gamma line\nbeta"), (None, "delta line of nobody\nbeta two"), (2, " \nnew"), (3, None), (4, ""), (5, "")], key=str)
