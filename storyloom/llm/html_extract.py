@@ -107,21 +107,21 @@ def rooted(skeleton: list[list]) -> tuple[Outline, dict[int, int]]:
     return nodes[0], {id(n): i for i, n in enumerate(nodes)}
 
 
-def observe(page: Page, skeleton: Outline, places: dict[int, int]) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(node, own, text, length, linked, form) for each text at a node of the skeleton (own 1; lists give each of their
-    members), and below it for each block of text, wherever it stands, and each that is aligned with nothing (own 0)."""
+def observe(page: Page, skeleton: Outline, places: dict[int, int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(node, text, length, linked, form): what the page has at each node of the skeleton (text 0), and the texts that may
+    be template, each under the nearest node that holds it (length of the text, linked -1)."""
     facts, at = page.facts, {id(x): i for i, x in page.matched(skeleton, places).items()}
     stack = [(page.outline, -1)]
     while stack:
         x, above = stack.pop()
-        own = at.get(id(x), -1)
-        for m in {facts.hash[id(m)]: m for m in x.members}.values():
-            k = id(m)
-            seen = facts.hash[k], facts.length[k], facts.linked[k], facts.form[k]
-            if seen[1] and own >= 0:
-                yield own, 1, *seen
-            if seen[1] and above >= 0 and (own < 0 or m.tag in TEXTUAL):
-                yield above, 0, *seen
+        own, first = at.get(id(x), -1), id(x.members[0])
+        lengths = [facts.length[id(m)] for m in x.members]
+        if own >= 0 and any(lengths):
+            yield own, 0, sum(lengths), sum(facts.linked[id(m)] for m in x.members), facts.form[first]
+        under = above if x.members[0].tag in TEXTUAL or own < 0 else own
+        if under >= 0:
+            for text, length in {facts.hash[id(m)]: n for m, n in zip(x.members, lengths, strict=True) if n}.items():
+                yield under, text, length, -1, 0
         stack.extend((k, own if own >= 0 else above) for k in x.kids)
 
 
@@ -143,13 +143,17 @@ def decide(skeleton: list[list], seen: pd.DataFrame) -> dict:
     tags = [label.split(".", 1)[0] for label, _ in skeleton]
     out_of_search = [apart(Node(*label.split(".", 1))) if label[0] != "#" else False for label, _ in skeleton]
 
+    listed = [sum(max(length[k] - linked[k], 0.0) for k in kids[i] if tags[k] in TEXTUAL) for i in range(n)]
+    fixed_share = [min(sum(gone[i].values()) / listed[i], 1.0) if listed[i] else 0.0 for i in range(n)]
+
     def worth(count_apart: bool) -> list[float]:
         """Varying text of each node outside links, menus and, if asked for, parts set apart by tag or name."""
         out = [0.0] * n
         for i in reversed(range(n)):
             below = sum(max(length[k] - linked[k], 0.0) for k in kids[i])
-            template = sum(c for t, c in gone[i].items() if not any(t in gone[k] for k in kids[i]))
-            rest = max(length[i] - linked[i] - below - template, 0.0)
+            rest = max(length[i] - linked[i] - below, 0.0)
+            if tags[i] in TEXTUAL and skeleton[i][1] >= 0:
+                rest *= 1 - fixed_share[skeleton[i][1]]
             menu = linked[i] > LINKS * length[i]
             out[i] = 0.0 if menu or (out_of_search[i] and not count_apart) else rest + sum(out[k] for k in kids[i])
             if any(c >= 0.9 * length[i] for c in gone[i].values()):
@@ -260,19 +264,24 @@ def _digest() -> Column:
     return F.unhex(F.md5(F.col("html").cast("binary")))
 
 
-def skeletons(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, shape, skeleton) of the groups of pages (url, html) with at least two different pages, from at most
-    ``sample`` of them, chosen by their digest. Copies count once."""
+def shapes_of(pages: DataFrame) -> DataFrame:
+    """(host, shape, digest) of the different pages (url, html) that are not empty."""
 
     def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"host": frame["host"], "digest": frame["digest"], "shape": [Page(h).shape() for h in frame["html"]]})
 
     known = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), _digest().alias("digest"), "html")
-    shaped = known.mapInPandas(shapes, "host string, digest binary, shape string").distinct()
+    return known.mapInPandas(shapes, "host string, digest binary, shape string").distinct()
+
+
+def skeletons(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(host, shape, skeleton) of the groups of pages (url, html) with at least two different pages, from at most
+    ``sample`` of them, chosen by their digest. Copies count once."""
     order = Window.partitionBy("host", "shape").orderBy("digest")
-    chosen = cut(shaped.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("host", "shape", "digest"), "chosen")
+    chosen = cut(shapes_of(pages).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("host", "shape", "digest"), "chosen")
     few = F.broadcast(chosen) if chosen.count() * 128 <= BROADCAST_BYTES else chosen
+    known = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), _digest().alias("digest"), "html")
     rows = known.join(few, ["host", "digest"]).groupBy("host", "shape", "digest").agg(F.first("html").alias("html"))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -292,30 +301,35 @@ def _with_host(pages: DataFrame, by_group: DataFrame, value: str) -> DataFrame:
 
 def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(host, shape, wrapper) of every group; texts are counted over all of its different pages."""
-    bones = cut(skeletons(pages, sample), "skeletons")
-    rows = _with_host(pages.where("html <> ''").select("url", "html", _digest().alias("digest")), bones, "skeleton").where("known is not null")
+    bones = cut(skeletons(pages, sample).withColumn("g", F.xxhash64("host", "shape")), "skeletons")
+    numbered = bones.select("host", "shape", F.concat(F.lit("["), F.col("g").cast("string"), F.lit(","), "skeleton", F.lit("]")).alias("skeleton"))
+    rows = _with_host(pages.where("html <> ''").select("url", "html", F.xxhash64("html").alias("page")), numbered, "skeleton").where("known is not null")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = _Ready(lambda read: {shape: rooted(json.loads(own)) for shape, own in read.items()})
+        def made(read: dict) -> dict:
+            every = {shape: json.loads(own) for shape, own in read.items()}
+            return {shape: (g, *rooted(skeleton)) for shape, (g, skeleton) in every.items()}
+
+        ready = _Ready(made)
         for frame in frames:
             out = []
-            for host, known, digest, source in zip(frame["host"], frame["known"], frame["digest"], frame["html"], strict=True):
+            for known, own, source in zip(frame["known"], frame["page"], frame["html"], strict=True):
                 page = Page(source)
-                shape = page.shape()
-                if shape in ready(known):
-                    out += [(host, shape, digest, *(_signed(v) for v in seen)) for seen in observe(page, *ready(known)[shape])]
-            yield pd.DataFrame(out, columns=["host", "shape", "digest", "node", "own", "text", "length", "linked", "form"])
-
-    names = "host string, shape string, digest binary, node bigint, own bigint, text bigint, length bigint, linked bigint, form bigint"
-    seen = cut(rows.select("host", "known", "digest", "html").mapInPandas(run, names).distinct(), "seen")
-    key = ["host", "shape", "node"]
-    pages_of = seen.where("own = 1").groupBy(*key, "digest").agg(F.sum("length").alias("length"), F.sum("linked").alias("linked"), F.min("form").alias("form"))
+                group = ready(known).get(page.shape())
+                if group:
+                    out += [(group[0], own, *(_signed(v) for v in seen)) for seen in observe(page, *group[1:])]
+            yield pd.DataFrame(out, columns=["g", "page", "node", "text", "length", "linked", "form"])
+
+    types = "g bigint, page bigint, node int, text bigint, length int, linked int, form bigint"
+    seen = cut(rows.select("known", "page", "html").mapInPandas(run, types), "seen")
+    key = ["g", "node"]
+    pages_of = seen.where("linked >= 0").groupBy(*key, "page").agg(F.max("length").alias("length"), F.max("linked").alias("linked"), F.min("form").alias("form"))
     usual = pages_of.groupBy(*key, "form").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.sum("linked").alias("linked"))
     n = F.sum("n")
     means = usual.groupBy(*key).agg(n.alias("pages"), (F.sum("length") / n).alias("length"), (F.sum("linked") / n).alias("linked"), (F.max("n") / n).alias("form"))
-    texts = seen.groupBy(*key, "text").agg(F.count_distinct("digest").alias("n"), F.max("length").alias("chars")).where("n > 1")
-    same = texts.join(means.select(*key, "pages", F.col("length").alias("mean")), key).where((F.col("n") >= SHARED * F.col("pages")))
-    same = same.groupBy(*key).agg(F.collect_list(F.struct("text", "chars")).alias("texts"))
+    texts = seen.where("linked < 0").groupBy(*key, "text").agg(F.count_distinct("page").alias("n"), F.max("length").alias("chars")).where("n > 1")
+    same = texts.join(means.select(*key, "pages"), key).where(F.col("n") >= SHARED * F.col("pages"))
+    same = same.groupBy(*key).agg(F.collect_list(F.struct("text", F.col("chars").cast("bigint").alias("chars"))).alias("texts"))
     facts = means.join(same, key, "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<struct<text:bigint,chars:bigint>>")))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -325,7 +339,7 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
         frame["texts"] = [[(r["text"] & MASK, r["chars"]) for r in t if r["chars"] <= whole / 2] for t in frame["texts"]]
         return pd.DataFrame({"host": frame["host"].iloc[:1], "shape": frame["shape"].iloc[:1], "wrapper": [json.dumps(decide(skeleton, frame))]})
 
-    return facts.join(bones, ["host", "shape"]).groupBy("host", "shape").applyInPandas(one, "host string, shape string, wrapper string")
+    return facts.join(bones, "g").groupBy("host", "shape").applyInPandas(one, "host string, shape string, wrapper string")
 
 
 MASK = (1 << 64) - 1
