@@ -29,6 +29,7 @@ DATES = (
 TICKERS = (
     r"\$([A-Z][A-Z0-9.]{0,5})\b", r"\b(?:NASDAQ|NYSE|AMEX|NYSEARCA)\s*:\s*([A-Z][A-Z0-9.]{0,5})\b", r"\(([A-Z][A-Z0-9.]{0,5})\)", r"\b([A-Z][A-Z0-9.]{0,5})\s+(?:stock|shares)\b",
 )
+WATCHED = (r"\$([A-Z][A-Z0-9.-]{1,5})\b", r"\b(?:NASDAQ|NYSE|AMEX|NYSEARCA)\s*:?\s*([A-Z][A-Z0-9.-]{1,5})\b", r"\(([A-Z][A-Z0-9.-]{1,5})\)")
 EVENTS = (
     (("share repurchase", "stock repurchase", "share buyback"), "share_buyback"), (("acquisition", "merger"), "acquisition_or_merger"), (("regulatory approval",), "regulatory_approval"),
     (("chief executive", " ceo "), "leadership"), (("dividend",), "dividend"), (("capital raise", "offering"), "financing"), (("restructuring",), "restructuring"),
@@ -110,6 +111,13 @@ def headline_tickers(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array_except(symbols, words_in(TICKER_STOPWORDS)), named))
 
 
+def explicit_tickers(text: Column) -> Column:
+    """Symbols that a text names outright: after a dollar sign, after an exchange, or in brackets, as a set."""
+    t = ascii_words(text)
+    found = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in WATCHED]))
+    return F.array_distinct(F.transform(found, lambda s: F.replace(s, F.lit("."), F.lit("-"))))
+
+
 def filing_event(form: Column, items: Column, text: Column, description: Column) -> Column:
     """The key under which a filing's event is the same as another's; the first rule that applies."""
     low, base = F.lower(nonnull(text)), F.regexp_replace(form, "/A$", "")

@@ -5,10 +5,14 @@ Arrays of tokens are sets (distinct) unless said otherwise. Null texts count as
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Word lists that results depend on.
 STOPWORDS = (
@@ -45,17 +49,31 @@ def best_text(extracted: Column, feed: Column, summary: Column) -> Column:
     return F.coalesce(F.nullif(extracted, F.lit("")), F.nullif(feed, F.lit("")), nonnull(summary))
 
 
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """All named and numeric character references decoded; Spark has no function for it."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """The compatibility form of Unicode; Spark has no function for it."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def clean_text(text: Column) -> Column:
-    """Tags out, the common character references decoded, white space collapsed."""
-    out = F.regexp_replace(nonnull(text), "<[^>]+>", " ")
-    for ref, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(ref), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+    """Tags out, character references decoded, white space (no-break spaces too) collapsed."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(nonnull(text), "<[^>]+>", " ")), r"[ \t\n\r\u00A0]+", " "))
+
+
+def html_to_text(page: Column) -> Column:
+    """The text of a whole page: comments, scripts and styles with all they hold out, then as :func:`clean_text`."""
+    return clean_text(F.regexp_replace(nonnull(page), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " "))
 
 
 def clean_title(title: Column, source: Column) -> Column:
-    """White space collapsed and a closing " - source" dropped."""
-    flat = F.trim(F.regexp_replace(nonnull(title), r"[ \t\n\r]+", " "))
+    """In the compatibility form, white space collapsed, and a closing " - source" dropped."""
+    flat = F.trim(F.regexp_replace(nfkc(nonnull(title)), r"[ \t\n\r]+", " "))
     tail = F.concat(F.lit(" - "), source)
     return F.when(F.endswith(flat, tail), F.rtrim(F.substring(flat, F.lit(1), F.length(flat) - F.length(tail)))).otherwise(flat)
 
@@ -76,7 +94,8 @@ def strip_source_names(title: Column, source: Column) -> Column:
     parts = F.split(nonnull(title), r"[ \t\n\r]+(?:-|–|—|\|)[ \t\n\r]+")
     last = F.lower(F.trim(F.element_at(parts, -1)))
     named = (F.size(parts) > 1) & ((nonnull(source) == "") | (last == F.lower(source)))
-    quoted = F.concat(F.lit("(?i)\\b\\Q"), source, F.lit("\\E\\b"))
+    literal = F.regexp_replace(source, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    quoted = F.concat(F.lit("(?i)\\b"), literal, F.lit("\\b"))
     removed = F.when(nonnull(source) == "", nonnull(title)).otherwise(F.regexp_replace(nonnull(title), quoted, F.lit(" ")))
     return F.when(named, F.trim(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " "))).otherwise(removed)
 
@@ -92,12 +111,12 @@ def normalize_title(title: Column, source: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(nonnull(text)), F.lit("([a-z0-9]+)"))
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 2) & ~F.array_contains(words_in(STOPWORDS), t)))
+    """The set of words of three characters at least that are no stop words."""
+    return F.array_except(F.regexp_extract_all(F.lower(nonnull(text)), F.lit("([a-z0-9]{3,})")), words_in(STOPWORDS))
 
 
 def title_tokens(title: Column, source: Column) -> Column:
-    return F.array_distinct(F.filter(title_words(title, source), lambda t: F.length(t) > 2))
+    return tokenize(strip_source_names(title, source))
 
 
 def story_key(title: Column, source: Column) -> Column:
@@ -148,9 +167,10 @@ def whole_word(term: str) -> str:
 
 
 def term_hits(text: Column, terms) -> Column:
-    """How many of the terms occur as whole words."""
-    low = F.lower(nonnull(text))
-    return sum((F.rlike(low, F.lit(whole_word(t))).cast("int") for t in terms), F.lit(0))
+    """How many of the terms occur as whole words: plain words are looked up in the text's set of words, others searched."""
+    low, plain = F.lower(nonnull(text)), sorted({t for t in terms if re.fullmatch(r"\w+", t)})
+    found = F.size(F.array_intersect(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)")), words_in(plain))) if plain else F.lit(0)
+    return sum((F.rlike(low, F.lit(whole_word(t))).cast("int") for t in set(terms) - set(plain)), found)
 
 
 def count_matches(text: Column, pattern: str) -> Column:

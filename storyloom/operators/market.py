@@ -32,31 +32,56 @@ def keep_movers(movers: DataFrame, confidence: Column, watched: Column) -> DataF
     return movers.where((confidence != "low") | (F.col("excess") >= 1.5) | watched)
 
 
+def order_movers(movers: DataFrame, importance: Column, watched: Column, confidence: Column) -> DataFrame:
+    """Adds ``place`` within ``day``: size of the move, importance, watched ones, surely explained ones, then symbol."""
+    order = Window.partitionBy("day").orderBy(F.abs("change").desc(), importance.desc(), watched.desc(), (confidence == "high").desc(), "symbol")
+    return movers.withColumn("place", F.row_number().over(order))
+
+
 def explain_movers(movers: DataFrame, articles: DataFrame, causal: Column, hours: int = 48) -> DataFrame:
     """For each mover (mover_id, term, minute) the articles (article_id, source, tokens, minute, reputation) that hold its
     term and are at most ``hours`` old: how many, from how many causal sources, the best one, and the confidence.
 
-    The term is matched by an equality join on the articles' tokens, within day buckets of time.
+    The term is matched by an equality join on the articles' tokens, within day buckets of time; movers of one term and
+    minute are looked up once.
     """
     span = 60 * hours
-    m = movers.withColumn("bucket", F.explode(F.array(F.floor(F.col("minute") / span), F.floor(F.col("minute") / span) - 1)))
+    m = movers.select("term", "minute").distinct().withColumn("bucket", F.explode(F.array(F.floor(F.col("minute") / span), F.floor(F.col("minute") / span) - 1)))
     a = articles.select("article_id", "source", "reputation", F.col("minute").alias("at"), F.explode("tokens").alias("term"), causal.alias("causal"))
     a = a.withColumn("bucket", F.floor(F.col("at") / span))
     hit = m.join(a, ["term", "bucket"]).where((F.col("at") <= F.col("minute")) & (F.col("at") >= F.col("minute") - span))
     sources = F.count_distinct(F.when(F.col("causal") > 0, F.col("source")))
-    found = hit.groupBy("mover_id").agg(
+    found = hit.groupBy("term", "minute").agg(
         F.count(F.lit(1)).alias("articles"), sources.alias("sources"), F.max_by("article_id", F.struct("causal", "reputation", -F.col("article_id"))).alias("best")
     )
-    out = movers.select("mover_id").join(found, "mover_id", "left")
+    out = movers.select("mover_id", "term", "minute").join(found, ["term", "minute"], "left")
     s = F.coalesce("sources", F.lit(0))
     confidence = F.when(s >= 2, "high").when(s == 1, "medium").otherwise("low")
     return out.select("mover_id", F.coalesce("articles", F.lit(0)).alias("articles"), s.alias("sources"), "best", confidence.alias("confidence"))
 
 
+# Words that make a story an alert.
+TRIGGERS = ("emergency", "fed", "war", "missile", "invasion", "supreme court", "indictment", "ai", "antitrust", "acquisition")
+# End of fixed values.
+
+
+def alert_id(*parts: Column) -> Column:
+    """Sixteen digits of a hash: the same alert has the same id on every run."""
+    return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16)
+
+
 def market_alerts(movers: DataFrame, limits: Column) -> DataFrame:
-    """Movers beyond the limit of their type, with an alert id."""
+    """Movers beyond the limit of their type, with an alert id of symbol and change to a tenth."""
     hit = movers.where(F.abs("change") >= limits)
-    return hit.withColumn("alert_id", F.sha1(F.concat_ws("|", F.lit("market"), F.col("symbol").cast("string"), F.col("day").cast("string"))))
+    return hit.withColumn("alert_id", alert_id(F.lit("market"), F.col("symbol").cast("string"), F.format_string("%.1f", F.col("change"))))
+
+
+def story_alerts(stories: DataFrame, least: int = 5) -> DataFrame:
+    """Stories (key, title, text, sources) of at least two sources that have ``least`` of them or a trigger word, with
+    ``alert_id`` and ``confidence``."""
+    low = F.lower(F.concat_ws(" ", "title", "text"))
+    hit = stories.where((F.col("sources") >= 2) & ((F.col("sources") >= least) | F.rlike(low, F.lit("|".join(TRIGGERS)))))
+    return hit.withColumn("alert_id", alert_id(F.lit("story"), F.col("key").cast("string"), F.col("title"))).withColumn("confidence", F.when(F.col("sources") >= least, "high").otherwise("medium"))
 
 
 def large_moves(pairs: DataFrame, reviewed: DataFrame, percent: float = 3.0, most: int = 20) -> DataFrame:

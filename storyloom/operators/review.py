@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.facts import anchors, capitalized, figures
+
 
 def label_metrics(labels: DataFrame, by: str, least: int = 40) -> DataFrame:
     """(by, n, relevant, rate, reportable) of labels (by, verdict), unclear verdicts left out."""
@@ -27,13 +29,49 @@ def fn_estimate(reviewed: DataFrame, population: DataFrame) -> DataFrame:
     return j.agg((F.sum(F.col("relevant") / F.col("n") * F.col("total")) / F.sum("total")).alias("fn_rate"), F.sum("n").alias("reviewed"))
 
 
+def gate_metrics(diagnostics: DataFrame, adjudications: DataFrame, benchmark: DataFrame, by: str) -> DataFrame:
+    """The thirteen counters of an evaluation for each ``by``, zero where a table has nothing.
+
+    Diagnostics are the required sources' (state, json) of a ticker and day, json holding how many filings were eligible,
+    processed, expected and caught up; adjudications (subject, verdict) are reviewers' votes; the benchmark (verdict,
+    found) lists events that should have been found."""
+    fields = ("eligible_filings", "processed_filings", "expected_catchup_filings", "processed_catchup_filings")
+    numbers = F.from_json("json", ", ".join(f"{f} bigint" for f in fields))
+    d = diagnostics.withColumn("__j", numbers).groupBy(by).agg(
+        F.count(F.lit(1)).alias("evaluated_ticker_days"), F.count_if(F.col("state") == "FAILED").alias("required_source_failures"), *[F.sum(F.coalesce(F.col(f"__j.{f}"), F.lit(0))).alias(f) for f in fields]
+    )
+
+    def votes(subject: str, *verdicts: str):
+        return F.count_if((F.col("subject") == subject) & F.col("verdict").isin(*verdicts))
+
+    a = adjudications.groupBy(by).agg(
+        votes("relationship_claim", "correct", "incorrect").alias("relationship_claims"), votes("relationship_claim", "incorrect").alias("false_relationship_claims"),
+        votes("rendered_story", "relevant", "irrelevant").alias("rendered_stories_reviewed"), votes("rendered_story", "irrelevant").alias("irrelevant_stories"),
+        votes("duplicate_event", "duplicate").alias("confirmed_duplicate_events"),
+    )
+    b = benchmark.where(F.col("verdict") == "material").groupBy(by).agg(F.count(F.lit(1)).alias("independent_non_filing_events"), F.count_if("found").alias("found_non_filing_events"))
+    return d.join(a, by, "full").join(b, by, "full").na.fill(0)
+
+
 def gate_state(metrics: DataFrame, least: int = 20) -> DataFrame:
-    """Metrics (filings, articles, days, wrong, covered, missed) judged: too few to tell, passed, or failed with reasons."""
-    few = (F.col("filings") < least) | (F.col("articles") < least) | (F.col("days") < least)
-    reasons = F.array_compact(F.array(
-        F.when(F.col("wrong") > 0.02 * F.col("articles"), "wrong_articles"), F.when(F.col("covered") < F.col("filings"), "uncovered_filings"), F.when(F.col("missed") > 0.05 * F.col("articles"), "missed"),
+    """:func:`gate_metrics` judged: too few to tell, passed, or failed, with ``reasons`` for the first and the last."""
+
+    def share(part: str, of: str, none: float):
+        return F.when(F.col(of) == 0, F.lit(none)).otherwise(F.col(part) / F.when(F.col(of) == 0, 1).otherwise(F.col(of)))
+
+    few = (("independent_non_filing_events", "non_filing_events"), ("relationship_claims", "relationship_claims"), ("rendered_stories_reviewed", "rendered_stories"))
+    lacking = F.array_compact(F.array(*[F.when(F.col(c) < least, f"insufficient_{name}") for c, name in few]))
+    failed = F.array_compact(F.array(
+        F.when(share("required_source_failures", "evaluated_ticker_days", 1.0) > 0.02, "required_source_retrieval"),
+        F.when(F.col("processed_filings") != F.col("eligible_filings"), "eligible_filing_processing"),
+        F.when(F.col("processed_catchup_filings") != F.col("expected_catchup_filings"), "filing_catchup"),
+        F.when(share("false_relationship_claims", "relationship_claims", 0.0) > 0.05, "relationship_accuracy"),
+        F.when(F.col("confirmed_duplicate_events") > 0, "same_event_duplicates"),
+        F.when(share("irrelevant_stories", "rendered_stories_reviewed", 0.0) > 0.05, "story_relevance"),
+        F.when(share("found_non_filing_events", "independent_non_filing_events", 0.0) < 0.80, "non_filing_recall"),
     ))
-    return metrics.withColumn("reasons", reasons).withColumn("state", F.when(few, "MEASURING").when(F.size("reasons") == 0, "PASS").otherwise("FAIL"))
+    state = F.when(F.size(lacking) > 0, "MEASURING").when(F.size(failed) == 0, "PASS").otherwise("FAIL")
+    return metrics.withColumn("state", state).withColumn("reasons", F.when(F.size(lacking) > 0, lacking).otherwise(failed))
 
 
 def build_batches(items: DataFrame, order: list[str], size: int = 40) -> DataFrame:
@@ -91,6 +129,32 @@ def token_difference(pairs: DataFrame) -> DataFrame:
     return pairs.select("id").join(d, "id", "left").select("id", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("added", F.lit(0)).alias("added"))
 
 
+def fidelity_guard(pairs: DataFrame, entities: bool = True) -> DataFrame:
+    """Whether rewrites keep the facts: (id, missing, added, missing_anchors, added_anchors, dropped_entities, passed) of
+    pairs (id, before, after). Figures, dates and anchors are compared as multisets, capitalised words as sets."""
+
+    def counted(side: str, sign: int) -> DataFrame:
+        tokens = F.concat(F.transform(figures(F.col(side)), lambda t: F.struct(F.lit("f").alias("kind"), t.alias("token"))), F.transform(anchors(F.col(side)), lambda t: F.struct(F.lit("a").alias("kind"), t.alias("token"))))
+        return pairs.select("id", F.inline(tokens)).select("id", "kind", "token", F.lit(sign).alias("n"))
+
+    gap = counted("before", 1).union(counted("after", -1)).groupBy("id", "kind", "token").agg(F.sum("n").alias("n"))
+
+    def over(kind: str, sign: int):
+        return F.sum(F.when((F.col("kind") == kind) & (sign * F.col("n") > 0), sign * F.col("n")).otherwise(0))
+
+    d = gap.groupBy("id").agg(over("f", 1).alias("missing"), over("f", -1).alias("added"), over("a", 1).alias("missing_anchors"), over("a", -1).alias("added_anchors"))
+    names = ("missing", "added", "missing_anchors", "added_anchors")
+    dropped = pairs.select("id", F.size(F.array_except(capitalized(F.col("before")), capitalized(F.col("after")))).cast("long").alias("dropped_entities"))
+    out = dropped.join(d, "id", "left").select("id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], "dropped_entities")
+    kept = (F.col("missing") + F.col("added") + F.col("missing_anchors") + F.col("added_anchors") == 0) & (F.lit(not entities) | (F.col("dropped_entities") == 0))
+    return out.withColumn("passed", kept)
+
+
+def guard_result(status: Column, has_deltas: Column) -> Column:
+    """The audit's label of a rewritten paragraph, from its status and whether the guard found differences."""
+    return F.when(status == "kept_original_guard_failed", "failed").when(has_deltas, "warning").when(status == "compressed", "passed").otherwise("not_run")
+
+
 def rewrite_disposition(before: Column, after: Column, lost: Column) -> Column:
     """What became of a rewritten paragraph, from its word counts and lost facts; the first that applies."""
     return (

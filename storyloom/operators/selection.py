@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class _Taken:
+    """What an edition has chosen so far, in order, and how many of each category; ranked items have (id, tags)."""
+
+    def __init__(self, rows, categories):
+        self.ids: list[int] = []
+        self.seen: set[int] = set()
+        self.count = dict.fromkeys(categories, 0)
+        self.queues = {c: iter([r for r in rows if c in r.tags]) for c in categories}
+
+    def take(self, r) -> None:
+        self.ids.append(r.id)
+        self.seen.add(r.id)
+        for t in r.tags:
+            self.count[t] = self.count.get(t, 0) + 1
+
+    def turn(self, reserve: int, cap: int) -> bool:
+        """A turn of all categories below their reserve; whether any had an item left."""
+        moved = False
+        for c, queue in self.queues.items():
+            if self.count[c] >= reserve or len(self.ids) >= cap:
+                continue
+            one = next((r for r in queue if r.id not in self.seen), None)
+            if one is not None:
+                self.take(one)
+                moved = True
+        return moved
+
+
 def reserve_select(items: DataFrame, categories, reserve: int, cap: int) -> DataFrame:
     """(run_id, id) chosen of items (run_id, id, rank, tags): categories take turns for their best item left, up to their
     reserve; an item with two tags counts for both; the rest goes by rank. Sequential, an edition at a time."""
@@ -13,24 +43,32 @@ def reserve_select(items: DataFrame, categories, reserve: int, cap: int) -> Data
     def run(frame):
         import pandas as pd
 
-        rows = frame.sort_values(["rank", "id"])
-        have = dict.fromkeys(categories, 0)
-        chosen: list[int] = []
-        for _ in range(reserve):
-            for c in categories:
-                if have[c] >= reserve or len(chosen) >= cap:
-                    continue
-                one = next((r for r in rows.itertuples() if c in r.tags and r.id not in chosen), None)
-                if one is not None:
-                    chosen.append(one.id)
-                    for t in one.tags:
-                        have[t] = have.get(t, 0) + 1
-        for r in rows.itertuples():
-            if len(chosen) >= cap:
-                break
-            if r.id not in chosen:
-                chosen.append(r.id)
-        return pd.DataFrame({"run_id": frame["run_id"].iloc[0], "id": chosen})
+        rows = list(frame.sort_values(["rank", "id"]).itertuples())
+        state = _Taken(rows, categories)
+        while len(state.ids) < cap and state.turn(reserve, cap):
+            pass
+        for r in rows:
+            if len(state.ids) < cap and r.id not in state.seen:
+                state.take(r)
+        return pd.DataFrame({"run_id": frame["run_id"].iloc[0], "id": state.ids})
+
+    return items.select("run_id", "id", "rank", "tags").groupBy("run_id").applyInPandas(run, "run_id bigint, id bigint")
+
+
+def global_first(items: DataFrame, categories, first: int, reserve: int, cap: int) -> DataFrame:
+    """(run_id, id) chosen of items (run_id, id, rank, tags): the best ``first`` of the edition, then categories below their
+    reserve take turns for their best item left, up to the cap. Sequential, an edition at a time."""
+
+    def run(frame):
+        import pandas as pd
+
+        rows = list(frame.sort_values(["rank", "id"]).itertuples())
+        state = _Taken(rows, categories)
+        for r in rows[: min(first, cap)]:
+            state.take(r)
+        while len(state.ids) < cap and state.turn(reserve, cap):
+            pass
+        return pd.DataFrame({"run_id": frame["run_id"].iloc[0], "id": state.ids})
 
     return items.select("run_id", "id", "rank", "tags").groupBy("run_id").applyInPandas(run, "run_id bigint, id bigint")
 
@@ -53,41 +91,95 @@ def schedule_articles(members: DataFrame, each: int = 2, cap: int = 50) -> DataF
     return once.withColumn("place", place).where(F.col("place") <= cap).select("run_id", "article_id", "place")
 
 
-def select_deck(stories: DataFrame, floor: int = 2, target: int = 25, ceiling: int = 5, source_cap: int = 2) -> DataFrame:
-    """(run_id, id, phase) of stories (run_id, id, category, source, importance, total, latest): each category first gets
-    its floor, no source more than its cap there unless the floor stays short; then the best of the rest up to the target
-    and the categories' ceiling. Sequential, an edition at a time."""
+class Deck:
+    """An edition's deck while it is filled. ``lanes`` names the category whose stories spread over lanes instead."""
+
+    def __init__(self, rows, floor, ceiling, big_day_most, target, source_cap, big_day_source_cap, big_day, lanes):
+        self.rows, self.floor, self.ceiling, self.big_day_most, self.target = rows, floor, ceiling, big_day_most, target
+        self.source_cap, self.big_day_source_cap, self.big_day, self.lanes = source_cap, big_day_source_cap, big_day, lanes
+        self.phase: dict[int, str] = {}
+        self.relaxed: set[int] = set()
+        self.size: Counter = Counter()
+        self.held: Counter = Counter()
+        self.lane: Counter = Counter()
+
+    def fits(self, r, source_cap: int, lane_cap: int) -> bool:
+        if r.category == self.lanes:
+            return self.held[r.category, r.source] < self.source_cap and self.lane[r.lane] < lane_cap
+        return self.held[r.category, r.source] < source_cap
+
+    def take(self, r, phase: str, relaxed: bool = False) -> None:
+        self.phase[r.id] = phase
+        self.size[r.category] += 1
+        self.held[r.category, r.source] += 1
+        self.lane[r.lane] += r.category == self.lanes
+        if relaxed:
+            self.relaxed.add(r.id)
+
+    def open(self, r, most: int) -> bool:
+        return r.id not in self.phase and self.size[r.category] < most
+
+    def fill(self) -> Deck:
+        for c in sorted({r.category for r in self.rows}):
+            own = [r for r in self.rows if r.category == c]
+            for lane_cap in (1, 2) if c == self.lanes else (1,):
+                for r in own:
+                    if self.open(r, self.floor) and self.fits(r, self.source_cap, lane_cap):
+                        self.take(r, "floor")
+            for r in own if c != self.lanes else ():
+                if self.open(r, self.floor):
+                    self.take(r, "floor", relaxed=True)
+        later = []
+        for r in self.rows:
+            if len(self.phase) < self.target and self.open(r, self.ceiling):
+                if self.fits(r, self.source_cap, 2):
+                    self.take(r, "remainder")
+                elif r.category != self.lanes:
+                    later.append(r)
+        for r in later:
+            if len(self.phase) < self.target and self.open(r, self.ceiling):
+                self.take(r, "remainder", relaxed=True)
+        for r in self.rows:
+            sure = r.measured >= self.big_day or r.sources >= 2
+            if len(self.phase) < self.target and self.open(r, self.big_day_most) and r.importance >= self.big_day and sure and self.fits(r, self.big_day_source_cap, 3):
+                self.take(r, "big_day")
+        return self
+
+    def reason(self, r) -> str:
+        """Why a story is not in the deck, in the order of the rules."""
+        if r.id in self.phase:
+            return ""
+        if self.size[r.category] >= self.ceiling:
+            return "selection_category_ceiling"
+        if self.held[r.category, r.source] >= self.source_cap:
+            return "selection_source_cap"
+        if r.category == self.lanes and self.lane[r.lane] >= 2:
+            return "selection_culture_lane_cap"
+        return "selection_deck_capacity" if len(self.phase) >= self.target else "selection_below_threshold"
+
+
+def select_deck(
+    stories: DataFrame, floor: int = 2, ceiling: int = 5, big_day_most: int = 6, target: int = 25, source_cap: int = 2, big_day_source_cap: int = 3, big_day: float = 70.0, lanes: str = "culture"
+) -> DataFrame:
+    """(run_id, id, phase, relaxed, reason) of every story (run_id, id, category, lane, source, sources, importance,
+    measured, total, latest): ``phase`` is empty for stories out of the deck, ``reason`` for those in it.
+
+    Each category first gets its floor, no source more than its cap there unless the floor stays short; then the best of
+    the rest up to target and ceiling, those over a source's cap only where the deck would stay short; then, on a big day,
+    stories of great importance, which their measured importance or a second source must bear out. Sequential, an edition
+    at a time.
+    """
 
     def run(frame):
         import pandas as pd
 
         rows = list(frame.sort_values(["importance", "total", "latest", "id"], ascending=[False, False, False, True]).itertuples())
-        chosen: dict[int, str] = {}
-        count: dict[str, int] = {}
-
-        def take(r, phase):
-            chosen[r.id] = phase
-            count[r.category] = count.get(r.category, 0) + 1
-
-        for c in sorted({r.category for r in rows}):
-            used: dict[str, int] = {}
-            for strict in (True, False):
-                for r in rows:
-                    if r.category != c or r.id in chosen or count.get(c, 0) >= floor:
-                        continue
-                    if strict and used.get(r.source, 0) >= source_cap:
-                        continue
-                    take(r, "floor")
-                    used[r.source] = used.get(r.source, 0) + 1
-        for r in rows:
-            if len(chosen) >= target:
-                break
-            if r.id not in chosen and count.get(r.category, 0) < ceiling:
-                take(r, "rest")
-        return pd.DataFrame([(frame["run_id"].iloc[0], k, v) for k, v in chosen.items()], columns=["run_id", "id", "phase"])
+        deck = Deck(rows, floor, ceiling, big_day_most, target, source_cap, big_day_source_cap, big_day, lanes).fill()
+        out = [(r.run_id, r.id, deck.phase.get(r.id, ""), r.id in deck.relaxed, deck.reason(r)) for r in rows]
+        return pd.DataFrame(out, columns=["run_id", "id", "phase", "relaxed", "reason"])
 
-    cols = ("run_id", "id", "category", "source", "importance", "total", "latest")
-    return stories.select(*cols).groupBy("run_id").applyInPandas(run, "run_id bigint, id bigint, phase string")
+    cols = ("run_id", "id", "category", "lane", "source", "sources", "importance", "measured", "total", "latest")
+    return stories.select(*cols).groupBy("run_id").applyInPandas(run, "run_id bigint, id bigint, phase string, relaxed boolean, reason string")
 
 
 def select_floor(stories: DataFrame, floor: int = 2) -> DataFrame:
@@ -103,15 +195,15 @@ def select_lanes(stories: DataFrame, k: int = 4, caps=(1, 2, 3)) -> DataFrame:
     def run(frame):
         import pandas as pd
 
-        chosen: list[int] = []
+        chosen: dict[int, None] = {}
         used: dict[str, int] = {}
         rows = list(frame.sort_values(["importance", "id"], ascending=[False, True]).itertuples())
         for cap in caps:
             for r in rows:
                 if len(chosen) < k and r.id not in chosen and used.get(r.lane, 0) < cap:
-                    chosen.append(r.id)
+                    chosen[r.id] = None
                     used[r.lane] = used.get(r.lane, 0) + 1
-        return pd.DataFrame({"run_id": frame["run_id"].iloc[0], "id": chosen})
+        return pd.DataFrame({"run_id": frame["run_id"].iloc[0], "id": list(chosen)})
 
     return stories.select("run_id", "id", "lane", "importance").groupBy("run_id").applyInPandas(run, "run_id bigint, id bigint")
 
@@ -136,10 +228,15 @@ def draft_candidates(members: DataFrame, outliers: DataFrame, by: str) -> DataFr
     return marked.withColumn("__left", left).where(F.col("out").isNull() | (F.col("__left") == 0)).drop("out", "__left")
 
 
-def review_sample(items: DataFrame, strata: Column, seed: str, each: int) -> DataFrame:
-    """``each`` items of a stratum, by the hash of seed and id: the same whatever the partitions."""
+def review_sample(items: DataFrame, strata: Column, seed: str, urgent=("near_miss", "mid")) -> DataFrame:
+    """A fifth of each stratum's target, by the hash of seed and id: the same whatever the partitions. The target is 25 for
+    strata with 15 % of the items and for the urgent ones, 10 for others."""
     order = Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256), "id")
-    return items.withColumn("stratum", strata).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).drop("place")
+    named = items.withColumn("stratum", strata)
+    sizes = named.groupBy("stratum").agg(F.count(F.lit(1)).alias("__n"))
+    whole = sizes.withColumn("__all", F.sum("__n").over(Window.partitionBy()))
+    each = whole.select("stratum", F.when((F.col("__n") >= 0.15 * F.col("__all")) | F.col("stratum").isin(*urgent), 5).otherwise(2).alias("__each"))
+    return named.withColumn("__place", F.row_number().over(order)).join(each, "stratum").where(F.col("__place") <= F.col("__each")).drop("__place", "__each")
 
 
 def fit_sections(lines: DataFrame, limit: int) -> DataFrame:
@@ -172,13 +269,3 @@ def vote_category_balanced(votes: DataFrame, categories) -> DataFrame:
         return pd.DataFrame(out, columns=["run_id", "id", "category"])
 
     return votes.select("run_id", "id", "tag", "votes").groupBy("run_id").applyInPandas(run, "run_id bigint, id bigint, category string")
-
-
-def selection_outcomes(stories: DataFrame, deck: DataFrame, target: int = 25, ceiling: int = 5) -> DataFrame:
-    """Every story with how its selection came out: selected, deck full, category full, or outranked."""
-    s = deck.select("run_id", "id", F.lit(True).alias("in"))
-    j = stories.join(s, ["run_id", "id"], "left")
-    size = F.count("in").over(Window.partitionBy("run_id"))
-    own = F.count("in").over(Window.partitionBy("run_id", "category"))
-    reason = F.when(F.col("in"), "selected").when(own >= ceiling, "category full").when(size >= target, "deck full").otherwise("outranked")
-    return j.select("run_id", "id", reason.alias("outcome"))

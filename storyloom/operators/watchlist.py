@@ -16,6 +16,9 @@ SIX_K_TERMS = (
     "regulatory approval", "investigation", "litigation", "chief executive", "ceo", "dividend", "share repurchase", "capital raise", "offering", "restructuring",
 )
 EDITORIAL_TERMS = SIX_K_TERMS + ("product launch", "product recall", "data breach", "cyberattack", "bankruptcy", "delisting", "antitrust", "settlement", "profit warning", "forecast")
+ETHEREUM_TERMS = (
+    "protocol upgrade", "hard fork", "staking", "exchange-traded", "etf approval", "regulation", "regulatory", "security incident", "exploit", "hack",
+)
 # End of fixed values.
 
 
@@ -44,6 +47,11 @@ def text_is_material(text: Column, terms=SIX_K_TERMS) -> Column:
     return F.rlike(F.lower(T.nonnull(text)), F.lit("|".join(terms)))
 
 
+def ethereum_is_material(text: Column, move_explained: Column) -> Column:
+    """Whether an item about the currency matters: it explains a move, or names one of the events."""
+    return F.coalesce(move_explained, F.lit(False)) | text_is_material(text, ETHEREUM_TERMS)
+
+
 def filing_disposition(material: Column, body: Column, metadata: Column) -> Column:
     """How a filing enters the report: by its form, its content, its metadata, or not at all."""
     return (

@@ -53,22 +53,43 @@ def capitalized_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(X.capitalized(F.col("text"))), " ").alias("words"))
 
 
-@register("headline_tickers", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ABC' WHEN 1 THEN 'BRK-B' WHEN 2 THEN 'AAPL,XYZ' ELSE '' END AS tickers FROM orders")
+#: Sentences that real texts are put between, by id, so that patterns meet them among other words.
+_NOTES = ("Deal lifts $ABC as US waits", "NYSE: BRK.B climbs", "Apple and XYZ stock fall", "The CEO (CEO) spoke", "(TSLA) and NASDAQ QQQ", "nothing here")
+
+
+def noted(spark, sf_dir):
+    k = F.col("doc_id")
+    notes = F.array(*[F.lit(n) for n in _NOTES])
+    # the text around the note is real prose without capitals, which alone can make a symbol
+    prose = F.lower(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select(k, F.concat(prose, F.lit(" ; "), F.get(notes, (k % len(_NOTES)).cast("int")), F.lit(" ; "), prose).alias("t"))
+
+
+@register("headline_tickers", f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(named, list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '(^|[^a-z0-9_]){a}([^a-z0-9_]|$)') THEN '{v}' END" for a, v in X.ALIASES.items())}], lambda v: v IS NOT NULL)))), ',') AS tickers
+ FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS text, CASE doc_id % 6 WHEN 0 THEN ['ABC'] WHEN 1 THEN ['BRK-B'] WHEN 2 THEN ['AAPL', 'XYZ'] WHEN 4 THEN ['TSLA'] ELSE [] END AS named FROM documents)""")
 def headline_tickers(spark, sf_dir):
-    k = F.col("o_orderkey")
-    text = F.when(k % 4 == 0, "Deal lifts $ABC as US waits").when(k % 4 == 1, "NYSE: BRK.B climbs").when(k % 4 == 2, "Apple and XYZ stock fall").otherwise("The CEO (CEO) spoke")
-    return table(spark, sf_dir, "orders").select(k, F.array_join(F.sort_array(X.headline_tickers(text)), ",").alias("tickers"))
+    return noted(spark, sf_dir).select("doc_id", F.array_join(F.sort_array(X.headline_tickers(F.col("t"))), ",").alias("tickers"))
+
+
+@register("explicit_tickers", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ABC' WHEN 1 THEN 'BRK-B' WHEN 3 THEN 'CEO' WHEN 4 THEN 'QQQ,TSLA' ELSE '' END AS tickers FROM documents")
+def explicit_tickers(spark, sf_dir):
+    return noted(spark, sf_dir).select("doc_id", F.array_join(F.sort_array(X.explicit_tickers(F.col("t"))), ",").alias("tickers"))
+
+
+_EVENT_CASES = " ".join(f"WHEN regexp_matches(t, '{'|'.join(terms)}') THEN '{name}'" for terms, name in X.EVENTS)
 
 
-@register("filing_event", """SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'financial_results' ELSE CASE o_orderkey % 7 WHEN 0 THEN 'financial_results_outlook' WHEN 1 THEN 'financial_outlook' WHEN 2 THEN 'share_buyback' WHEN 3 THEN 'leadership'
- WHEN 4 THEN 'dividend' WHEN 5 THEN 'new_plant_opened' ELSE 'company_update' END END AS event_key FROM orders""")
+@register("filing_event", f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) || CASE doc_id % 7 WHEN 0 THEN ' q2 2024 sales, guidance raised' WHEN 1 THEN ' new guidance' WHEN 2 THEN ' a share buyback' WHEN 3 THEN ' the new ceo of it' WHEN 4 THEN ' dividend up' ELSE '' END AS t,
+  CASE WHEN doc_id % 7 = 5 THEN 'new_plant_opened' ELSE 'company_update' END AS other FROM documents), r AS (SELECT *, regexp_matches(t, '\\bq[1-4]\\s+20[0-9]{{2}}\\b|financial results|quarterly results|financial report|earnings') AS results, regexp_matches(t, 'outlook|guidance') AS outlook FROM d)
+ SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'financial_results' WHEN results AND outlook THEN 'financial_results_outlook' WHEN results THEN 'financial_results' WHEN outlook THEN 'financial_outlook' {_EVENT_CASES} ELSE other END AS event_key FROM r""")
 def filing_event(spark, sf_dir):
-    k = F.col("o_orderkey")
-    text = F.lit(None).cast("string")
-    for i, t in enumerate(("Q2 2024 sales; guidance raised", "New guidance", "a share buyback", "the new ceo of it", "Dividend up")):
-        text = F.when(k % 7 == i, t).otherwise(text)
+    """Whole documents as filings, some of them with a sentence about an event."""
+    k = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    for i, t in enumerate((" Q2 2024 sales, guidance raised", " New guidance", " a share buyback", " the new ceo of it", " Dividend up")):
+        text = F.when(k % 7 == i, F.concat(F.coalesce("text", F.lit("")), F.lit(t))).otherwise(text)
     description = F.when(k % 7 == 5, "New plant: opened.").otherwise("Form 8-K")
-    return table(spark, sf_dir, "orders").select(k, X.filing_event(F.lit("8-K"), F.when(k % 9 == 0, F.array(F.lit("2.02"))).otherwise(F.array(F.lit("8.01"))), text, description).alias("event_key"))
+    return table(spark, sf_dir, "documents").select(k, X.filing_event(F.lit("8-K"), F.when(k % 9 == 0, F.array(F.lit("2.02"))).otherwise(F.array(F.lit("8.01"))), text, description).alias("event_key"))
 
 
 @register("vote_lane", with_articles(f"""SELECT story_id, lane FROM (SELECT run_id * 40 + article_id % 40 AS story_id, unnest(tags) AS lane, count(*) AS n FROM articles GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY n DESC, list_position({sql_list(CATEGORIES[::-1])}, lane)) = 1"""))
@@ -83,7 +104,7 @@ def vote_lane(spark, sf_dir):
 def classification_pool(spark, sf_dir):
     """The best thirty of an edition, then ten of each category in turn."""
     a = articles(spark, sf_dir).select("run_id", F.col("article_id").alias("id"), (-F.col("minute")).alias("rank"), "tags")
-    return Sel.reserve_select(a, CATEGORIES, 10, 80)
+    return Sel.global_first(a, CATEGORIES, 30, 10, 80)
 
 
 def landed(spark, sf_dir):
@@ -112,18 +133,19 @@ def stream_alerts(spark, sf_dir):
     return drained(sent, "alerts").select("alert_id", F.unix_micros("at").alias("at_us"))
 
 
-@register("stream_suppress", "SELECT alert_id, event_type, count(*) > 0 AS seen FROM (SELECT user_id % 50 AS alert_id, event_type FROM events) GROUP BY 1, 2")
+@register("stream_suppress")
 def stream_suppress(spark, sf_dir):
-    """Keys that a stream lets pass at least once."""
+    """How many events of a key a stream lets pass, and when the first and the last of them were."""
     first = stream.suppress_repeats(stream_of(landed(spark, sf_dir)), ["alert_id", "event_type"], "at")
-    return drained(first, "suppressed").groupBy("alert_id", "event_type").agg((F.count(F.lit(1)) > 0).alias("seen"))
+    us = F.unix_micros("at")
+    return drained(first, "suppressed").groupBy("alert_id", "event_type").agg(F.count(F.lit(1)).alias("passed"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
 
 
 @register("enrichment_select")
 def enrichment_select(spark, sf_dir):
-    """Stories worth fetching pages for: eight of each category in turn, sixty of an edition."""
+    """Stories worth fetching pages for: the best twenty, then each category in turn up to eight, sixty of an edition."""
     a = articles(spark, sf_dir).select("run_id", F.col("article_id").alias("id"), (-F.length("summary")).alias("rank"), "tags")
-    return Sel.reserve_select(a, CATEGORIES, 8, 60)
+    return Sel.global_first(a, CATEGORIES, 20, 8, 60)
 
 
 def votes(spark, sf_dir):
@@ -138,10 +160,10 @@ def vote_category_balanced(spark, sf_dir):
 
 @register("selection_outcomes")
 def selection_outcomes(spark, sf_dir):
-    from .join_queries import single
+    """Why each story is in the deck or is not."""
+    from .join_queries import deck
 
-    s = single(spark, sf_dir)
-    return Sel.selection_outcomes(s, Sel.select_deck(s))
+    return deck(spark, sf_dir).select("run_id", "id", "phase", "reason")
 
 
 @register("watchlist_score", with_articles("""SELECT article_id, CASE WHEN article_id % 3 = 0 THEN round(least(2.0, 0.35::DOUBLE * w), 6) ELSE round(least(0.1, 0.35::DOUBLE * w), 6) END AS score

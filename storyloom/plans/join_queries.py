@@ -74,23 +74,23 @@ def duplicate_event_pairs(spark, sf_dir):
     return So.duplicate_event_pairs(sets(spark, sf_dir), GENERIC).withColumn("title_score", F.round("title_score", 6))
 
 
-EDGES = "edges AS (SELECT o_orderkey AS a, o_orderkey + o_custkey % 37 + 1 AS b FROM orders WHERE o_orderkey % 3 = 0)"
-
-
 def edges(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(k % 3 == 0).select(k.alias("a"), (k + F.col("o_custkey") % 37 + 1).alias("b"))
+    """Orders as edges between neighbouring stories: long chains, hubs, and components of all sizes."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(k.alias("a"), F.when(c % 5 < 3, k).otherwise(k + c % 37 + 1).alias("b"))
 
 
-@register("components", f"""WITH RECURSIVE {EDGES.replace('o_orderkey % 3', 'o_orderkey % 300')}, n AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
- walk(node, up) AS (SELECT a, a FROM n UNION SELECT node, b FROM walk JOIN n ON a = up) SELECT node, min(up) AS component FROM walk GROUP BY node""")
+@register("components")
 def components(spark, sf_dir):
-    return connected_components(edges(spark, sf_dir).where("a % 300 = 0"))
+    e = edges(spark, sf_dir)
+    loops = e.select(F.col("a").alias("node"))
+    comp = connected_components(e)
+    return loops.union(e.select("b")).distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 @register("pack_components")
 def pack_components(spark, sf_dir):
-    e = connected_components(edges(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max("node").cast("double").alias("score"))
+    e = components(spark, sf_dir).groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max("node").cast("double").alias("score"))
     return So.pack_components(e.withColumn("run_id", F.floor(F.col("component") / 1000)))
 
 
@@ -109,11 +109,11 @@ def pick_headline(spark, sf_dir):
     return So.pick_headline(articles(spark, sf_dir).withColumn("story_id", F.expr(STORY)))
 
 
-@register("validate_merge_sets", """WITH s AS (SELECT o_orderkey AS set_id, list_distinct(list(l_partkey % 400)) AS ids, o_custkey % 5 AS run_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 7 = 0 GROUP BY ALL),
+@register("validate_merge_sets", """WITH s AS (SELECT o_orderkey AS set_id, list_distinct(list(l_partkey % 400)) AS ids, o_custkey % 5 AS run_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
  i AS (SELECT run_id, set_id, len(ids) AS n, unnest(ids) AS id FROM s), f AS (SELECT *, min(set_id) OVER (PARTITION BY run_id, id) AS first FROM i)
  SELECT run_id, set_id, max(n) BETWEEN 2 AND 4 AND count(*) FILTER (id < 390) = count(*) AND min(id // 200) = max(id // 200) AND max(first) = set_id AND min(first) = set_id AS valid FROM f GROUP BY run_id, set_id""")
 def validate_merge_sets(spark, sf_dir):
-    o, li = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"), table(spark, sf_dir, "lineitem")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     s = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderkey").alias("set_id"), (F.col("o_custkey") % 5).alias("run_id")).agg(F.collect_set(F.col("l_partkey") % 400).alias("ids"))
     known = spark.range(390).select(F.col("id").alias("node"), F.floor(F.col("id") / 200).alias("component"))
     return So.validate_merge_sets(s, known)
@@ -194,13 +194,14 @@ def watchlist_match(spark, sf_dir):
 
 
 @register("explain_movers", f"""WITH w AS (SELECT doc_id AS article_id, source, CAST(70 + 5 * (CAST(regexp_extract(source, '[0-9]+') AS INT) % 6) AS DOUBLE) / 100 AS reputation, doc_id * 37 % 4320 AS seen_at, {sql_tokens("coalesce(text, '')")} AS tk, doc_id % 3 AS causal FROM documents),
- m AS (SELECT o_orderkey AS mover_id, CASE o_custkey % 3 WHEN 0 THEN 'that' WHEN 1 THEN 'des' ELSE 'por' END AS term, o_orderkey % 4320 AS minute FROM orders WHERE o_orderkey <= 400)
- SELECT mover_id, count(article_id) AS articles, count(DISTINCT CASE WHEN causal > 0 THEN source END) AS sources, arg_max(article_id, (causal, reputation, -article_id)) AS best,
+ m AS (SELECT o_orderkey AS mover_id, CASE o_custkey % 3 WHEN 0 THEN 'that' WHEN 1 THEN 'des' ELSE 'por' END AS term, o_orderkey % 4320 AS minute FROM orders), g AS (SELECT DISTINCT term, minute FROM m),
+ h AS (SELECT term, minute, count(article_id) AS articles, count(DISTINCT CASE WHEN causal > 0 THEN source END) AS sources, arg_max(article_id, (causal, reputation, -article_id)) AS best,
   CASE WHEN count(DISTINCT CASE WHEN causal > 0 THEN source END) >= 2 THEN 'high' WHEN count(DISTINCT CASE WHEN causal > 0 THEN source END) = 1 THEN 'medium' ELSE 'low' END AS confidence
- FROM m LEFT JOIN w ON list_contains(tk, term) AND seen_at <= minute AND seen_at >= minute - 2880 GROUP BY mover_id""")
+ FROM g LEFT JOIN w ON list_contains(tk, term) AND seen_at <= minute AND seen_at >= minute - 2880 GROUP BY term, minute)
+ SELECT mover_id, articles, sources, best, confidence FROM m JOIN h ON m.term = h.term AND m.minute = h.minute""")
 def explain_movers(spark, sf_dir):
     d = articles(spark, sf_dir).select("article_id", "source", "reputation", "minute", T.tokenize(F.col("summary")).alias("tokens"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 400")
+    o = table(spark, sf_dir, "orders")
     m = o.select(F.col("o_orderkey").alias("mover_id"), F.when(F.col("o_custkey") % 3 == 0, "that").when(F.col("o_custkey") % 3 == 1, "des").otherwise("por").alias("term"), (F.col("o_orderkey") % 4320).alias("minute"))
     return M.explain_movers(m, d, F.col("article_id") % 3)
 
@@ -278,13 +279,36 @@ def large_moves(spark, sf_dir):
     return out.select("symbol", F.col("day").cast("string").alias("day"), F.round(F.abs("change"), 4).alias("move"))
 
 
-@register("generate_alerts", f"""WITH {PAIRED} SELECT sha1('market|' || symbol || '|' || day) AS alert_id, symbol FROM paired WHERE before <> 0 AND abs((close - before) / before * 100) >= CASE symbol % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 7.0 ELSE 8.0 END""")
+@register("generate_alerts", f"""WITH {PAIRED} SELECT sha1('market|' || symbol || '|' || printf('%.1f', (close - before) / before * 100))[1:16] AS alert_id, symbol FROM paired WHERE before <> 0 AND abs((close - before) / before * 100) >= CASE symbol % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 7.0 ELSE 8.0 END""")
 def generate_alerts(spark, sf_dir):
     p = M.close_pairs(quotes(spark, sf_dir)).withColumn("change", M.percent_change(F.col("close"), F.col("before")))
     limits = F.when(F.col("symbol") % 3 == 0, 2.0).when(F.col("symbol") % 3 == 1, 7.0).otherwise(8.0)
     return M.market_alerts(p, limits).select("alert_id", "symbol")
 
 
+STORY_KEYS = "SELECT run_id * 40 + article_id % 40 AS key, count(DISTINCT source) AS sources, arg_min(title, article_id) AS title, arg_min(summary, article_id) AS text FROM articles GROUP BY 1"
+
+
+@register("story_alerts", with_articles(f"""SELECT key, sha1('story|' || key || '|' || title)[1:16] AS alert_id, CASE WHEN sources >= 4 THEN 'high' ELSE 'medium' END AS confidence FROM ({STORY_KEYS})
+ WHERE sources >= 2 AND (sources >= 4 OR regexp_matches(lower(title || ' ' || text), '{'|'.join(M.TRIGGERS)}'))"""))
+def story_alerts(spark, sf_dir):
+    first = F.min_by(F.struct("title", F.col("summary").alias("text")), "article_id")
+    s = articles(spark, sf_dir).groupBy(F.expr(STORY).alias("key")).agg(F.count_distinct("source").alias("sources"), first.alias("f")).select("key", "sources", "f.*")
+    return M.story_alerts(s, 4).select("key", "alert_id", "confidence")
+
+
+@register("keep_movers", f"""WITH {PAIRED}, m AS (SELECT symbol, day, (close - before) / before * 100 AS change, CASE symbol % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 7.0 ELSE 8.0 END AS limit_ FROM paired WHERE before <> 0)
+ SELECT symbol, day::VARCHAR AS day, row_number() OVER (PARTITION BY day ORDER BY abs(change) DESC, symbol % 7 DESC, symbol % 5 = 0 DESC, symbol % 2 = 0 DESC, symbol) AS place FROM m WHERE abs(change) >= limit_ AND (symbol % 2 = 0 OR abs(change) / limit_ >= 1.5 OR symbol % 5 = 0)""")
+def keep_movers(spark, sf_dir):
+    """Movers that stay in the report, in its order: even symbols are surely explained, each fifth is watched."""
+    assets = spark.range(26).select(F.col("id").alias("symbol"), (F.col("id") % 3).alias("kind"))
+    limits = F.when(F.col("kind") == 0, 2.0).when(F.col("kind") == 1, 7.0).otherwise(8.0)
+    m = M.detect_movers(M.close_pairs(quotes(spark, sf_dir)), assets, limits)
+    sure, watched = F.when(F.col("symbol") % 2 == 0, "high").otherwise("low"), F.col("symbol") % 5 == 0
+    placed = M.order_movers(M.keep_movers(m, sure, watched), F.col("symbol") % 7, watched, sure)
+    return placed.select("symbol", F.col("day").cast("string").alias("day"), F.col("place").cast("long").alias("place"))
+
+
 @register("alert_cooldown", """WITH e AS (SELECT event_id, user_id % 50 AS alert_id, epoch_us(ts) // 60000000 AS minute FROM events), l AS (SELECT alert_id, max(minute) AS sent_minute FROM e WHERE event_id % 4 = 0 GROUP BY alert_id)
  SELECT event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.alert_id = e.alert_id AND e.minute - sent_minute < 180 AND sent_minute <= e.minute)""")
 def alert_cooldown(spark, sf_dir):
@@ -318,9 +342,16 @@ def schedule_articles(spark, sf_dir):
     return Sel.schedule_articles(a).withColumn("place", F.col("place").cast("long"))
 
 
+def deck(spark, sf_dir):
+    """Stories with lanes, numbers of sources and a measured importance."""
+    k = F.col("id")
+    s = single(spark, sf_dir).withColumn("lane", F.concat(F.lit("lane"), (k % 3).cast("string"))).withColumn("sources", (k % 4).cast("int")).withColumn("measured", (k * 17 % 90).cast("double"))
+    return Sel.select_deck(s)
+
+
 @register("select_deck")
 def select_deck(spark, sf_dir):
-    return Sel.select_deck(single(spark, sf_dir))
+    return deck(spark, sf_dir).where("phase <> ''").select("run_id", "id", "phase", "relaxed")
 
 
 @register("select_floor", with_articles(f""", o AS ({ONE}) SELECT run_id, category, id, row_number() OVER (PARTITION BY run_id, category ORDER BY importance DESC, reputation DESC, minute DESC, id) AS place FROM o QUALIFY place <= 2""").replace("\n, o", ", o"))
@@ -358,10 +389,10 @@ def draft_candidates(spark, sf_dir):
     return Sel.draft_candidates(a, a.where("article_id % 3 = 0").select("url"), "story_id").select("article_id")
 
 
-@register("review_sample", "SELECT stratum, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('seed' || doc_id), doc_id) AS p FROM (SELECT doc_id, source AS stratum FROM documents)) WHERE p <= 5")
+@register("review_sample", "SELECT stratum, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('seed' || doc_id), doc_id) AS p, count(*) OVER (PARTITION BY stratum) AS n, count(*) OVER () AS whole FROM (SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN 'near_miss' ELSE lang END AS stratum FROM documents)) WHERE p <= CASE WHEN n >= 0.15 * whole OR stratum = 'near_miss' THEN 5 ELSE 2 END")
 def review_sample(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    return Sel.review_sample(d, F.col("source"), "seed", 5).select("stratum", F.col("id").alias("doc_id"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return Sel.review_sample(d, F.when(F.col("id") % 40 == 0, "near_miss").otherwise(F.col("lang")), "seed").select("stratum", F.col("id").alias("doc_id"))
 
 
 @register("fit_sections", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used - 1 <= 1400")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import facts as X
 from ..functions import text as T
 from ..operators import review as R
 from ..operators import watchlist as W
 from ..sources import pages as P
 from ..sources import payloads as L
 from .adapters import QUOTES, articles, minute_of, quotes, table, with_articles
-from .text_queries import sql_list, sql_tokens
+from .text_queries import sql_ascii, sql_list, sql_tokens
 
 QUERIES, ORACLES = {}, {}
 
@@ -107,6 +108,13 @@ def filing_disposition(spark, sf_dir):
     return f.select("accession", W.filing_disposition(W.filing_is_material(F.col("form"), F.col("items")), body, meta).alias("disposition"))
 
 
+@register("ethereum_materiality", f"SELECT doc_id, doc_id % 5 = 0 OR regexp_matches(lower(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' a Hard Fork came' ELSE '' END), '{'|'.join(W.ETHEREUM_TERMS)}') AS material FROM documents")
+def ethereum_materiality(spark, sf_dir):
+    k = F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(k % 7 == 0, F.lit(" a Hard Fork came")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", W.ethereum_is_material(text, k % 5 == 0).alias("material"))
+
+
 @register("text_materiality", with_articles(f"SELECT article_id, regexp_matches(lower(summary), '{'|'.join(W.SIX_K_TERMS)}') AS official, regexp_matches(lower(summary), '{'|'.join(W.EDITORIAL_TERMS)}') AS editorial FROM articles"))
 def text_materiality(spark, sf_dir):
     a = articles(spark, sf_dir)
@@ -172,20 +180,41 @@ def wilson(spark, sf_dir):
     return g.select("lang", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@register("gate_state", """SELECT source, CASE WHEN n < 20 THEN 'MEASURING' WHEN len(r) = 0 THEN 'PASS' ELSE 'FAIL' END AS state, array_to_string(r, ',') AS reasons FROM (SELECT *, list_filter([CASE WHEN w > 0.02 * n THEN 'wrong_articles' END, CASE WHEN c < n THEN 'uncovered_filings' END, CASE WHEN m > 0.05 * n THEN 'missed' END], lambda x: x IS NOT NULL) AS r
- FROM (SELECT source, count(*) AS n, count(*) FILTER (lang = 'es') // 10 AS w, count(text) - doc0 AS c, count(*) FILTER (lang = 'de') // 5 AS m FROM (SELECT *, CASE WHEN source = 'src1' THEN 1 ELSE 0 END AS doc0 FROM documents) GROUP BY source, doc0))""")
-def gate_state(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count(F.lit(1)).alias("filings"), F.count(F.lit(1)).alias("articles"), F.count(F.lit(1)).alias("days"), F.floor(F.count_if(F.col("lang") == "es") / 10).alias("wrong"),
-        (F.count("text") - F.when(F.col("source") == "src1", 1).otherwise(0)).alias("covered"), F.floor(F.count_if(F.col("lang") == "de") / 5).alias("missed"),
-    )
-    return R.gate_state(d).select("source", "state", F.array_join("reasons", ",").alias("reasons"))
+_GATE = """k AS (SELECT doc_id, source, lang, ((doc_id * 7919 + 13) % 1000)::INT AS r FROM documents), d AS (SELECT source, count(*) AS evaluated_ticker_days, count(*) FILTER (r < 20) AS required_source_failures, sum(r % 5) AS eligible_filings,
+  sum(r % 5 - CASE WHEN r = 7 THEN 1 ELSE 0 END) AS processed_filings, sum(r % 3) AS expected_catchup_filings, sum(CASE WHEN r = 500 THEN 0 ELSE r % 3 END) AS processed_catchup_filings FROM k GROUP BY source),
+ a AS (SELECT source, count(*) FILTER (doc_id % 3 = 0) AS relationship_claims, count(*) FILTER (doc_id % 3 = 0 AND r < 40) AS false_relationship_claims, count(*) FILTER (doc_id % 3 = 1) AS rendered_stories_reviewed,
+  count(*) FILTER (doc_id % 3 = 1 AND r < 45) AS irrelevant_stories, count(*) FILTER (doc_id % 3 = 2 AND r = 3) AS confirmed_duplicate_events FROM k GROUP BY source),
+ b AS (SELECT source, count(*) AS independent_non_filing_events, count(*) FILTER (r % 10 < 8 OR r >= 500) AS found_non_filing_events FROM k WHERE lang <> 'fr' GROUP BY source),
+ g AS (SELECT source, evaluated_ticker_days, required_source_failures, eligible_filings, processed_filings, expected_catchup_filings, processed_catchup_filings, relationship_claims, false_relationship_claims, rendered_stories_reviewed, irrelevant_stories, confirmed_duplicate_events,
+  coalesce(independent_non_filing_events, 0) AS independent_non_filing_events, coalesce(found_non_filing_events, 0) AS found_non_filing_events FROM d JOIN a USING (source) LEFT JOIN b USING (source))"""
 
 
-@register("gate_metrics", "SELECT event_type, count(*) AS n, count(*) FILTER (CAST(props ->> '$.k' AS INT) % 2 = 0) AS even, CAST(sum(CAST(props ->> '$.k' AS INT)) AS BIGINT) AS total FROM events GROUP BY event_type")
+def gate_tables(spark, sf_dir):
+    """A source's documents as diagnostics, adjudications and benchmark events."""
+    k, r = F.col("doc_id"), F.col("r")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", ((k * 7919 + 13) % 1000).cast("int").alias("r"))
+    done = F.to_json(F.struct(
+        (r % 5).alias("eligible_filings"), (r % 5 - (r == 7).cast("int")).alias("processed_filings"), (r % 3).alias("expected_catchup_filings"), F.when(r != 500, r % 3).alias("processed_catchup_filings"),
+    ))
+    diagnostics = d.select("source", F.when(r < 20, "FAILED").otherwise("OK").alias("state"), done.alias("json"))
+    subject = F.when(k % 3 == 0, "relationship_claim").when(k % 3 == 1, "rendered_story").otherwise("duplicate_event")
+    verdict = F.when(k % 3 == 0, F.when(r < 40, "incorrect").otherwise("correct")).when(k % 3 == 1, F.when(r < 45, "irrelevant").otherwise("relevant")).otherwise(F.when(r == 3, "duplicate").otherwise("distinct"))
+    events = d.select("source", F.when(F.col("lang") == "fr", "minor").otherwise("material").alias("verdict"), ((r % 10 < 8) | (r >= 500)).alias("found"))
+    return diagnostics, d.select("source", subject.alias("subject"), verdict.alias("verdict")), events
+
+
+@register("gate_metrics", f"WITH {_GATE} SELECT * FROM g")
 def gate_metrics(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(k % 2 == 0).alias("even"), F.sum(k).alias("total"))
+    return R.gate_metrics(*gate_tables(spark, sf_dir), "source")
+
+
+@register("gate_state", f"""WITH {_GATE}, x AS (SELECT *, list_filter([CASE WHEN independent_non_filing_events < 20 THEN 'insufficient_non_filing_events' END, CASE WHEN relationship_claims < 20 THEN 'insufficient_relationship_claims' END, CASE WHEN rendered_stories_reviewed < 20 THEN 'insufficient_rendered_stories' END], lambda v: v IS NOT NULL) AS few,
+ list_filter([CASE WHEN required_source_failures > 0.02 * evaluated_ticker_days THEN 'required_source_retrieval' END, CASE WHEN processed_filings <> eligible_filings THEN 'eligible_filing_processing' END, CASE WHEN processed_catchup_filings <> expected_catchup_filings THEN 'filing_catchup' END,
+  CASE WHEN false_relationship_claims > 0.05 * relationship_claims THEN 'relationship_accuracy' END, CASE WHEN confirmed_duplicate_events > 0 THEN 'same_event_duplicates' END, CASE WHEN irrelevant_stories > 0.05 * rendered_stories_reviewed THEN 'story_relevance' END,
+  CASE WHEN found_non_filing_events < 0.8 * independent_non_filing_events THEN 'non_filing_recall' END], lambda v: v IS NOT NULL) AS bad FROM g)
+ SELECT source, CASE WHEN len(few) > 0 THEN 'MEASURING' WHEN len(bad) = 0 THEN 'PASS' ELSE 'FAIL' END AS state, array_to_string(CASE WHEN len(few) > 0 THEN few ELSE bad END, ',') AS reasons FROM x""")
+def gate_state(spark, sf_dir):
+    return R.gate_state(gate_metrics(spark, sf_dir)).select("source", "state", F.array_join("reasons", ",").alias("reasons"))
 
 
 @register("build_batches", with_articles("SELECT run_id, floor((p - 1) / 40)::BIGINT AS batch, count(*) AS n, md5(string_agg(title, '|' ORDER BY p)) AS digest FROM (SELECT run_id, title, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS p FROM articles) GROUP BY 1, 2"))
@@ -227,13 +256,26 @@ def stage_costs(spark, sf_dir):
     return R.stage_costs(c).withColumn("cost", F.round("cost", 4))
 
 
-@register("fidelity_guard", """WITH t AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '[0-9]+') AS b FROM documents), u AS (SELECT id, b, list_filter(b, lambda x, i: i % 3 <> 0) AS a FROM t)
- SELECT id, len(b) - len(a) AS lost, 0::BIGINT AS added FROM u""")
+_FACTS = "len(regexp_extract_all({t}, '(?i)[+-]?\\s*[$]?\\s*[+-]?\\s*(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?)')) + len(regexp_extract_all(lower({t}), '\\b(" + "|".join(X.DATES).replace("{2}", "{{2}}") + ")\\b'))"
+_ANCHORS = "(" + " + ".join("len(regexp_extract_all(lower(t), '\\b(" + "|".join(w).replace("'", "''") + ")\\b'))" for w in (X.NEGATIONS, X.MODALS, X.ATTRIBUTIONS, X.CAUSES)) + ")"
+_NAMES = "len(list_filter(list_distinct(regexp_extract_all(t, '\\b([A-Z][A-Za-z''.-]*)\\b', 1)), lambda w: NOT list_contains(" + sql_list(X.ENTITY_WORDS) + ", w)))"
+
+
+@register("fidelity_guard", f"""WITH s AS (SELECT doc_id, doc_id % 4 AS k, {sql_ascii("coalesce(text, '')")} AS t FROM documents), c AS (SELECT *, {_FACTS.format(t='t')} AS facts, {_FACTS.format(t="regexp_replace(t, '[0-9]', '', 'g')")} AS words, {_ANCHORS} AS anchors, {_NAMES} AS names FROM s),
+ r AS (SELECT doc_id AS id, CASE k WHEN 1 THEN facts - words WHEN 3 THEN facts ELSE 0 END AS missing, CASE WHEN k = 2 THEN 1 ELSE 0 END AS added, CASE WHEN k = 3 THEN anchors ELSE 0 END AS missing_anchors, 0 AS added_anchors, CASE WHEN k IN (2, 3) THEN names ELSE 0 END AS dropped_entities FROM c)
+ SELECT *, missing + added + missing_anchors + dropped_entities = 0 AS passed FROM r""")
 def fidelity_guard(spark, sf_dir):
-    """Every third figure dropped by a rewrite."""
-    b = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([0-9]+)"))
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), b.alias("before"))
-    return R.token_difference(t.withColumn("after", F.filter("before", lambda x, i: (i + 1) % 3 != 0)))
+    """Rewrites that keep all, lose their digits, lose their capitals but gain a figure, or say nothing."""
+    k, t = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    after = F.when(k == 0, t).when(k == 1, F.regexp_replace(t, "[0-9]", "")).when(k == 2, F.concat(F.lower(t), F.lit(" _ 987654321.25"))).otherwise("")
+    return R.fidelity_guard(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.alias("before"), after.alias("after")))
+
+
+@register("guard_result", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderkey % 4 = 0 THEN 'warning' WHEN o_orderstatus = 'O' THEN 'passed' ELSE 'not_run' END AS result FROM orders")
+def guard_result(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "kept_original_guard_failed").when(F.col("o_orderstatus") == "O", "compressed").otherwise("skipped_short")
+    return o.select("o_orderkey", R.guard_result(status, F.col("o_orderkey") % 4 == 0).alias("result"))
 
 
 @register("rewrite_audit", """SELECT disposition, count(*) AS n FROM (SELECT CASE WHEN w < 40 THEN 'skipped_short' WHEN doc_id % 7 = 0 THEN 'fallback' WHEN doc_id % 5 = 0 OR w // 2 < 20 THEN 'guard_failed' WHEN doc_id % 11 = 0 THEN 'no_gain' ELSE 'compressed' END AS disposition

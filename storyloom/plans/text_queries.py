@@ -47,13 +47,23 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("text"))
 
 
-@register("clean_title", with_articles("SELECT article_id, CASE WHEN article_id % 2 = 0 THEN title ELSE title END AS title FROM articles"))
+@register("clean_title", with_articles("SELECT article_id, title FROM articles"))
 def clean_title(spark, sf_dir):
-    a = articles(spark, sf_dir)
-    branded = F.when(F.col("article_id") % 2 == 0, F.concat("title", F.lit("  - "), "source")).otherwise(F.col("title"))
+    """Titles that end in their source, or are written in full-width letters, come back as they were."""
+    a, k = articles(spark, sf_dir), F.col("article_id")
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    wide = F.translate("title", letters, "".join(chr(ord(c) + 0xFEE0) for c in letters))
+    branded = F.when(k % 3 == 0, F.concat("title", F.lit("  - "), "source")).when(k % 3 == 1, F.concat(wide, F.lit(" \t "))).otherwise(F.col("title"))
     return a.select("article_id", T.clean_title(branded, F.col("source")).alias("title"))
 
 
+@register("html_to_text", """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(
+ regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'),
+ '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages""")
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
 @register("title_spam_filter", with_articles("""SELECT article_id FROM articles, (SELECT 1) WHERE NOT (length(summary) > 320
  OR length(summary) - length(regexp_replace(summary, '[！-～]', '', 'g')) >= 8 OR regexp_matches(summary, '<[A-Za-z/][^>]*$')
  OR regexp_matches(lower(summary), '(watch|stream)[a-z ]* (free|online|live stream)'))"""))
