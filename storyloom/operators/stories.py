@@ -1,13 +1,17 @@
-"""Similarity join, story clustering and duplicate-event merging. Articles are compared within their edition, whose size
-does not grow with the data."""
+"""Similarity join, story clustering and duplicate-event merging.
 
+The joins compare all articles of a table. Articles with equal sets are one class, whose times are kept as a list, so that
+copies never meet each other; classes meet by the rarer of their tokens or entities only, which any pair at the threshold
+must share. The sequential leader rule works an edition at a time.
+"""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import connected_components
+from ..session import cut
+from .graph import connected_components, respread
 
 THRESHOLD, HOURS = 0.43, 24
 
@@ -21,43 +25,78 @@ def with_sets(articles: DataFrame) -> DataFrame:
     )
 
 
+def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members) of :func:`with_sets`: (id, tokens, entities, events, minutes) for each different triple of sets,
+    named by its least article, and (article_id, id). Articles without title tokens, which equal sets do not make alike,
+    are each a class."""
+    names = ("tokens", "entities", "events")
+    own = sets.select("article_id", "minute", *[F.array_sort(c).alias(c) for c in names])
+    parts = [F.array_join(c, " ") for c in names] + [F.when(F.size("tokens") == 0, F.col("article_id").cast("string")).otherwise("")]
+    keyed = cut(own.withColumn("key", F.sha2(F.concat_ws("|", *parts), 256)), "sets")
+    same = keyed.groupBy("key").agg(F.min("article_id").alias("id"), F.collect_set("minute").alias("minutes"), *[F.first(c).alias(c) for c in names])
+    same = cut(same, "classes")
+    return same.drop("key"), keyed.select("article_id", "key").join(respread(same.select("key", "id")), "key").select("article_id", "id")
+
+
+def _hours(a: str, b: str) -> Column:
+    """Hours between the nearest times of two classes."""
+    return F.array_min(F.transform(F.col(f"{a}.minutes"), lambda x: F.array_min(F.transform(F.col(f"{b}.minutes"), lambda y: F.abs(x - y))))) / 60
+
+
 def pair_scores(a: str = "a", b: str = "b") -> tuple[Column, Column]:
-    """(title likeness, similarity) of two aliased rows; different developments of the same entities are vetoed."""
+    """(title likeness, similarity) of two aliased classes; different developments of the same entities are vetoed."""
     title = T.jaccard(F.col(f"{a}.tokens"), F.col(f"{b}.tokens"))
     entity = T.jaccard(F.col(f"{a}.entities"), F.col(f"{b}.entities"))
     event = T.jaccard(F.col(f"{a}.events"), F.col(f"{b}.events"))
-    hours = F.abs(F.col(f"{a}.minute") - F.col(f"{b}.minute")) / 60
     apart = (F.size(f"{a}.events") > 0) & (F.size(f"{b}.events") > 0) & ~F.arrays_overlap(f"{a}.events", f"{b}.events")
     other = (entity > 0) & (title < 0.32) & apart
-    score = title * 0.55 + entity * 0.2 + event * 0.15 + T.time_proximity(hours) * 0.1
+    score = title * 0.55 + entity * 0.2 + event * 0.15 + T.time_proximity(_hours(a, b)) * 0.1
     return title, F.when(other, F.least(title, F.lit(0.25))).otherwise(score)
 
 
-def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(run_id, a, b, score) of an edition's pairs at or above the threshold, a before b.
+def prefixes(rows: DataFrame, column: str, share: float) -> DataFrame:
+    """(id, k, n): of each row's set its rarest elements, as many as one of which two sets of a Jaccard similarity of
+    ``share`` must have in common, and the set's size. Elements that occur once meet nothing and are left out."""
+    each = rows.select("id", F.size(column).alias("n"), F.explode(column).alias("k"))
+    common = each.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "k")
+    ranked = each.join(respread(common), "k").withColumn("r", F.row_number().over(order))
+    return ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * share) + 1) & (F.col("df") > 1)).select("id", "k", "n")
+
 
-    Only pairs with a title token or an entity in common can reach it, so these block the join; a pair with several in
-    common is scored once.
+def _meeting(rows: DataFrame, column: str, share: float) -> DataFrame:
+    """(x, y), x below y, of rows whose prefixes meet and whose sizes allow the similarity."""
+    keyed = cut(prefixes(rows, column, share), "prefixes")
+    fits = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= share * F.greatest("a.n", "b.n"))
+    return keyed.alias("a").join(keyed.alias("b"), "k").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+
+def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, title_score, score) of the :func:`classes` at or above the threshold, a before b.
+
+    Events and time give 0.25 at most, so 0.55 times the titles' likeness and 0.2 times the entities' must make up the
+    rest: one of the two is at least that rest over 0.75.
     """
-    keyed = sets.withColumn("k", F.explode(F.array_union("tokens", "entities"))).select("run_id", "article_id", "seq", "k")
-    met = keyed.alias("a").join(keyed.alias("b"), ["run_id", "k"]).where("a.seq < b.seq").select("run_id", F.col("a.article_id").alias("x"), F.col("b.article_id").alias("y")).distinct()
-    one, two = sets.alias("a"), sets.alias("b")
-    both = met.join(one, (F.col("x") == F.col("a.article_id"))).join(two, F.col("y") == F.col("b.article_id"))
+    share = max((threshold - 0.25) / 0.75, 0.01)
+    met = _meeting(rows, "tokens", share).union(_meeting(rows, "entities", share)).distinct()
+    both = met.join(rows.alias("a"), F.col("x") == F.col("a.id")).join(rows.alias("b"), F.col("y") == F.col("b.id"))
     title, score = pair_scores()
-    return both.select(met["run_id"], F.col("x").alias("a"), F.col("y").alias("b"), title.alias("title_score"), score.alias("score")).where(F.col("score") >= threshold)
+    scored = both.select("x", "y", title.alias("title_score"), score.alias("score")).where(F.col("score") >= threshold)
+    return scored.withColumnsRenamed({"x": "a", "y": "b"})
 
 
 def story_forest(pairs: DataFrame) -> DataFrame:
-    """(run_id, article_id, prior): each article's best earlier neighbour, the edge by which it joins a story."""
-    best = F.max_by("a", F.struct("score", -F.col("a"))).alias("prior")
-    return pairs.groupBy("run_id", F.col("b").alias("article_id")).agg(best)
+    """(id, prior): each class's best earlier neighbour, the edge by which it joins a story."""
+    return pairs.groupBy(F.col("b").alias("id")).agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("prior"))
 
 
-def cluster_stories(articles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(article_id, story_id): trees of the forest, named by their first article."""
-    forest = story_forest(pairs)
-    comp = connected_components(forest, "prior", "article_id")
-    return articles.select("article_id").join(comp, F.col("article_id") == F.col("node"), "left").select("article_id", F.coalesce("component", "article_id").alias("story_id"))
+def cluster_stories(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(article_id, story_id, n_links): trees of the forest, named by their first article, and how many other classes the
+    article's is linked with."""
+    comp = connected_components(story_forest(pairs), "prior", "id")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    named = members.join(comp, F.col("id") == F.col("node"), "left").join(links, "id", "left")
+    return named.select("article_id", F.coalesce("component", "id").alias("story_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def leader_clusters(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,19 +135,22 @@ def leader_clusters(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return light.groupBy("run_id").applyInPandas(run, "article_id bigint, story_id bigint")
 
 
-def duplicate_event_pairs(sets: DataFrame, generic, hours: int = HOURS, title_least: float = 0.20) -> DataFrame:
-    """(run_id, a, b, shared, title_score): pairs within the hours that share an entity outside ``generic`` and either
-    resemble in title or share an event term, without being different developments."""
-    own = sets.withColumn("specific", F.array_except("entities", T.words_in(generic)))
-    keyed = own.withColumn("k", F.explode("specific")).select("run_id", "article_id", "minute", "k")
-    met = keyed.alias("a").join(keyed.alias("b"), ["run_id", "k"]).where((F.col("a.article_id") < F.col("b.article_id")) & (F.abs(F.col("a.minute") - F.col("b.minute")) <= 60 * hours))
-    met = met.groupBy("run_id", F.col("a.article_id").alias("x"), F.col("b.article_id").alias("y")).agg(F.count_distinct("k").alias("shared"))
-    both = met.join(own.alias("a"), F.col("x") == F.col("a.article_id")).join(own.alias("b"), F.col("y") == F.col("b.article_id"))
+def duplicate_event_pairs(rows: DataFrame, generic, hours: int = HOURS, title_least: float = 0.20) -> DataFrame:
+    """(a, b, shared, title_score): pairs of :func:`classes` within the hours that share an entity outside ``generic`` and
+    either resemble in title or share an event term, without being different developments.
+
+    They meet by the rarer of their title tokens, or by an entity and an event term that both have."""
+    own = rows.withColumn("specific", F.array_except("entities", T.words_in(generic)))
+    both_of = own.select("id", F.explode("specific").alias("entity"), "events").select("id", "entity", F.explode("events").alias("event"))
+    shared = both_of.alias("a").join(both_of.alias("b"), ["entity", "event"]).where("a.id < b.id").select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+    met = _meeting(own, "tokens", title_least).union(shared).distinct()
+    both = met.join(own.alias("a"), F.col("x") == F.col("a.id")).join(own.alias("b"), F.col("y") == F.col("b.id"))
     title, _ = pair_scores()
     overlap = F.arrays_overlap("a.events", "b.events")
     apart = (title < 0.32) & (F.size("a.events") > 0) & (F.size("b.events") > 0) & ~overlap
-    kept = both.where(((title >= title_least) | overlap) & ~apart)
-    return kept.select(met["run_id"], F.col("x").alias("a"), F.col("y").alias("b"), "shared", title.alias("title_score"))
+    common = F.size(F.array_intersect("a.specific", "b.specific"))
+    kept = both.where((common > 0) & (_hours("a", "b") <= hours) & ((title >= title_least) | overlap) & ~apart)
+    return kept.select(F.col("x").alias("a"), F.col("y").alias("b"), common.cast("long").alias("shared"), title.alias("title_score"))
 
 
 def merge_by_url(stories: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import selection as Sel
 from ..operators import state as St
 from ..operators import stories as So
 from ..operators.graph import connected_components
+from ..session import cut
 from .adapters import CATEGORIES, QUOTES, articles, minute_of, quotes, table, with_articles
 from .text_queries import sql_entities, sql_jaccard, sql_list, sql_tokens
 
@@ -29,8 +30,10 @@ def register(name: str, sql: str | None = None):
 
 SETS = f"""sets AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({sql_list(T.STOPWORDS)}, t))) AS tk,
   {sql_entities('title')} AS en, list_intersect({sql_tokens("title || ' ' || summary")}, {sql_list(T.EVENT_TERMS)}) AS ev FROM (SELECT * REPLACE (regexp_replace(title, '[|–—-]', ' ', 'g') AS title) FROM articles)),
- pairs AS (SELECT a.run_id, a.article_id AS a, b.article_id AS b, {sql_jaccard('a.tk', 'b.tk')} AS t, {sql_jaccard('a.en', 'b.en')} AS e, {sql_jaccard('a.ev', 'b.ev')} AS v, abs(a.minute - b.minute) / 60.0 AS h,
-  len(a.ev) > 0 AND len(b.ev) > 0 AND len(list_intersect(a.ev, b.ev)) = 0 AS apart, a.en AS ea, b.en AS eb, len(list_intersect(a.ev, b.ev)) > 0 AS over FROM sets a JOIN sets b ON a.run_id = b.run_id AND a.seq < b.seq),
+ classes AS (SELECT min(article_id) AS id, tk, en, ev, list_distinct(list(minute)) AS ms FROM (SELECT article_id, minute, list_sort(tk) AS tk, list_sort(en) AS en, list_sort(ev) AS ev, CASE WHEN len(tk) = 0 THEN article_id END AS own FROM sets) GROUP BY tk, en, ev, own),
+ members AS (SELECT s.article_id, c.id FROM sets s JOIN classes c ON list_sort(s.tk) = c.tk AND list_sort(s.en) = c.en AND list_sort(s.ev) = c.ev AND (len(s.tk) > 0 OR c.id = s.article_id)),
+ pairs AS (SELECT a.id AS a, b.id AS b, {sql_jaccard('a.tk', 'b.tk')} AS t, {sql_jaccard('a.en', 'b.en')} AS e, {sql_jaccard('a.ev', 'b.ev')} AS v, list_min(list_transform(a.ms, lambda x: list_min(list_transform(b.ms, lambda y: abs(x - y))))) / 60.0 AS h,
+  len(a.ev) > 0 AND len(b.ev) > 0 AND len(list_intersect(a.ev, b.ev)) = 0 AS apart, a.en AS ea, b.en AS eb, len(list_intersect(a.ev, b.ev)) > 0 AS over FROM classes a JOIN classes b ON a.id < b.id),
  scored AS (SELECT *, CASE WHEN e > 0 AND t < 0.32 AND apart THEN least(t, 0.25) ELSE t * 0.55::DOUBLE + e * 0.2::DOUBLE + v * 0.15::DOUBLE + CASE WHEN h <= 3 THEN 1.0 WHEN h <= 12 THEN 0.7 WHEN h <= 24 THEN 0.35 ELSE 0.0 END * 0.1::DOUBLE END AS s FROM pairs)"""
 
 
@@ -44,20 +47,24 @@ def sets(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return So.similar_pairs(sets(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    """(pairs, members) of all articles."""
+    rows, members = So.classes(sets(spark, sf_dir))
+    return cut(So.similar_pairs(rows).withColumn("score", F.round("score", 9)), "pairs"), members
 
 
-FOREST = ", forest AS (SELECT b AS child, arg_max(a, (round(s, 9), -a)) AS prior FROM scored WHERE s >= 0.43 GROUP BY b), walk AS (SELECT article_id AS id, article_id AS up FROM articles UNION SELECT id, prior FROM walk JOIN forest ON child = up)"
+FOREST = ", forest AS (SELECT b AS child, arg_max(a, (round(s, 9), -a)) AS prior FROM scored WHERE s >= 0.43 GROUP BY b), walk AS (SELECT id, id AS up FROM classes UNION SELECT id, prior FROM walk JOIN forest ON child = up), story AS (SELECT id, min(up) AS story_id FROM walk GROUP BY id), links AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM scored WHERE s >= 0.43 UNION ALL SELECT b FROM scored WHERE s >= 0.43) GROUP BY id)"
 
 
-@register("similar_pairs", sets_sql("SELECT run_id, a, b, round(s, 6) AS score FROM scored WHERE s >= 0.43"))
+@register("similar_pairs", sets_sql("SELECT a, b, round(s, 6) AS score FROM scored WHERE s >= 0.43"))
 def similar_pairs(spark, sf_dir):
-    return pairs(spark, sf_dir).select("run_id", "a", "b", F.round("score", 6).alias("score"))
+    """Pairs of different articles, copies standing behind the first of them (see ``cluster_stories`` for membership)."""
+    return pairs(spark, sf_dir)[0].select("a", "b", F.round("score", 6).alias("score"))
 
 
-@register("cluster_stories", sets_sql(FOREST + " SELECT id AS article_id, min(up) AS story_id FROM walk GROUP BY id"))
+@register("cluster_stories", sets_sql(FOREST + " SELECT article_id, story_id, coalesce(n, 0) AS n_links FROM members JOIN story USING (id) LEFT JOIN links USING (id)"))
 def cluster_stories(spark, sf_dir):
-    return So.cluster_stories(articles(spark, sf_dir), pairs(spark, sf_dir))
+    found, members = pairs(spark, sf_dir)
+    return So.cluster_stories(members, found)
 
 
 @register("leader_clusters")
@@ -68,10 +75,10 @@ def leader_clusters(spark, sf_dir):
 GENERIC = ("the", "of", "and", "der", "que")
 
 
-@register("duplicate_event_pairs", sets_sql(f"""SELECT run_id, a, b, len(list_filter(list_intersect(ea, eb), lambda x: NOT list_contains({sql_list(GENERIC)}, x))) AS shared, round(t, 6) AS title_score FROM pairs
+@register("duplicate_event_pairs", sets_sql(f"""SELECT a, b, len(list_filter(list_intersect(ea, eb), lambda x: NOT list_contains({sql_list(GENERIC)}, x))) AS shared, round(t, 6) AS title_score FROM pairs
  WHERE h <= 24 AND len(list_filter(list_intersect(ea, eb), lambda x: NOT list_contains({sql_list(GENERIC)}, x))) > 0 AND (t >= 0.2 OR over) AND NOT (t < 0.32 AND apart)"""))
 def duplicate_event_pairs(spark, sf_dir):
-    return So.duplicate_event_pairs(sets(spark, sf_dir), GENERIC).withColumn("title_score", F.round("title_score", 6))
+    return So.duplicate_event_pairs(So.classes(sets(spark, sf_dir))[0], GENERIC).withColumn("title_score", F.round("title_score", 6))
 
 
 def edges(spark, sf_dir):

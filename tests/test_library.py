@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import tempfile
 
 import pytest
@@ -63,9 +64,10 @@ SCHEMA = "run_id bigint, article_id bigint, seq bigint, title string, summary st
 def test_stories(spark):
     a = spark.createDataFrame([article(1, "Fed signals rate cuts as inflation cools"), article(2, "Fed signals rate cuts while inflation cools"), article(3, "Storm hits coast")], SCHEMA)
     sets = So.with_sets(a)
-    pairs = So.similar_pairs(sets)
+    rows, members = So.classes(sets)
+    pairs = So.similar_pairs(rows)
     assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
-    assert {r.article_id: r.story_id for r in So.cluster_stories(a, pairs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.article_id: r.story_id for r in So.cluster_stories(members, pairs).collect()} == {1: 1, 2: 1, 3: 3}
     assert {r.article_id: r.story_id for r in So.leader_clusters(sets).collect()} == {1: 1, 2: 1, 3: 3}
 
 
@@ -89,9 +91,66 @@ def test_running_totals_match_a_plain_sum(spark):
 def test_selection(spark):
     items = spark.createDataFrame([(1, i, i, [c]) for i, c in enumerate("aaaabbbc")] + [(1, 8, 8, ["a", "c"])], "run_id bigint, id bigint, rank bigint, tags array<string>")
     assert sorted(r.id for r in Sel.reserve_select(items, ["a", "b", "c"], 1, 4).collect()) == [0, 1, 4, 7]
-    deck = spark.createDataFrame([(1, i, c, "s", float(100 - i), 0.0, 0) for i, c in enumerate("aaaaaaabb")], "run_id bigint, id bigint, category string, source string, importance double, total double, latest bigint")
-    got = Sel.select_deck(deck, floor=2, target=6, ceiling=4, source_cap=1).collect()
-    assert sorted(r.id for r in got) == [0, 1, 2, 3, 7, 8]
+
+
+def test_deck_phases(spark):
+    """Nine stories of one category and two of another, all of one source; on a big day a sixth may enter."""
+    rows = [(1, i, c, "l0", "s", 1 + (i == 5), float(100 - i), 50.0, 0.0, 0) for i, c in enumerate("aaaaaaabb")]
+    names = "run_id bigint, id bigint, category string, lane string, source string, sources int, importance double, measured double, total double, latest bigint"
+    got = {r.id: (r.phase, r.relaxed, r.reason) for r in Sel.select_deck(spark.createDataFrame(rows, names), floor=2, target=25, ceiling=4, big_day_most=5, source_cap=1, big_day_source_cap=9).collect()}
+    assert got[0] == ("floor", False, "") and got[1] == ("floor", True, "") and got[7] == ("floor", False, "") and got[8] == ("floor", True, "")
+    assert got[2] == got[3] == ("remainder", True, "")  # over the source's cap, but the deck is short
+    assert got[4] == ("", False, "selection_category_ceiling")  # of great importance, but borne out by nothing
+    assert got[5] == ("big_day", False, "") and got[6][2] == "selection_category_ceiling"
+    small = {r.id: r.phase for r in Sel.select_deck(spark.createDataFrame(rows, names), floor=1, target=3, ceiling=4, source_cap=1).collect()}
+    assert small == {0: "floor", 7: "floor", 1: "remainder", **dict.fromkeys((2, 3, 4, 5, 6, 8), "")}
+    lanes = [(1, i, "culture", f"l{i // 3}", f"s{i}", 2, 100.0 - i, 90.0, 0.0, 0) for i in range(8)]
+    found = {r.id: r.phase for r in Sel.select_deck(spark.createDataFrame(lanes, names), floor=3, target=25, ceiling=5, big_day_most=6).collect()}
+    assert found == {0: "floor", 3: "floor", 6: "floor", 1: "remainder", 4: "remainder", 2: "big_day", 5: "", 7: ""}
+
+
+def test_global_first_against_the_rule(spark):
+    """Written out as turns over sorted lists, for random items."""
+    r = random.Random(5)
+    cats = ["a", "b", "c"]
+    items = [(1, i, r.randrange(40), sorted(r.sample(cats, r.choice([1, 1, 2])))) for i in range(60)]
+    for first, reserve, cap in ((5, 4, 12), (0, 9, 60), (20, 3, 15), (10, 8, 25)):
+        ranked = sorted(items, key=lambda x: (x[2], x[1]))
+        chosen = ranked[: min(first, cap)]
+        moved = True
+        while moved and len(chosen) < cap:
+            moved = False
+            for c in cats:
+                left = [x for x in ranked if c in x[3] and x not in chosen]
+                if sum(c in x[3] for x in chosen) < reserve and left and len(chosen) < cap:
+                    chosen.append(left[0])
+                    moved = True
+        frame = spark.createDataFrame(items, "run_id bigint, id bigint, rank bigint, tags array<string>").repartition(3)
+        assert sorted(x.id for x in Sel.global_first(frame, cats, first, reserve, cap).collect()) == sorted(x[1] for x in chosen)
+
+
+def test_lanes_votes_and_packing(spark):
+    lanes = spark.createDataFrame([(1, i, "x" if i < 5 else "y", float(-i)) for i in range(7)], "run_id bigint, id bigint, lane string, importance double")
+    assert sorted(x.id for x in Sel.select_lanes(lanes, k=4).collect()) == [0, 1, 5, 6] and sorted(x.id for x in Sel.select_lanes(lanes, k=5).collect()) == [0, 1, 2, 5, 6]
+    votes = spark.createDataFrame([(1, 1, "a", 2), (1, 1, "b", 2), (1, 2, "a", 1), (1, 2, "b", 1), (1, 3, "b", 3), (1, 3, "a", 1)], "run_id bigint, id bigint, tag string, votes bigint")
+    assert {x.id: x.category for x in Sel.vote_category_balanced(votes, ["a", "b"]).collect()} == {1: "a", 2: "b", 3: "b"}
+    comps = spark.createDataFrame([(1, 1, 30, 1.0), (1, 2, 20, 9.0), (1, 3, 10, 0.0), (1, 4, 10, 5.0)], "run_id bigint, component bigint, size bigint, score double")
+    assert {x.component: x.taken for x in So.pack_components(comps, limit=40).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_similar_pairs_meet_across_the_table(spark):
+    """Every pair of different articles, against all pairs compared one by one."""
+    r = random.Random(2)
+    words = [f"word{k}" for k in range(30)] + ["Paris Metro", "Angela Merkel", "merger", "recall"]
+    rows = [(i // 10, i, i, " ".join(r.sample(words, r.randrange(2, 7))), "", "s", 0.7, i * 97 % 4000, f"u{i}") for i in range(90)]
+    rows += [(9, 100 + i, 100 + i, rows[3][3], "", "s", 0.7, 50 * i, "u") for i in range(40)]
+    found, members = So.classes(So.with_sets(spark.createDataFrame(rows, SCHEMA)))
+    every = found.alias("a").join(found.alias("b"), F.col("a.id") < F.col("b.id"))
+    want = {(x.x, x.y) for x in every.where(So.pair_scores()[1] >= So.THRESHOLD).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()}
+    got = So.similar_pairs(found)
+    assert {(x.a, x.b) for x in got.collect()} == want and len(want) > 20
+    story = {x.article_id: x.story_id for x in So.cluster_stories(members, got).collect()}
+    assert len(story) == len(rows) and {story[100 + i] for i in range(40)} == {story[3]}
 
 
 def test_state(spark):
