@@ -4,9 +4,9 @@ The edits allowed between two lines grow with the shorter one, by :data:`BANDS`:
 24 and 3 from 72 on. Within k edits, two lines share one of the k + 1 segments of the shorter unchanged, shifted by no more
 than the edits before and after it allow. Each line's segments are indexed under a hash of their text, number and the
 line's length; each line probes the substrings of its own at those shifts, for its own length and the shorter ones that it
-may link with. Where lines meet, what is left of them without the shared segment is split and probed in the same way, and
-once more: a common beginning does not bring lines together unless they share most of the rest. Pairs that meet in the
-end are held against a bound on their character pairs, and verified with a banded bit-parallel edit distance.
+may link with. Where many lines meet, what is left of them without the shared segment is split and probed in the same way:
+a common beginning does not bring lines together unless they share a part of the rest too. Pairs that meet in the end are
+held against a bound on their character pairs, and verified with a banded bit-parallel edit distance.
 
 Equal lines are one class, so a common line is searched once. Lines are trimmed; blank lines belong to no class.
 
@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import cut, forget
+from ..session import cut
 from .bounded import BROADCAST_BYTES, KEY_BYTES, bounded_ids
 
 #: (characters, edits): lines of at least so many characters may differ by so many edits.
 BANDS = ((8, 1), (24, 2), (72, 3))
-#: How often lines that meet are split again.
-LEVELS = 2
+#: Buckets of more rows than this are split again, and how often; no pair is lost by it or without it.
+HOT, LEVELS = 32, 1
 #: What lines are trimmed of.
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -88,9 +88,10 @@ def search_rows(lines: DataFrame, bands=BANDS) -> DataFrame:
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """The rows (h, id, c, ...) whose bucket holds an index row and another line; of equal rows one."""
+    """The rows (h, id, c, ...) whose bucket holds an index row and another line, with the bucket's ``rows``; of equal rows
+    one."""
     by = Window.partitionBy("h")
-    wide = rows.withColumn("__lo", F.min("id").over(by)).withColumn("__hi", F.max("id").over(by)).withColumn("__c", F.min("c").over(by))
+    wide = rows.withColumn("__lo", F.min("id").over(by)).withColumn("__hi", F.max("id").over(by)).withColumn("__c", F.min("c").over(by)).withColumn("rows", F.count(F.lit(1)).over(by))
     return wide.where("__lo <> __hi and __c < 0").drop("__lo", "__hi", "__c").distinct()
 
 
@@ -213,8 +214,15 @@ def _named_lines(docs: DataFrame, bands) -> DataFrame:
     ids = bounded_ids(live.select("id").distinct())
     again = _firsts(lines, known).withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi")
     texts = cut(again.select("id", "key", "line", pair_sketch(F.col("line")).alias("sig")).dropDuplicates(["key"]), "texts")
+    done = []
     for _ in range(LEVELS):
-        live = cut(met(split_again(live, texts, bands)), "live")
+        hot = live.where(F.col("rows") > HOT)
+        if hot.isEmpty():
+            break
+        done.append(live.where(F.col("rows") <= HOT).select("h", "id", "c"))
+        live = cut(met(split_again(hot, texts, bands)), "split")
+    for calm in done:
+        live = live.select("h", "id", "c").union(calm)
     sketch = texts.select("id", "sig", F.length("line").alias("n"))
     ends = live.select("h", "id", (F.col("c") < 0).alias("seg")).distinct().join(sketch, "id")
     s, p = ends.where("seg").alias("s"), ends.where("not seg").alias("p")
@@ -222,7 +230,6 @@ def _named_lines(docs: DataFrame, bands) -> DataFrame:
     other = (F.col("s.id") != F.col("p.id")) & ((F.col("s.n") < F.col("p.n")) | (F.col("s.id") < F.col("p.id")))
     pairs = s.join(p, (F.col("s.h") == F.col("p.h")) & other & close).select(F.col("s.id").alias("i"), F.col("p.id").alias("j")).distinct()
     pairs = cut(pairs, "pairs")
-    forget(live)
     i, j = texts.select(F.col("id").alias("i"), F.col("key").alias("b"), F.col("line").alias("y")), texts.select(F.col("id").alias("j"), F.col("key").alias("a"), F.col("line").alias("x"))
     longer, shorter = F.when(F.length("x") >= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") >= F.length("y"), F.col("y")).otherwise(F.col("x"))
     held = pairs.join(i, "i").join(j, "j").select("a", "b", longer.alias("x"), shorter.alias("y"))
