@@ -2,20 +2,22 @@
 
 Documents with the same word sequence are one class, so copies never meet each other. In a bucket of classes that agree
 in a band, each is compared with the bucket's leader, not with all others; where that leaves more than one component in
-a bucket, others of it lead in turn, and in the end every pair of the bucket that lies in different components, and that
-shingles found in one document only do not rule out, is compared. So components are those of all pairs that share a
-band, though hardly any pairs are made.
+a bucket, others of it lead in turn. What is left in buckets of several components in the end meets by prefixes: sets of
+the wanted similarity have one of their rarest shingles in common, and of the documents that share it only those outside
+the largest component look for others. So components are those of all pairs that share a band, though hardly any pairs are
+made, and neither a hot band nor a large group is compared with itself.
 
 With 128 coordinates in 32 bands of 4, a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32, 5e-8.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and link with nothing, themselves
 included; a row with a null doc_id links with nothing; repeated rows of a doc_id give equal rows; other columns are
-ignored, whatever their names; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
+ignored, whatever their names; an empty table gives an empty result; texts are read whole, however long. Shingles are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, respread
@@ -24,7 +26,7 @@ from .bounded import bounded_ids
 from .shingles import PARITIES, full_sets, sketched
 
 COORDINATES, ROWS = 128, 4
-#: Rounds with leaders before all pairs that are left are compared.
+#: Rounds with leaders before the rest meets by prefixes.
 LEADER_ROUNDS = 3
 
 
@@ -71,6 +73,26 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
     return shared.where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
 
 
+def _prefix_pairs(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """Pairs x, y (columns doc_id, n, u, c, parity, in structs) of the documents ``left`` (doc_id, n, u, c) that lie in
+    different components and share one of the rarest shingles of both."""
+    each = sets.join(left, "doc_id").select("doc_id", "n", "c", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s"))
+    # shingles of one document come first in the order; as they meet nothing, their number is taken off the prefix
+    shared = each.join(respread(common), "s").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).withColumn("r", rank + F.col("n") - F.col("m"))
+    prefix = cut(shared.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "doc_id", "c"), "prefixes")
+    sizes = prefix.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1").select("s", "most")
+    held = prefix.join(respread(largest), "s")
+    y = held.select("s", F.col("doc_id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("most")).alias("large"))
+    x = held.where("c <> most").select("s", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
+    met = x.join(y, "s").where((F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x") < F.col("y")))).select("x", "y").distinct()
+    told = left.join(sets.select("doc_id", "parity"), "doc_id").select("doc_id", F.struct("doc_id", "n", "u", "c", "parity").alias("v"))
+    ends = met.join(told.select(F.col("doc_id").alias("x"), F.col("v").alias("vx")), "x").join(told.select(F.col("doc_id").alias("y"), F.col("v").alias("vy")), "y")
+    return ends.select(F.col("vx").alias("x"), F.col("vy").alias("y"))
+
+
 def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that hold together all that links over shared buckets would.
 
@@ -94,10 +116,10 @@ def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> Data
             x = respread(live.where(~F.col("led")).groupBy("band").agg(F.min(rank).alias("l"))).select("band", "l.*")
             pairs = live.alias("y").join(x.alias("x"), "band").where(fits)
         else:
-            told = live.join(sets.select("doc_id", "parity"), "doc_id")
+            left = cut(live.select("doc_id", "n", "u", "c").distinct(), "left")
             odd = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITIES // 64)), F.lit(0))
             near = (100 + percent) * odd <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-            pairs = told.alias("x").join(told.alias("y"), "band").where((F.col("x.doc_id") < F.col("y.doc_id")) & fits & near)
+            pairs = _prefix_pairs(sets, left, percent).where(fits & near)
         end = [f(F.col(f"x.{k}"), F.col(f"y.{k}")).alias(n) for n, f, k in (("a", F.least, "doc_id"), ("b", F.greatest, "doc_id"), ("ca", F.least, "c"), ("cb", F.greatest, "c"))]
         pairs = pairs.select(*end).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
