@@ -223,10 +223,12 @@ def stream_articles(spark, sf_dir):
     return drained(flagged, "articles").groupBy("timestamp_valid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("stream_filings", "SELECT user_id % 50 AS alert_id, max(event_id) AS latest FROM events GROUP BY 1")
+@register("stream_filings", "SELECT user_id % 50 AS alert_id, count(*) AS loaded, max(event_id) AS mark FROM events WHERE event_id >= 10 AND event_id <= 1000000000 GROUP BY 1")
 def stream_filings(spark, sf_dir):
-    """Micro-batches appended under their number, so that one that runs twice is written once; then the latest per source."""
-    out, marks = fresh_path(spark, "filings"), fresh_path(spark, "filings-checkpoint")
-    query = stream.load_incremental(stream_of(landed(spark, sf_dir)), marks, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    query.awaitTermination()
-    return spark.read.parquet(out).groupBy("alert_id").agg(F.max("event_id").alias("latest"))
+    """Filings loaded after their source's watermark; the same filings delivered again add nothing."""
+    rows, root = stream_of(landed(spark, sf_dir)), fresh_path(spark, "filings")
+    for load in ("first", "again"):
+        stream.load_after_marks(rows, root, load, "alert_id", "event_id", F.lit(10**9), F.lit(10)).awaitTermination()
+    loaded = spark.read.schema(rows.schema).parquet(f"{root}/rows").groupBy("alert_id").agg(F.count(F.lit(1)).alias("loaded"))
+    marks = spark.read.schema("alert_id bigint, mark bigint").parquet(f"{root}/marks").groupBy("alert_id").agg(F.max("mark").alias("mark"))
+    return loaded.join(marks, "alert_id").select("alert_id", "loaded", "mark")

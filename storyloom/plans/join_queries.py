@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import articles as A
 from ..operators import market as M
 from ..operators import selection as Sel
 from ..operators import state as St
@@ -158,21 +159,15 @@ def apply_history(spark, sf_dir):
 
 @register("exclude_hosts", "SELECT page_id FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS h FROM pages) WHERE NOT (h = 'example.net' OR ends_with(h, '.example.net') OR h = 'tionsh.example.com' OR ends_with(h, '.tionsh.example.com'))")
 def exclude_hosts(spark, sf_dir):
-    """Pages of other hosts than the excluded domains, by equality on the host's parent domains."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(T.host_suffixes(T.host(F.col("url")))).alias("domain"))
     bad = spark.createDataFrame([("example.net",), ("tionsh.example.com",)], "domain string")
-    hit = p.join(F.broadcast(bad), "domain", "left_semi").select("page_id").distinct()
-    return table(spark, sf_dir, "pages").select("page_id").join(hit, "page_id", "left_anti")
+    return A.without_hosts(table(spark, sf_dir, "pages").select("page_id", "url"), bad).select("page_id")
 
 
 @register("policy_join", """SELECT page_id, CASE WHEN h = 'blog.tionsh.example.com' OR ends_with(h, '.blog.tionsh.example.com') THEN 'disabled' WHEN ends_with(h, '.example.com') THEN 'article_text' WHEN ends_with(h, '.example.org') THEN 'metadata_only' ELSE 'none' END AS policy
  FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS h FROM pages)""")
 def policy_join(spark, sf_dir):
-    """The first policy whose domain is the page's host or one of its parents."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(T.host_suffixes(T.host(F.col("url")))).alias("domain"))
     rules = spark.createDataFrame([(0, "blog.tionsh.example.com", "disabled"), (1, "example.com", "article_text"), (2, "example.org", "metadata_only")], "n int, domain string, policy string")
-    best = p.join(F.broadcast(rules), "domain", "left").groupBy("page_id").agg(F.min_by("policy", "n").alias("policy"))
-    return best.select("page_id", F.coalesce("policy", F.lit("none")).alias("policy"))
+    return A.host_policy(table(spark, sf_dir, "pages"), rules)
 
 
 @register("enrichment_status", """SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'not_permitted' WHEN page_id % 7 = 0 THEN 'blocked' WHEN page_id % 11 = 0 THEN 'failed' WHEN page_id % 5 = 0 THEN 'metadata_only' WHEN length(html) < 3000 THEN 'too_thin' ELSE 'extracted' END AS status FROM pages""")
@@ -185,11 +180,12 @@ def enrichment_status(spark, sf_dir):
     return p.select("page_id", decide(policy, code, F.lit("text/html"), F.length("html"), 3000).alias("status"))
 
 
-@register("merge_enriched", with_articles("SELECT article_id, CASE WHEN article_id % 3 = 0 THEN 'enriched ' || title ELSE title END AS title FROM articles"))
+@register("merge_enriched", with_articles("SELECT article_id, CASE WHEN article_id % 3 = 0 THEN 'enriched ' || title ELSE title END AS title, CASE WHEN article_id % 6 = 0 THEN 'better' ELSE source END AS source FROM articles"))
 def merge_enriched(spark, sf_dir):
-    a = articles(spark, sf_dir).select("article_id", "url", "title")
-    better = a.where("article_id % 3 = 0").select("url", F.concat(F.lit("enriched "), "title").alias("better"))
-    return a.join(better, "url", "left").select("article_id", F.coalesce("better", "title").alias("title"))
+    """A third of the articles has an enriched version; half of these lack a source."""
+    a = articles(spark, sf_dir).select("article_id", "url", "title", "source")
+    better = a.where("article_id % 3 = 0").select("url", F.concat(F.lit("enriched "), "title").alias("title"), F.when(F.col("article_id") % 6 == 0, "better").otherwise("").alias("source"))
+    return A.merge_enriched(a, better).select("article_id", "title", "source")
 
 
 @register("watchlist_match", with_articles(f"""SELECT a.article_id, t.term FROM articles a, (SELECT unnest({sql_list(('the', 'theand', 'und', 'les que'))}) AS term) t
@@ -215,11 +211,9 @@ def explain_movers(spark, sf_dir):
 
 @register("route_discovery", with_articles("""SELECT ticker, u AS url, min(k) AS first_key FROM (SELECT article_id % 6 AS k, regexp_replace(split_part(url, '?', 1), '/+$', '') AS u FROM articles) JOIN (SELECT unnest([0, 0, 1, 2]) AS ticker, unnest([0, 3, 1, 3]) AS key) ON key = k GROUP BY ticker, u"""))
 def route_discovery(spark, sf_dir):
-    """Articles reach tickers through shared discovery keys, each url once, through the first key."""
-    a = articles(spark, sf_dir).select((F.col("article_id") % 6).cast("int").alias("key"), T.url_canonical(F.col("url")).alias("url"))
+    a = articles(spark, sf_dir).select((F.col("article_id") % 6).cast("int").alias("key"), "url")
     routes = spark.createDataFrame([(0, 0), (0, 3), (1, 1), (2, 3)], "ticker int, key int")
-    hit = a.join(F.broadcast(routes), "key")
-    return hit.groupBy("ticker", "url").agg(F.min("key").alias("first_key"))
+    return A.route_discovery(a, routes)
 
 
 @register("suppress_sent", """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 60000000 AS minute FROM events), s AS (SELECT user_id, event_type, minute AS sent_minute FROM e WHERE event_id % 10 = 0)
@@ -232,24 +226,22 @@ def suppress_sent(spark, sf_dir):
 
 @register("dedup_filing_urls", with_articles("SELECT article_id FROM articles WHERE regexp_replace(url, '/+$', '') NOT IN (SELECT regexp_replace(url, '/+$', '') FROM articles WHERE article_id % 9 = 1)"))
 def dedup_filing_urls(spark, sf_dir):
-    a = articles(spark, sf_dir).select("article_id", F.regexp_replace("url", "/+$", "").alias("u"))
-    return a.join(a.where("article_id % 9 = 1").select("u"), "u", "left_anti").select("article_id")
+    a = articles(spark, sf_dir).select("article_id", "url")
+    return A.without_filing_urls(a, a.where("article_id % 9 = 1").select("url")).select("article_id")
 
 
 @register("pending_reviews", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality IS NOT NULL) OR (doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1))")
 def pending_reviews(spark, sf_dir):
     """What lacks a quality review, or of even ids a toxic one."""
     d, lab = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
-    flags = lab.groupBy("doc_id").agg(F.count("quality").alias("q"), F.count_if(F.col("toxic") == 1).alias("t"))
-    j = d.join(flags, "doc_id", "left")
-    return j.where((F.coalesce("q", F.lit(0)) == 0) | ((F.col("doc_id") % 2 == 0) & (F.coalesce("t", F.lit(0)) == 0))).select("doc_id")
+    return A.pending_reviews(d, lab, "doc_id", F.col("quality").isNotNull(), F.col("toxic") == 1, F.col("doc_id") % 2 == 0)
 
 
 @register("match_examples", with_articles("""SELECT e.item_id, a.article_id FROM (SELECT item_id, [sha256('u' || item_id), sha256('v' || item_id)] AS hs, item_id % 5 AS day FROM benchmark) e JOIN (SELECT article_id, sha256('u' || article_id) AS h, article_id % 5 AS day FROM articles) a ON list_contains(hs, h) AND e.day = a.day"""))
 def match_examples(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 5).alias("day"), F.explode(F.array(*[F.sha2(F.concat(F.lit(c), F.col("item_id").cast("string")), 256) for c in "uv"])).alias("h"))
-    a = articles(spark, sf_dir).select("article_id", (F.col("article_id") % 5).alias("day"), F.sha2(F.concat(F.lit("u"), F.col("article_id").cast("string")), 256).alias("h"))
-    return b.join(a, ["h", "day"]).select("item_id", "article_id")
+    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 5).alias("day"), F.array(*[F.sha2(F.concat(F.lit(c), F.col("item_id").cast("string")), 256) for c in "uv"]).alias("hashes"))
+    a = articles(spark, sf_dir).select("article_id", (F.col("article_id") % 5).alias("day"), F.sha2(F.concat(F.lit("u"), F.col("article_id").cast("string")), 256).alias("hash"))
+    return A.match_examples(b, a)
 
 
 PAIRED = QUOTES + ", paired AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS before FROM quotes)"

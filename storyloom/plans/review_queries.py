@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts as X
 from ..functions import text as T
+from ..operators import articles as A
 from ..operators import review as R
 from ..operators import watchlist as W
 from ..sources import pages as P
@@ -311,10 +312,7 @@ def candidate_records(spark, sf_dir):
 
 @register("underfilled", with_articles("SELECT run_id, category, n, CASE WHEN n = 0 THEN 'no candidates' WHEN n < 30 THEN 'below floor' ELSE '' END AS reason FROM (SELECT r AS run_id, c AS category, count(article_id) AS n FROM (SELECT DISTINCT run_id AS r FROM articles) CROSS JOIN (SELECT unnest(['business_tech', 'domestic', 'global', 'culture', 'finance', 'none']) AS c) LEFT JOIN articles ON run_id = r AND list_contains(tags, c) GROUP BY 1, 2)"))
 def underfilled(spark, sf_dir):
-    a = articles(spark, sf_dir)
-    n = a.select("run_id", F.explode("tags").alias("category")).groupBy("run_id", "category").agg(F.count(F.lit(1)).alias("n"))
-    every = a.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(c) for c in ("business_tech", "domestic", "global", "culture", "finance", "none")])).alias("category"))
-    j = every.join(n, ["run_id", "category"], "left").select("run_id", "category", F.coalesce("n", F.lit(0)).alias("n"))
+    j = A.counts_by_tag(articles(spark, sf_dir), ("business_tech", "domestic", "global", "culture", "finance", "none"), ["run_id"])
     return j.withColumn("reason", F.when(F.col("n") == 0, "no candidates").when(F.col("n") < 30, "below floor").otherwise(""))
 
 

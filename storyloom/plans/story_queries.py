@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import articles as A
 from ..operators import quality as Q
 from ..operators import scoring as S
 from .adapters import CATEGORIES, articles, table, with_articles
@@ -111,10 +112,7 @@ def source_quality(spark, sf_dir):
 
 @register("source_distribution", with_articles("SELECT run_id, string_agg(source || ': ' || n, ', ' ORDER BY source) AS label, max(n) AS most FROM (SELECT run_id, source, count(*) AS n FROM articles GROUP BY ALL) GROUP BY run_id"))
 def source_distribution(spark, sf_dir):
-    n = articles(spark, sf_dir).groupBy("run_id", "source").agg(F.count(F.lit(1)).alias("n"))
-    each = F.array_sort(F.collect_list(F.struct("source", "n")))
-    label = F.array_join(F.transform(each, lambda r: F.concat(r["source"], F.lit(": "), r["n"].cast("string"))), ", ")
-    return n.groupBy("run_id").agg(label.alias("label"), F.max("n").alias("most"))
+    return A.source_counts(articles(spark, sf_dir), "run_id")
 
 
 #: Stories of the score queries: an edition's articles with the same number modulo 40.
@@ -158,9 +156,7 @@ def vote_category(spark, sf_dir):
 
 @register("hint_counts", with_articles(f"SELECT c AS category, coalesce(n, 0) AS articles FROM (SELECT unnest({sql_list(CATEGORIES + ('unclassified',))}) AS c) LEFT JOIN (SELECT unnest(tags) AS t, count(*) AS n FROM articles GROUP BY 1) ON c = t"))
 def hint_counts(spark, sf_dir):
-    n = articles(spark, sf_dir).select(F.explode("tags").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    every = spark.range(1).select(F.explode(T.words_in(CATEGORIES + ("unclassified",))).alias("category"))
-    return every.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("articles"))
+    return A.counts_by_tag(articles(spark, sf_dir), CATEGORIES + ("unclassified",)).withColumnRenamed("n", "articles")
 
 
 @register("importance_summary", f"""WITH o AS (SELECT o_orderpriority AS category, o_totalprice AS x FROM orders)

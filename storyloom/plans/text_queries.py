@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..operators import articles as A
 from .adapters import QUOTES, articles, quotes, table, with_articles
 
 QUERIES, ORACLES = {}, {}
@@ -73,15 +74,13 @@ def title_spam_filter(spark, sf_dir):
 
 @register("attribute_source", with_articles("""SELECT article_id, CASE WHEN article_id % 4 = 0 THEN source ELSE 'Feed ' || source END AS attributed FROM articles"""))
 def attribute_source(spark, sf_dir):
-    """The feed's name, unless an aggregator's entry names its source."""
     a = articles(spark, sf_dir).withColumn("feed", F.when(F.col("article_id") % 4 == 0, F.lit("Google News Top")).otherwise(F.concat(F.lit("Feed "), "source")))
-    named = F.when(F.startswith("feed", F.lit("Google News")) & (T.nonnull(F.col("source")) != ""), F.col("source")).otherwise(F.col("feed"))
-    return a.select("article_id", named.alias("attributed"))
+    return a.select("article_id", A.attributed_source(F.col("feed"), F.col("source")).alias("attributed"))
 
 
 @register("lookback", with_articles("SELECT article_id, minute FROM articles WHERE minute >= 4320 - 30 * 60"))
 def lookback(spark, sf_dir):
-    return articles(spark, sf_dir).where(F.col("minute") >= 4320 - 30 * 60).select("article_id", "minute")
+    return A.within_hours(articles(spark, sf_dir), "minute", 4320, 30).select("article_id", "minute")
 
 
 @register("parse_ts_valid", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1704067200 ELSE CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) END AS epoch, event_id % 5 <> 0 AS valid FROM events""")
