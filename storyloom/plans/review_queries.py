@@ -12,7 +12,7 @@ from ..operators import watchlist as W
 from ..sources import pages as P
 from ..sources import payloads as L
 from .adapters import QUOTES, articles, minute_of, quotes, table, with_articles
-from .text_queries import sql_ascii, sql_list, sql_tokens
+from .text_queries import sql_ascii, sql_list, sql_page_text, sql_tokens
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,7 +36,8 @@ def parse_feeds(spark, sf_dir):
     return L.parse_feeds(docs).where("error is null").select("feed_id", F.col("pos").cast("long").alias("pos"), "title", "url")
 
 
-@register("extract_pages")
+@register("extract_pages", f"""SELECT page_id, nullif(regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), '') AS canonical, body, CASE WHEN length(body) < {P.THIN} THEN 'too_thin' ELSE 'extracted' END AS status
+ FROM (SELECT page_id, html, rtrim(substr({sql_page_text("regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)")}, 1, {P.MOST_CHARS})) AS body FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))""")
 def extract_pages(spark, sf_dir):
     return P.extract_pages(table(spark, sf_dir, "pages"))
 

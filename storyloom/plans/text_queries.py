@@ -58,9 +58,15 @@ def clean_title(spark, sf_dir):
     return a.select("article_id", T.clean_title(branded, F.col("source")).alias("title"))
 
 
-@register("html_to_text", """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(
- regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'),
- '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages""")
+def sql_page_text(page: str) -> str:
+    """The page's text; the references are those that the tables hold."""
+    out = f"regexp_replace(regexp_replace({page}, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+    for ref, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&middot;", "'·'"), ("&copy;", "'©'"), ("&amp;", "'&'")):
+        out = f"replace({out}, '{ref}', {char})"
+    return f"trim(regexp_replace({out}, '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
+@register("html_to_text", f"SELECT page_id, {sql_page_text("coalesce(html, '')")} AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
