@@ -278,8 +278,11 @@ def shapes_of(pages: DataFrame) -> DataFrame:
 def skeletons(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(host, shape, skeleton) of the groups of pages (url, html) with at least two different pages, from at most
     ``sample`` of them, chosen by their digest. Copies count once."""
-    order = Window.partitionBy("host", "shape").orderBy("digest")
-    chosen = cut(shapes_of(pages).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("host", "shape", "digest"), "chosen")
+    # the first of 256 parts of a group, then of the group, so that a host with very many pages does not meet in one task
+    parted = shapes_of(pages).withColumn("part", F.substring(F.hex("digest"), 31, 2))
+    for by in (["host", "shape", "part"], ["host", "shape"]):
+        parted = parted.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("digest"))).where(F.col("n") <= sample)
+    chosen = cut(parted.select("host", "shape", "digest"), "chosen")
     few = F.broadcast(chosen) if chosen.count() * 128 <= BROADCAST_BYTES else chosen
     known = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), _digest().alias("digest"), "html")
     rows = known.join(few, ["host", "digest"]).groupBy("host", "shape", "digest").agg(F.first("html").alias("html"))
