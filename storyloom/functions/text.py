@@ -27,6 +27,11 @@ ENTITY_STOPWORDS = "AP BBC CEO CNN ETF EU Fed Friday Monday Nasdaq Reuters Satur
 RETROSPECTIVE = ("timeline", "explainer", "explained", "everything we know", "what to know", "what we know", "a look at", "recap")
 MARKET_TERMS = "stock stocks shares market nasdaq dow s&p treasury yield fed inflation rate earnings guidance crypto bitcoin".split()
 SOCIAL_TERMS = "election court ban strike war ceasefire dead killed evacuation health school hospital policy tariff sanction".split()
+SOURCE_NAMES = (
+    ("ap", "AP"), ("associated press", "AP"), ("ap news", "AP"), ("bloomberg", "Bloomberg"), ("cnbc", "CNBC"), ("financial times", "FT"), ("ft", "FT"), ("marketwatch", "MarketWatch"),
+    ("new york times", "NYT"), ("nytimes", "NYT"), ("npr", "NPR"), ("reuters", "Reuters"), ("reuters news", "Reuters"), ("the new york times", "NYT"), ("the wall street journal", "WSJ"),
+    ("wall street journal", "WSJ"), ("washington post", "WaPo"), ("the washington post", "WaPo"), ("wsj", "WSJ"), ("yahoo finance", "Yahoo Finance"),
+)
 FORWARD_TERMS = "expected plans will could next ahead upcoming deadline vote hearing trial earnings launch ipo".split()
 # End of fixed values.
 
@@ -207,10 +212,19 @@ def truncate(text: Column, limit: int) -> Column:
 
 
 def source_name(source: Column) -> Column:
-    """A display name: scheme, www and top-level domain out, " news" out, first letters capital."""
-    bare = F.regexp_replace(F.lower(F.trim(nonnull(source))), r"^https?://", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^www\.", ""), r"\.(com|org|net|co\.uk)(/.*)?$", "")
-    return F.initcap(F.regexp_replace(bare, " news$", ""))
+    """A display name: without scheme, www and top-level domain; the usual name of a known source, told by its whole name
+    and else by the first that it holds; otherwise without " news", words in lower case with capital first letters."""
+    flat = F.trim(F.regexp_replace(nonnull(source), r"[ \t\n\r]+", " "))
+    bare = F.regexp_replace(flat, r"(?i)^(?:https?://)?(?:www\.)?", "")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?i)\.(?:com|org|net|co|io|gov|edu)(?:/.*)?$", ""), "[-_]", " "))
+    low = F.lower(bare)
+    known = F.lit(None).cast("string")
+    for name, shown in reversed(SOURCE_NAMES):
+        known = F.when(F.contains(low, F.lit(name)), shown).otherwise(known)
+    for name, shown in SOURCE_NAMES:
+        known = F.when(low == name, shown).otherwise(known)
+    short = F.when(F.endswith(low, F.lit(" news")), F.substring(bare, F.lit(1), F.length(bare) - 5)).otherwise(bare)
+    return F.coalesce(known, F.when(short == F.lower(short), F.initcap(short)).otherwise(short))
 
 
 def issuer_name(legal: Column) -> Column:

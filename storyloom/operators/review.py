@@ -74,8 +74,11 @@ def gate_state(metrics: DataFrame, least: int = 20) -> DataFrame:
     return metrics.withColumn("state", state).withColumn("reasons", F.when(F.size(lacking) > 0, lacking).otherwise(failed))
 
 
-def build_batches(items: DataFrame, order: list[str], size: int = 40) -> DataFrame:
-    """(run_id, batch, n, payload): an edition's items in JSON arrays of at most ``size``."""
+def build_batches(items: DataFrame, order: list[str], size: int = 40, most: dict[str, int] | None = None) -> DataFrame:
+    """(run_id, batch, n, payload): an edition's items in JSON arrays of at most ``size``; texts that ``most`` names are cut
+    to so many characters."""
+    for name, chars in (most or {}).items():
+        items = items.withColumn(name, F.substring(name, 1, chars))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(*order))
     rows = items.withColumn("__p", place).withColumn("batch", F.floor((F.col("__p") - 1) / size))
     each = F.array_sort(F.collect_list(F.struct("__p", F.struct(*[c for c in items.columns if c != "run_id"]).alias("v"))))
@@ -109,15 +112,25 @@ def budget_admission(requests: DataFrame, cap: float, reserve: float) -> DataFra
     return requests.select("run_id", "seq", "cost").groupBy("run_id").applyInPandas(run, "run_id bigint, seq bigint, admitted boolean")
 
 
-def delivery_state(deliveries: DataFrame) -> DataFrame:
-    """(edition, state, full): the state of most weight among an edition's deliveries, and whether all were accepted."""
-    rank = F.when(F.col("status") == "F", 3).when(F.col("status") == "P", 2).otherwise(1)
-    return deliveries.groupBy("edition").agg(F.max_by("status", rank).alias("state"), (F.count_if(F.col("status") == "O") == F.count(F.lit(1))).alias("full"))
+def delivery_state(deliveries: DataFrame, required: DataFrame) -> DataFrame:
+    """(edition, state, covered) of deliveries (edition, recipient, state): the state of most weight, and whether every
+    recipient that the edition requires (edition, recipient) has accepted it."""
+    weight = F.array_position(F.array(*[F.lit(s) for s in ("prepared", "failed", "sending", "indeterminate", "smtp_accepted")]), F.col("state"))
+    states = deliveries.groupBy("edition").agg(F.max_by("state", weight).alias("state"))
+    accepted = deliveries.where("state = 'smtp_accepted'").select("edition", "recipient").distinct()
+    lacking = required.select("edition", "recipient").distinct().join(accepted, ["edition", "recipient"], "left_anti").select("edition", F.lit(True).alias("__lacks")).distinct()
+    return states.join(lacking, "edition", "left").select("edition", "state", F.col("__lacks").isNull().alias("covered"))
 
 
 def stage_costs(calls: DataFrame) -> DataFrame:
-    """(stage, requested, successful, fallbacks, cost) of calls (stage, ok, cost)."""
-    return calls.groupBy("stage").agg(F.count(F.lit(1)).alias("requested"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("fallbacks"), F.sum("cost").alias("cost"))
+    """(stage, requested, successful, fallbacks, reasons, cost) of calls (stage, ok, reason, cost): ``reasons`` maps each
+    reason of a fallback to how often it came up."""
+    each = calls.groupBy("stage", F.when(~F.col("ok"), F.col("reason")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"), F.sum("cost").alias("cost")
+    )
+    reasons = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", F.col("n") - F.col("ok"))))))
+    n, ok = F.sum("n"), F.sum("ok")
+    return each.groupBy("stage").agg(n.alias("requested"), ok.alias("successful"), (n - ok).alias("fallbacks"), reasons.alias("reasons"), F.sum("cost").alias("cost"))
 
 
 def token_difference(pairs: DataFrame) -> DataFrame:

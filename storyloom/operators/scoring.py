@@ -64,3 +64,30 @@ def skip_reason(existing: Column, selected: Column, penalty: Column, quality: Co
 def review_stratum(selected: Column, rejected: Column, score: Column, target: int) -> Column:
     near = max(1.0, 0.2 * target)
     return F.when(selected, "selected").when(rejected, "hard_reject").when(score >= near, "near_miss").when(score >= 0, "mid").otherwise("deep_filtered")
+
+
+def stock_mentions(articles: DataFrame, most: int = 5) -> DataFrame:
+    """(symbol, n, headlines, sources, place) of articles (seq, title, source, symbols): how many name a symbol, the first
+    headlines, the first sources by name, and the place by mentions, sources and symbol, all descending."""
+    each = articles.select("seq", "title", "source", F.explode("symbols").alias("symbol"))
+    first = F.row_number().over(Window.partitionBy("symbol").orderBy("seq"))
+    shown = F.array_sort(F.collect_list(F.when(F.col("__r") <= most, F.struct("seq", "title"))))
+    m = each.withColumn("__r", first).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.transform(shown, lambda r: r["title"]).alias("headlines"), F.slice(F.sort_array(F.collect_set("source")), 1, most).alias("sources")
+    )
+    return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.size("sources").desc(), F.desc("symbol"))))
+
+
+def feed_health(articles: DataFrame, least: int = 5, share: float = 0.6, evidence: float = 1.2, rich: int = 300) -> DataFrame:
+    """(source, n, nonempty, nonduplicate, evident, valid, permitted, rich, healthy) of recent articles (source, article_id,
+    title, summary, evidence, valid, permitted): enough of them, most with a text that is not the title and tells
+    something, all with valid times and permitted urls, and the best with a rich text."""
+    text = F.trim("summary")
+    n = F.count(F.lit(1)).cast("double")
+    best = F.max_by(F.length("summary") >= rich, F.struct("evidence", -F.col("article_id")))
+    h = articles.groupBy("source").agg(
+        n.alias("n"), (F.count_if(text != "") / n).alias("nonempty"), (F.count_if((text != "") & (F.lower(text) != F.lower(F.trim("title")))) / n).alias("nonduplicate"),
+        (F.count_if(F.col("evidence") >= evidence) / n).alias("evident"), F.bool_and("valid").alias("valid"), F.bool_and("permitted").alias("permitted"), best.alias("rich"),
+    )
+    enough = (F.col("n") >= least) & (F.col("nonempty") >= share) & (F.col("nonduplicate") >= share) & (F.col("evident") >= share)
+    return h.withColumn("healthy", enough & F.col("valid") & F.col("permitted") & F.col("rich"))

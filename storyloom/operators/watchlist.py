@@ -61,23 +61,45 @@ def filing_disposition(material: Column, body: Column, metadata: Column) -> Colu
 
 
 def classify_entities(texts: DataFrame, names: DataFrame, negatives: DataFrame) -> DataFrame:
-    """(id, ticker, name, label) of texts (id, words): the longest fresh name of a ticker that the text holds, unless it
-    holds one of the ticker's negative names. Names are (ticker, name, relationship, fresh), one word each."""
-    words = texts.select("id", F.explode("words").alias("name"))
-    bad = words.join(negatives, "name").select("id", "ticker").distinct()
-    hit = words.join(names, "name").join(bad, ["id", "ticker"], "left_anti")
+    """(id, ticker, name, label) of texts (id, text): the longest name of a ticker that the text holds, unless it holds one
+    of the ticker's negative names (ticker, name).
+
+    Names are (ticker, name, relationship, fresh, context), of one word or several, as they stand in a text of words and
+    single spaces; one with a ``context`` counts only beside that word. They meet texts by their first word.
+    """
+    flat = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(T.nonnull(F.col("text"))), F.lit(r"([\p{L}\p{N}_]+)")), " "), F.lit(" "))
+    t = texts.select("id", flat.alias("flat"))
+    words = t.select("id", "flat", F.explode(F.array_distinct(F.split(F.trim("flat"), " "))).alias("first"))
+
+    def held(rows: DataFrame) -> DataFrame:
+        first = rows.withColumn("first", F.substring_index("name", " ", 1))
+        return words.join(first, "first").where(F.contains("flat", F.concat(F.lit(" "), F.col("name"), F.lit(" "))))
+
+    bad = held(negatives).select("id", "ticker").distinct()
+    beside = F.col("context").isNull() | F.contains("flat", F.concat(F.lit(" "), F.col("context"), F.lit(" ")))
+    hit = held(names).where(beside).join(bad, ["id", "ticker"], "left_anti")
     best = hit.groupBy("id", "ticker").agg(F.max_by(F.struct("name", "relationship", "fresh"), F.struct(F.length("name"), "name")).alias("b"))
     label = F.when(~F.col("b.fresh"), "needs_review").when(F.col("b.relationship") == "issuer", "direct").otherwise("related")
     return best.select("id", "ticker", F.col("b.name").alias("name"), label.alias("label"))
 
 
 def explode_filings(payloads: DataFrame) -> DataFrame:
-    """(cik, accession, form, amended, items) of payloads (cik, json) with parallel arrays under filings.recent; payloads
-    whose required arrays differ in length have none."""
-    schema = "filings struct<recent struct<accessionNumber array<string>, form array<string>, items array<string>>>"
+    """(cik, accession, form, amended, items, filing_date, accepted_at, document, description) of payloads (cik, json) with
+    parallel arrays under filings.recent. Payloads whose five required arrays are missing or differ in length have none;
+    items and descriptions of another length are left empty. Times may be ISO or digits only."""
+    required = ("accessionNumber", "filingDate", "acceptanceDateTime", "form", "primaryDocument")
+    names = (*required, "items", "primaryDocDescription")
+    schema = "filings struct<recent struct<" + ", ".join(f"{n} array<string>" for n in names) + ">>"
     p = payloads.select("cik", F.from_json("json", schema).alias("j")).select("cik", "j.filings.recent.*")
-    p = p.where(F.size("accessionNumber") == F.size("form"))
-    items = F.when(F.size("items") == F.size("form"), F.col("items")).otherwise(F.array_repeat(F.lit(""), F.size("form")))
-    rows = p.withColumn("items", items).select("cik", F.explode(F.arrays_zip("accessionNumber", "form", "items")).alias("r"))
-    split = F.filter(F.split("r.items", ", *"), lambda x: x != "")
-    return rows.select("cik", F.col("r.accessionNumber").alias("accession"), F.col("r.form").alias("form"), F.endswith("r.form", F.lit("/A")).alias("amended"), split.alias("items"))
+    for n in required:
+        p = p.where(F.size("accessionNumber") == F.size(n))
+    for n in ("items", "primaryDocDescription"):
+        p = p.withColumn(n, F.when(F.size(n) == F.size("form"), F.col(n)).otherwise(F.array_repeat(F.lit(""), F.size("form"))))
+    r = p.select("cik", F.explode(F.arrays_zip(*names)).alias("r")).select("cik", "r.*")
+    split = F.filter(F.transform(F.split(T.nonnull(F.col("items")), ","), F.trim), lambda x: x != "")
+    when = F.col("acceptanceDateTime")
+    accepted = F.coalesce(F.try_to_timestamp(F.substring(when, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(F.regexp_replace(when, "[^0-9]", ""), F.lit("yyyyMMddHHmmss")))
+    return r.select(
+        "cik", F.col("accessionNumber").alias("accession"), "form", F.endswith("form", F.lit("/A")).alias("amended"), split.alias("items"), F.try_to_date("filingDate", "yyyy-MM-dd").alias("filing_date"),
+        accepted.alias("accepted_at"), F.col("primaryDocument").alias("document"), F.trim(T.nonnull(F.col("primaryDocDescription"))).alias("description"),
+    )

@@ -40,12 +40,15 @@ def protected_facts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.figures(F.col("text"))).cast("long").alias("n"))
 
 
-ANCHORS = " + ".join("len(regexp_extract_all(t, '\\b(" + "|".join(w).replace("'", "''") + ")\\b'))" for w in (X.NEGATIONS, X.MODALS, X.ATTRIBUTIONS, X.CAUSES))
+_KINDS = (("negation", X.NEGATIONS), ("modality", X.MODALS), ("attribution", X.ATTRIBUTIONS), ("causal", X.CAUSES))
+ANCHORS = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all(t, '\\b({'|'.join(w).replace(chr(39), chr(39) * 2)})\\b'), lambda m: '{k}:' || regexp_replace(m, '\\s+', ' ', 'g'))" for k, w in _KINDS) + ")"
 
 
-@register("semantic_anchors", "SELECT doc_id, " + ANCHORS + " AS n FROM (SELECT doc_id, lower(" + sql_ascii("coalesce(text, '')") + ") AS t FROM documents)")
+@register("semantic_anchors", "SELECT doc_id, array_to_string(list_sort(" + ANCHORS + "), '|') AS anchors FROM (SELECT doc_id, lower(" + sql_ascii("coalesce(text, '') || ' They said it was not, according  to plans, due to what might come'") + ") AS t FROM documents)")
 def semantic_anchors(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.anchors(F.col("text"))).cast("long").alias("n"))
+    """Documents with a closing sentence that holds an anchor of each kind."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" They said it was not, according  to plans, due to what might come"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(X.anchors(text)), "|").alias("anchors"))
 
 
 @register("capitalized_words", "SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(t, '\\b([A-Z][A-Za-z''.-]*)\\b', 1)), lambda w: NOT list_contains(" + sql_list(X.ENTITY_WORDS) + ", w))), ' ') AS words FROM (SELECT doc_id, " + sql_ascii("coalesce(text, '')") + " AS t FROM documents)")

@@ -67,7 +67,7 @@ def read_quotes_json(spark, sf_dir):
     return doc.select("symbol", L.quote_from_chart(F.col("json")).alias("q")).select("symbol", "q.latest", F.col("q.previous").alias("previous"))
 
 
-FILINGS = """f AS (SELECT o_custkey AS cik, o_orderkey AS accession, CASE o_orderkey % 5 WHEN 0 THEN '8-K' WHEN 1 THEN '8-K/A' WHEN 2 THEN '10-Q' WHEN 3 THEN '6-K' ELSE 'S-1' END AS form,
+FILINGS = """f AS (SELECT o_orderdate AS filed, o_custkey AS cik, o_orderkey AS accession, CASE o_orderkey % 5 WHEN 0 THEN '8-K' WHEN 1 THEN '8-K/A' WHEN 2 THEN '10-Q' WHEN 3 THEN '6-K' ELSE 'S-1' END AS form,
  CASE o_orderkey % 3 WHEN 0 THEN '2.02,9.01' WHEN 1 THEN '7.01' ELSE '9.01' END AS items FROM orders)"""
 
 
@@ -76,15 +76,19 @@ def filings(spark, sf_dir):
     k = F.col("o_orderkey")
     form = F.when(k % 5 == 0, "8-K").when(k % 5 == 1, "8-K/A").when(k % 5 == 2, "10-Q").when(k % 5 == 3, "6-K").otherwise("S-1")
     items = F.when(k % 3 == 0, "2.02,9.01").when(k % 3 == 1, "7.01").otherwise("9.01")
-    rows = F.array_sort(F.collect_list(F.struct(k.cast("string").alias("a"), form.alias("f"), items.alias("i"))))
-    recent = F.struct(F.transform("r", lambda x: x["a"]).alias("accessionNumber"), F.transform("r", lambda x: x["f"]).alias("form"), F.transform("r", lambda x: x["i"]).alias("items"))
+    rows = F.array_sort(F.collect_list(F.struct(k.cast("string").alias("a"), form.alias("f"), items.alias("i"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))))
+    recent = F.struct(
+        F.transform("r", lambda x: x["a"]).alias("accessionNumber"), F.transform("r", lambda x: x["f"]).alias("form"), F.transform("r", lambda x: x["i"]).alias("items"), F.transform("r", lambda x: x["d"]).alias("filingDate"),
+        F.transform("r", lambda x: F.concat(x["d"], F.when(F.length(x["a"]) % 2 == 0, "T08:30:00.000Z").otherwise("083000"))).alias("acceptanceDateTime"), F.transform("r", lambda x: F.concat(x["a"], F.lit(".htm"))).alias("primaryDocument"),
+    )
     p = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cik")).agg(rows.alias("r"))
     return W.explode_filings(p.select("cik", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("json")))
 
 
-@register("explode_filings", f"WITH {FILINGS} SELECT cik, CAST(accession AS VARCHAR) AS accession, form, ends_with(form, '/A') AS amended, len(string_split(items, ',')) AS items FROM f")
+@register("explode_filings", f"WITH {FILINGS} SELECT cik, CAST(accession AS VARCHAR) AS accession, form, ends_with(form, '/A') AS amended, len(string_split(items, ',')) AS items, strftime(filed, '%Y-%m-%d') AS filing_date, strftime(filed, '%Y-%m-%d') || ' 08:30' AS accepted, accession || '.htm' AS document FROM f")
 def explode_filings(spark, sf_dir):
-    return filings(spark, sf_dir).withColumn("items", F.size("items").cast("long"))
+    f = filings(spark, sf_dir).withColumn("items", F.size("items").cast("long"))
+    return f.withColumn("filing_date", F.date_format("filing_date", "yyyy-MM-dd")).withColumn("accepted", F.date_format("accepted_at", "yyyy-MM-dd HH:mm")).drop("accepted_at", "description")
 
 
 @register("supported_filings", f"WITH {FILINGS} SELECT cik, count(*) FILTER (form IN ('8-K', '8-K/A', '10-Q', '6-K')) AS supported, array_to_string(list_sort(list_distinct(list(form))), ',') AS observed FROM f GROUP BY cik")
@@ -123,13 +127,19 @@ def text_materiality(spark, sf_dir):
     return a.select("article_id", W.text_is_material(F.col("summary")).alias("official"), W.text_is_material(F.col("summary"), W.EDITORIAL_TERMS).alias("editorial"))
 
 
-@register("entity_classify", f"""WITH d AS (SELECT doc_id AS id, {sql_tokens("coalesce(text, '')")} AS tk FROM documents), n AS (SELECT * FROM (VALUES ('A', 'that', 'issuer', true), ('A', 'this', 'brand', true), ('B', 'los', 'issuer', false), ('B', 'des', 'brand', true)) t(ticker, name, rel, fresh))
- SELECT id, ticker, name, CASE WHEN NOT fresh THEN 'needs_review' WHEN rel = 'issuer' THEN 'direct' ELSE 'related' END AS label FROM d JOIN n ON list_contains(tk, name) WHERE NOT (ticker = 'A' AND list_contains(tk, 'are'))
- QUALIFY row_number() OVER (PARTITION BY id, ticker ORDER BY length(name) DESC, name DESC) = 1""")
+@register("entity_classify", """WITH d AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' Acme Steel, of Ohio' WHEN 1 THEN ' ACME steel works' WHEN 2 THEN ' no acme: Acme Records' ELSE '' END), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS t FROM documents),
+ n AS (SELECT * FROM (VALUES ('A', 'acme', 'brand', true, NULL), ('A', 'acme steel', 'issuer', true, NULL), ('A', 'acme steel works', 'brand', false, NULL), ('B', 'los', 'issuer', false, NULL), ('B', 'des', 'brand', true, NULL), ('C', 'that', 'issuer', true, 'ohio')) t(ticker, name, rel, fresh, context))
+ SELECT id, ticker, name, CASE WHEN NOT fresh THEN 'needs_review' WHEN rel = 'issuer' THEN 'direct' ELSE 'related' END AS label FROM d JOIN n ON contains(t, ' ' || name || ' ') AND (context IS NULL OR contains(t, ' ' || context || ' '))
+ WHERE NOT (ticker = 'A' AND contains(t, ' acme records ')) QUALIFY row_number() OVER (PARTITION BY id, ticker ORDER BY length(name) DESC, name DESC) = 1""")
 def entity_classify(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokenize(F.col("text")).alias("words"))
-    names = spark.createDataFrame([("A", "that", "issuer", True), ("A", "this", "brand", True), ("B", "los", "issuer", False), ("B", "des", "brand", True)], "ticker string, name string, relationship string, fresh boolean")
-    return W.classify_entities(d, F.broadcast(names), F.broadcast(spark.createDataFrame([("A", "are")], "ticker string, name string")))
+    """Names of several words, a stale one, a negative one, and one that counts beside another word only."""
+    note = F.lit("")
+    for i, n in enumerate((" Acme Steel, of Ohio", " ACME steel works", " no acme: Acme Records")):
+        note = F.when(F.col("doc_id") % 5 == i, n).otherwise(note)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), note).alias("text"))
+    rows = [("A", "acme", "brand", True, None), ("A", "acme steel", "issuer", True, None), ("A", "acme steel works", "brand", False, None), ("B", "los", "issuer", False, None), ("B", "des", "brand", True, None), ("C", "that", "issuer", True, "ohio")]
+    names = spark.createDataFrame(rows, "ticker string, name string, relationship string, fresh boolean, context string")
+    return W.classify_entities(d, names, spark.createDataFrame([("A", "acme records")], "ticker string, name string"))
 
 
 @register("validate_benchmark", """SELECT ticker, day, url, reason FROM (SELECT *, CASE WHEN ticker NOT IN ('t0', 't1', 't2') THEN 'ticker' WHEN url NOT LIKE 'https://%' THEN 'url' WHEN trim(text) = '' THEN 'text' WHEN day LIKE 'x%' THEN 'day' WHEN n > 1 THEN 'repeated' END AS reason
@@ -219,9 +229,9 @@ def gate_state(spark, sf_dir):
     return R.gate_state(gate_metrics(spark, sf_dir)).select("source", "state", F.array_join("reasons", ",").alias("reasons"))
 
 
-@register("build_batches", with_articles("SELECT run_id, floor((p - 1) / 40)::BIGINT AS batch, count(*) AS n, md5(string_agg(title, '|' ORDER BY p)) AS digest FROM (SELECT run_id, title, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS p FROM articles) GROUP BY 1, 2"))
+@register("build_batches", with_articles("SELECT run_id, floor((p - 1) / 40)::BIGINT AS batch, count(*) AS n, md5(string_agg(left(title, 30), '|' ORDER BY p)) AS digest FROM (SELECT run_id, title, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS p FROM articles) GROUP BY 1, 2"))
 def build_batches(spark, sf_dir):
-    b = R.build_batches(articles(spark, sf_dir).select("run_id", "seq", "title"), ["seq"])
+    b = R.build_batches(articles(spark, sf_dir).select("run_id", "seq", "title"), ["seq"], most={"title": 30})
     titles = F.transform(F.from_json("payload", "array<struct<seq bigint, title string>>"), lambda x: x["title"])
     return b.select("run_id", "batch", "n", F.md5(F.array_join(titles, "|")).alias("digest"))
 
@@ -246,16 +256,22 @@ def budget_admission(spark, sf_dir):
     return R.budget_admission(a.select("run_id", "seq", (F.length("summary") / 1000).alias("cost")), 100.0, 10.0)
 
 
-@register("delivery_state", "SELECT o_custkey AS edition, max(CASE o_orderstatus WHEN 'F' THEN '3F' WHEN 'P' THEN '2P' ELSE '1O' END)[2:] AS state, bool_and(o_orderstatus = 'O') AS full_cover FROM orders GROUP BY 1")
+@register("delivery_state", """WITH d AS (SELECT o_custkey AS edition, o_orderkey % 7 AS recipient, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'sending' ELSE 'smtp_accepted' END AS state FROM orders),
+ r AS (SELECT DISTINCT o_custkey AS edition, o_orderkey % 7 AS recipient FROM orders WHERE o_orderkey % 7 < 3)
+ SELECT edition, CASE WHEN bool_or(state = 'smtp_accepted') THEN 'smtp_accepted' WHEN bool_or(state = 'sending') THEN 'sending' ELSE 'failed' END AS state,
+ edition NOT IN (SELECT r.edition FROM r WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.edition = r.edition AND d.recipient = r.recipient AND d.state = 'smtp_accepted')) AS covered FROM d GROUP BY edition""")
 def delivery_state(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("edition"), F.col("o_orderstatus").alias("status"))
-    return R.delivery_state(o).withColumnRenamed("full", "full_cover")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("edition"), (F.col("o_orderkey") % 7).alias("recipient"), "o_orderstatus")
+    state = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "sending").otherwise("smtp_accepted")
+    return R.delivery_state(o.withColumn("state", state), o.where("recipient < 3"))
 
 
-@register("stage_costs", "SELECT l_linenumber AS stage, count(*) AS requested, count(*) FILTER (l_returnflag <> 'R') AS successful, count(*) FILTER (l_returnflag = 'R') AS fallbacks, round(sum(l_tax), 4) AS cost FROM lineitem GROUP BY 1")
+@register("stage_costs", """WITH c AS (SELECT l_linenumber AS stage, l_returnflag <> 'R' AS ok, l_shipmode AS reason, l_tax AS cost FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN 'timeout' ELSE 'invalid' END AS l_shipmode FROM (SELECT l_linenumber, l_returnflag, l_linestatus, l_tax FROM lineitem)))
+ SELECT stage, count(*) AS requested, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS fallbacks, coalesce((SELECT string_agg(reason || '=' || n, ',' ORDER BY reason) FROM (SELECT reason, count(*) AS n FROM c x WHERE x.stage = c.stage AND NOT ok GROUP BY reason)), '') AS reasons, round(sum(cost), 4) AS cost FROM c GROUP BY stage""")
 def stage_costs(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("stage"), (F.col("l_returnflag") != "R").alias("ok"), F.col("l_tax").alias("cost"))
-    return R.stage_costs(c).withColumn("cost", F.round("cost", 4))
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("stage"), (F.col("l_returnflag") != "R").alias("ok"), F.when(F.col("l_linestatus") == "F", "timeout").otherwise("invalid").alias("reason"), F.col("l_tax").alias("cost"))
+    each = F.transform(F.map_entries("reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return R.stage_costs(c).withColumn("cost", F.round("cost", 4)).withColumn("reasons", F.array_join(each, ","))
 
 
 _FACTS = "len(regexp_extract_all({t}, '(?i)[+-]?\\s*[$]?\\s*[+-]?\\s*(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?)')) + len(regexp_extract_all(lower({t}), '\\b(" + "|".join(X.DATES).replace("{2}", "{{2}}") + ")\\b'))"
@@ -284,7 +300,7 @@ def guard_result(spark, sf_dir):
  FROM (SELECT doc_id, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g'), '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*')) AS w FROM documents)) GROUP BY 1""")
 def rewrite_audit(spark, sf_dir):
     k = F.col("doc_id")
-    w = F.regexp_count(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x"), F.lit("[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"))
+    w = T.word_count(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x"))
     after = F.when(k % 7 != 0, F.when(k % 11 == 0, F.col("w")).otherwise(F.floor(F.col("w") / 2)))
     d = table(spark, sf_dir, "documents").withColumn("w", w).withColumn("disposition", R.rewrite_disposition(F.col("w"), after, (k % 5 == 0).cast("int")))
     return d.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))

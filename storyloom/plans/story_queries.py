@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import facts as X
 from ..functions import text as T
 from ..operators import articles as A
 from ..operators import quality as Q
@@ -182,15 +183,22 @@ def review_stratum(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.review_stratum(k % 9 == 0, k % 10 == 0, F.col("o_totalprice") / 10000 - 12, 25).alias("stratum"))
 
 
-@register("stock_mentions", with_articles("""SELECT symbol, n, sources FROM (SELECT w AS symbol, count(*) AS n, array_to_string(list_slice(list_sort(list_distinct(list(source))), 1, 5), ',') AS sources
- FROM (SELECT source, unnest(list_distinct(regexp_extract_all(title, '[A-Z][a-z]{2,5}'))) AS w FROM articles) GROUP BY w)"""))
+_NAMED = "CASE article_id % 6 WHEN 0 THEN ['AAA'] WHEN 1 THEN ['BRK-B'] WHEN 2 THEN ['AAPL', 'XYZ'] WHEN 3 THEN ['AAA'] ELSE [] END"
+
+
+@register("stock_mentions", with_articles(f"""SELECT symbol, count(*) AS n, array_to_string(list_slice(list(title ORDER BY seq), 1, 5), '|') AS headlines, array_to_string(list_slice(list_sort(list_distinct(list(source))), 1, 5), ',') AS sources,
+ row_number() OVER (ORDER BY count(*) DESC, least(count(DISTINCT source), 5) DESC, symbol DESC) AS place FROM (SELECT seq, source, 'note ' || article_id AS title, unnest({_NAMED}) AS symbol FROM articles) GROUP BY symbol"""))
 def stock_mentions(spark, sf_dir):
-    """Symbols in titles: how often, and the first five sources by name."""
-    w = articles(spark, sf_dir).select("source", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit("([A-Z][a-z]{2,5})")))).alias("symbol"))
-    return w.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.sort_array(F.collect_set("source")), 1, 5), ",").alias("sources"))
+    notes = F.array(*[F.lit(n) for n in ("up ($AAA)", "NYSE: BRK.B climbs", "Apple and XYZ stock fall", "AAA shares", "the CEO (CEO)", "none")])
+    a = articles(spark, sf_dir).select("seq", "source", F.concat(F.lit("note "), F.col("article_id").cast("string")).alias("title"), F.get(notes, (F.col("article_id") % 6).cast("int")).alias("headline"))
+    m = S.stock_mentions(a.withColumn("symbols", X.headline_tickers(F.col("headline"))))
+    return m.select("symbol", "n", F.array_join("headlines", "|").alias("headlines"), F.array_join("sources", ",").alias("sources"), F.col("place").cast("long").alias("place"))
 
 
-@register("feed_health", with_articles("""SELECT source, n, round(nonempty / n, 6) AS nonempty, n >= 5 AND nonempty / n >= 0.6 AS healthy FROM (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (length(summary) >= 80) AS nonempty FROM articles GROUP BY source)"""))
+@register("feed_health", evidence_sql("""SELECT source, n, round(a / n, 3) AS nonempty, round(b / n, 3) AS nonduplicate, round(c / n, 3) AS evident, valid, n >= 5 AND a / n >= 0.6 AND b / n >= 0.6 AND c / n >= 0.6 AND valid AND policy AND rich AS healthy
+ FROM (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (trim(summary) <> '') AS a, count(*) FILTER (trim(summary) <> '' AND lower(trim(summary)) <> lower(trim(title))) AS b, count(*) FILTER (ev >= 1.2) AS c,
+ bool_and(article_id % 997 <> 5) AS valid, bool_and(url LIKE 'https://%') AS policy, arg_max(length(summary) >= 300, (round(ev, 6), -article_id)) AS rich FROM evidence WHERE minute >= 1000 GROUP BY source)"""))
 def feed_health(spark, sf_dir):
-    h = articles(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.length("summary") >= 80).alias("k"))
-    return h.select("source", "n", F.round(F.col("k") / F.col("n"), 6).alias("nonempty"), ((F.col("n") >= 5) & (F.col("k") / F.col("n") >= 0.6)).alias("healthy"))
+    e = evidence(spark, sf_dir).withColumn("evidence", F.round("evidence", 6)).where("minute >= 1000")
+    e = e.withColumn("valid", F.col("article_id") % 997 != 5).withColumn("permitted", F.startswith("url", F.lit("https://")))
+    return S.feed_health(e).select("source", "n", *[F.round(c, 3).alias(c) for c in ("nonempty", "nonduplicate", "evident")], "valid", "healthy")

@@ -196,9 +196,26 @@ def stable_hash(spark, sf_dir):
     return articles(spark, sf_dir).select("article_id", F.substring(F.sha1(joined), 1, 16).alias("story_hash"), F.sha2("title", 256).alias("digest"))
 
 
-@register("source_name", "SELECT page_id, upper(n[1]) || n[2:] AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')), '^https?://', ''), '^www\\.', ''), '\\.(com|org|net|co\\.uk)(/.*)?$', '') AS n FROM pages)")
+_SHOWN = " ".join(f"WHEN low = '{n}' THEN '{v}'" for n, v in T.SOURCE_NAMES) + " " + " ".join(f"WHEN contains(low, '{n}') THEN '{v}'" for n, v in T.SOURCE_NAMES)
+_FED = "CASE page_id % 7 WHEN 0 THEN 'https://www.reuters.com/world' WHEN 1 THEN 'The Washington Post' WHEN 2 THEN 'some-local_news.co' WHEN 3 THEN 'WSJ Markets' WHEN 4 THEN 'daily news' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') END"
+
+
+@register("source_name", f"""WITH s AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_FED}, '(?i)^(?:https?://)?(?:www\\.)?', ''), '(?i)\\.(?:com|org|net|co|io|gov|edu)(?:/.*)?$', ''), '[-_]', ' ', 'g')) AS bare FROM pages),
+ k AS (SELECT *, lower(bare) AS low, CASE WHEN ends_with(lower(bare), ' news') THEN left(bare, length(bare) - 5) ELSE bare END AS short FROM s)
+ SELECT page_id, CASE {_SHOWN} WHEN short = lower(short) THEN array_to_string(list_transform(string_split(short, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE short END AS name FROM k""")
 def source_name(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.source_name(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*", 0)).alias("name"))
+    k = F.col("page_id") % 7
+    fed = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*", 0)
+    for i, name in enumerate(("https://www.reuters.com/world", "The Washington Post", "some-local_news.co", "WSJ Markets", "daily news")):
+        fed = F.when(k == i, name).otherwise(fed)
+    return table(spark, sf_dir, "pages").select("page_id", T.source_name(fed).alias("name"))
+
+
+@register("issuer_name", "SELECT c_custkey, c_name AS name FROM customer")
+def issuer_name(spark, sf_dir):
+    """Customers under a legal name of one of the usual forms."""
+    forms = F.array(*[F.lit(x) for x in (" Inc.", ", Corp", " Corporation", " Ltd.", ", LLC", " plc", "")])
+    return table(spark, sf_dir, "customer").select("c_custkey", T.issuer_name(F.concat("c_name", F.get(forms, (F.col("c_custkey") % 7).cast("int")))).alias("name"))
 
 
 @register("truncate", with_articles("SELECT article_id, CASE WHEN length(trim(title)) > 40 THEN rtrim(substr(trim(title), 1, 40)) || '...' ELSE trim(title) END AS title FROM articles"))
