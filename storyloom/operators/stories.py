@@ -204,17 +204,38 @@ def pack_components(components: DataFrame, limit: int = 40) -> DataFrame:
 
 def match_history(now: DataFrame, history: DataFrame, least: float = 0.62) -> DataFrame:
     """(id, history_id, likeness): the record with the same id, else the one of the same category whose keywords are most
-    alike, at ``least`` or more. Both have (id, category, keywords)."""
-    same = now.join(history.select(F.col("id").alias("h")), F.col("id") == F.col("h")).select("id", F.col("h").alias("history_id"), F.lit(1.0).alias("likeness"))
-    rest = now.join(same.select("id"), "id", "left_anti")
-    keyed = rest.select("id", "category", F.explode("keywords").alias("k"))
-    known = history.select(F.col("id").alias("h"), "category", F.size("keywords").alias("hn"), F.explode("keywords").alias("k"))
-    common = keyed.join(known, ["category", "k"]).groupBy("id", "h", "hn").agg(F.count(F.lit(1)).alias("c"))
-    scored = common.join(rest.select("id", F.size("keywords").alias("n")), "id").withColumn("likeness", F.col("c") / (F.col("n") + F.col("hn") - F.col("c"))).where(F.col("likeness") >= least)
-    best = scored.groupBy("id").agg(F.max_by("h", F.struct("likeness", -F.col("h"))).alias("history_id"), F.max("likeness").alias("likeness"))
-    return same.unionByName(best)
+    alike, at ``least`` or more; the least id among equals. Both have (id, category, keywords).
+
+    Rows with the same keywords are looked up once, and meet records by the rarest of their keywords only."""
+    same = now.join(history.select(F.col("id").alias("h")).distinct(), F.col("id") == F.col("h")).select("id", F.col("h").alias("history_id"), F.lit(1.0).alias("likeness"))
+    words = F.array_sort(F.array_distinct(F.transform("keywords", lambda k: F.concat(T.nonnull(F.col("category")), F.lit("|"), k))))
+    rest = now.join(same.select("id"), "id", "left_anti").select("id", words.alias("k"))
+    asked = cut(rest.groupBy("k").agg(F.min("id").alias("q")), "asked")
+    known = cut(history.select("id", words.alias("k")).groupBy("k").agg(F.min("id").alias("h")), "known")
+    both = asked.select(F.struct(F.lit(0).alias("side"), F.col("q").alias("v")).alias("id"), "k").union(known.select(F.struct(F.lit(1).alias("side"), F.col("h").alias("v")).alias("id"), "k"))
+    keyed = cut(prefixes(both.withColumnRenamed("k", "set"), "set", least), "prefixes")
+    ask = keyed.where("id.side = 0").select("k", F.col("id.v").alias("q"), F.col("n").alias("qn"))
+    have = keyed.where("id.side = 1").select("k", F.col("id.v").alias("h"), F.col("n").alias("hn"))
+    met = ask.join(have, "k").where(F.least("qn", "hn") >= least * F.greatest("qn", "hn")).select("q", "h").distinct()
+    told = met.join(asked.select("q", F.col("k").alias("a")), "q").join(known.select("h", F.col("k").alias("b")), "h")
+    scored = told.select("q", "h", T.jaccard(F.col("a"), F.col("b")).alias("likeness")).where(F.col("likeness") >= least)
+    best = scored.groupBy("q").agg(F.max_by("h", F.struct("likeness", -F.col("h"))).alias("history_id"), F.max("likeness").alias("likeness"))
+    found = best.join(asked, "q").select("k", "history_id", "likeness")
+    return same.unionByName(rest.join(found, "k").select("id", "history_id", "likeness"))
 
 
 def novelty(new_sources: Column, new_keywords: Column, likeness: Column) -> Column:
     """Whether a story that is known brings news: a new source, four new keywords, or another summary."""
     return F.when((new_sources > 0) | (new_keywords >= 4) | (likeness < 0.75), "update").otherwise("stale")
+
+
+def apply_history(matched: DataFrame, update: float = 0.6, stale: float = 4.0) -> DataFrame:
+    """Stories (sources, keywords, summary, total) beside the record that they match (old_sources, old_keywords,
+    old_summary, null without one), with ``state`` (new, update or stale), the total raised or lowered by it, and the
+    reason for which a stale one is skipped."""
+    added = F.size(F.array_except("sources", "old_sources"))
+    fresh = F.size(F.array_except("keywords", "old_keywords"))
+    state = novelty(added, fresh, T.jaccard(T.tokenize(F.col("old_summary")), T.tokenize(F.col("summary"))))
+    out = matched.withColumn("state", F.when(F.col("old_sources").isNull(), "new").otherwise(state))
+    change = F.when(F.col("state") == "update", update).when(F.col("state") == "stale", -stale).otherwise(0.0)
+    return out.withColumn("total", F.col("total") + change).withColumn("skip_reason", F.when(F.col("state") == "stale", "stale/repeated from yesterday").otherwise(""))

@@ -148,13 +148,17 @@ def history_match(spark, sf_dir):
     return So.match_history(now, hist)
 
 
-@register("apply_history", with_articles(f"""SELECT article_id, CASE WHEN article_id % 4 = 0 OR len(list_filter(a, lambda x: NOT list_contains(b, x))) >= 4 OR {sql_jaccard('a', 'b')} < 0.75 THEN 'update' ELSE 'stale' END AS state
- FROM (SELECT x.article_id, {sql_tokens('x.title')} AS a, {sql_tokens('y.title')} AS b FROM articles x JOIN articles y ON y.article_id = x.article_id + 1)"""))
+@register("apply_history", with_articles(f""", s AS (SELECT x.article_id, y.article_id IS NOT NULL AS known, x.source <> y.source OR y.source IS NULL AS fresh_source, {sql_tokens('x.title')} AS a, {sql_tokens('y.title')} AS b, {sql_tokens('x.summary')} AS s, {sql_tokens('y.summary')} AS o, x.reputation
+  FROM articles x LEFT JOIN articles y ON y.article_id = x.article_id - x.article_id % 3 AND x.article_id % 4 <> 0),
+ r AS (SELECT *, CASE WHEN NOT known THEN 'new' WHEN fresh_source OR len(list_filter(a, lambda x: NOT list_contains(b, x))) >= 4 OR {sql_jaccard('s', 'o')} < 0.75 THEN 'update' ELSE 'stale' END AS state FROM s)
+ SELECT article_id, state, round(reputation + CASE state WHEN 'update' THEN 0.6 WHEN 'stale' THEN -4.0 ELSE 0 END, 6) AS total FROM r""").replace("\n, s AS", ", s AS"))
 def apply_history(spark, sf_dir):
-    a = articles(spark, sf_dir).select("article_id", T.tokenize(F.col("title")).alias("a"))
-    b = a.select((F.col("article_id") - 1).alias("article_id"), F.col("a").alias("b"))
-    fresh = F.size(F.array_except("a", "b"))
-    return a.join(b, "article_id").select("article_id", So.novelty((F.col("article_id") % 4 == 0).cast("int"), fresh, T.jaccard(F.col("a"), F.col("b"))).alias("state"))
+    """Articles beside the record of a neighbour, or of themselves."""
+    a = articles(spark, sf_dir).select("article_id", F.array("source").alias("sources"), T.tokenize(F.col("title")).alias("keywords"), "summary", F.col("reputation").alias("total"))
+    old = a.select(F.col("article_id").alias("h"), F.col("sources").alias("old_sources"), F.col("keywords").alias("old_keywords"), F.col("summary").alias("old_summary"))
+    k = F.col("article_id")
+    matched = a.join(old, (F.col("h") == k - k % 3) & (k % 4 != 0), "left")
+    return So.apply_history(matched).select("article_id", "state", F.round("total", 6).alias("total"))
 
 
 @register("exclude_hosts", "SELECT page_id FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS h FROM pages) WHERE NOT (h = 'example.net' OR ends_with(h, '.example.net') OR h = 'tionsh.example.com' OR ends_with(h, '.tionsh.example.com'))")
