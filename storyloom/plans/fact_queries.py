@@ -35,9 +35,20 @@ def extractive_summary(spark, sf_dir):
     return a.select("article_id", X.extractive_summary(F.col("title"), F.col("summary")).alias("paragraph"), X.headline(F.col("summary")).alias("headline"))
 
 
-@register("protected_facts", "SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(t, '(?i)[+-]?\\s*[$]?\\s*[+-]?\\s*(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?)')) + len(regexp_extract_all(lower(t), '\\b(" + "|".join(X.DATES) + ")\\b')) AS n FROM (SELECT doc_id, " + sql_ascii("coalesce(text, '')") + " AS t FROM documents))")
+_FACTS = " It rose +5.50% to $1,200.00 million, by 30 basis points, or 40 euros and 7 pounds, on Monday in 2024"
+_VALUE = "replace(regexp_extract(lower(m), '([0-9][0-9,.]*)', 1), ',', '')"
+_MONEY = "CASE WHEN regexp_matches(lower(m), '[$]|dollar') THEN 'usd' WHEN contains(lower(m), 'euro') THEN 'eur' WHEN contains(lower(m), 'pound') THEN 'gbp' END"
+_UNIT = "CASE WHEN regexp_matches(lower(m), '%|percent') THEN '%' WHEN regexp_matches(lower(m), 'basis|bps') THEN 'basis_points' END"
+_NORMAL = f"""concat_ws(':', coalesce({_MONEY}, 'num'), regexp_extract(lower(m), '([+-])', 1) || CASE WHEN contains({_VALUE}, '.') THEN regexp_replace(regexp_replace({_VALUE}, '0+$', ''), '\\.$', '') ELSE {_VALUE} END,
+  nullif(regexp_extract(lower(m), '(thousand|million|billion|trillion)', 1), ''), CASE WHEN {_MONEY} IS NULL THEN {_UNIT} END)"""
+
+
+@register("protected_facts", f"""SELECT doc_id, array_to_string(list_sort(list_concat(list_transform(regexp_extract_all(t, '{X.FIGURE}'), lambda m: {_NORMAL}), list_transform(regexp_extract_all(lower(t), '\\b({'|'.join(X.DATES)})\\b'), lambda d: 'date:' || d))), '|') AS facts
+ FROM (SELECT doc_id, {sql_ascii("coalesce(text, '') || '" + _FACTS + "'")} AS t FROM documents)""")
 def protected_facts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.figures(F.col("text"))).cast("long").alias("n"))
+    """Documents with a closing sentence that holds figures of each kind, and dates."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(_FACTS))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(X.figures(text)), "|").alias("facts"))
 
 
 _KINDS = (("negation", X.NEGATIONS), ("modality", X.MODALS), ("attribution", X.ATTRIBUTIONS), ("causal", X.CAUSES))
