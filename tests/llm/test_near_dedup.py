@@ -32,7 +32,7 @@ def brute(rows, width, percent):
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("width, rounds", [(4, 3), (5, 3), (4, 0), (5, 1)])
+@pytest.mark.parametrize("width, rounds", [(4, 3), (5, 3), (4, 0)])
 def test_components_match_brute_force(spark, prose, monkeypatch, width, rounds):
     monkeypatch.setattr(minhash_dedup, "LEADER_ROUNDS", rounds)
     r = random.Random(width)
