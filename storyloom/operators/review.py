@@ -173,3 +173,11 @@ def rewrite_disposition(before: Column, after: Column, lost: Column) -> Column:
     return (
         F.when(before < 40, "skipped_short").when(after.isNull(), "fallback").when((lost > 0) | (after < 20), "guard_failed").when(after >= before, "no_gain").otherwise("compressed")
     )
+
+
+def progress_notice(metrics: DataFrame, days: Column, least: int = 20) -> DataFrame:
+    """Adds ``notice``: on every seventh day of an evaluation what each of the counted reviews still lacks, otherwise
+    empty; also empty once nothing is lacking. ``days`` counts the evaluation's days."""
+    counted = (("non-filing events", "independent_non_filing_events"), ("relationship claims", "relationship_claims"), ("rendered stories", "rendered_stories_reviewed"))
+    lacks = F.array_compact(F.array(*[F.when(F.col(c) < least, F.concat((least - F.col(c)).cast("string"), F.lit(f" {name}"))) for name, c in counted]))
+    return metrics.withColumn("notice", F.when((days > 0) & (days % 7 == 0), F.array_join(lacks, ", ")).otherwise(""))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import articles as A
 from ..operators import review as R
 from ..operators import watchlist as W
+from ..session import fresh_path
 from ..sources import pages as P
 from ..sources import payloads as L
 from .adapters import QUOTES, articles, minute_of, quotes, table, with_articles
@@ -306,10 +307,18 @@ def rewrite_audit(spark, sf_dir):
     return d.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("rejection_report", "SELECT source, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM (SELECT 'src' || user_id % 20 AS source, ts FROM events WHERE event_type = 'error' OR event_id % 3 = 0) GROUP BY 1, 2")
+@register("rejection_report", """WITH e AS (SELECT event_id, CASE WHEN user_id % 20 = 3 THEN ' ' ELSE 'src' || user_id % 20 END AS source, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error' OR event_id % 3 = 0), l AS (SELECT max(CAST(ts AS DATE)) AS last FROM events)
+ SELECT source, count(*) AS n FROM e, l WHERE day <= last AND day > last - 5 AND event_id % 17 <> 0 AND trim(source) <> '' GROUP BY source""")
 def rejection_report(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where((F.col("event_type") == "error") | (F.col("event_id") % 3 == 0))
-    return e.groupBy(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source"), F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """Rejections written to dated folders of JSON, some lines of which are broken; those of the last five days."""
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max(F.to_date("ts")).cast("string")).first()[0]
+    e = e.where((F.col("event_type") == "error") | (F.col("event_id") % 3 == 0))
+    source = F.when(F.col("user_id") % 20 == 3, " ").otherwise(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")))
+    line = F.to_json(F.struct(source.alias("source"), F.col("event_id")))
+    root = fresh_path(spark, "rejections")
+    e.select(F.when(F.col("event_id") % 17 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value"), F.to_date("ts").alias("day")).write.partitionBy("day").text(root)
+    return L.read_rejections(spark, root, last, 5)
 
 
 @register("pilot_status", "SELECT o_clerk AS version, days FROM (SELECT o_orderpriority AS o_clerk, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, max((o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY 1) ORDER BY latest DESC LIMIT 1")
@@ -336,3 +345,9 @@ def underfilled(spark, sf_dir):
 @register("session_minutes", "SELECT event_id, epoch_us(ts) // 60000000 AS minute FROM events")
 def session_minutes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", minute_of(F.col("ts")).alias("minute"))
+
+
+@register("progress_notice", f"""WITH {_GATE} SELECT source, CASE WHEN evaluated_ticker_days % 7 = 0 THEN array_to_string(list_filter([CASE WHEN independent_non_filing_events < 20 THEN (20 - independent_non_filing_events) || ' non-filing events' END,
+ CASE WHEN relationship_claims < 20 THEN (20 - relationship_claims) || ' relationship claims' END, CASE WHEN rendered_stories_reviewed < 20 THEN (20 - rendered_stories_reviewed) || ' rendered stories' END], lambda v: v IS NOT NULL), ', ') ELSE '' END AS notice FROM g""")
+def progress_notice(spark, sf_dir):
+    return R.progress_notice(gate_metrics(spark, sf_dir), F.col("evaluated_ticker_days")).select("source", "notice")

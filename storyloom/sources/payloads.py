@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,14 @@ def benchmark_violations(rows: DataFrame, tickers) -> DataFrame:
         .when(F.try_to_date("day", "yyyy-MM-dd").isNull(), "day").when(F.col("twice"), "repeated")
     )
     return j.withColumn("reason", reason).where("reason is not null").select("ticker", "day", "url", "reason")
+
+
+def read_rejections(spark: SparkSession, root: str, last_day: str, days: int) -> DataFrame:
+    """(source, n): rejections by source in the dated folders (day=YYYY-MM-DD) of JSON lines below ``root``, those of the
+    ``days`` calendar days up to the last. Days are pruned by the folders' names; lines that do not parse, and blank
+    sources, are left out."""
+    lines = spark.read.schema("value string, day date").text(root)
+    end = F.lit(last_day).cast("date")
+    recent = lines.where((F.col("day") <= end) & (F.col("day") > F.date_sub(end, days)))
+    source = F.trim(F.from_json("value", "source string").getField("source"))
+    return recent.select(source.alias("source")).where("source <> ''").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
