@@ -195,6 +195,24 @@ def _firsts(lines: DataFrame, known: DataFrame) -> DataFrame:
     return joined.where(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no"))).select("key", "line")
 
 
+def _pairs(live: DataFrame, sketch: DataFrame, bands, once: bool) -> DataFrame:
+    """(i, j) of index rows and probes that meet in a bucket and whose sketches (id, sig, n) are close enough.
+
+    With ``once`` a pair is made in the least of the buckets that it meets in only; for that each row carries its line's
+    buckets, which is worth it where many lines meet again and again."""
+    rows = live.select("h", "id", (F.col("c") < 0).alias("seg")).distinct()
+    ends = rows.join(sketch, "id")
+    if once:
+        ends = ends.join(rows.groupBy("id", "seg").agg(F.collect_set("h").alias("all")), ["id", "seg"])
+    s, p = ends.where("seg").alias("s"), ends.where("not seg").alias("p")
+    close = F.bit_count(F.col("s.sig").bitwiseXOR(F.col("p.sig"))) <= 4 * edits_of(F.least("s.n", "p.n"), bands)
+    other = (F.col("s.id") != F.col("p.id")) & ((F.col("s.n") < F.col("p.n")) | (F.col("s.id") < F.col("p.id")))
+    meet = (F.col("s.h") == F.col("p.h")) & other & close
+    if once:
+        meet = meet & (F.array_min(F.array_intersect("s.all", "p.all")) == F.col("s.h"))
+    return s.join(p, meet).select(F.col("s.id").alias("i"), F.col("p.id").alias("j"))
+
+
 def near_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
     """(doc_id, line_no, n_chars, class_doc, class_line, n_links, kept) of every line that is not blank.
 
@@ -214,22 +232,17 @@ def _named_lines(docs: DataFrame, bands) -> DataFrame:
     ids = bounded_ids(live.select("id").distinct())
     again = _firsts(lines, known).withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi")
     texts = cut(again.select("id", "key", "line", pair_sketch(F.col("line")).alias("sig")).dropDuplicates(["key"]), "texts")
-    done = []
-    for _ in range(LEVELS):
-        hot = live.where(F.col("rows") > HOT)
-        if hot.isEmpty():
+    sketch = texts.select("id", "sig", F.length("line").alias("n"))
+    found = None
+    for level in range(LEVELS + 1):
+        hot = live.where(F.col("rows") > HOT) if level < LEVELS else live.limit(0)
+        calm = live.where(F.col("rows") <= HOT) if level < LEVELS else live
+        own = _pairs(calm, sketch, bands, once=level > 0)
+        found = own if found is None else found.union(own)
+        if level == LEVELS or hot.isEmpty():
             break
-        done.append(live.where(F.col("rows") <= HOT).select("h", "id", "c"))
         live = cut(met(split_again(hot, texts, bands)), "split")
-    for calm in done:
-        live = live.select("h", "id", "c").union(calm)
-    sketch = texts.select("id", "sig", F.length("line").alias("n"))
-    ends = live.select("h", "id", (F.col("c") < 0).alias("seg")).distinct().join(sketch, "id")
-    s, p = ends.where("seg").alias("s"), ends.where("not seg").alias("p")
-    close = F.bit_count(F.col("s.sig").bitwiseXOR(F.col("p.sig"))) <= 4 * edits_of(F.least("s.n", "p.n"), bands)
-    other = (F.col("s.id") != F.col("p.id")) & ((F.col("s.n") < F.col("p.n")) | (F.col("s.id") < F.col("p.id")))
-    pairs = s.join(p, (F.col("s.h") == F.col("p.h")) & other & close).select(F.col("s.id").alias("i"), F.col("p.id").alias("j")).distinct()
-    pairs = cut(pairs, "pairs")
+    pairs = cut(found.distinct(), "pairs")
     i, j = texts.select(F.col("id").alias("i"), F.col("key").alias("b"), F.col("line").alias("y")), texts.select(F.col("id").alias("j"), F.col("key").alias("a"), F.col("line").alias("x"))
     longer, shorter = F.when(F.length("x") >= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") >= F.length("y"), F.col("y")).otherwise(F.col("x"))
     held = pairs.join(i, "i").join(j, "j").select("a", "b", longer.alias("x"), shorter.alias("y"))
