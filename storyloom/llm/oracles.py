@@ -84,3 +84,11 @@ CRC = f"""WITH t AS MATERIALIZED (SELECT {_HALF} AS half), x AS (SELECT doc_id,
  c AS (SELECT doc_id, strlen(s) + 1 AS size, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(s), '..'), lambda p: ('0x' || p)::BIGINT)), lambda crc, b: {_BYTE})) AS text_crc32 FROM x, t)"""
 ORACLES["op6_sharding"] = f"""{CRC} SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard
 FROM (SELECT *, {shard_sql(8)} AS shard, {shard_sql(9)} AS grown_shard FROM c)"""
+
+_H = "('0x' || substr(h, {}, 8))::BIGINT"
+FIM = f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ c AS (SELECT *, len(u) AS n, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain, {_H.format(1)} % (len(u) + 1) AS x, {_H.format(9)} % (len(u) + 1) AS y, {_H.format(25)} % 100 < 50 AS spm FROM u),
+ p AS (SELECT doc_id, n, t, plain, spm, coalesce(array_to_string(u[1:least(x, y)], ''), '') AS p, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS m, coalesce(array_to_string(u[greatest(x, y) + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+ sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+ORACLES["op13_fim"] = FIM
