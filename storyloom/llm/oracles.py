@@ -92,3 +92,13 @@ FIM = f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(
 SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
  sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 ORACLES["op13_fim"] = FIM
+
+COLLOCATIONS = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p), m AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(m)),
+ g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM m GROUP BY ALL), t AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+ c AS (SELECT *, string_split(phrase, ' ') AS x FROM g WHERE f >= 30 AND m > 1), k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+ s AS (SELECT c.lang, c.phrase, c.f AS a, k, h.f AS l, r.f AS r, 2000000 * c.f // (h.f + r.f) AS score FROM k c JOIN g h ON h.lang = c.lang AND h.phrase = array_to_string(c.x[1:k], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.x[k + 1:], ' ')),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ z AS (SELECT DISTINCT lang, phrase FROM (SELECT q.lang, q.f, unnest(list_transform(range(2, q.m), lambda o: [o, 0])) AS o, q.x, q.m FROM c q) q JOIN LATERAL (SELECT unnest(list_transform(range(1, q.m - q.o[1] + 2), lambda i: array_to_string(q.x[i:i + q.o[1] - 1], ' '))) AS phrase) ON true JOIN c USING (lang, phrase) WHERE 100 * q.f >= 80 * c.f)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM b JOIN t USING (lang) WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM z) QUALIFY rank <= 2000"""
+ORACLES["op11_collocations"] = COLLOCATIONS

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import decontaminate, embedding_dedup, fim, html_extract, licences, line_dedup, minhash_dedup, mixing, quality, sharding, toxicity, warc
+from . import collocations, decontaminate, embedding_dedup, fim, html_extract, licences, line_dedup, minhash_dedup, mixing, quality, sharding, toxicity, warc
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -60,6 +60,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents")).drop("notices")
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
     "op12_licences": op12_licences,
     "op13_fim": op13_fim,
 }

@@ -100,3 +100,13 @@ def test_whole_table(spark):
     wanted = [by_rule(r.doc_id, r.text)[:7] for r in docs.select("doc_id", "text").collect()]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
     assert {r.form for r in got.groupBy("form").agg(F.count("*")).collect()} >= {"spm", "psm"}
+
+
+def test_matches_sql(spark):
+    from oracle import difference
+
+    from storyloom.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    for name in ("op11_collocations", "op13_fim"):
+        assert difference(queries.QUERIES[name](spark, sf), queries.ORACLES[name], sf) is None, name
