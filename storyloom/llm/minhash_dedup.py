@@ -17,7 +17,7 @@ compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, respread
@@ -74,23 +74,42 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
 
 
 def _prefix_pairs(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
-    """Pairs x, y (columns doc_id, n, u, c, parity, in structs) of the documents ``left`` (doc_id, n, u, c) that lie in
-    different components and share one of the rarest shingles of both."""
-    each = sets.join(left, "doc_id").select("doc_id", "n", "c", F.explode("shingles").alias("s"))
+    """Pairs x, y (structs doc_id, n, u, c) of the documents ``left`` (doc_id, n, u, c) that lie in different components,
+    share one of the rarest shingles of both, and may be similar enough.
+
+    A pair is told where it meets, by what its rows carry: by its own shingles and parities, and by the place of the
+    shingle among those of either, ordered by rarity: at the first one that a pair shares, what either has behind it bounds
+    the overlap. So a shingle that many share makes rows for the likely pairs only.
+    """
+    each = sets.join(left, "doc_id").select("doc_id", "n", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s"))
     # shingles of one document come first in the order; as they meet nothing, their number is taken off the prefix
     shared = each.join(respread(common), "s").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).withColumn("r", rank + F.col("n") - F.col("m"))
-    prefix = cut(shared.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "doc_id", "c"), "prefixes")
+    prefix = shared.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "doc_id", "r")
+    told = left.join(sets.select("doc_id", "parity"), "doc_id")
+    prefix = cut(prefix.join(told, "doc_id").select("s", "c", F.struct("doc_id", "n", "u", "c", "r", "parity").alias("v")), "prefixes")
     sizes = prefix.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1").select("s", "most")
     held = prefix.join(respread(largest), "s")
-    y = held.select("s", F.col("doc_id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("most")).alias("large"))
-    x = held.where("c <> most").select("s", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    met = x.join(y, "s").where((F.col("cx") != F.col("cy")) & (F.col("large") | (F.col("x") < F.col("y")))).select("x", "y").distinct()
-    told = left.join(sets.select("doc_id", "parity"), "doc_id").select("doc_id", F.struct("doc_id", "n", "u", "c", "parity").alias("v"))
-    ends = met.join(told.select(F.col("doc_id").alias("x"), F.col("v").alias("vx")), "x").join(told.select(F.col("doc_id").alias("y"), F.col("v").alias("vy")), "y")
-    return ends.select(F.col("vx").alias("x"), F.col("vy").alias("y"))
+    y = held.select("s", F.col("v").alias("y"), (F.col("c") == F.col("most")).alias("large"))
+    x = held.where("c <> most").select("s", F.col("v").alias("x"))
+    odd = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    near = (100 + percent) * odd <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    behind = F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r")) + 1
+    once = F.col("large") | (F.col("x.doc_id") < F.col("y.doc_id"))
+    met = x.join(y, "s").where(once & _fits(percent) & _enough(behind, percent) & near)
+    return met.select(*[F.struct(*[F.col(f"{v}.{k}") for k in ("doc_id", "n", "u", "c")]).alias(v) for v in ("x", "y")])
+
+
+def _enough(common: Column, percent: int) -> Column:
+    """Whether x and y can be similar enough with so many common shingles."""
+    return 100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)
+
+
+def _fits(percent: int) -> Column:
+    """Whether x and y, of different components, can be similar enough by what none of the others has."""
+    return _enough(F.least(F.col("x.n") - F.col("x.u"), F.col("y.n") - F.col("y.u")), percent) & (F.col("x.c") != F.col("y.c"))
 
 
 def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -107,19 +126,15 @@ def _link(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> Data
     live = buckets.join(own, "doc_id", "left").select(
         "band", "doc_id", F.col("n_shingles").alias("n"), F.coalesce("u", F.lit(0)).alias("u"), F.col("doc_id").alias("c"), F.lit(False).alias("led")
     )
-    most = F.least(F.col("x.n") - F.col("x.u"), F.col("y.n") - F.col("y.u"))
-    fits = (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)) & (F.col("x.c") != F.col("y.c"))
     links = tested = None
     for step in range(LEADER_ROUNDS + 1):
         if step < LEADER_ROUNDS:
             rank = F.struct((F.col("u") / F.col("n")).alias("r"), F.xxhash64("doc_id").alias("h"), "doc_id", "n", "u", "c")
             x = respread(live.where(~F.col("led")).groupBy("band").agg(F.min(rank).alias("l"))).select("band", "l.*")
-            pairs = live.alias("y").join(x.alias("x"), "band").where(fits)
+            pairs = live.alias("y").join(x.alias("x"), "band").where(_fits(percent))
         else:
             left = cut(live.select("doc_id", "n", "u", "c").distinct(), "left")
-            odd = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITIES // 64)), F.lit(0))
-            near = (100 + percent) * odd <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-            pairs = _prefix_pairs(sets, left, percent).where(fits & near)
+            pairs = _prefix_pairs(sets, left, percent)
         end = [f(F.col(f"x.{k}"), F.col(f"y.{k}")).alias(n) for n, f, k in (("a", F.least, "doc_id"), ("b", F.greatest, "doc_id"), ("ca", F.least, "c"), ("cb", F.greatest, "c"))]
         pairs = pairs.select(*end).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
