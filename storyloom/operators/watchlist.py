@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
+from .articles import bounded
+from .intervals import in_force, until_next
+from .phrases import phrase_places, words_of
 
 # Forms, items and words that make a filing material.
 MATERIAL_8K = ("1.01", "1.02", "1.03", "2.01", "2.02", "2.03", "2.04", "2.05", "2.06", "3.01", "4.02", "5.01", "5.02", "5.03", "5.04", "5.05", "5.06", "5.07", "8.01")
@@ -19,20 +23,26 @@ EDITORIAL_TERMS = SIX_K_TERMS + ("product launch", "product recall", "data breac
 ETHEREUM_TERMS = (
     "protocol upgrade", "hard fork", "staking", "exchange-traded", "etf approval", "regulation", "regulatory", "security incident", "exploit", "hack",
 )
+RELATIONS = {
+    "self": "DIRECT", "controlled_affiliate": "AFFILIATE", "managed_capital": "MANAGED_CAPITAL", "underlying_asset": "UNDERLYING_ASSET", "family_ambiguous": "FAMILY_UNRESOLVED",
+    "unrelated": "MENTION_ONLY",
+}
+MUST_BE_FRESH, BESIDE_THE_EVENT = ("controlled_affiliate", "managed_capital", "underlying_asset"), ("quoted_speaker", "mentioned", "absent")
 # End of fixed values.
 
 
 def match_terms(rows: DataFrame, terms) -> DataFrame:
     """(article_id, term) of rows (article_id, summary): single words as whole words, several words if all occur.
 
-    Terms are joined to the texts' tokens by equality, so the list may be long.
+    Terms, a list or a table (term) of any length, meet the texts' words by equality; the list is broadcast only where its
+    counted size allows it. Where the words must follow each other, see :func:`phrases.phrase_places`.
     """
-    low = F.lower(T.nonnull(F.col("summary")))
-    words = F.array_distinct(F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    keyed = rows.select("article_id", F.explode(words).alias("w"))
-    spark = rows.sparkSession
-    parts = spark.createDataFrame([(t, w, len(set(t.split()))) for t in terms for w in sorted(set(t.split()))], "term string, w string, n int")
-    hit = keyed.join(F.broadcast(parts), "w").groupBy("article_id", "term", "n").agg(F.count(F.lit(1)).alias("k"))
+    if not isinstance(terms, DataFrame):
+        terms = rows.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    own = terms.select("term").distinct().withColumn("w", F.array_distinct(words_of(F.col("term"))))
+    parts = own.select("term", F.explode("w").alias("w"), F.size("w").alias("n"))
+    keyed = rows.select("article_id", F.explode(F.array_distinct(words_of(F.col("summary")))).alias("w"))
+    hit = keyed.join(bounded(parts), "w").groupBy("article_id", "term", "n").agg(F.count(F.lit(1)).alias("k"))
     return hit.where("k = n").select("article_id", "term")
 
 
@@ -83,6 +93,53 @@ def classify_entities(texts: DataFrame, names: DataFrame, negatives: DataFrame)
     return best.select("id", "ticker", F.col("b.name").alias("name"), label.alias("label"))
 
 
+def classify_mentions(texts: DataFrame, names: DataFrame, negatives: DataFrame, filings: DataFrame) -> DataFrame:
+    """(id, ticker, name, label, fresh, place, reason) of texts (id, text, day, role), a row for every ticker that one names.
+
+    Names are (ticker, name, seq, relationship, verified_at, expires_at, min_tokens, context, accession), a row for each
+    time that a relationship was verified; a row holds from ``verified_at`` to ``expires_at`` inclusive, without end where
+    that is null, and no longer than until the next one of the name. Names, negative names (ticker, name) and context words
+    stand in a text as phrases. Of the names that a text holds, with one of their context phrases if there are any, the
+    longest counts, of equal ones the first by ``seq``; names of fewer words than ``min_tokens`` do not count.
+
+    A text with a negative name of the ticker is a mention only. Otherwise the relationship is fresh if the name's row in
+    force on the text's day was verified against the annual filing then current (filings: ticker, accession, accepted),
+    where both are known; a name for the issuer itself always is. Without a row in force the last one verified by then tells the
+    relationship, or else the first, which is stale. Null days meet no row. Texts without any name have no row.
+    """
+    listed = names.where(F.size(words_of(F.col("name"))) >= F.coalesce("min_tokens", F.lit(1)))
+    dictionary = listed.select(F.col("name").alias("phrase")).unionByName(listed.select(F.explode("context").alias("phrase"))).unionByName(negatives.select(F.col("name").alias("phrase")))
+    places = cut(phrase_places(texts.select("id", "text"), dictionary), "places")
+    bad = places.join(bounded(negatives.select("ticker", F.col("name").alias("phrase")).distinct()), "phrase").groupBy("id", "ticker").agg(F.min_by(F.struct("phrase", F.col("places")[0].alias("place")), "phrase").alias("x"))
+    bad = cut(bad.select("id", "ticker", F.col("x.phrase").alias("name"), F.col("x.place").alias("place")), "negatives")
+    kinds = listed.groupBy("ticker", "name").agg(F.min("seq").alias("seq"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("context", F.array().cast("array<string>"))))).alias("context"))
+    hit = places.withColumnRenamed("phrase", "name").join(bounded(kinds), "name").join(bad.select("id", "ticker"), ["id", "ticker"], "left_anti")
+    free = hit.where(F.size("context") == 0).drop("context")
+    tied = hit.where(F.size("context") > 0).withColumn("phrase", F.explode("context")).join(places.select("id", "phrase"), ["id", "phrase"])
+    usable = free.unionByName(tied.select(*free.columns).distinct())
+    order = F.struct(F.length("name"), -F.col("seq"))
+    best = usable.groupBy("id", "ticker").agg(F.max_by(F.struct("name", F.col("places")[0].alias("place")), order).alias("x"))
+    dated = cut(best.select("id", "ticker", "x.*").join(texts.select("id", "day", "role"), "id"), "mentions")
+    rows = listed.select("ticker", "name", "verified_at", "relationship", "expires_at", "accession")
+    bounds = until_next(rows, ["ticker", "name"], "verified_at", "replaced").withColumn("until", F.least("expires_at", "replaced"))
+    current = until_next(filings.select("ticker", F.col("accepted").alias("since"), F.col("accession").alias("current")), ["ticker"], "since", "current_until")
+    now = in_force(dated, bounds.select("ticker", "name", "verified_at", "until", "relationship", "accession"), ["ticker", "name"], "day", "verified_at", "until")
+    governed = in_force(dated.select("id", "ticker", "day"), current, ["ticker"], "day", "since", "current_until").select("id", "ticker", "current")
+    held = now.select("id", "ticker", "relationship", "accession").join(governed, ["id", "ticker"], "left")
+    agrees = F.coalesce(F.col("current") == F.col("accession"), F.lit(True))
+    held = held.select("id", "ticker", "relationship", agrees.alias("agrees"))
+    past = in_force(dated, until_next(rows, ["ticker", "name"], "verified_at", "replaced").select("ticker", "name", "verified_at", "replaced", F.col("relationship").alias("last")), ["ticker", "name"], "day", "verified_at", "replaced")
+    first = listed.groupBy("ticker", "name").agg(F.min_by("relationship", F.struct("verified_at", "relationship")).alias("first"))
+    all_ = dated.join(held, ["id", "ticker"], "left").join(past.select("id", "ticker", "last"), ["id", "ticker"], "left").join(bounded(first), ["ticker", "name"], "left")
+    relation = F.coalesce("relationship", "last", "first")
+    told = all_.withColumn("relation", relation).withColumn("fresh", (F.col("relation") == "self") | F.coalesce("agrees", F.lit(False)))
+    label = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])[F.col("relation")]
+    label = F.when(F.col("role").isin(*BESIDE_THE_EVENT) | (~F.col("fresh") & F.col("relation").isin(*MUST_BE_FRESH)), "MENTION_ONLY").otherwise(label)
+    matched = told.select("id", "ticker", "name", label.alias("label"), "fresh", "place", F.when(F.col("fresh"), "matched").otherwise("stale_relationship").alias("reason"))
+    refused = bad.select("id", "ticker", "name", F.lit("MENTION_ONLY").alias("label"), F.lit(False).alias("fresh"), "place", F.lit("negative_name").alias("reason"))
+    return matched.unionByName(refused)
+
+
 def explode_filings(payloads: DataFrame) -> DataFrame:
     """(cik, accession, form, amended, items, filing_date, accepted_at, document, description) of payloads (cik, json) with
     parallel arrays under filings.recent. Payloads whose five required arrays are missing or differ in length have none;

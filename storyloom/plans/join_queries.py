@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import articles as A
 from ..operators import market as M
+from ..operators import phrases as Ph
 from ..operators import selection as Sel
 from ..operators import state as St
 from ..operators import stories as So
@@ -200,6 +201,23 @@ def watchlist_match(spark, sf_dir):
     return match_terms(articles(spark, sf_dir).select("article_id", "summary"), ("the", "theand", "und", "les que"))
 
 
+_TITLE = "regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+')"
+_GRAMS = "g AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS phrase, count(*) AS n_places, min(i) - 1 AS place FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT article_id AS id, regexp_extract_all(lower(summary), '[\\p{L}\\p{N}_]+') AS w FROM articles), (VALUES (1), (2), (3), (4)) t(n)) GROUP BY ALL)"
+
+
+@register("phrase_dictionary", with_articles(f""", {_GRAMS}, t AS (SELECT {_TITLE} AS t FROM articles), p AS (SELECT DISTINCT array_to_string(t[2 * k + 1:2 * k + k % 4 + 1], ' ') AS phrase FROM t, (VALUES (0), (1), (2), (3), (5)) k(k) WHERE len(t) >= 2 * k + k % 4 + 1)
+ SELECT id AS article_id, phrase, n_places, CAST(place AS INT) AS first_place FROM g JOIN p USING (phrase)"""))
+def phrase_dictionary(spark, sf_dir):
+    """Five phrases of one to four words from every title are looked for in all texts."""
+    a = articles(spark, sf_dir)
+    t = a.select(Ph.words_of(F.col("title")).alias("t"))
+    whole = t.select(F.posexplode(F.transform(F.array(*[F.lit(k) for k in (0, 1, 2, 3, 5)]), lambda k: F.slice("t", 2 * k + 1, k % 4 + 1))).alias("i", "p"))
+    sizes = F.element_at(F.array(*[F.lit(k % 4 + 1) for k in (0, 1, 2, 3, 5)]), F.col("i") + 1)
+    phrases = whole.where(F.size("p") == sizes).select(F.array_join("p", " ").alias("phrase"))
+    found = Ph.phrase_places(a.select(F.col("article_id").alias("id"), F.col("summary").alias("text")), phrases)
+    return found.select(F.col("id").alias("article_id"), "phrase", F.size("places").cast("long").alias("n_places"), F.col("places")[0].alias("first_place"))
+
+
 @register("explain_movers", f"""WITH w AS (SELECT doc_id AS article_id, source, CAST(70 + 5 * (CAST(regexp_extract(source, '[0-9]+') AS INT) % 6) AS DOUBLE) / 100 AS reputation, doc_id * 37 % 4320 AS seen_at, {sql_tokens("coalesce(text, '')")} AS tk, doc_id % 3 AS causal FROM documents),
  m AS (SELECT o_orderkey AS mover_id, CASE o_custkey % 3 WHEN 0 THEN 'that' WHEN 1 THEN 'des' ELSE 'por' END AS term, o_orderkey % 4320 AS minute FROM orders), g AS (SELECT DISTINCT term, minute FROM m),
  h AS (SELECT term, minute, count(article_id) AS articles, count(DISTINCT CASE WHEN causal > 0 THEN source END) AS sources, arg_max(article_id, (causal, reputation, -article_id)) AS best,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import facts as X
 from ..functions import text as T
 from ..operators import articles as A
+from ..operators import phrases as Ph
 from ..operators import review as R
 from ..operators import watchlist as W
 from ..session import fresh_path
@@ -143,6 +144,50 @@ def entity_classify(spark, sf_dir):
     return W.classify_entities(d, names, spark.createDataFrame([("A", "acme records")], "ticker string, name string"))
 
 
+_DAY = "DATE '2024-01-01' + CAST({} AS INT)".format
+_RELATIONS = ("self", "controlled_affiliate", "managed_capital", "underlying_asset", "family_ambiguous", "unrelated")
+_LABELS = "CASE relation " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.RELATIONS.items()) + " END"
+_BEST = "QUALIFY row_number() OVER (PARTITION BY ticker, {} ORDER BY {}) = 1".format
+
+
+@register("entity_validity", with_articles(f""", d AS (SELECT article_id AS id, {_DAY('article_id * 13 % 365')} AS day, CASE article_id % 7 WHEN 2 THEN 'quoted_speaker' WHEN 3 THEN 'mentioned' ELSE 'subject' END AS role, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+') AS t, length(summary) AS k, summary FROM articles),
+ g AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS phrase, min(i) - 1 AS place FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT id, regexp_extract_all(lower(summary), '[\\p{{L}}\\p{{N}}_]+') AS w FROM d), (VALUES (1), (2), (3), (4)) t(n)) GROUP BY ALL),
+ n AS (SELECT 'T' || k % 50 AS ticker, array_to_string(t[1:2 + id % 2], ' ') AS name, id AS seq, {sql_list(_RELATIONS)}[id % 6 + 1] AS relationship, {_DAY('id * 7 % 300')} AS verified_at, CASE WHEN id % 4 > 0 THEN {_DAY('id * 7 % 300 + 30 + id % 90')} END AS expires_at,
+   CASE WHEN id % 3 = 0 THEN [t[5]] ELSE [] END AS context, CASE WHEN id % 5 > 0 THEN 'A' || id % 3 END AS accession FROM d WHERE len(t) >= 8 AND (id % 9 > 0 OR id % 2 = 1)),
+ bad AS (SELECT id, ticker, min(phrase) AS name, arg_min(place, phrase) AS place FROM g JOIN (SELECT DISTINCT 'T' || (k + 17 * (id % 3)) % 50 AS ticker, array_to_string(t[5:8], ' ') AS phrase FROM d WHERE len(t) >= 8) USING (phrase) GROUP BY id, ticker),
+ kinds AS (SELECT ticker, name, min(seq) AS seq, list_distinct(flatten(list(context))) AS context FROM n GROUP BY ticker, name),
+ hit AS (SELECT g.id, ticker, name, seq, place FROM g JOIN kinds k ON g.phrase = k.name WHERE NOT EXISTS (FROM bad b WHERE b.id = g.id AND b.ticker = k.ticker) AND (len(context) = 0 OR EXISTS (FROM g c WHERE c.id = g.id AND list_contains(k.context, c.phrase)))),
+ best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY id, ticker ORDER BY length(name) DESC, seq) = 1), m AS (SELECT b.*, day, role FROM best b JOIN d USING (id)),
+ one AS (SELECT * FROM n {_BEST('name, verified_at', 'relationship DESC, expires_at DESC NULLS LAST, accession DESC NULLS LAST')}), v AS (SELECT *, lead(verified_at) OVER (PARTITION BY ticker, name ORDER BY verified_at) - 1 AS replaced FROM one),
+ f AS (SELECT ticker, accepted, max(accession) AS current FROM (SELECT 'T' || k % 50 AS ticker, {_DAY('id * 31 % 365')} AS accepted, 'A' || id % 3 AS accession FROM d) GROUP BY ticker, accepted),
+ now AS (SELECT id, m.ticker, relationship, accession FROM m JOIN v ON v.ticker = m.ticker AND v.name = m.name AND day >= verified_at AND day <= coalesce(least(expires_at, replaced), day)),
+ past AS (SELECT id, m.ticker, relationship AS last FROM m JOIN v ON v.ticker = m.ticker AND v.name = m.name AND day >= verified_at AND day <= coalesce(replaced, day)),
+ gov AS (SELECT id, m.ticker, arg_max(current, accepted) AS current FROM m JOIN f ON f.ticker = m.ticker AND accepted <= day GROUP BY id, m.ticker),
+ first AS (SELECT ticker, name, arg_min(relationship, (verified_at, relationship)) AS first FROM n GROUP BY ticker, name),
+ told AS (SELECT m.*, coalesce(now.relationship, last, first) AS relation, coalesce(now.relationship, last, first) = 'self' OR (now.id IS NOT NULL AND coalesce(current = accession, true)) AS fresh
+  FROM m LEFT JOIN now ON now.id = m.id AND now.ticker = m.ticker LEFT JOIN past ON past.id = m.id AND past.ticker = m.ticker LEFT JOIN gov ON gov.id = m.id AND gov.ticker = m.ticker JOIN first ON first.ticker = m.ticker AND first.name = m.name)
+ SELECT id, ticker, name, CASE WHEN role <> 'subject' OR (NOT fresh AND relation IN ('controlled_affiliate', 'managed_capital', 'underlying_asset')) THEN 'MENTION_ONLY' ELSE {_LABELS} END AS label, fresh, CAST(place AS INT) AS place, CASE WHEN fresh THEN 'matched' ELSE 'stale_relationship' END AS reason FROM told
+ UNION ALL SELECT id, ticker, name, 'MENTION_ONLY', false, CAST(place AS INT), 'negative_name' FROM bad"""))
+def entity_validity(spark, sf_dir):
+    """Names of two and three words from every title, verified at some day and expired at another, some against a filing and
+    some beside a context word; negative names of four words; a filing of a ticker for each text."""
+    k, day = F.col("id"), lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    t = Ph.words_of(F.col("title"))
+    d = articles(spark, sf_dir).select(F.col("article_id").alias("id"), F.col("summary").alias("text"), t.alias("t"), F.length("summary").alias("k"))
+    long = d.where(F.size("t") >= 8)
+    ticker = lambda n: F.concat(F.lit("T"), (n % 50).cast("string"))
+    accession = F.concat(F.lit("A"), (k % 3).cast("string"))
+    names = long.select(
+        ticker(F.col("k")).alias("ticker"), F.array_join(F.slice("t", F.lit(1), (k % 2 + 2).cast("int")), " ").alias("name"), k.alias("seq"), F.element_at(T.words_in(_RELATIONS), (k % 6 + 1).cast("int")).alias("relationship"),
+        day(k * 7 % 300).alias("verified_at"), F.when(k % 4 > 0, day(k * 7 % 300 + 30 + k % 90)).alias("expires_at"), F.when(k % 9 == 0, 3).otherwise(1).alias("min_tokens"),
+        F.when(k % 3 == 0, F.array(F.col("t")[4])).otherwise(F.array().cast("array<string>")).alias("context"), F.when(k % 5 > 0, accession).alias("accession"),
+    )
+    negatives = long.select(ticker(F.col("k") + 17 * (k % 3)).alias("ticker"), F.array_join(F.slice("t", 5, 4), " ").alias("name"))
+    filings = d.select(ticker(F.col("k")).alias("ticker"), accession.alias("accession"), day(k * 31 % 365).alias("accepted"))
+    role = F.when(k % 7 == 2, "quoted_speaker").when(k % 7 == 3, "mentioned").otherwise("subject")
+    return W.classify_mentions(d.select("id", "text", day(k * 13 % 365).alias("day"), role.alias("role")), names, negatives, filings)
+
+
 @register("validate_benchmark", """SELECT ticker, day, url, reason FROM (SELECT *, CASE WHEN ticker NOT IN ('t0', 't1', 't2') THEN 'ticker' WHEN url NOT LIKE 'https://%' THEN 'url' WHEN trim(text) = '' THEN 'text' WHEN day LIKE 'x%' THEN 'day' WHEN n > 1 THEN 'repeated' END AS reason
  FROM (SELECT 't' || doc_id % 4 AS ticker, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END AS day, CASE WHEN doc_id % 13 = 0 THEN 'http' ELSE 'https' END || '://' || source AS url, coalesce(text, '') AS text,
   count(*) OVER (PARTITION BY doc_id % 4, CASE WHEN doc_id % 9 = 0 THEN -1 ELSE doc_id % 28 END, doc_id % 13 = 0, source) AS n FROM documents)) WHERE reason IS NOT NULL""")
