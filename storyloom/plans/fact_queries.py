@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import facts as X
 from ..operators import selection as Sel
+from ..operators import stories as So
 from ..session import cut, fresh_path
+from ..streaming import leaders
 from ..streaming import state as stream
 from .adapters import CATEGORIES, articles, table, with_articles
 from .text_queries import sql_ascii, sql_list
@@ -155,6 +157,21 @@ def stream_suppress(spark, sf_dir):
     return drained(first, "suppressed").groupBy("alert_id", "event_type").agg(F.count(F.lit(1)).alias("passed"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
 
 
+@register("stream_leaders")
+def stream_leaders(spark, sf_dir):
+    """Stories of each source by the sequential rule, over articles that come in four lots of neighbouring ids; the stream is
+    started anew from its checkpoint for every lot."""
+    own = cut(So.with_sets(articles(spark, sf_dir)).select("source", "article_id", "seq", "minute", "tokens", "entities", "events"), "articles")
+    root, out, marks = (fresh_path(spark, x) for x in ("arriving", "leaders", "leaders-checkpoint"))
+    bounds = [-1, *own.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01), None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        lot = own.where(F.col("seq") > low) if high is None else own.where((F.col("seq") > low) & (F.col("seq") <= high))
+        lot.write.mode("append").parquet(root)
+        stories = leaders.stream_leaders(spark.readStream.schema(own.schema).parquet(root), "source")
+        stories.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stories.schema).parquet(out)
+
+
 @register("enrichment_select")
 def enrichment_select(spark, sf_dir):
     """Stories worth fetching pages for: the best twenty, then each category in turn up to eight, sixty of an edition."""

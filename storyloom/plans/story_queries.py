@@ -10,6 +10,8 @@ from ..functions import text as T
 from ..operators import articles as A
 from ..operators import quality as Q
 from ..operators import scoring as S
+from ..session import fresh_path
+from ..sinks import dated_logs as D
 from .adapters import CATEGORIES, articles, table, with_articles
 from .text_queries import SQL_NUMBERS, SQL_SENTENCES, sql_ascii, sql_hits, sql_jaccard, sql_list, sql_tokens
 
@@ -202,3 +204,41 @@ def feed_health(spark, sf_dir):
     e = evidence(spark, sf_dir).withColumn("evidence", F.round("evidence", 6)).where("minute >= 1000")
     e = e.withColumn("valid", F.col("article_id") % 997 != 5).withColumn("permitted", F.startswith("url", F.lit("https://")))
     return S.feed_health(e).select("source", "n", *[F.round(c, 3).alias(c) for c in ("nonempty", "nonduplicate", "evident")], "valid", "healthy")
+
+
+_LOG_DAY = "DATE '2024-03-01' + CAST(article_id % 9 AS INT)"
+
+
+@register("write_logs", gate_sql(f"""SELECT 'rejections' AS kind, {_LOG_DAY} AS day, url, reason, CAST(NULL AS DOUBLE) AS score, CAST(1 AS BIGINT) AS parts, true AS whole FROM penalised WHERE reason IS NOT NULL
+ UNION ALL SELECT 'skipped', {_LOG_DAY}, url, CASE WHEN article_id % 3 = 0 THEN 'stale' ELSE 'category full' END, round(length(summary) / 7.0, 2), len(tags), true FROM articles WHERE article_id % 3 < 2 AND article_id % 9 <> 4
+ UNION ALL SELECT 'audit', {_LOG_DAY}, url, CASE WHEN article_id % 5 = 0 THEN 'failed' WHEN article_id % 4 = 0 THEN 'warning' WHEN article_id % 5 < 3 THEN 'passed' ELSE 'not_run' END, round(least(1.0, length(summary) / 1000.0), 6), CAST(1 AS BIGINT), true FROM articles"""))
+def write_logs(spark, sf_dir):
+    """Three logs in dated folders, each written by a first run, of other reasons and one day more, and by the run that
+    counts, then read back beside what the manifest says of their days."""
+    a = articles(spark, sf_dir).withColumn("day", F.date_add(F.lit("2024-03-01").cast("date"), (F.col("article_id") % 9).cast("int")))
+    k, root = F.col("article_id"), fresh_path(spark, "logs")
+    days = a.select("day").distinct()
+    refused = a.withColumn("reason", Q.hard_reject_reason(F.col("title"), F.col("summary"))).where("reason IS NOT NULL")
+    passed = a.select("day", k.cast("string").alias("story_id"), "title", F.col("tags")[0].alias("category"), (F.length("summary") / 7).alias("total"), F.lit(1.0).alias("importance"), F.when(k % 3 == 0, "stale").when(k % 3 == 1, "category full").otherwise("").alias("reason"),
+        F.array("source").alias("sources"), F.array("url").alias("urls"), F.col("tags").alias("matches"))
+    story = k.cast("string").alias("story_id")
+    ratio = F.least(F.lit(1.0), F.length("summary") / 1000).alias("ratio")
+    status = F.when(k % 5 == 0, "kept_original_guard_failed").when(k % 5 < 3, "compressed").otherwise("skipped_short")
+    cuts = a.select("day", story, F.col("tags")[0].alias("category"), F.col("summary").alias("full"), F.substring("summary", 1, 400).alias("delivered"), status.alias("status"), ratio)
+    evidence = a.select(story, "seq", "source", "url", F.lit("").alias("canonical_url"), F.lit("feed").alias("status"))
+    now = {
+        "rejections": D.rejection_rows(refused),
+        "skipped": D.skipped_rows(passed.where(F.dayofmonth("day") != 5)),
+        "audit": D.audit_rows(cuts, evidence, a.where(k % 4 == 0).select(story)),
+    }
+    first = {"rejections": D.rejection_rows(a.withColumn("reason", F.lit("draft"))), "skipped": D.skipped_rows(passed.withColumn("reason", F.lit("draft"))), "audit": now["audit"].withColumn("guard_result", F.lit("draft"))}
+    for rows in (first, now):
+        for kind, log in rows.items():
+            D.write_log(log, root, kind, days)
+    found = {
+        "rejections": D.read_log(spark, root, "rejections", "url string, reason string").select("day", "url", "reason", F.lit(None).cast("double").alias("score"), F.lit(1).cast("bigint").alias("parts")),
+        "skipped": D.read_log(spark, root, "skipped", "url string, reason_skipped string, score double, watchlist_match array<string>").select("day", "url", F.col("reason_skipped").alias("reason"), "score", F.size("watchlist_match").cast("bigint").alias("parts")),
+        "audit": D.read_log(spark, root, "audit", "guard_result string, compression_ratio double, evidence array<struct<url string>>").select("day", F.col("evidence")[0]["url"].alias("url"), F.col("guard_result").alias("reason"), F.round("compression_ratio", 6).alias("score"), F.size("evidence").cast("bigint").alias("parts")),
+    }
+    out = [rows.join(D.verify(spark, root, kind).select("day", "whole"), "day").select(F.lit(kind).alias("kind"), "day", "url", "reason", "score", "parts", "whole") for kind, rows in found.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
