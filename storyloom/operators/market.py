@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent_change
+from ..session import cut
+from .articles import bounded
 
 
 def close_pairs(quotes: DataFrame) -> DataFrame:
@@ -42,18 +44,42 @@ def explain_movers(movers: DataFrame, articles: DataFrame, causal: Column, hours
     """For each mover (mover_id, term, minute) the articles (article_id, source, tokens, minute, reputation) that hold its
     term and are at most ``hours`` old: how many, from how many causal sources, the best one, and the confidence.
 
-    The term is matched by an equality join on the articles' tokens, within day buckets of time; movers of one term and
-    minute are looked up once.
+    No mover meets an article. Only tokens that are some mover's term are kept, and summed by term and minute first, so what
+    follows has a row for each of a term's minutes at most. An article counts from its minute until it is too old, and a
+    source from each of its articles until that is too old or its next one comes: running sums of these changes give both
+    numbers at any minute. Of blocks of the window's length, the best since the block began and the best until it ends give
+    the best of any window, which ends in one block and begins in the same or the one before.
     """
     span = 60 * hours
-    m = movers.select("term", "minute").distinct().withColumn("bucket", F.explode(F.array(F.floor(F.col("minute") / span), F.floor(F.col("minute") / span) - 1)))
-    a = articles.select("article_id", "source", "reputation", F.col("minute").alias("at"), F.explode("tokens").alias("term"), causal.alias("causal"))
-    a = a.withColumn("bucket", F.floor(F.col("at") / span))
-    hit = m.join(a, ["term", "bucket"]).where((F.col("at") <= F.col("minute")) & (F.col("at") >= F.col("minute") - span))
-    sources = F.count_distinct(F.when(F.col("causal") > 0, F.col("source")))
-    found = hit.groupBy("term", "minute").agg(
-        F.count(F.lit(1)).alias("articles"), sources.alias("sources"), F.max_by("article_id", F.struct("causal", "reputation", -F.col("article_id"))).alias("best")
-    )
+    asked = cut(movers.select("term", "minute").distinct(), "asked")
+    a = articles.select("article_id", "source", "reputation", F.col("minute").alias("at"), F.explode(F.array_distinct("tokens")).alias("term"), causal.alias("causal"))
+    a = a.join(bounded(asked.select("term").distinct()), "term")
+    value = F.struct("causal", "reputation", (-F.col("article_id")).alias("id"))
+    seen = cut(a.groupBy("term", "at", "source").agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("best"), F.max(F.col("causal") > 0).alias("causal")), "seen")
+    following = F.lead("at").over(Window.partitionBy("term", "source").orderBy("at"))
+    sources = seen.where("causal").select("term", "at", F.least(F.col("at") + span + 1, F.coalesce(following, F.col("at") + span + 1)).alias("gone"))
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def change(rows: DataFrame, at: Column, articles: Column, sources: Column, ask: bool = False) -> DataFrame:
+        return rows.select("term", at.alias("at"), articles.alias("articles"), sources.alias("sources"), F.lit(ask).alias("ask"))
+
+    at = F.col("at")
+    changes = change(seen, at, F.col("n"), none).union(change(seen, at + span + 1, -F.col("n"), none)).union(change(sources, at, none, one)).union(change(sources, F.col("gone"), none, -one))
+    line = changes.union(change(asked, F.col("minute"), none, none, True)).groupBy("term", "at").agg(F.sum("articles").alias("articles"), F.sum("sources").alias("sources"), F.max("ask").alias("ask"))
+    upto = Window.partitionBy("term").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = line.select("term", "at", "ask", F.sum("articles").over(upto).alias("articles"), F.sum("sources").over(upto).alias("sources")).where("ask")
+    minutes = seen.groupBy("term", "at").agg(F.max("best").alias("best"))
+
+    def running(shift: int, ahead: bool) -> DataFrame:
+        """(term, minute, best) of the block of ``minute - shift``, up to that place or from it on."""
+        block = F.floor(F.col("at") / (span + 1)).alias("block")
+        asks = asked.select("term", (F.col("minute") - shift).alias("at"), F.lit(None).cast(minutes.schema["best"].dataType).alias("best"), F.col("minute").alias("minute"))
+        both = minutes.select("term", "at", "best", F.lit(None).cast("bigint").alias("minute")).union(asks).select("*", block)
+        order = Window.partitionBy("term", "block").orderBy(F.col("at") if not ahead else -F.col("at"), F.col("minute").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn("best", F.max("best").over(order)).where("minute IS NOT NULL").select("term", "minute", "best")
+
+    ends = running(0, False).union(running(span, True)).groupBy("term", "minute").agg(F.max("best").alias("best"))
+    found = counted.withColumnRenamed("at", "minute").join(ends, ["term", "minute"]).select("term", "minute", "articles", "sources", (-F.col("best.id")).alias("best"))
     out = movers.select("mover_id", "term", "minute").join(found, ["term", "minute"], "left")
     s = F.coalesce("sources", F.lit(0))
     confidence = F.when(s >= 2, "high").when(s == 1, "medium").otherwise("low")
@@ -70,10 +96,15 @@ def alert_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16)
 
 
+def tenths(x: Column) -> Column:
+    """One decimal, rounded by the exact binary value as numbers are printed elsewhere, halves to even."""
+    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+
+
 def market_alerts(movers: DataFrame, limits: Column) -> DataFrame:
     """Movers beyond the limit of their type, with an alert id of symbol and change to a tenth."""
     hit = movers.where(F.abs("change") >= limits)
-    return hit.withColumn("alert_id", alert_id(F.lit("market"), F.col("symbol").cast("string"), F.format_string("%.1f", F.col("change"))))
+    return hit.withColumn("alert_id", alert_id(F.lit("market"), F.col("symbol").cast("string"), tenths(F.col("change"))))
 
 
 def story_alerts(stories: DataFrame, least: int = 5) -> DataFrame:
