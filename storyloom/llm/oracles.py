@@ -10,10 +10,13 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 _SHORTER = "least(length(a.line), length(b.line))"
 ALLOWED = "CASE " + " ".join(f"WHEN {_SHORTER} >= {n} THEN {k}" for n, k in reversed(BANDS)) + " ELSE 0 END"
+# DuckDB's distance counts bytes, so the characters of a pair are numbered among themselves first; up to 127 are a byte each.
+_CODED = "array_to_string(list_transform(string_split({}, ''), lambda c: chr(CAST(list_position(x, c) AS INT))), '')"
 LINES = f"""WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS line_no, trim(x[i], E' \\t\\n\\x0b\\x0c\\r') AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
  lines AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, line FROM l WHERE line <> ''),
  texts AS (SELECT line, min((doc_id, line_no)) AS first FROM lines GROUP BY line),
- links AS (SELECT a.line AS a, b.line AS b FROM texts a JOIN texts b ON a.first <> b.first AND abs(length(a.line) - length(b.line)) <= {ALLOWED} AND levenshtein(a.line, b.line) <= {ALLOWED}),
+ met AS (SELECT a.line AS a, b.line AS b, {ALLOWED} AS k FROM texts a JOIN texts b ON a.first <> b.first AND abs(length(a.line) - length(b.line)) <= {ALLOWED} AND levenshtein(a.line, b.line) <= 4 * {ALLOWED}),
+ links AS (SELECT a, b FROM (SELECT *, list_distinct(string_split(a || b, '')) AS x FROM met) WHERE levenshtein({_CODED.format('a')}, {_CODED.format('b')}) <= k),
  walk(line, up) AS (SELECT line, line FROM texts WHERE line IN (SELECT a FROM links) UNION SELECT w.line, k.b FROM walk w JOIN links k ON k.a = w.up),
  comp AS (SELECT w.line, min(t.first) AS first FROM walk w JOIN texts t ON t.line = w.up GROUP BY w.line),
  deg AS (SELECT a AS line, count(*) AS n FROM links GROUP BY a),
