@@ -41,8 +41,8 @@ SUBSUMED_PERCENT = 80
 SCALE = 2_000_000
 #: Places of a prefix's stripes, by their next words.
 BUCKETS = 16
-#: Bytes of texts whose stripes a task counts together.
-CHUNK = 16 << 20
+#: Bytes of texts after which a task counts the stripes of what it has read; with batches of 8 MB, twice as many at most.
+CHUNK = 4 << 20
 #: Bits of a filter of frequent parts: about 12 a part, this many at most.
 MOST_BITS = 1 << 27
 
@@ -130,11 +130,11 @@ class Coded:
         starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         lengths = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(lengths), pa.py_buffer(LOWER[data[inside]])).dictionary_encode()
-        self.words, self.word = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words, self.word = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
         cuts = fresh[:-1] | (kind == 2)
         self.piece = np.cumsum(cuts, dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
         row = np.searchsorted(offsets, starts, side="right") - 1
-        self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] if len(starts) else np.zeros(0, np.int64)
+        self.lang = langs.indices.to_numpy(zero_copy_only=False)[row] if len(starts) else np.zeros(0, np.int32)
 
     def follows(self) -> np.ndarray:
         """Whether each word has another one behind it in its piece."""
@@ -151,7 +151,7 @@ class Coded:
         """Stripes of occurrences: the number of each one's prefix and next word; ``shown`` and ``langs`` say what a prefix
         is."""
         n = max(len(self.words), 1)
-        keys, counts = np.unique(prefix * n + word, return_counts=True)
+        keys, counts = np.unique(prefix.astype(np.int64) * n + word, return_counts=True)
         own, following = keys // n, keys % n
         used = np.unique(following)
         bucket = np.zeros(n, np.int64)
@@ -178,7 +178,7 @@ class Coded:
         """Stripes of single words, of frequent words only."""
         known = frequent.has(self.hashes())
         at = np.flatnonzero(self.follows()[:-1] & known[:-1] & known[1:]) if len(known) > 1 else np.zeros(0, np.int64)
-        kinds, number = np.unique(self.lang[at] * max(len(self.words), 1) + self.word[at], return_inverse=True)
+        kinds, number = np.unique(self.lang[at].astype(np.int64) * max(len(self.words), 1) + self.word[at], return_inverse=True)
         lang, word = np.divmod(kinds, max(len(self.words), 1))
         yield self.stripes(number, self.words.take(pa.array(word)), lang, self.word[at + 1])
 
@@ -190,7 +190,7 @@ class Coded:
         at = np.flatnonzero(more)
         good[at] = frequent.has(joined(hashes[at], hashes[at + 1]))
         # Numbers of the prefixes that begin at each place, made longer by a word each time.
-        kinds, number = np.unique(self.lang * n + self.word, return_inverse=True)
+        kinds, number = np.unique(self.lang.astype(np.int64) * n + self.word, return_inverse=True)
         lang, word = np.divmod(kinds, n)
         shown, place = self.words.take(pa.array(word)), np.arange(len(more))
         for length in range(2, MOST_WORDS):
