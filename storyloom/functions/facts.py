@@ -38,7 +38,14 @@ EVENTS = (
 
 #: White space after a closing sign, unless an abbreviation, a dotted acronym or an initial stands before it.
 BOUNDARY = rf"(?<=[.!?])(?<!(?:^|[^A-Za-z.])(?i:{'|'.join(ABBREVIATIONS)})\.)(?<!\.[A-Za-z.]{{0,24}}\.)(?<!(?:^|[^A-Za-z.])[A-Z]\.)[ \t\n\r]+"
-FIGURE = r"(?i)[+-]?\s*[$]?\s*[+-]?\s*(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)(?:\s*(?:thousand|million|billion|trillion))?(?:\s*(?:%|percent|basis points?|bps|dollars?|euros?|pounds?))?"
+#: White space of a figure, the kinds that keep it on one line included.
+GAP = "[ \\t\\n\\f\\r\u00a0\u2009\u202f]"
+FIGURE = (
+    rf"(?i)[+-]?{GAP}*[$€£]?{GAP}*[+-]?{GAP}*(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)(?:{GAP}*(?:thousand|million|billion|trillion))?"
+    rf"(?:{GAP}*(?:%|percent(?:age{GAP}+points?)?|basis{GAP}+points?|bps|dollars?|euros?|pounds?))?"
+)
+#: Capital words may go on with accented letters of the Latin-1 block.
+CAPITAL = r"(?U)\b([A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’.-]*)\b"
 
 
 def split_sentences(text: Column) -> Column:
@@ -68,21 +75,22 @@ def headline(text: Column, least: int = 20) -> Column:
 
 
 def figures(text: Column) -> Column:
-    """Figures with currency, scale and unit, and dates, as a multiset of normalised tokens."""
-    t = ascii_words(text)
+    """Figures with sign, currency, scale and unit, and dates, as a multiset of normalised tokens."""
+    plain = F.replace(nonnull(text), F.lit("−"), F.lit("-"))
 
     def normal(m: Column) -> Column:
         low = F.lower(m)
         value = F.regexp_replace(F.regexp_extract(low, r"([0-9][0-9,.]*)", 1), ",", "")
         value = F.when(F.contains(value, F.lit(".")), F.regexp_replace(F.regexp_replace(value, "0+$", ""), r"\.$", "")).otherwise(value)
-        money = F.when(F.rlike(low, F.lit(r"[$]|dollar")), "usd").when(F.contains(low, F.lit("euro")), "eur").when(F.contains(low, F.lit("pound")), "gbp")
-        unit = F.when(F.rlike(low, F.lit("%|percent")), "%").when(F.rlike(low, F.lit("basis|bps")), "basis_points")
+        money = F.when(F.rlike(low, F.lit(r"[$]")), "usd").when(F.contains(low, F.lit("€")), "eur").when(F.contains(low, F.lit("£")), "gbp")
+        money = money.when(F.contains(low, F.lit("dollar")), "usd").when(F.contains(low, F.lit("euro")), "eur").when(F.contains(low, F.lit("pound")), "gbp")
+        unit = F.when(F.contains(low, F.lit("percentage")), "percentage_points").when(F.rlike(low, F.lit("%|percent")), "%").when(F.rlike(low, F.lit("basis|bps")), "basis_points")
         scale = F.nullif(F.regexp_extract(low, "(thousand|million|billion|trillion)", 1), F.lit(""))
         sign = F.regexp_extract(low, "([+-])", 1)
         return F.concat_ws(":", F.coalesce(money, F.lit("num")), F.concat(sign, value), scale, F.when(money.isNull(), unit))
 
-    dates = F.regexp_extract_all(F.lower(t), F.lit(r"\b(" + "|".join(DATES) + r")\b"), F.lit(1))
-    return F.concat(F.transform(F.regexp_extract_all(t, F.lit(FIGURE), F.lit(0)), normal), F.transform(dates, lambda d: F.concat(F.lit("date:"), d)))
+    dates = F.regexp_extract_all(F.lower(ascii_words(text)), F.lit(r"\b(" + "|".join(DATES) + r")\b"), F.lit(1))
+    return F.concat(F.transform(F.regexp_extract_all(plain, F.lit(FIGURE), F.lit(0)), normal), F.transform(dates, lambda d: F.concat(F.lit("date:"), d)))
 
 
 def anchors(text: Column) -> Column:
@@ -98,7 +106,7 @@ def anchors(text: Column) -> Column:
 
 def capitalized(text: Column) -> Column:
     """Words with a capital first letter, without common ones, as a set."""
-    hits = F.regexp_extract_all(ascii_words(text), F.lit(r"\b([A-Z][A-Za-z'.-]*)\b"), F.lit(1))
+    hits = F.regexp_extract_all(nonnull(text), F.lit(CAPITAL), F.lit(1))
     return F.array_except(F.array_distinct(hits), words_in(ENTITY_WORDS))
 
 
@@ -131,3 +139,42 @@ def filing_event(form: Column, items: Column, text: Column, description: Column)
     slug = F.regexp_replace(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     plain = F.lower(bare).isin("", "6-k", "form 6-k", "8-k", "form 8-k") | (slug == "")
     return key.when(plain, "company_update").otherwise(slug)
+
+
+# Forms of companies that readers are spared, and what a filing's headline says of its event.
+LEGAL_FORMS = ("A/S", "Inc\\.?", "Corporation", "Corp\\.?", "Ltd\\.?", "Limited", "plc")
+HEADLINES = {
+    "financial_outlook": "updated its sales and profit outlook", "share_buyback": "updated its share buyback program", "acquisition_or_merger": "announced a major acquisition or merger update",
+    "regulatory_approval": "announced a regulatory approval", "leadership": "announced a leadership update", "dividend": "announced a dividend update", "financing": "announced a financing update",
+    "restructuring": "announced a restructuring update", "company_update": "filed an important company update",
+}
+# End of fixed values.
+
+
+def filing_headline(form: Column, items: Column, text: Column, description: Column, issuer: Column) -> Column:
+    """The headline that goes with :func:`filing_event`: which results, the year and direction of an outlook, and how far
+    sales and profit rose where a quarter's text says both; otherwise what kind of news it is, or the description."""
+    t, base = nonnull(text), F.regexp_replace(form, "/A$", "")
+    who = F.trim(F.regexp_replace(F.trim(nonnull(issuer)), rf"(?i)\s+(?:{'|'.join(LEGAL_FORMS)})$", ""))
+    event = filing_event(form, items, text, F.lit(""))
+    found = lambda pattern, group: F.nullif(F.regexp_extract(t, "(?i)" + pattern, group), F.lit(""))
+    quarter, quarter_year, year = found(r"\b(q[1-4])\s+20[0-9]{2}\b", 1), found(r"\bq[1-4]\s+(20[0-9]{2})\b", 1), found(r"\b(20[0-9]{2})\b", 1)
+    rise = lambda what: found(rf"adjusted {what}(?: growth)?\s+(?:increased|rose)\s+by\s+([0-9]+(?:\.[0-9]+)?)\s*%", 1)
+    sales, profit = rise("sales"), rise("operating profit")
+    direction = F.when(F.rlike(t, F.lit(r"(?i)\b(?:raise[sd]?|improved)\b")), "raised").when(F.rlike(t, F.lit(r"(?i)\b(?:lower(?:ed|s)?|cut|reduced)\b")), "lowered").otherwise("updated")
+    which = F.coalesce(F.concat(F.lit(" "), F.coalesce(quarter_year, year)), F.lit(""))
+    figures_of = F.concat(F.lit(" after adjusted "), F.upper(quarter), F.lit(" sales rose "), sales, F.lit("% and adjusted profit rose "), profit, F.lit("%"))
+    outlook = F.concat(direction, F.lit(" its"), which, F.lit(" sales and profit outlook"), F.coalesce(figures_of, F.lit(" after reporting quarterly results")))
+    results = F.concat(F.lit("reported"), F.coalesce(F.concat(F.lit(" "), F.upper(quarter), F.lit(" "), quarter_year), F.lit("")), F.lit(" financial results"))
+    report = F.concat(F.lit("filed its "), F.when(base == "10-Q", "quarterly").otherwise("annual"), F.lit(" financial report"))
+    bare = F.regexp_replace(F.trim(nonnull(description)), r"\.+$", "")
+    plain = F.lower(bare).isin("", "6-k", "form 6-k", "8-k", "form 8-k")
+
+    def told(e: Column) -> Column:
+        said = F.when(F.array_contains(items, "2.02"), "reported financial results").when(base.isin("10-Q", "10-K", "20-F", "40-F") & (F.trim(t) == ""), report)
+        said = said.when(e == "financial_results_outlook", outlook).when(e == "financial_results", results)
+        said = said.when((e != "company_update") | plain, F.element_at(F.create_map(*[F.lit(x) for kv in HEADLINES.items() for x in kv]), e))
+        return F.concat(who, F.coalesce(F.concat(F.lit(" "), said), F.concat(F.lit(": "), bare)), F.lit("."))
+
+    # the event is worked out once, as the one element of an array
+    return F.transform(F.array(event), told)[0]

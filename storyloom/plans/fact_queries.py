@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import facts as X
+from ..functions import text as T
 from ..operators import selection as Sel
 from ..operators import stories as So
 from ..session import cut, fresh_path
 from ..streaming import leaders
 from ..streaming import state as stream
 from .adapters import CATEGORIES, articles, table, with_articles
-from .text_queries import sql_ascii, sql_list
+from .text_queries import sql_ascii, sql_list, sql_names
 
 QUERIES, ORACLES = {}, {}
 
@@ -37,16 +38,16 @@ def extractive_summary(spark, sf_dir):
     return a.select("article_id", X.extractive_summary(F.col("title"), F.col("summary")).alias("paragraph"), X.headline(F.col("summary")).alias("headline"))
 
 
-_FACTS = " It rose +5.50% to $1,200.00 million, by 30 basis points, or 40 euros and 7 pounds, on Monday in 2024"
+_FACTS = " It rose +5.50% to $1,200.00 million, by 30 basis points, or 40 euros and 7 pounds, on Monday in 2024; €3.10 billion, £ 4, − 2.5 percentage points, −£7 and 6\u00a0bps"
 _VALUE = "replace(regexp_extract(lower(m), '([0-9][0-9,.]*)', 1), ',', '')"
-_MONEY = "CASE WHEN regexp_matches(lower(m), '[$]|dollar') THEN 'usd' WHEN contains(lower(m), 'euro') THEN 'eur' WHEN contains(lower(m), 'pound') THEN 'gbp' END"
-_UNIT = "CASE WHEN regexp_matches(lower(m), '%|percent') THEN '%' WHEN regexp_matches(lower(m), 'basis|bps') THEN 'basis_points' END"
+_MONEY = "CASE WHEN contains(m, '$') THEN 'usd' WHEN contains(m, '€') THEN 'eur' WHEN contains(m, '£') THEN 'gbp' WHEN contains(lower(m), 'dollar') THEN 'usd' WHEN contains(lower(m), 'euro') THEN 'eur' WHEN contains(lower(m), 'pound') THEN 'gbp' END"
+_UNIT = "CASE WHEN contains(lower(m), 'percentage') THEN 'percentage_points' WHEN regexp_matches(lower(m), '%|percent') THEN '%' WHEN regexp_matches(lower(m), 'basis|bps') THEN 'basis_points' END"
 _NORMAL = f"""concat_ws(':', coalesce({_MONEY}, 'num'), regexp_extract(lower(m), '([+-])', 1) || CASE WHEN contains({_VALUE}, '.') THEN regexp_replace(regexp_replace({_VALUE}, '0+$', ''), '\\.$', '') ELSE {_VALUE} END,
   nullif(regexp_extract(lower(m), '(thousand|million|billion|trillion)', 1), ''), CASE WHEN {_MONEY} IS NULL THEN {_UNIT} END)"""
 
 
-@register("protected_facts", f"""SELECT doc_id, array_to_string(list_sort(list_concat(list_transform(regexp_extract_all(t, '{X.FIGURE}'), lambda m: {_NORMAL}), list_transform(regexp_extract_all(lower(t), '\\b({'|'.join(X.DATES)})\\b'), lambda d: 'date:' || d))), '|') AS facts
- FROM (SELECT doc_id, {sql_ascii("coalesce(text, '') || '" + _FACTS + "'")} AS t FROM documents)""")
+@register("protected_facts", f"""SELECT doc_id, array_to_string(list_sort(list_concat(list_transform(regexp_extract_all(plain, '{X.FIGURE}'), lambda m: {_NORMAL}), list_transform(regexp_extract_all(lower(t), '\\b({'|'.join(X.DATES)})\\b'), lambda d: 'date:' || d))), '|') AS facts
+ FROM (SELECT doc_id, replace(x, '−', '-') AS plain, {sql_ascii("x")} AS t FROM (SELECT doc_id, coalesce(text, '') || '{_FACTS}' AS x FROM documents))""")
 def protected_facts(spark, sf_dir):
     """Documents with a closing sentence that holds figures of each kind, and dates."""
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(_FACTS))
@@ -64,9 +65,14 @@ def semantic_anchors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(X.anchors(text)), "|").alias("anchors"))
 
 
-@register("capitalized_words", "SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(t, '\\b([A-Z][A-Za-z''.-]*)\\b', 1)), lambda w: NOT list_contains(" + sql_list(X.ENTITY_WORDS) + ", w))), ' ') AS words FROM (SELECT doc_id, " + sql_ascii("coalesce(text, '')") + " AS t FROM documents)")
+_NAMES = " Übung in Zürich: José O''Neil, Señor Łódź and Müller-Lüdenscheidt met A.B1 of X9"
+
+
+@register("capitalized_words", f"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct({sql_names('t')}), lambda w: NOT list_contains({sql_list(X.ENTITY_WORDS)}, w))), ' ') AS words FROM (SELECT doc_id, coalesce(text, '') || '{_NAMES}' AS t FROM documents)")
 def capitalized_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(X.capitalized(F.col("text"))), " ").alias("words"))
+    """Documents with a closing sentence of accented names."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(_NAMES.replace("''", "'")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(X.capitalized(text)), " ").alias("words"))
 
 
 #: Sentences that real texts are put between, by id, so that patterns meet them among other words.
@@ -108,6 +114,29 @@ def filing_event(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(k, X.filing_event(F.lit("8-K"), F.when(k % 9 == 0, F.array(F.lit("2.02"))).otherwise(F.array(F.lit("8.01"))), text, description).alias("event_key"))
 
 
+_HEADS = (" Q2 2024 results: raised guidance; adjusted sales growth rose by 4.5 % and adjusted operating profit increased by 7%", " outlook cut, earnings of 2023", " earnings", " Q3 2022 quarterly results", " new guidance", " a share buyback", "")
+_UPDATES = " ".join(f"WHEN regexp_matches(low, '{'|'.join(terms)}') THEN '{X.HEADLINES[name]}'" for terms, name in X.EVENTS)
+_FOUND = "nullif(regexp_extract(t, '(?i){}', 1), '')".format
+
+
+@register("filing_headline", f"""WITH d AS (SELECT doc_id, coalesce(text, '') || {sql_list(_HEADS)}[doc_id % 7 + 1] AS t, 'Firm ' || doc_id AS who, CASE doc_id % 5 WHEN 0 THEN '2.02' ELSE '8.01' END AS item, doc_id % 11 = 0 AS empty, CASE doc_id % 4 WHEN 0 THEN '10-Q' WHEN 1 THEN '20-F' ELSE '8-K' END AS form FROM documents),
+ e AS (SELECT * REPLACE (CASE WHEN empty THEN '' ELSE t END AS t), lower(CASE WHEN empty THEN '' ELSE t END) AS low FROM d),
+ r AS (SELECT *, regexp_matches(low, '\\bq[1-4]\\s+20[0-9]{{2}}\\b|financial results|quarterly results|financial report|earnings') AS results, regexp_matches(low, 'outlook|guidance') AS outlook, {_FOUND('\\b(q[1-4])\\s+20[0-9]{2}\\b')} AS q, {_FOUND('\\bq[1-4]\\s+(20[0-9]{2})\\b')} AS qy, {_FOUND('\\b(20[0-9]{2})\\b')} AS y,
+  {_FOUND('adjusted sales(?: growth)?\\s+(?:increased|rose)\\s+by\\s+([0-9]+(?:\\.[0-9]+)?)\\s*%')} AS sales, {_FOUND('adjusted operating profit(?: growth)?\\s+(?:increased|rose)\\s+by\\s+([0-9]+(?:\\.[0-9]+)?)\\s*%')} AS profit FROM e)
+ SELECT doc_id, coalesce(who || ' ' || CASE WHEN item = '2.02' THEN 'reported financial results' WHEN form IN ('10-Q', '20-F') AND trim(t) = '' THEN 'filed its ' || CASE form WHEN '10-Q' THEN 'quarterly' ELSE 'annual' END || ' financial report'
+   WHEN results AND outlook THEN CASE WHEN regexp_matches(t, '(?i)\\b(?:raise[sd]?|improved)\\b') THEN 'raised' WHEN regexp_matches(t, '(?i)\\b(?:lower(?:ed|s)?|cut|reduced)\\b') THEN 'lowered' ELSE 'updated' END || ' its' || coalesce(' ' || coalesce(qy, y), '') || ' sales and profit outlook' || coalesce(' after adjusted ' || upper(q) || ' sales rose ' || sales || '% and adjusted profit rose ' || profit || '%', ' after reporting quarterly results')
+   WHEN results THEN 'reported' || coalesce(' ' || upper(q) || ' ' || qy, '') || ' financial results' WHEN outlook THEN '{X.HEADLINES["financial_outlook"]}' {_UPDATES} END, CASE WHEN doc_id % 3 = 0 THEN who || ': New plant' ELSE who || ' filed an important company update' END) || '.' AS headline FROM r""")
+def filing_headline(spark, sf_dir):
+    """Whole documents as filings, most with a sentence about results or an outlook, some empty, of issuers of each legal form."""
+    k = F.col("doc_id")
+    forms = F.array(*[F.lit(x) for x in (" A/S", " Inc.", " Corporation", " corp", " Ltd", " Limited", " PLC", "")])
+    text = F.when(k % 11 == 0, "").otherwise(F.concat(F.coalesce("text", F.lit("")), F.get(T.words_in(_HEADS), (k % 7).cast("int"))))
+    form = F.when(k % 4 == 0, "10-Q").when(k % 4 == 1, "20-F/A").otherwise("8-K")
+    items = F.when(k % 5 == 0, F.array(F.lit("2.02"))).otherwise(F.array(F.lit("8.01")))
+    issuer = F.concat(F.lit(" Firm "), k.cast("string"), F.get(forms, (k % 8).cast("int")))
+    return table(spark, sf_dir, "documents").select(k, X.filing_headline(form, items, text, F.when(k % 3 == 0, "New plant.").otherwise("Form 8-K"), issuer).alias("headline"))
+
+
 @register("vote_lane", with_articles(f"""SELECT story_id, lane FROM (SELECT run_id * 40 + article_id % 40 AS story_id, unnest(tags) AS lane, count(*) AS n FROM articles GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY n DESC, list_position({sql_list(CATEGORIES[::-1])}, lane)) = 1"""))
 def vote_lane(spark, sf_dir):
     from ..operators.scoring import vote_category

@@ -14,7 +14,7 @@ from ..session import fresh_path
 from ..sources import pages as P
 from ..sources import payloads as L
 from .adapters import QUOTES, articles, minute_of, quotes, table, with_articles
-from .text_queries import sql_ascii, sql_list, sql_page_text, sql_tokens
+from .text_queries import sql_ascii, sql_list, sql_names, sql_page_text, sql_tokens
 
 QUERIES, ORACLES = {}, {}
 
@@ -322,10 +322,10 @@ def stage_costs(spark, sf_dir):
 
 _FACTS = "len(regexp_extract_all({t}, '(?i)[+-]?\\s*[$]?\\s*[+-]?\\s*(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?)')) + len(regexp_extract_all(lower({t}), '\\b(" + "|".join(X.DATES).replace("{2}", "{{2}}") + ")\\b'))"
 _ANCHORS = "(" + " + ".join("len(regexp_extract_all(lower(t), '\\b(" + "|".join(w).replace("'", "''") + ")\\b'))" for w in (X.NEGATIONS, X.MODALS, X.ATTRIBUTIONS, X.CAUSES)) + ")"
-_NAMES = "len(list_filter(list_distinct(regexp_extract_all(t, '\\b([A-Z][A-Za-z''.-]*)\\b', 1)), lambda w: NOT list_contains(" + sql_list(X.ENTITY_WORDS) + ", w)))"
+_NAMES = f"len(list_filter(list_distinct({sql_names('x')}), lambda w: NOT list_contains({sql_list(X.ENTITY_WORDS)}, w)))"
 
 
-@register("fidelity_guard", f"""WITH s AS (SELECT doc_id, doc_id % 4 AS k, {sql_ascii("coalesce(text, '')")} AS t FROM documents), c AS (SELECT *, {_FACTS.format(t='t')} AS facts, {_FACTS.format(t="regexp_replace(t, '[0-9]', '', 'g')")} AS words, {_ANCHORS} AS anchors, {_NAMES} AS names FROM s),
+@register("fidelity_guard", f"""WITH s AS (SELECT doc_id, doc_id % 4 AS k, coalesce(text, '') AS x, {sql_ascii("coalesce(text, '')")} AS t FROM documents), c AS (SELECT *, {_FACTS.format(t='t')} AS facts, {_FACTS.format(t="regexp_replace(t, '[0-9]', '', 'g')")} AS words, {_ANCHORS} AS anchors, {_NAMES} AS names FROM s),
  r AS (SELECT doc_id AS id, CASE k WHEN 1 THEN facts - words WHEN 3 THEN facts ELSE 0 END AS missing, CASE WHEN k = 2 THEN 1 ELSE 0 END AS added, CASE WHEN k = 3 THEN anchors ELSE 0 END AS missing_anchors, 0 AS added_anchors, CASE WHEN k IN (2, 3) THEN names ELSE 0 END AS dropped_entities FROM c)
  SELECT *, missing + added + missing_anchors + dropped_entities = 0 AS passed FROM r""")
 def fidelity_guard(spark, sf_dir):

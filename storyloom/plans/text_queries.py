@@ -130,6 +130,16 @@ def sql_ascii(text: str) -> str:
     return f"regexp_replace(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}\\x00-\\x7F]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
 
 
+_SPELLED = "A-Za-zÀ-ÖØ-öø-ÿ''’.-"
+
+
+def sql_names(text: str) -> str:
+    """Capital words of a text, as a list with repeats: one that a sign of another alphabet or a digit follows ends before
+    its last run of letters."""
+    own = f"CASE WHEN regexp_matches(w, '[^{_SPELLED}]$') THEN regexp_replace(w, '[A-Za-zÀ-ÖØ-öø-ÿ]*[^{_SPELLED}]$', '') ELSE regexp_replace(w, '[''’.-]+$', '') END"
+    return f"list_filter(list_transform(regexp_extract_all({text}, '(?:^|[^\\p{{L}}\\p{{N}}_])([A-Z][{_SPELLED}]*[\\p{{L}}\\p{{N}}_]?)', 1), lambda w: {own}), lambda w: w <> '')"
+
+
 def sql_entities(text: str) -> str:
     ticker = r"(?:\$|\b(?:NASDAQ|NYSE|AMEX|NYSEARCA)\s*:?\s*)?([A-Z][A-Z0-9.-]{1,5})\b"
     text = sql_ascii(text)

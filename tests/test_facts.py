@@ -35,3 +35,36 @@ def test_tickers_and_events(spark):
     event = lambda items, text, d="": one(spark, X.filing_event(F.lit("8-K"), F.array(*map(F.lit, items)), F.lit(text), F.lit(d)))
     assert event(["2.02"], "x") == "financial_results" and event(["8.01"], "Q3 2024 outlook") == "financial_results_outlook"
     assert event(["8.01"], "a merger") == "acquisition_or_merger" and event(["8.01"], "", "Plant: fire.") == "plant_fire" and event(["8.01"], "", "Form 8-K") == "company_update"
+
+
+def of(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in values.items()))
+    return row.select(column.alias("x")).first().x
+
+
+def test_figures_beyond_ascii(spark):
+    got = lambda t: sorted(of(spark, X.figures(F.col("t")), t=t))
+    assert got("€1.50 billion or £2,000 or −3 percentage points") == ["eur:1.5:billion", "gbp:2000", "num:-3:percentage_points"]
+    assert got("−€5 million, + $ 7, 6 % and 2 dollars") == ["eur:-5:million", "num:6:%", "usd:+7", "usd:2"]
+    assert got("12 percent, 25 basis points; 1,5") == ["num:1", "num:12:%", "num:25:basis_points", "num:5"]
+
+
+def test_capital_words_with_accents(spark):
+    got = lambda t: sorted(of(spark, X.capitalized(F.col("t")), t=t))
+    assert got("In Zürich met José O’Neil, Müller-Lüdenscheidt. iPhone X9, Über and The Co.") == ["Co", "José", "Müller-Lüdenscheidt", "O’Neil", "Zürich"]
+
+
+def test_filing_headlines(spark):
+    def headline(text, form="8-K", items=("8.01",), description="8-K", issuer="Novo Nordisk A/S"):
+        return of(spark, X.filing_headline(F.col("form"), F.col("items"), F.col("text"), F.col("description"), F.col("issuer")), form=form, items=list(items), text=text, description=description, issuer=issuer)
+
+    said = "Q2 2026 financial results: outlook raised. Adjusted sales growth increased by 9% and adjusted operating profit rose by 10.5 %"
+    assert headline(said) == "Novo Nordisk raised its 2026 sales and profit outlook after adjusted Q2 sales rose 9% and adjusted profit rose 10.5%."
+    assert headline("Earnings and guidance cut for 2025") == "Novo Nordisk lowered its 2025 sales and profit outlook after reporting quarterly results."
+    assert headline("Q3 2025 earnings") == "Novo Nordisk reported Q3 2025 financial results."
+    assert headline("x", items=("2.02",), issuer="Apple Inc.") == "Apple reported financial results."
+    assert headline(" ", form="10-K/A", issuer="Apple Inc") == "Apple filed its annual financial report."
+    assert headline("", form="10-Q") == "Novo Nordisk filed its quarterly financial report."
+    assert headline("a share buyback") == "Novo Nordisk updated its share buyback program."
+    assert headline("", description="Dividend.") == "Novo Nordisk: Dividend."
+    assert headline("", description="Form 6-K") == "Novo Nordisk filed an important company update."
