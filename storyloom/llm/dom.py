@@ -18,13 +18,20 @@ BLOCKS = frozenset(
 #: A start tag of the key closes an open element of the value's tags, up to the nearest of :data:`SCOPES`.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body table ul ol dl select button div article section main aside nav header footer form td th".split())
-#: Tags that never hold the main text, and names of classes, ids and roles that mark such parts.
-APART = frozenset("nav header footer aside form script style noscript iframe button select textarea template head menu dialog svg math title xmp input".split())
+#: Tags that never hold the main text; tags and names of classes, ids and roles that mark such parts; words that such names
+#: are put together with; and names of what readers write.
+NEVER = frozenset("nav script style noscript iframe button select textarea template head menu dialog svg math title xmp input".split())
+BESIDE = frozenset("header footer aside form".split())
 MARKS = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|sign-?up|login|"
+    r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"nav|navbar|navigation|menu|breadcrumbs?|pager|pagination|sidebar|side|rail|widget|related|recommend\w*|trending|share|sharing|social|"
-    r"header|masthead|footer|foot|copyright|legal|disclaimer|comments?|disqus|respond|replies|reply|form|search|contentinfo|complementary|toolbar|skip\w*)(?:$|[-_ \d])"
+    r"header|masthead|footer|foot|copyright|legal|disclaimer|comments?|disqus|respond|replies|reply|form|search|contentinfo|complementary|toolbar|skip\w*"
 )
+LAYOUT = frozenset(
+    "a area article bar bars block body bottom box btn button buttons card col column container content data desktop div fixed global group head home id in inner item items js left link links "
+    "list main mobile module more new outer page pane panel post primary region right row secondary section site slot static sticky strip sub tag tags text top ui unit up user view wrap wrapper zone".split()
+)
+READERS = re.compile("comments?|disqus|respond|replies|reply")
 
 
 class Node:
@@ -92,9 +99,19 @@ def parse(source: str) -> Node:
     return root
 
 
-def apart(node: Node) -> bool:
-    """Whether the node's tag or names set it apart from the main text."""
-    return node.tag in APART or bool(node.mark and node.tag not in ("body", "html", "article", "main") and MARKS.search(node.mark))
+def apart(node: Node) -> int:
+    """How surely the node's tag or names set it apart from the main text: 3 whatever it holds, 2 by a name or tag that says
+    nothing else, 1 where such a word stands among others in a name, 0 not at all."""
+    if node.tag in NEVER:
+        return 3
+    level = 2 if node.tag in BESIDE else 0
+    for name in node.mark.split() if node.tag not in ("body", "html", "article", "main") else ():
+        words = [w for w in re.split(r"[-_\d]+", name) if w]
+        told = [w for w in (*words, "".join(words)) if MARKS.fullmatch(w)]
+        if told:
+            plain = all(w in LAYOUT or MARKS.fullmatch(w) for w in words) or MARKS.fullmatch("".join(words))
+            level = max(level, (3 if any(READERS.fullmatch(w) for w in told) else 2) if plain else 1)
+    return level
 
 
 def blocks(node: Node, drop=lambda n: False) -> list[str]:
@@ -170,6 +187,10 @@ class Facts:
             self.hash[k] = parts[0] if len(parts) == 1 else xxhash.xxh64_intdigest(repr(parts))
             self.length[k], self.linked[k], self.holds[k] = length, length if x.tag == "a" else linked, holds
 
+    def prose(self, node: Node) -> int:
+        """Characters of the node's text outside links."""
+        return self.length[id(node)] - self.linked[id(node)]
+
 
 class Outline:
     """A node of a page's outline: a block, or a run of paragraphs, items or headings with the same label."""

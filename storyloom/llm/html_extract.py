@@ -7,10 +7,12 @@ most pages have at a node is template, whatever the node is called; nodes whose
 where the varying text outside links has its mass: from the root the skeleton is descended to the node, or the nodes,
 that hold it. Small blocks in it that every page has in one form are furniture, and slots of links are menus.
 
-Tags such as nav, footer or form, and the usual names of classes, only break ties: they keep a part out of the search
-where other parts remain, and drop small parts inside the content. The wrapper, a flat list as JSON, is joined to all
-pages of its host and aligned with each; its content slots give the text. Where a group has one page only, or a page
-lacks the slots, tags and names alone decide.
+Tags such as footer or form, and the usual names of classes, only break ties: they keep a part out of the search, and out of
+the text, unless it holds more than half of what there is; a name that has such a word among others ("ad-hoc-analysis") tells
+of small parts only. Scripts, menus, controls and what readers write are left out however large they are. The wrapper, a
+flat list as JSON, is joined to all pages of its host and aligned with each; its content slots give the text. Where a group
+has one page only, or a page lacks the slots, tags and names alone decide; where they would leave no text, the page is
+taken without them.
 
 Defined cases: null and empty pages have an empty text; a null url belongs to the host ""; null ids stay null; repeated
 rows give equal rows and count once; other columns are ignored, whatever their names; an empty table gives an empty
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches, cut
 from .bounded import BROADCAST_BYTES
-from .dom import TEXTUAL, Facts, Node, Outline, align, apart, blocks, outline, parse, preorder
+from .dom import NEVER, TEXTUAL, Facts, Node, Outline, align, apart, blocks, outline, parse, preorder
 
 #: Different pages of a group that its skeleton is induced from, and the share of pages that make a node part of the
 #: skeleton and a text template.
@@ -42,6 +44,9 @@ LINKS = 0.5
 #: The search descends to a part that holds all but the first share of the varying text, or half of it where only its
 #: form varies; a piece of furniture holds at most the second, and all together the first.
 MAJOR, MINOR = 0.15, 0.05
+#: What a tag or name sets apart stays if it holds more than the first share of the text outside links; what a name only
+#: hints at, if it holds more than the second.
+MOST, HINTED = 0.5, 0.05
 #: Levels of tags that pages of a group share.
 LEVELS = 3
 MAIN = ("article", "main")
@@ -141,13 +146,13 @@ def decide(skeleton: list[list], seen: pd.DataFrame) -> dict:
         length[r.node], linked[r.node], form[r.node] = r.length, r.linked, r.form
         gone[r.node] = {int(t): float(c) for t, c in r.texts}
     tags = [label.split(".", 1)[0] for label, _ in skeleton]
-    out_of_search = [apart(Node(*label.split(".", 1))) if label[0] != "#" else False for label, _ in skeleton]
+    levels = [apart(Node(*label.split(".", 1))) if label[0] != "#" else 0 for label, _ in skeleton]
 
     listed = [sum(max(length[k] - linked[k], 0.0) for k in kids[i] if tags[k] in TEXTUAL) for i in range(n)]
     fixed_share = [min(sum(gone[i].values()) / listed[i], 1.0) if listed[i] else 0.0 for i in range(n)]
 
-    def worth(count_apart: bool) -> list[float]:
-        """Varying text of each node outside links, menus and, if asked for, parts set apart by tag or name."""
+    def worth(out_of_search: list[bool]) -> list[float]:
+        """Varying text of each node outside links, menus and the parts that are out of the search."""
         out = [0.0] * n
         for i in reversed(range(n)):
             below = sum(max(length[k] - linked[k], 0.0) for k in kids[i])
@@ -155,14 +160,15 @@ def decide(skeleton: list[list], seen: pd.DataFrame) -> dict:
             if tags[i] in TEXTUAL and skeleton[i][1] >= 0:
                 rest *= 1 - fixed_share[skeleton[i][1]]
             menu = linked[i] > LINKS * length[i]
-            out[i] = 0.0 if menu or (out_of_search[i] and not count_apart) else rest + sum(out[k] for k in kids[i])
+            out[i] = 0.0 if menu or out_of_search[i] else rest + sum(out[k] for k in kids[i])
             if any(c >= 0.9 * length[i] for c in gone[i].values()):
                 out[i] = 0.0
         return out
 
-    value = worth(False)
+    whole = worth([x == 3 for x in levels])
+    value = worth([x == 3 or x == 2 and whole[i] <= MOST * whole[0] for i, x in enumerate(levels)])
     if value[0] <= 0:
-        value = worth(True)
+        value = worth([False] * n)
     slots: list[int] = []
     heads: list[int] = []
     stack = [0]
@@ -214,7 +220,7 @@ def _heads_article(node: Node) -> bool:
     return False
 
 
-def alone(page: Node) -> list[Node]:
+def alone(page: Node, facts: Facts) -> list[Node]:
     """The content nodes of a page by itself: its outermost articles, or else all that is not set apart."""
     out: list[Node] = []
     stack = [page]
@@ -222,7 +228,7 @@ def alone(page: Node) -> list[Node]:
         x = stack.pop()
         if x.tag in MAIN:
             out.append(x)
-        elif not apart(x):
+        elif apart(x) < 2 or apart(x) == 2 and facts.prose(x) > MOST * facts.prose(page):
             stack.extend(reversed(x.nodes()))
     return out or [page]
 
@@ -249,15 +255,17 @@ def extract(source: str | None, wrapper: Wrapper | dict[str, Wrapper] | None) ->
         left = {id(m) for i in wrapper.leave if i in found for m in found[i].members}
         gone = wrapper.gone
     if not any(page.facts.length[id(n)] for n in nodes):
-        nodes, left, gone = alone(page.root), set(), set()
+        nodes, left, gone = alone(page.root, page.facts), set(), set()
+    whole = sum(map(page.facts.prose, nodes))
 
     def drop(n: Node) -> bool:
-        return id(n) in left or apart(n) and not _heads_article(n) or bool(gone) and page.facts.hash[id(n)] in gone and page.facts.length[id(n)] > 0
+        level = apart(n)
+        if level in (1, 2):
+            level = 0 if page.facts.prose(n) > (MOST if level == 2 else HINTED) * whole or _heads_article(n) else level
+        return id(n) in left or level > 0 or bool(gone) and page.facts.hash[id(n)] in gone and page.facts.length[id(n)] > 0
 
-    out: list[str] = []
-    for node in nodes:
-        out += blocks(node, drop)
-    return "\n".join(out)
+    out = [b for node in nodes for b in blocks(node, drop)]
+    return "\n".join(out or blocks(page.root, lambda n: apart(n) == 3) or blocks(page.root, lambda n: n.tag in NEVER))
 
 
 def _digest() -> Column:

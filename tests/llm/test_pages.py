@@ -157,3 +157,37 @@ def test_parser_survives_broken_pages():
 def test_an_articles_own_header_stays():
     page = '<header><h1>Site</h1></header><article><div class="article-header"><h1>Title</h1></div><p>Text.</p><header>Menu</header><div class="footer">x</div></article>'
     assert html_extract.extract(page, None) == "Title\nText."
+
+
+def _texts(spark, pages):
+    rows = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r.text for r in html_extract.main_text(rows).orderBy("page_id").collect()]
+
+
+def test_slots_win_over_names(spark, prose):
+    """A part that holds much of the article stays whatever its name hints at; small parts of such names go."""
+    page = '<body><div class="site-header"><a href="/">Home</a></div><article><p>{}</p><div class="{}"><p>{}</p></div><div class="share-buttons">Share this now</div></article></body>'
+    pages = [("https://h.example/%d" % k, page.format(prose(k, 60), name, prose(50 + k, 55))) for k, name in enumerate(["ad-hoc-analysis", "side-by-side"] * 4)]
+    for k, text in enumerate(_texts(spark, pages)):
+        assert text == f"{prose(k, 60)}\n{prose(50 + k, 55)}"
+
+
+def test_names_never_leave_a_page_empty(spark, prose):
+    text = prose(1, 50)
+    wrapped = [f"<body><form><p>{text}</p></form></body>", f'<div class="side-by-side"><p>{text}</p></div>', f'<div class="promo"><p>{text}</p></div>', f'<div class="comments"><p>{text}</p></div>']
+    assert _texts(spark, [("https://h%d.example/a" % k, h) for k, h in enumerate(wrapped)]) == [text] * len(wrapped)
+    assert _texts(spark, [("https://h.example/a", f"<nav><p>{text}</p></nav>")]) == [""]
+
+
+def test_comments_go_however_long(spark, prose):
+    page = '<body><div id="c"><p>{}</p><p>{}</p></div><div class="comments"><p>{}</p></div></body>'
+    pages = [("https://h.example/%d" % k, page.format(prose(k, 30), prose(k + 20, 30), prose(k + 40, 200))) for k in range(6)]
+    assert _texts(spark, pages) == [f"{prose(k, 30)}\n{prose(k + 20, 30)}" for k in range(6)]
+
+
+def test_levels_of_names():
+    from storyloom.llm import dom
+
+    level = lambda tag, mark="": dom.apart(dom.Node(tag, mark))
+    assert [level("nav"), level("form"), level("div", "ad-slot"), level("div", "sidebar"), level("div", "sign-up")] == [3, 2, 2, 2, 2]
+    assert [level("div", "post-comments"), level("div", "ad-hoc-analysis"), level("div", "story"), level("article", "promo")] == [3, 1, 0, 0]
