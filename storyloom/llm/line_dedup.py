@@ -27,7 +27,7 @@ from .bounded import BROADCAST_BYTES, KEY_BYTES, bounded_ids
 #: (characters, edits): lines of at least so many characters may differ by so many edits.
 BANDS = ((8, 1), (24, 2), (72, 3))
 #: Buckets of more rows than this are split again, and how often; no pair is lost by it or without it.
-HOT, LEVELS = 32, 1
+HOT, LEVELS = 256, 1
 #: What lines are trimmed of.
 BLANK = " \t\n\x0b\x0c\r"
 
