@@ -1,13 +1,14 @@
 """Licence notices in whole texts, by a positional index of rare words.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. The index has a posting (template, position)
-for every word of every template. How many documents hold each of its words is counted over all documents, which gives the
-words' IDF. A text is then read in overlapping blocks of :data:`BLOCK` words; each block looks up its :data:`RARE`
-highest-IDF licence words, and every posting of a word votes for the place at which its template would begin. Places with
-two votes or more from different words of a template, or one where the template has no other, are verified: its words are
-looked for at their relative positions, give or take :data:`SLACK` words, and weighed by IDF; at least :data:`COVERAGE` of
-the weight must be there, and its mandatory phrases must each stand consecutively within the stretch. Blocks make a long
-file of many notices behave like many short ones.
+for the rarest words of every template: so many that no text can reach :data:`COVERAGE` with fewer than two of them. How
+many documents hold each of its words is counted over all documents, which gives the words' IDF. A text is then read in
+overlapping blocks of :data:`BLOCK` words; each block looks up its :data:`RARE` highest-IDF licence words, and every posting
+of a word votes for the place at which its template would begin. Places with two votes or more from different words of a
+template, or one where the template has no other, are verified: all its words are looked for at their relative positions,
+give or take :data:`SLACK` words, and weighed by IDF; at least :data:`COVERAGE` of the weight must be there, and its
+mandatory phrases must each stand consecutively within the stretch. Blocks make a long file of many notices behave like
+many short ones.
 
 Besides, the places of the base phrases are found and labelled whatever stands around them. The score is 1 where a base
 phrase stands, else the largest coverage that any verified or unverified place reached, 0 without any.
@@ -20,7 +21,6 @@ within the slack and of equal coverage the first is reported. An empty table giv
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -73,32 +73,49 @@ TEMPLATES = {
 
 BLOCK, RARE, SLACK, COVERAGE = 16, 8, 4, 0.75
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Of the UTF-8 bytes, digits and letters stay, A-Z as a-z, other ASCII is a space, and the rest are letters of words.
+FOLDED = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(LOWER))
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """The words in UTF-8."""
+    return (text.encode() if isinstance(text, str) else text or b"").translate(FOLDED).split()
 
 
 class Index:
     """Postings of the templates' words, and the words' IDF."""
 
-    def __init__(self, counts: dict[str, int], documents: int, templates: dict[str, tuple[str, list[str]]] = TEMPLATES):
+    def __init__(self, counts: dict[bytes, int], documents: int, templates: dict[str, tuple[str, list[str]]] = TEMPLATES):
         self.words = {name: words_of(text) for name, (text, _) in templates.items()}
         self.phrases = {name: [words_of(p) for p in phrases] for name, (_, phrases) in templates.items()}
-        self.postings: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        every = {w for words in self.words.values() for w in words}
+        self.idf = {w: math.log((documents + 1) / (counts.get(w, 0) + 1)) + 1e-9 for w in every}
+        self.rank = {w: k for k, w in enumerate(sorted(every, key=lambda w: (-self.idf[w], w)))}
+        self.weight = {name: sum(self.idf[w] for w in words) for name, words in self.words.items()}
+        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        self.distinct: dict[str, int] = {}
         for name, words in self.words.items():
+            rare = self.rarest(name)
+            self.distinct[name] = len(rare)
             for q, w in enumerate(words):
-                self.postings[w].append((name, q))
-        self.idf = {w: math.log((documents + 1) / (counts.get(w, 0) + 1)) + 1e-9 for w in self.postings}
-        self.rank = {w: k for k, w in enumerate(sorted(self.idf, key=lambda w: (-self.idf[w], w)))}
-        self.weight = {name: sum(self.idf[w] for w in words) for name, words in self.words.items()}
-        self.distinct = {name: len(set(words)) for name, words in self.words.items()}
-
-    def looked_up(self, hits: list[tuple[int, str]]) -> list[tuple[int, str]]:
+                if w in rare:
+                    self.postings[w].append((name, q))
+
+    def rarest(self, name: str) -> set[bytes]:
+        """The template's rarest words, until all but the heaviest weigh more than a verified notice can lack."""
+        words = self.words[name]
+        heavy = {w: words.count(w) * self.idf[w] for w in words}
+        rare: list[bytes] = []
+        for w in sorted(heavy, key=self.rank.__getitem__):
+            rare.append(w)
+            own = [heavy[x] for x in rare]
+            if sum(own) - max(own) > (1 - COVERAGE) * self.weight[name]:
+                break
+        return set(rare)
+
+    def looked_up(self, hits: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
         """The (place, word) of each block's rarest licence words."""
-        blocks: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        blocks: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
         for p, w in hits:
             half = p // (BLOCK // 2)
             blocks[half].append((p, w))
@@ -109,9 +126,9 @@ class Index:
             found.update(x for x in own if x[1] in rare)
         return sorted(found)
 
-    def places(self, hits: list[tuple[int, str]]) -> list[tuple[str, int]]:
+    def places(self, hits: list[tuple[int, bytes]]) -> list[tuple[str, int]]:
         """(template, beginning) for which enough different words vote, each within the slack of it."""
-        votes: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        votes: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
         for p, w in self.looked_up(hits):
             for name, q in self.postings[w]:
                 votes[name].append((p - q, w))
@@ -128,26 +145,26 @@ class Index:
                     out.append((name, begin))
         return out
 
-    def coverage(self, name: str, begin: int, at: dict[int, str], upto: int) -> float:
+    def coverage(self, name: str, begin: int, text: list[bytes]) -> float:
         """Share of the template's weight that stands at its relative positions, each of the text's words used once."""
         low, got = begin - 1, 0.0
         for q, w in enumerate(self.words[name]):
-            for p in range(max(low + 1, begin + q - SLACK), min(begin + q + SLACK, upto) + 1):
-                if at.get(p) == w:
+            for p in range(max(low + 1, begin + q - SLACK, 0), min(begin + q + SLACK + 1, len(text))):
+                if text[p] == w:
                     got, low = got + self.idf[w], p
                     break
         return got / self.weight[name]
 
-    def holds(self, name: str, begin: int, words: list[str]) -> bool:
+    def holds(self, name: str, begin: int, words: list[bytes]) -> bool:
         span = words[max(0, begin - SLACK) : begin + len(self.words[name]) + SLACK + 1]
         return all(any(span[i : i + len(p)] == p for i in range(len(span) - len(p) + 1)) for p in self.phrases[name])
 
-    def scan(self, words: list[str]) -> tuple[list[tuple[str, int, float]], float]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[str, int, float]], float]:
         """(template, beginning, coverage) of what is verified, and the best coverage of all places."""
         hits = [(p, w) for p, w in enumerate(words) if w in self.postings]
-        at, found, best = dict(hits), [], 0.0
+        found, best = [], 0.0
         for name, begin in self.places(hits):
-            share = self.coverage(name, begin, at, len(words) - 1)
+            share = self.coverage(name, begin, words)
             best = max(best, share)
             if share >= COVERAGE and self.holds(name, begin, words):
                 if found and found[-1][0] == name and begin - found[-1][1] <= SLACK:  # the same place: the better one stays
@@ -157,34 +174,34 @@ class Index:
         return found, best
 
 
-_BASE = [(p.split(" "), label) for p, label in BASE.items()]
+_BASE = [(words_of(p), label) for p, label in BASE.items()]
 _FIRST = {p[0] for p, _ in _BASE}
 
 
-def base_places(words: list[str]) -> list[tuple[int, str]]:
+def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(place, label) of every base phrase, by place."""
     starts = [i for i, w in enumerate(words) if w in _FIRST]
     return [(i, label) for i in starts for p, label in _BASE if words[i : i + len(p)] == p]
 
 
-def document_counts(docs: DataFrame, templates: dict[str, tuple[str, list[str]]] = TEMPLATES) -> tuple[dict[str, int], int]:
+def document_counts(docs: DataFrame, templates: dict[str, tuple[str, list[str]]] = TEMPLATES) -> tuple[dict[bytes, int], int]:
     """How many documents hold each word of the templates, and how many documents there are. What reaches the driver is a
     row for each word of the templates."""
     known = {w for text, _ in templates.values() for w in words_of(text)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = defaultdict(int)
+        counts: dict[bytes, int] = defaultdict(int)
         for batch in batches:
-            counts[""] += batch.num_rows
+            counts[b""] += batch.num_rows
             for text in batch.column(0):
                 for w in known.intersection(words_of(text.as_py())):
                     counts[w] += 1
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
     bound_batches(docs.sparkSession)
-    summed = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = {r.word: r.n for r in summed.collect()}
-    return counts, counts.pop("", 0)
+    summed = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = {bytes(r.word): r.n for r in summed.collect()}
+    return counts, counts.pop(b"", 0)
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, list[str]]] = TEMPLATES) -> DataFrame:
@@ -210,4 +227,4 @@ def scan_licences(docs: DataFrame, templates: dict[str, tuple[str, list[str]]] =
     long, text = pa.int64(), pa.string()
     kinds = {"doc_id": long, "n_words": long, "n_base": long, "first_word": long, "last_word": long, "base_labels": text, "labels": text, "score": pa.float64(), "notices": notice}
     schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notices array<struct<template: string, word: bigint, coverage: double>>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)

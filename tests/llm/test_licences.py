@@ -15,10 +15,10 @@ NOTICES = [t for t, _ in L.TEMPLATES.values()]
 
 def every_place(index, words):
     """Labels of all places of all templates, looked at one by one."""
-    at, found = dict(enumerate(words)), set()
+    found = set()
     for name in index.words:
         for begin in range(-L.SLACK, len(words)):
-            if index.coverage(name, begin, at, len(words) - 1) >= L.COVERAGE and index.holds(name, begin, words):
+            if index.coverage(name, begin, words) >= L.COVERAGE and index.holds(name, begin, words):
                 found.add(name)
     return found
 
