@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import selection as Sel
 from ..operators import stories as So
 from ..session import cut, fresh_path
+from ..sources import reference_data as Ref
 from ..streaming import leaders
 from ..streaming import state as stream
 from .adapters import CATEGORIES, articles, table, with_articles
@@ -276,6 +277,39 @@ def load_dims(spark, sf_dir):
     return e.join(known, "region", "left").select("id", "label", problem.alias("problem"))
 
 
+@register("load_watchlists", """WITH c AS (SELECT c_custkey AS k, c_custkey // 100 AS file, c_custkey // 100 % 4 AS form, c_name, c_mktsegment FROM customer),
+ f AS (SELECT *, form = 0 AND file % 8 = 4 AS broken FROM c)
+ SELECT file, k AS item, c_name AS label, c_mktsegment AS aliases, 'C' || k % 50 AS ticker, CASE WHEN k % 7 = 0 THEN 1.0 ELSE k % 7 END::DOUBLE AS weight, NULL AS reason FROM f WHERE NOT broken AND k % 13 > 0 AND NOT (form = 1 AND k % 17 = 0)
+ UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, 'json' FROM f WHERE form = 1 AND k % 17 = 0
+ UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, 'no label' FROM f WHERE NOT broken AND k % 13 = 0 AND NOT (form = 1 AND k % 17 = 0)
+ UNION ALL SELECT DISTINCT file, NULL, NULL, NULL, NULL, NULL, 'json' FROM f WHERE broken""")
+def load_watchlists(spark, sf_dir):
+    """Customers as entries of watchlists, a hundred a file, in four formats; some entries have no label, some lines of JSON and
+    one JSON file in eight are broken."""
+    k, name = F.col("c_custkey"), F.when(F.col("c_custkey") % 13 != 0, F.col("c_name")).otherwise("")
+    ticker, weight = F.concat(F.lit("c"), (k % 50).cast("string")), F.when(k % 7 > 0, k % 7)
+    record = F.to_json(F.struct(name.alias("label"), F.array("c_mktsegment", F.lit(" ")).alias("aliases"), ticker.alias("ticker"), weight.alias("weight"), k.alias("id")))
+    line = lambda n, v: F.concat(F.lit(f"{n}"), v, F.lit("\n"))
+    toml = F.concat(line("[[items]]\nlabel = ", F.concat(F.lit('"'), name, F.lit('"'))), line("aliases = ", F.concat(F.lit('["'), "c_mktsegment", F.lit('"]'))), line("ticker = ", F.concat(F.lit('"'), ticker, F.lit('"'))), line("id = ", k.cast("string")), F.coalesce(line("weight = ", weight.cast("string")), F.lit("")))
+    yaml = F.concat(line("- name: ", name), line("  aliases:\n    - ", F.col("c_mktsegment")), line("  ticker: ", ticker), line("  id: ", k.cast("string")), F.coalesce(line("  weight: ", weight.cast("string")), F.lit("")))
+    form = F.expr("c_custkey div 100 % 4")
+    entry = F.when(form == 0, record).when(form == 1, F.when(k % 17 == 0, F.substring(record, 1, 12)).otherwise(record)).when(form == 2, toml).otherwise(yaml)
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 100").alias("file"), form.alias("form"), F.struct(k.alias("k"), entry.alias("e")).alias("x"))
+    each = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"])
+    names = T.words_in(("json", "jsonl", "toml", "yaml"))
+    whole = F.when(F.col("form") == 0, F.concat(F.lit("[\n"), F.array_join("e", ",\n"), F.when(F.col("file") % 8 == 4, "\n").otherwise("\n]"))).otherwise(F.array_join("e", "\n"))
+    files = c.groupBy("file", "form").agg(each.alias("e")).select(F.element_at(names, F.col("form").cast("int") + 1).alias("format"), "file", whole.alias("value"))
+    root = fresh_path(spark, "watchlists")
+    files.write.partitionBy("format", "file").text(root)
+    read = Ref.read_items(spark, root, pathGlobFilter="*.txt")
+    got = Ref.watchlist(read).join(read.select("path", "pos", F.get_json_object("body", "$.id").cast("bigint").alias("id")), ["path", "pos"])
+    good = F.col("reason").isNull()
+    return got.select(
+        F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("bigint").alias("file"), F.when(good, F.col("id")).alias("item"), F.when(good, F.col("label")).alias("label"), F.when(good, F.array_join("aliases", ",")).alias("aliases"),
+        F.when(good, F.col("ticker")).alias("ticker"), F.when(good, F.col("weight")).alias("weight"), F.split("reason", ":")[0].alias("reason"),
+    )
+
+
 @register("stream_articles", "SELECT event_id % 5 <> 0 AS timestamp_valid, count(*) AS n FROM events GROUP BY 1")
 def stream_articles(spark, sf_dir):
     """A stream whose rows without a valid time get the given one and a flag."""
