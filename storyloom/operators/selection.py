@@ -7,6 +7,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 class _Taken:
     """What an edition has chosen so far, in order, and how many of each category; ranked items have (id, tags)."""
@@ -245,14 +247,59 @@ def fit_sections(lines: DataFrame, limit: int) -> DataFrame:
     return lines.withColumn("used", run).where(F.col("used") - 1 <= limit).drop("used")
 
 
+def fit_messages(sections: DataFrame, paragraphs: DataFrame, limit: int, most: int | None = None) -> DataFrame:
+    """(section, text, shown, omitted, with_sources) of each section (section, header): the message of its paragraphs
+    (section, pos, text, sources, merged) that has ``limit`` characters at most.
+
+    All paragraphs, or the first ``most``, are tried with their lines of sources; then without them, but for merged stories,
+    which keep theirs; then one paragraph less from the end at a time, and a line says how many are missing. No paragraph is
+    cut. Where not even the header and that line fit, the header is shortened. Every length follows from running sums.
+    """
+    order = Window.partitionBy("section").orderBy("pos")
+    upto = Window.partitionBy("section").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    source = F.when(T.nonnull(F.col("sources")) != "", F.concat(F.lit("\n(via "), "sources", F.lit(")"))).otherwise("")
+    p = paragraphs.select("section", F.row_number().over(order).alias("n"), F.concat(F.lit("\n\n"), "text", source).alias("rich"), F.concat(F.lit("\n\n"), "text", F.when(F.col("merged"), source).otherwise("")).alias("bare"))
+    p = p.withColumn("rich_used", F.sum(F.length("rich")).over(upto)).withColumn("bare_used", F.sum(F.length("bare")).over(upto))
+    whole = sections.join(p.groupBy("section").agg(F.max("n").alias("n")), "section", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = F.col("n") if most is None else F.least("n", F.lit(most))
+    missing = lambda shown: F.when(F.col("all") > shown, F.concat(F.lit("\n\n+ "), (F.col("all") - shown).cast("string"), F.lit(" more stories omitted for length."))).otherwise("")
+    whole = whole.select("section", "header", F.col("n").alias("all"), first.alias("most"))
+    none = whole.select("section", "header", "all", "most", F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("rich_used"), F.lit(0).cast("bigint").alias("bare_used"))
+    tried = whole.join(p.select("section", "n", "rich_used", "bare_used"), "section").where("n <= most").select(*none.columns).unionByName(none)
+    room = limit - F.length("header") - F.length(missing(F.col("n")))
+    # of what fits: all with sources first, then the most paragraphs without
+    rank = F.when((F.col("n") == F.col("most")) & (F.col("rich_used") <= room), F.col("all") + 1).when(F.col("bare_used") <= room, F.col("n"))
+    best = tried.withColumn("rank", rank).groupBy("section", "header", "all").agg(F.max("rank").alias("rank"), F.max("most").alias("most"))
+    best = best.withColumn("with_sources", F.coalesce(F.col("rank") > F.col("all"), F.lit(False))).withColumn("shown", F.when(F.col("with_sources"), F.col("most")).otherwise(F.coalesce("rank", F.lit(0))).cast("int"))
+    used = p.join(best.select("section", "shown", "with_sources"), "section").where(F.col("n") <= F.col("shown"))
+    each = F.array_sort(F.collect_list(F.struct("n", F.when(F.col("with_sources"), F.col("rich")).otherwise(F.col("bare")).alias("t"))))
+    bodies = used.groupBy("section").agg(F.array_join(F.transform(each, lambda x: x["t"]), "").alias("body"))
+    suffix = "\n+ More omitted for length."
+    cut_header = F.when(F.length("header") <= limit, F.col("header")).otherwise(F.concat(F.rtrim(F.substring("header", 1, max(0, limit - len(suffix)))), F.lit(suffix)))
+    text = F.when(F.col("rank").isNull(), cut_header).otherwise(F.concat("header", F.coalesce("body", F.lit("")), missing(F.col("shown"))))
+    return best.join(bodies, "section", "left").select("section", text.alias("text"), "shown", (F.col("all") - F.col("shown")).cast("int").alias("omitted"), "with_sources")
+
+
 def first_per(items: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key."""
     return items.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
 
 
+def prefer_by_source_type(votes: DataFrame, types: DataFrame, preferences: dict[str, tuple[str, ...]], by: list[str]) -> DataFrame:
+    """Vote rows (by, tag, votes) of the tags that may still win: those with the most votes and, where the types of a story's
+    sources (by, source_type, a row an article) prefer some of these, the ones that most articles prefer."""
+    best = votes.groupBy(*by).agg(F.max("votes").alias("__most"))
+    tied = votes.join(best, by).where(F.col("votes") == F.col("__most")).drop("__most")
+    pairs = votes.sparkSession.createDataFrame([(t, c) for t, cs in preferences.items() for c in cs], "source_type string, tag string")
+    said = types.groupBy(*by, "source_type").agg(F.count(F.lit(1)).alias("__n")).join(F.broadcast(pairs), "source_type").groupBy(*by, "tag").agg(F.sum("__n").alias("__said"))
+    joined = tied.join(said, [*by, "tag"], "left").withColumn("__said", F.coalesce("__said", F.lit(0)))
+    most = joined.groupBy(*by).agg(F.max("__said").alias("__best"))
+    return joined.join(most, by).where(F.col("__said") == F.col("__best")).select(*by, "tag", "votes")
+
+
 def vote_category_balanced(votes: DataFrame, categories) -> DataFrame:
     """(run_id, id, category) of vote rows (run_id, id, tag, votes): most votes, then the category given least so far in
-    the edition, then the list's order. Sequential, an edition at a time."""
+    the edition, then the list's order. Sequential, an edition at a time; :func:`prefer_by_source_type` goes before."""
 
     def run(frame):
         import pandas as pd

@@ -186,6 +186,22 @@ def merge_stories(stories: DataFrame, sets: DataFrame) -> DataFrame:
     return best.select("set_id", "destination", "importance", F.array_remove("every", F.col("destination")).alias("merged_from"))
 
 
+def merge_articles(merged: DataFrame, members: DataFrame) -> DataFrame:
+    """(set_id, story_id, n, article_id): the articles of each merged story in order, of :func:`merge_stories` rows (set_id,
+    destination, merged_from) and members (story_id, seq, article_id, url, canonical_url).
+
+    The destination's articles come first, then those of the stories it has taken in, in their order; of articles of one
+    canonical url, its query left out, the first stays.
+    """
+    own = merged.select("set_id", "destination", F.posexplode(F.concat(F.array("destination"), "merged_from")).alias("turn", "story_id"))
+    link = F.substring_index(F.coalesce(F.nullif(F.col("canonical_url"), F.lit("")), F.col("url")), "?", 1)
+    rows = own.join(members, "story_id").withColumn("__link", link)
+    order = F.struct("turn", "seq", "article_id")
+    first = rows.groupBy("set_id", "destination", "__link").agg(F.min(order).alias("__o"))
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("__o"))
+    return first.select("set_id", F.col("destination").alias("story_id"), place.alias("n"), F.col("__o.article_id").alias("article_id"))
+
+
 def pack_components(components: DataFrame, limit: int = 40) -> DataFrame:
     """Components (run_id, component, size, score) taken greedily, largest and best first, while they fit."""
 

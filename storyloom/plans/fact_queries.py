@@ -10,7 +10,7 @@ from ..operators import selection as Sel
 from ..operators import stories as So
 from ..session import cut, fresh_path
 from ..sources import reference_data as Ref
-from ..streaming import leaders
+from ..streaming import cache, leaders
 from ..streaming import state as stream
 from .adapters import CATEGORIES, articles, table, with_articles
 from .text_queries import sql_ascii, sql_list, sql_names
@@ -202,6 +202,26 @@ def stream_leaders(spark, sf_dir):
     return spark.read.schema(stories.schema).parquet(out)
 
 
+@register("stream_daily_cache", """WITH f AS (SELECT event_id AS fetch_id, user_id % 40 AS source_id, event_type AS discovery_key, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day FROM events WHERE event_id % 3 > 0)
+ SELECT source_id, discovery_key, CAST(day AS BIGINT) AS day, min(fetch_id) AS fetch_id FROM f GROUP BY ALL""")
+def stream_daily_cache(spark, sf_dir):
+    """Events as fetches of sources, a third of which fail; day after day they come, and each day comes twice."""
+    e = table(spark, sf_dir, "events")
+    f = e.select((F.col("user_id") % 40).alias("source_id"), F.col("event_type").alias("discovery_key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("fetch_id"), (F.col("event_id") % 3 > 0).alias("ok"), F.col("props").alias("body"))
+    f = cut(f, "fetches")
+    day = F.floor(F.unix_millis("at") / cache.DAY_MS)
+    low, high = f.agg(F.min(day), F.max(day)).first()
+    step = max(1, -(-(high - low + 1) // 4))
+    root, out, marks = (fresh_path(spark, x) for x in ("fetched", "cache", "cache-checkpoint"))
+    for k in range(8):
+        first = low + k // 2 * step
+        lot = f.where(day.between(first, first + step - 1))
+        (lot if k % 2 == 0 else lot.withColumn("fetch_id", F.col("fetch_id") + 10**9)).write.mode("append").parquet(root)
+        kept = cache.once_a_day(spark.readStream.schema(f.schema).parquet(root), days=step)
+        kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(out).select("source_id", "discovery_key", "day", "fetch_id")
+
+
 @register("enrichment_select")
 def enrichment_select(spark, sf_dir):
     """Stories worth fetching pages for: the best twenty, then each category in turn up to eight, sixty of an edition."""

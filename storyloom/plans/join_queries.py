@@ -416,12 +416,45 @@ def review_sample(spark, sf_dir):
     return Sel.review_sample(d, F.when(F.col("id") % 40 == 0, "near_miss").otherwise(F.col("lang")), "seed").select("stratum", F.col("id").alias("doc_id"))
 
 
+STORY_OF = "run_id * 40 + article_id % 40"
+
+
 @register("fit_sections", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used - 1 <= 1400")
 def fit_sections(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("section"), F.struct("turn", "text").alias("pos"), F.col("text").alias("line"))
     return Sel.fit_sections(c, 1400).select(F.col("section").alias("conv_id"), F.col("pos.turn").alias("turn"))
 
 
+@register("fit_messages", """WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, coalesce(text, '') AS t, '(via ' || role || ')' AS s, turn % 3 = 0 AS m FROM conversations),
+ l AS (SELECT *, sum(length(t) + 3 + length(s)) OVER w AS rich, sum(length(t) + 2 + CASE WHEN m THEN 1 + length(s) ELSE 0 END) OVER w AS bare, count(*) OVER (PARTITION BY conv_id) AS every FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
+ o AS (SELECT *, 'Talk ' || conv_id AS header, CASE WHEN n < every THEN 2 + length('+ ' || (every - n) || ' more stories omitted for length.') ELSE 0 END AS extra FROM l),
+ b AS (SELECT conv_id, header, every, max(CASE WHEN n = every AND length(header) + rich <= 900 THEN every + 1 WHEN length(header) + bare + extra <= 900 THEN n ELSE 0 END) AS rank FROM o GROUP BY ALL),
+ c AS (SELECT *, rank > every AS with_sources, least(rank, every) AS shown FROM b)
+ SELECT c.conv_id, CAST(shown AS INT) AS shown, CAST(every - shown AS INT) AS omitted, with_sources, header || coalesce(string_agg(chr(10) || chr(10) || t || CASE WHEN with_sources OR m THEN chr(10) || s ELSE '' END, '' ORDER BY n), '') || CASE WHEN shown < every THEN chr(10) || chr(10) || '+ ' || (every - shown) || ' more stories omitted for length.' ELSE '' END AS text
+ FROM c LEFT JOIN p ON p.conv_id = c.conv_id AND p.n <= shown GROUP BY c.conv_id, shown, every, with_sources, header""")
+def fit_messages(spark, sf_dir):
+    """Conversations as sections, a turn a paragraph with its role as source, in messages of 900 characters."""
+    c = table(spark, sf_dir, "conversations")
+    s = c.select(F.col("conv_id").alias("section")).distinct().withColumn("header", F.concat(F.lit("Talk "), F.col("section").cast("string")))
+    p = c.select(F.col("conv_id").alias("section"), F.struct("turn", "text").alias("pos"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("sources"), (F.col("turn") % 3 == 0).alias("merged"))
+    return Sel.fit_messages(s, p, 900).withColumnRenamed("section", "conv_id")
+
+
+@register("merge_articles", with_articles(f""", s AS (SELECT run_id * 8 + article_id % 8 AS set_id, {STORY_OF} AS story_id, * FROM articles), r AS (SELECT set_id, story_id, sum(length(summary)) AS total FROM s GROUP BY ALL),
+ d AS (SELECT set_id, arg_max(story_id, (total, story_id)) AS destination FROM r GROUP BY set_id),
+ o AS (SELECT s.set_id, destination AS story_id, article_id, split_part(source || '/' || article_id % 5, '?', 1) AS link, s.story_id <> destination AS later, s.story_id AS part, seq FROM s JOIN d ON d.set_id = s.set_id),
+ f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY set_id, link ORDER BY later, part, seq) = 1)
+ SELECT set_id, story_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY later, part, seq) AS INT) AS n, article_id FROM f"""))
+def merge_articles(spark, sf_dir):
+    """Sets of neighbouring stories, each merged into its longest, and the articles that it then has."""
+    a = articles(spark, sf_dir).withColumn("set_id", F.expr("run_id * 8 + article_id % 8")).withColumn("story_id", F.expr(STORY_OF))
+    st = a.groupBy("set_id", "story_id").agg(F.lit(1).alias("importance"), F.sum(F.length("summary")).alias("total"), F.lit(0).alias("latest"))
+    merged = So.merge_stories(st.drop("set_id"), st.select("set_id", "story_id"))
+    link = F.concat("source", F.lit("/"), (F.col("article_id") % 5).cast("string"))
+    members = a.select("story_id", "seq", "article_id", F.concat(link, F.lit("?a=1")).alias("url"), F.when(F.col("article_id") % 2 == 0, F.concat(link, F.lit("?b"))).otherwise("").alias("canonical_url"))
+    return So.merge_articles(merged, members)
+
+
 @register("digest_table", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def digest_table(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)

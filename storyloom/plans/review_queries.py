@@ -13,6 +13,7 @@ from ..operators import watchlist as W
 from ..session import fresh_path
 from ..sources import pages as P
 from ..sources import payloads as L
+from ..sources import quote_files as Q
 from .adapters import QUOTES, articles, minute_of, quotes, table, with_articles
 from .text_queries import sql_ascii, sql_list, sql_names, sql_page_text, sql_tokens
 
@@ -59,6 +60,39 @@ def read_quotes_csv(spark, sf_dir):
     return e.select("event_id", L.quotes_from_csv(line).alias("q")).select("event_id", "q.symbol", "q.latest", "q.volume")
 
 
+@register("read_quote_files", """SELECT 'csv' AS kind, event_id AS volume, 'S' || user_id % 26 AS symbol, value AS latest, CASE WHEN event_id % 5 > 0 THEN value / 2 END AS previous, false AS broken FROM events WHERE event_id % 6 > 0 AND event_id % 19 > 0 AND event_id % 23 > 0
+ UNION ALL SELECT 'csv', NULL, NULL, NULL, NULL, true FROM events WHERE event_id % 19 = 0 OR event_id % 23 = 0
+ UNION ALL SELECT 'chart', event_id, 'S' || user_id % 26, value, CASE WHEN event_id % 3 = 0 THEN 12.5 ELSE value + 1 END, false FROM events WHERE event_id % 29 > 0 AND event_id % 31 > 0
+ UNION ALL SELECT 'chart', NULL, NULL, NULL, NULL, true FROM events WHERE event_id % 29 = 0""")
+def read_quote_files(spark, sf_dir):
+    """Events as quote files of both kinds, some of whose rows are broken, without a close, or errors."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    symbol = F.concat(F.lit("s"), (F.col("user_id") % 26).cast("string"))
+    text = lambda c, missing: F.when(missing, "N/D").otherwise(c.cast("string"))
+    close = F.when(k % 19 == 0, "12,abc").otherwise(text(F.col("value"), k % 6 == 0))
+    line = F.concat_ws(",", symbol, F.lit("2024-01-02,22:00:00"), text(F.col("value") / 2, k % 5 == 0), F.lit("2,1"), close, k.cast("string"))
+    root = fresh_path(spark, "quotes")
+    header = "Symbol,Date,Time,Open,High,Low,Close,Volume"
+    # every file begins with the header, as one that a provider delivers does
+    e.select(F.spark_partition_id().alias("p"), F.when(k % 23 == 0, F.substring_index(line, ",", 3)).otherwise(line).alias("value"), k.alias("o")).select("value").write.option("lineSep", "\n").text(f"{root}/bare")
+    bare = spark.read.text(f"{root}/bare", wholetext=True)
+    bare.where("value <> ''").select(F.concat(F.lit(f"{header}\n"), F.rtrim("value")).alias("value")).write.text(f"{root}/csv")
+    csv = Q.csv_rows(spark, f"{root}/csv")
+    closes = F.array(F.col("value") + 1, F.lit(None).cast("double"), F.col("value"), F.lit(None).cast("double"))
+    meta = F.struct(symbol.alias("symbol"), F.when(k % 3 == 0, 12.5).alias("chartPreviousClose"))
+    quote = F.struct(closes.alias("close"), F.array(k, F.lit(None).cast("bigint")).alias("volume"))
+    error = F.when(k % 31 == 0, F.struct(F.lit("Not Found").alias("code")))
+    chart = F.to_json(F.struct(F.struct(F.array(F.struct(meta.alias("meta"), F.struct(F.array(quote).alias("quote")).alias("indicators"))).alias("result"), error.alias("error")).alias("chart")), {"ignoreNullFields": "false"})
+    e.select(F.when(k % 29 == 0, F.substring(chart, 1, 40)).otherwise(chart).alias("value")).write.text(f"{root}/chart")
+    charts = Q.chart_rows(spark, f"{root}/chart")
+    out = []
+    for kind, rows, quotes_ in (("csv", csv, Q.quotes_of_csv(csv)), ("chart", charts, Q.quotes_of_chart(charts))):
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("volume", "bigint"), ("symbol", "string"), ("latest", "double"), ("previous", "double"))]
+        out.append(quotes_.select(F.lit(kind).alias("kind"), "volume", "symbol", "latest", "previous", F.lit(False).alias("broken")))
+        out.append(Q.broken_rows(rows).select(F.lit(kind).alias("kind"), *none, F.lit(True).alias("broken")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @register("read_quotes_json", f"""WITH {QUOTES}, s AS (SELECT symbol, list(close ORDER BY day) AS c FROM quotes GROUP BY symbol)
  SELECT symbol, c[len(c)] AS latest, CASE WHEN symbol % 3 = 0 THEN 12.5 WHEN len(c) > 1 THEN c[len(c) - 1] END AS previous FROM s""")
 def read_quotes_json(spark, sf_dir):

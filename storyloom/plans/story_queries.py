@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import articles as A
 from ..operators import quality as Q
 from ..operators import scoring as S
+from ..operators import selection as Sel
 from ..session import fresh_path
 from ..sinks import dated_logs as D
 from .adapters import CATEGORIES, articles, table, with_articles
@@ -157,6 +158,25 @@ def vote_category(spark, sf_dir):
     return S.vote_category(articles(spark, sf_dir).withColumn("story_id", F.expr(STORY)), CATEGORIES).select("story_id", "category", "votes")
 
 
+# The categories that a source's type prefers among those with equal votes.
+PREFERENCES = {"business": ("business_tech",), "tech": ("business_tech",), "domestic": ("domestic",), "global": ("global",), "culture": ("culture",), "finance": ("finance",), "mixed_tech_culture": ("business_tech", "culture")}
+# End of fixed values.
+TYPES = (*PREFERENCES, "wire")
+
+
+@register("vote_by_source_type", with_articles(f"""SELECT story_id, category FROM (SELECT story_id, category, votes, said, row_number() OVER (PARTITION BY story_id ORDER BY votes DESC, said DESC, list_position({CAT}, category)) AS r FROM
+ (SELECT v.story_id, v.category, votes, coalesce(said, 0) AS said FROM (SELECT {STORY} AS story_id, unnest(tags) AS category, count(*) AS votes FROM articles GROUP BY 1, 2) v LEFT JOIN
+ (SELECT {STORY} AS story_id, category, count(*) AS said FROM articles JOIN (VALUES {', '.join(f"('{t}', '{c}')" for t, cs in PREFERENCES.items() for c in cs)}) p(t, category) ON t = {sql_list(TYPES)}[article_id * 5 % 8 + 1] GROUP BY 1, 2) s ON s.story_id = v.story_id AND s.category = v.category)) WHERE r = 1"""))
+def vote_by_source_type(spark, sf_dir):
+    """Categories by votes, ties by what the types of a story's sources prefer, then by the list's order."""
+    a = articles(spark, sf_dir).withColumn("story_id", F.expr(STORY))
+    votes = a.select("story_id", F.explode("tags").alias("tag")).groupBy("story_id", "tag").agg(F.count(F.lit(1)).alias("votes"))
+    types = a.select("story_id", F.element_at(T.words_in(TYPES), (F.col("article_id") * 5 % 8 + 1).cast("int")).alias("source_type"))
+    left = Sel.prefer_by_source_type(votes, types, PREFERENCES, ["story_id"])
+    rank = F.array_position(T.words_in(CATEGORIES), F.col("tag"))
+    return left.groupBy("story_id").agg(F.min_by("tag", rank).alias("category"))
+
+
 @register("hint_counts", with_articles(f"SELECT c AS category, coalesce(n, 0) AS articles FROM (SELECT unnest({sql_list(CATEGORIES + ('unclassified',))}) AS c) LEFT JOIN (SELECT unnest(tags) AS t, count(*) AS n FROM articles GROUP BY 1) ON c = t"))
 def hint_counts(spark, sf_dir):
     return A.counts_by_tag(articles(spark, sf_dir), CATEGORIES + ("unclassified",)).withColumnRenamed("n", "articles")

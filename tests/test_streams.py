@@ -106,3 +106,29 @@ def test_suppression_in_order(spark):
     for key, times in (("x", hours), ("y", [h for h in hours if h % 2])):
         own = {h for k, h in got if k == key}
         assert min(times) in own and all(b - a >= 48 for a, b in zip(sorted(own), sorted(own)[1:], strict=False)), (key, own)
+
+
+def cached(spark, lots, days):
+    from storyloom.streaming import cache
+
+    schema = "source_id bigint, discovery_key string, at timestamp, fetch_id bigint, ok boolean, body string"
+    root, out, marks = (fresh_path(spark, x) for x in ("fetched", "cached", "marks"))
+    for lot in lots:
+        rows = [(*r[:2], datetime(2024, 1, 1, 12) + timedelta(days=r[2]), *r[3:]) for r in lot]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(root)
+        kept = cache.once_a_day(spark.readStream.schema(schema).parquet(root), days)
+        kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    first = (datetime(2024, 1, 1) - datetime(1970, 1, 1)).days
+    return sorted((r.source_id, r.discovery_key, r.day - first, r.fetch_id) for r in spark.read.parquet(out).collect())
+
+
+def test_a_source_is_kept_once_a_day(spark):
+    lots = [
+        [(1, "a", 10, 1, False, "x"), (1, "a", 10, 3, True, "third"), (1, "a", 10, 2, True, "second"), (2, "a", 10, 4, True, "b")],
+        [(1, "a", 10, 5, True, "again"), (1, "a", 11, 6, None, "x"), (1, "b", 11, 7, True, "y")],
+        [(1, "a", 11, 8, True, "late"), (1, "a", 14, 9, True, "new")],
+        [(1, "a", 10, 10, True, "forgotten, so too late"), (1, "a", 13, 11, True, "in time"), (1, "a", 14, 12, True, "again")],
+    ]
+    want = [(1, "a", 10, 2), (1, "a", 11, 8), (1, "a", 13, 11), (1, "a", 14, 9), (1, "b", 11, 7), (2, "a", 10, 4)]
+    assert cached(spark, lots, 2) == want
+    assert cached(spark, [x for lot in lots[1:] for x in (lot, lot)], 2)[0] == (1, "a", 10, 5)
