@@ -22,6 +22,17 @@ def asof_quote(quotes: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(best, ["symbol", "session"], "left")
 
 
+def fresh_quotes(universe: DataFrame, cached: DataFrame, fetched: DataFrame, day: str) -> DataFrame:
+    """(symbol, latest, previous, from_cache) of the assets (symbol, provider_symbol): the cached quote (symbol, day, latest,
+    previous) of that very day, else the one fetched now (provider_symbol, latest, previous); assets with neither are left
+    out. A cache that holds a symbol twice counts by the greater price."""
+    kept = cached.where(F.col("day") == F.lit(day).cast("date")).groupBy("symbol").agg(F.max(F.struct("latest", "previous")).alias("__c"))
+    new = fetched.groupBy("provider_symbol").agg(F.max(F.struct("latest", "previous")).alias("__f"))
+    both = universe.select("symbol", "provider_symbol").join(kept, "symbol", "left").join(new, "provider_symbol", "left")
+    quote = F.coalesce("__c", "__f")
+    return both.where(quote.isNotNull()).select("symbol", quote["latest"].alias("latest"), quote["previous"].alias("previous"), F.col("__c").isNotNull().alias("from_cache"))
+
+
 def detect_movers(pairs: DataFrame, assets: DataFrame, thresholds: Column) -> DataFrame:
     """Assets whose change reaches their threshold, with ``change`` and ``excess`` (the change over the threshold)."""
     change = percent_change(F.col("close"), F.col("before"))

@@ -274,6 +274,19 @@ def close_pairs(spark, sf_dir):
     return M.close_pairs(quotes(spark, sf_dir)).select("symbol", F.col("day").cast("string").alias("day"), "close", "before")
 
 
+@register("fresh_quotes", f"""WITH {QUOTES}, l AS (SELECT max(day) AS d FROM quotes), c AS (SELECT symbol, close AS latest FROM quotes, l WHERE day = d AND symbol % 3 = 0), f AS (SELECT symbol, max(close) AS latest FROM quotes WHERE symbol % 5 > 0 GROUP BY symbol)
+ SELECT a.symbol, coalesce(c.latest, f.latest) AS latest, coalesce(c.latest, f.latest) / 2 AS previous, c.symbol IS NOT NULL AS from_cache FROM (SELECT DISTINCT symbol FROM quotes) a LEFT JOIN c ON c.symbol = a.symbol LEFT JOIN f ON f.symbol = a.symbol WHERE c.symbol IS NOT NULL OR f.symbol IS NOT NULL""")
+def fresh_quotes(spark, sf_dir):
+    """A third of the symbols have a cached quote of the last day, and older ones; most of the others are fetched."""
+    q = quotes(spark, sf_dir)
+    last = q.agg(F.max("day").cast("string")).first()[0]
+    cached = q.where("symbol % 3 = 0").select("symbol", "day", F.col("close").alias("latest"), (F.col("close") / 2).alias("previous"))
+    provider = F.concat(F.col("symbol").cast("string"), F.lit(".us"))
+    universe = q.select("symbol").distinct().select("symbol", provider.alias("provider_symbol"))
+    fetched = q.where("symbol % 5 > 0").select(provider.alias("provider_symbol"), F.col("close").alias("latest"), (F.col("close") / 2).alias("previous"))
+    return M.fresh_quotes(universe, cached, fetched, last)
+
+
 @register("detect_movers", f"""WITH {PAIRED} SELECT symbol, day::VARCHAR AS day, round((close - before) / before * 100, 6) AS change FROM paired
  WHERE before <> 0 AND abs((close - before) / before * 100) >= CASE symbol % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 7.0 ELSE 8.0 END""")
 def detect_movers(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import facts as X
 from ..functions import text as T
 from ..operators import articles as A
+from ..operators import candidates as Can
 from ..operators import phrases as Ph
 from ..operators import review as R
 from ..operators import watchlist as W
@@ -400,6 +401,49 @@ def rejection_report(spark, sf_dir):
     return L.read_rejections(spark, root, last, 5)
 
 
+_U = "regexp_replace(split_part(url, '?', 1), '/+$', '')"
+_DIGEST = "sha256('[\"' || {} || '\"]')".format
+
+
+@register("full_records", with_articles(f""", s AS (SELECT *, {_U} AS u, article_id % 6 = 0 AS selected, CASE article_id % 5 WHEN 0 THEN 'stale/repeated from yesterday' WHEN 1 THEN 'insufficient story evidence' WHEN 2 THEN 'duplicate of another' ELSE '' END AS skip, article_id % 9 - 1.0 AS total FROM articles WHERE article_id % 4 <> 0),
+ r AS (SELECT 'cluster' AS kind, {_DIGEST('u')} AS story_key, CASE WHEN selected THEN 'selected' ELSE 'filtered' END AS disposition, CASE WHEN selected THEN '' WHEN article_id % 7 = 0 THEN 'gate' WHEN article_id % 11 = 0 THEN 'selection' WHEN skip LIKE 'stale%' THEN 'history' WHEN skip LIKE '%evidence%' THEN 'evidence' WHEN skip LIKE '%duplicate%' THEN 'duplicate' ELSE 'selection' END AS filter_stage,
+   CASE WHEN selected THEN '' WHEN article_id % 7 = 0 THEN 'g' WHEN article_id % 11 = 0 THEN 'cap' WHEN skip LIKE 'stale%' THEN 'history_stale' WHEN skip LIKE '%evidence%' THEN 'evidence_gate' WHEN skip LIKE '%duplicate%' THEN 'duplicate_gate_merged' ELSE 'selection_below_threshold' END AS filter_reason_code,
+   CASE WHEN selected THEN 'selected' WHEN total >= 2 THEN 'near_miss' WHEN total >= 0 THEN 'mid' ELSE 'deep_filtered' END AS review_stratum, u AS canonical_url, '["' || source || '"]' AS sources_json, CASE WHEN selected THEN title ELSE '' END AS delivered_paragraph, CASE WHEN selected THEN CAST(seq AS INT) END AS deck_rank, substr(summary, 1, 600) AS summary_excerpt FROM s
+  UNION ALL SELECT 'hard_rejected_article', {_DIGEST(_U)}, 'filtered', 'quality', 'empty', 'hard_reject', {_U}, '["' || source || '"]', '', NULL, substr(summary, 1, 600) FROM articles WHERE article_id % 3 = 0)
+ SELECT sha256('["r1","' || kind || '","' || story_key || '"]') AS candidate_id, kind AS candidate_kind, * EXCLUDE (kind), '["' || canonical_url || '"]' AS all_urls_json, '["' || sha256('"' || canonical_url || '"') || '"]' AS url_hashes_json, 28 AS columns FROM r"""))
+def full_records(spark, sf_dir):
+    """A run's stories and refused articles as records, of which all columns that SQL can tell are shown."""
+    a, k = articles(spark, sf_dir), F.col("article_id")
+    skip = F.when(k % 5 == 0, "stale/repeated from yesterday").when(k % 5 == 1, "insufficient story evidence").when(k % 5 == 2, "duplicate of another").otherwise("")
+    day, zero = F.lit("2024-05-01").cast("date").alias("day"), F.lit(0.0)
+    s = a.where(k % 4 != 0).select(
+        k.alias("key"), F.col("seq"), "title", F.lit("").alias("category"), F.lit(None).cast("string").alias("lane"), F.array("url", F.concat(F.col("url"), F.lit("?again")), F.lit("")).alias("urls"), F.array("source").alias("sources"), "summary", day,
+        ((k % 9) - 1.0).cast("double").alias("total"), zero.alias("importance"), zero.alias("evidence"), zero.alias("quality"), zero.alias("penalty"), F.lit(False).alias("is_update"), skip.alias("skip_reason"), F.lit(None).cast("array<string>").alias("merged_from"),
+    )
+    refused = a.where(k % 3 == 0).select("article_id", "seq", "title", "source", "url", F.lit("").alias("canonical_url"), day, F.col("summary").alias("text"), zero.alias("penalty"), F.lit("quality").alias("stage"), F.lit("empty").alias("code"), F.lit("").alias("skip_reason"))
+    sent = s.where(F.col("key") % 6 == 0).select("key", F.col("title").alias("paragraph"))
+    ended = s.where(F.col("key") % 7 == 0).select("key", F.lit("gate").alias("stage"), F.lit("g").alias("code"), F.lit("").alias("skip_reason"))
+    chosen = s.where(F.col("key") % 11 == 0).select("key", F.lit("floor").alias("phase"), F.lit("cap").alias("code"))
+    full = Can.candidate_records(s, refused, sent, ended, chosen, "r1", 10)
+    shown = "candidate_id candidate_kind story_key disposition filter_stage filter_reason_code review_stratum canonical_url sources_json delivered_paragraph deck_rank summary_excerpt all_urls_json url_hashes_json".split()
+    return full.select(*shown, F.lit(len(full.columns)).alias("columns"))
+
+
+@register("labels_before", """WITH c AS (SELECT doc_id AS candidate_id, doc_id // 64 AS run_id, doc_id % 37 AS story_key FROM documents), r AS (SELECT DISTINCT run_id, 'v' || run_id % 3 AS version, run_id * 10 AS at FROM c),
+ l AS (SELECT candidate_id, story_key, CASE quality WHEN 1 THEN 'relevant' ELSE 'irrelevant' END AS verdict, candidate_id * 7 % 400 AS at FROM labels JOIN c ON candidate_id = doc_id
+  UNION ALL SELECT candidate_id, story_key, 'unclear', candidate_id * 3 % 300 FROM c WHERE candidate_id % 10 = 3)
+ SELECT c.candidate_id, c.run_id, r.version AS pipeline_version, c.story_key, arg_max(l.verdict, (l.at, l.verdict, l.candidate_id)) AS verdict, arg_max(l.candidate_id, (l.at, l.verdict, l.candidate_id)) AS labelled, max(l.at) AS labelled_at
+ FROM c JOIN r ON r.run_id = c.run_id LEFT JOIN l ON l.story_key = c.story_key AND l.at <= r.at GROUP BY c.candidate_id, c.run_id, r.version, c.story_key""")
+def labels_before(spark, sf_dir):
+    """Documents as candidates of runs; what reviewers had said of a candidate's story by the time of its run."""
+    k = F.col("doc_id")
+    c = table(spark, sf_dir, "documents").select(k.alias("candidate_id"), F.expr("doc_id div 64").alias("run_id"), (k % 37).alias("story_key"))
+    runs = c.select("run_id").distinct().select("run_id", F.concat(F.lit("v"), (F.col("run_id") % 3).cast("string")).alias("pipeline_version"), (F.col("run_id") * 10).alias("created_at"))
+    labels = table(spark, sf_dir, "labels").select(k.alias("subject_id"), F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant").alias("verdict"), (k * 7 % 400).alias("created_at"))
+    examples = c.select("candidate_id", F.when(F.col("candidate_id") % 10 == 3, "unclear").otherwise("pending").alias("verdict"), (F.col("candidate_id") * 3 % 300).alias("reviewed_at"))
+    return Can.labels_before(c, runs, labels, examples)
+
+
 @register("pilot_status", "SELECT o_clerk AS version, days FROM (SELECT o_orderpriority AS o_clerk, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, max((o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY 1) ORDER BY latest DESC LIMIT 1")
 def pilot_status(spark, sf_dir):
     """The pipeline version that ran last, and its days."""
