@@ -12,6 +12,7 @@ from ..operators import phrases as Ph
 from ..operators import review as R
 from ..operators import watchlist as W
 from ..session import fresh_path
+from ..sources import article_cache as AC
 from ..sources import pages as P
 from ..sources import payloads as L
 from ..sources import quote_files as Q
@@ -242,6 +243,20 @@ def article_json_codec(spark, sf_dir):
     return back.select("article_id", "title", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("reputation", F.lit(0.7)).alias("reputation"))
 
 
+@register("article_cache", with_articles("""SELECT run_id, article_id, title, source, url, TIMESTAMP '2024-01-01' + to_minutes(minute) AS published_at, summary, CASE WHEN article_id % 3 = 0 THEN reputation ELSE 0.7 END AS reputation,
+ CASE WHEN article_id % 4 > 0 THEN array_to_string(tags, ',') ELSE '' END AS tags, CASE WHEN article_id % 5 = 0 THEN 'extracted' ELSE 'not_attempted' END AS status, article_id % 7 > 0 AS valid FROM articles"""))
+def article_cache(spark, sf_dir):
+    """Editions as cached payloads, some of whose articles lack fields, read back with their defaults."""
+    a, k = articles(spark, sf_dir), F.col("article_id")
+    known = {
+        "published_at": F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute").cast("int")), "canonical_url": k.cast("string"), "reputation": F.when(k % 3 == 0, F.col("reputation")),
+        "feed_categories": F.when(k % 4 > 0, F.col("tags")), "enrichment_status": F.when(k % 5 == 0, "extracted"), "feed_timestamp_valid": F.when(k % 7 == 0, False),
+    }
+    full = a.select("run_id", "seq", *[(known[n] if n in known else F.col(n) if n in a.columns else F.lit(None)).cast(t).alias(n) for n, t, _ in AC.FIELDS])
+    back, _ = AC.from_payloads(AC.to_payloads(full, "run_id", "seq"), "run_id")
+    return back.select("run_id", F.col("canonical_url").cast("bigint").alias("article_id"), "title", "source", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "summary", "reputation", F.array_join("feed_categories", ",").alias("tags"), F.col("enrichment_status").alias("status"), F.col("feed_timestamp_valid").alias("valid"))
+
+
 @register("label_metrics", "SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS relevant, round(count(*) FILTER (quality = 1)::DOUBLE / count(*), 6) AS rate, count(*) >= 10 AS reportable FROM labels JOIN documents USING (doc_id) WHERE toxic = 0 GROUP BY source")
 def label_metrics(spark, sf_dir):
     """Labels as verdicts; those of toxic texts count as unclear."""

@@ -54,7 +54,8 @@ def load_after_marks(stream: DataFrame, root: str, load: str, source: str, at: s
 
     Rows go to ``root``/rows and watermarks to ``root``/marks, each under the load's name and the batch's number, so that a
     batch that runs twice is written once. Watermarks only rise: of all written the greatest counts, and another load of
-    the same rows adds nothing."""
+    the same rows adds nothing. A batch writes the watermarks of all sources, so those of the batch before the last are
+    removed: what a batch reads does not grow with the batches."""
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
@@ -67,6 +68,9 @@ def load_after_marks(stream: DataFrame, root: str, load: str, source: str, at: s
         fresh.write.mode("overwrite").parquet(f"{root}/rows/load={load}/batch={n}")
         loaded = spark.read.schema(batch.schema).parquet(f"{root}/rows/load={load}/batch={n}")
         advance(marks, loaded, source, at, F.lit(True)).write.mode("overwrite").parquet(f"{root}/marks/load={load}/batch={n}")
+        # the batch before this one is kept, for this one may run again
+        spent = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/marks/load={load}/batch={n - 2}")
+        spent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(spent, True)
 
     # the folder of watermarks exists from the start, with none in it
     empty = stream.sparkSession.createDataFrame([], f"{source} {stream.schema[source].dataType.simpleString()}, mark {stream.schema[at].dataType.simpleString()}")

@@ -132,3 +132,17 @@ def test_a_source_is_kept_once_a_day(spark):
     want = [(1, "a", 10, 2), (1, "a", 11, 8), (1, "a", 13, 11), (1, "a", 14, 9), (1, "b", 11, 7), (2, "a", 10, 4)]
     assert cached(spark, lots, 2) == want
     assert cached(spark, [x for lot in lots[1:] for x in (lot, lot)], 2)[0] == (1, "a", 10, 5)
+
+
+def test_watermark_files_do_not_pile_up(spark):
+    """Each batch of several reads the watermarks of the one before and leaves two sets of files at most."""
+    root, landed = fresh_path(spark, "marks"), fresh_path(spark, "landed")
+    for k in range(5):
+        spark.createDataFrame([(s, 10 * k + s) for s in range(3)] + [(9, 1)], "source bigint, at bigint").coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema("source bigint, at bigint").parquet(landed)
+        state.load_after_marks(stream, root, "day", "source", "at", F.lit(10**6), F.lit(0)).awaitTermination()
+    marks = spark.read.parquet(f"{root}/marks")
+    files = {p.split("/batch=")[1].split("/")[0] for p in marks.inputFiles()}
+    assert files <= {"none", "3", "4"}
+    assert {r.source: r.mark for r in marks.groupBy("source").agg(F.max("mark").alias("mark")).collect()} == {0: 40, 1: 41, 2: 42, 9: 1}
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{root}/rows").count() == 16
