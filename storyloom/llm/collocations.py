@@ -1,8 +1,8 @@
 """Collocated phrases of two to four words, counted by stripes.
 
 A stripe is a prefix (no word, or one to three) with an associative counter of the words that follow it. Tasks count the
-stripes of their own texts, a few megabytes at a time; stripes are shuffled by (lang, prefix, bucket of the next word) and
-merged element by element, so that a prefix that much follows is dealt to :data:`BUCKETS` places. An entry of a merged
+stripes of their own texts, a few megabytes at a time; stripes are shuffled by (lang, prefix) and merged element by element;
+those of a hot prefix are dealt to :data:`BUCKETS` places by their next words. An entry of a merged
 stripe is the count of a phrase: entries give the extensions, the entry of a phrase's own words in the stripe before gives
 its total as a prefix, and the largest entry of its stripe, or of the entries that it ends, tells what subsumes it.
 
@@ -39,8 +39,9 @@ LEAST, KEPT, MOST_WORDS = 30, 2000, 4
 SUBSUMED_PERCENT = 80
 #: Factor of scores.
 SCALE = 2_000_000
-#: Places of a prefix's stripes, by their next words.
-BUCKETS = 16
+#: Places of a hot prefix's stripes, by their next words: the empty prefix, and one with this share of all words. There can be
+#: no more than so many of these.
+BUCKETS, HOT_SHARE = 16, 1000
 #: Bytes of texts after which a task counts the stripes of what it has read; with batches of 8 MB, twice as many at most.
 CHUNK = 4 << 20
 #: Bits of a filter of frequent parts: about 12 a part, this many at most.
@@ -147,16 +148,16 @@ class Coded:
         word = np.fromiter((text_hash(x) for x in self.words.to_pylist()), U, len(self.words))
         return joined(lang[self.lang], word[self.word])
 
-    def stripes(self, prefix: np.ndarray, shown: pa.Array, langs: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    def stripes(self, prefix: np.ndarray, shown: pa.Array, langs: np.ndarray, word: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
         """Stripes of occurrences: the number of each one's prefix and next word; ``shown`` and ``langs`` say what a prefix
-        is."""
+        is, ``hot`` whether its stripe is dealt to several places."""
         n = max(len(self.words), 1)
         keys, counts = np.unique(prefix.astype(np.int64) * n + word, return_counts=True)
         own, following = keys // n, keys % n
         used = np.unique(following)
         bucket = np.zeros(n, np.int64)
         bucket[used] = [zlib.crc32(x.encode()) % BUCKETS for x in self.words.take(pa.array(used)).to_pylist()]
-        group = own * BUCKETS + bucket[following]
+        group = own * BUCKETS + bucket[following] * hot[own]
         order = np.argsort(group, kind="stable")
         group, following, counts = group[order], following[order], counts[order]
         firsts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
@@ -172,18 +173,20 @@ class Coded:
 
     def single(self) -> Iterator[pa.RecordBatch]:
         """Stripes of the empty prefix."""
-        yield self.stripes(self.lang, pa.array([""] * len(self.langs)), np.arange(len(self.langs)), self.word)
+        yield self.stripes(self.lang, pa.array([""] * len(self.langs)), np.arange(len(self.langs)), self.word, np.ones(len(self.langs), np.int64))
 
-    def pairs(self, frequent: Filter) -> Iterator[pa.RecordBatch]:
-        """Stripes of single words, of frequent words only."""
-        known = frequent.has(self.hashes())
+    def pairs(self, frequent: Filter, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Stripes of single words, of frequent words only; hot words are told by their hashes."""
+        hashes = self.hashes()
+        known = frequent.has(hashes)
         at = np.flatnonzero(self.follows()[:-1] & known[:-1] & known[1:]) if len(known) > 1 else np.zeros(0, np.int64)
-        kinds, number = np.unique(self.lang[at].astype(np.int64) * max(len(self.words), 1) + self.word[at], return_inverse=True)
+        kinds, first, number = np.unique(self.lang[at].astype(np.int64) * max(len(self.words), 1) + self.word[at], return_index=True, return_inverse=True)
         lang, word = np.divmod(kinds, max(len(self.words), 1))
-        yield self.stripes(number, self.words.take(pa.array(word)), lang, self.word[at + 1])
+        yield self.stripes(number, self.words.take(pa.array(word)), lang, self.word[at + 1], np.isin(hashes[at[first]], hot).astype(np.int64))
 
-    def longer(self, frequent: Filter) -> Iterator[pa.RecordBatch]:
-        """Stripes of two and three words whose pairs, the next word included, are all frequent."""
+    def longer(self, frequent: Filter, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Stripes of two and three words whose pairs, the next word included, are all frequent; hot ones begin with a hot
+        pair."""
         n = max(len(self.words), 1)
         more, hashes = self.follows(), self.hashes()
         good = np.zeros(len(more), bool)
@@ -196,21 +199,30 @@ class Coded:
         for length in range(2, MOST_WORDS):
             keep = good[place + length - 2]
             place, number = place[keep], number[keep]
-            kinds, number = np.unique(number * n + self.word[place + length - 1], return_inverse=True)
+            kinds, first, number = np.unique(number * n + self.word[place + length - 1], return_index=True, return_inverse=True)
             before, word = np.divmod(kinds, n)
+            own_hot = np.isin(joined(hashes[place[first]], hashes[place[first] + 1]), hot).astype(np.int64)
             shown, lang = pc.binary_join_element_wise(shown.take(pa.array(before)), self.words.take(pa.array(word)), " "), lang[before]
             last = good[place + length - 1]
-            yield self.stripes(number[last], shown, lang, self.word[place[last] + length])
+            yield self.stripes(number[last], shown, lang, self.word[place[last] + length], own_hot)
 
 
-def counted(texts: DataFrame, name: str, frequent: Filter | None = None) -> DataFrame:
-    """(lang, prefix, word, f) of the stripes that ``Coded`` makes under that name, merged, entries below the least left
-    out."""
-    held = frequent and texts.sparkSession.sparkContext.broadcast(frequent)
+def hot_of(parts: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the rows (lang, prefix, word, f) with a great share of all words; of single words, or of pairs, there are
+    :data:`HOT_SHARE` at most."""
+    rows = parts.where(F.col("f") * HOT_SHARE >= max(words, 1)).select("lang", "prefix", "word").collect()
+    one = lambda lang, word: joined(np.array([text_hash(lang)], U), np.array([text_hash(word)], U))
+    return np.array([(joined(one(r.lang, r.prefix), one(r.lang, r.word)) if r.prefix else one(r.lang, r.word))[0] for r in rows], U)
+
+
+def counted(texts: DataFrame, name: str, *told) -> DataFrame:
+    """(lang, prefix, word, f) of the stripes that ``Coded`` makes under that name, merged; ``told`` are the filter of
+    frequent parts and the hashes of hot ones."""
+    held = texts.sparkSession.sparkContext.broadcast(told)
 
     def of(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = (pa.concat_arrays([b.column(k) for b in rows]) for k in range(2))
-        made = getattr(Coded(langs, texts), name)(*([held.value] if held else []))
+        made = getattr(Coded(langs, texts), name)(*held.value)
         yield from (x for x in made if x.num_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +250,9 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = F.col("f") >= LEAST
     words = cut(counted(texts, "single"), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    singles = words.where(often)
-    pairs = cut(counted(texts, "pairs", filter_of(singles)).where(often), "pairs")
-    longer = cut(counted(texts, "longer", filter_of(pairs)).where(often), "longer")
+    singles, every = words.where(often), words.agg(F.sum("f").alias("n")).first().n or 0
+    pairs = cut(counted(texts, "pairs", filter_of(singles), hot_of(singles, every)).where(often), "pairs")
+    longer = cut(counted(texts, "longer", filter_of(pairs), hot_of(pairs, every)).where(often), "longer")
     everything = singles.unionByName(pairs).unionByName(longer)
     return everything.withColumn("phrase", F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))), totals
 
