@@ -48,7 +48,8 @@ CHUNK = 4 << 20
 MOST_BITS = 1 << 27
 
 U = np.uint64
-STRIPE = "lang string, prefix string, bucket int, words array<string>, counts array<bigint>"
+#: A stripe's next words stand in one string, with spaces, which no word holds.
+STRIPE = "lang string, prefix string, bucket int, words string, counts array<int>"
 # Bytes that end a piece, and blanks between its words; lower case of A-Z.
 KIND, LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
 KIND[list(b" \t")] = 1
@@ -166,7 +167,7 @@ class Coded:
         return pa.RecordBatch.from_arrays(
             [
                 self.langs.take(pa.array(langs[which])), shown.take(pa.array(which)), pa.array((group[firsts] % BUCKETS).astype(np.int32)),
-                pa.ListArray.from_arrays(ends, self.words.take(pa.array(following))), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64))),
+                pc.binary_join(pa.ListArray.from_arrays(ends, self.words.take(pa.array(following))), " "), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
             ],
             ["lang", "prefix", "bucket", "words", "counts"],
         )
@@ -237,7 +238,7 @@ def counted(texts: DataFrame, name: str, *told) -> DataFrame:
             yield from of(waiting)
 
     stripes = texts.mapInArrow(run, STRIPE).repartition("lang", "prefix", "bucket")
-    entries = stripes.select("lang", "prefix", "bucket", F.inline(F.arrays_zip("words", "counts"))).toDF("lang", "prefix", "bucket", "word", "n")
+    entries = stripes.select("lang", "prefix", "bucket", F.inline(F.arrays_zip(F.split("words", " "), "counts"))).toDF("lang", "prefix", "bucket", "word", "n")
     merged = entries.groupBy("lang", "prefix", "bucket", "word").agg(F.sum("n").alias("f"))
     return merged.select("lang", "prefix", "word", "f")
 
