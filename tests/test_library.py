@@ -219,3 +219,12 @@ def test_pack_components_takes_all_edges(spark):
     got = join_queries.QUERIES["pack_components"](spark, sf).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     assert max(map(len, members.values())) > 2
+
+
+def test_only_closed_references_are_decoded(spark):
+    """A page that is cut within a reference keeps what is left of it, in all three queries of page texts."""
+    page = "<article><p>A &amp;amp; B &#233;&#x41; &ampx; &nosuch; C &amp</p></article>"
+    p = spark.createDataFrame([(1, page)], "page_id long, html string")
+    html, want = F.col("html"), "A &amp; B éA &ampx; &nosuch; C &amp"
+    assert p.select(T.clean_text(html), T.html_to_text(html)).first()[:] == (want, want)
+    assert P.extract_pages(p).first().body == want
