@@ -74,20 +74,17 @@ def classify_entities(texts: DataFrame, names: DataFrame, negatives: DataFrame)
     """(id, ticker, name, label) of texts (id, text): the longest name of a ticker that the text holds, unless it holds one
     of the ticker's negative names (ticker, name).
 
-    Names are (ticker, name, relationship, fresh, context), of one word or several, as they stand in a text of words and
-    single spaces; one with a ``context`` counts only beside that word. They meet texts by their first word.
+    Names are (ticker, name, relationship, fresh, context), of one word or several; one with a ``context`` counts only in
+    texts with that word too. All are looked up as phrases (:func:`phrases.phrase_places`), so that of a text only its
+    words that stand in the lists are dealt out, never the text beside each of its words.
     """
-    flat = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(T.nonnull(F.col("text"))), F.lit(r"([\p{L}\p{N}_]+)")), " "), F.lit(" "))
-    t = texts.select("id", flat.alias("flat"))
-    words = t.select("id", "flat", F.explode(F.array_distinct(F.split(F.trim("flat"), " "))).alias("first"))
-
-    def held(rows: DataFrame) -> DataFrame:
-        first = rows.withColumn("first", F.substring_index("name", " ", 1))
-        return words.join(first, "first").where(F.contains("flat", F.concat(F.lit(" "), F.col("name"), F.lit(" "))))
-
-    bad = held(negatives).select("id", "ticker").distinct()
-    beside = F.col("context").isNull() | F.contains("flat", F.concat(F.lit(" "), F.col("context"), F.lit(" ")))
-    hit = held(names).where(beside).join(bad, ["id", "ticker"], "left_anti")
+    beside = names.where("context is not null").select(F.col("context").alias("phrase"))
+    listed = names.select(F.col("name").alias("phrase")).unionByName(beside).unionByName(negatives.select(F.col("name").alias("phrase")))
+    places = cut(phrase_places(texts, listed).select("id", "phrase"), "places")
+    bad = places.join(bounded(negatives.select("ticker", F.col("name").alias("phrase")).distinct()), "phrase").select("id", "ticker").distinct()
+    held = places.join(bounded(names.select(F.col("name").alias("phrase"), "ticker", "name", "relationship", "fresh", "context")), "phrase")
+    tied = held.where("context is not null").withColumn("phrase", F.col("context")).join(places, ["id", "phrase"], "left_semi")
+    hit = held.where("context is null").unionByName(tied).join(bad, ["id", "ticker"], "left_anti")
     best = hit.groupBy("id", "ticker").agg(F.max_by(F.struct("name", "relationship", "fresh"), F.struct(F.length("name"), "name")).alias("b"))
     label = F.when(~F.col("b.fresh"), "needs_review").when(F.col("b.relationship") == "issuer", "direct").otherwise("related")
     return best.select("id", "ticker", F.col("b.name").alias("name"), label.alias("label"))
