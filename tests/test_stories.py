@@ -63,3 +63,14 @@ def test_source_types_break_ties(spark):
     left = selection.prefer_by_source_type(votes, types, preferences, ["story_id"])
     assert sorted((r.story_id, r.tag) for r in left.collect()) == [(1, "culture"), (2, "culture"), (2, "finance"), (3, "domestic")]
     assert left.where(F.col("votes") > 2).count() == 1
+
+
+def test_pairs_are_judged_where_they_meet(spark):
+    """Candidates are neither written nor shuffled again to drop those that meet twice: nothing is aggregated after the joins."""
+    titles = [(k, f"Alpha Beta {w} merger of banks {w} deal") for k, w in enumerate(("gamma", "delta", "gamma delta", "omega"))]
+    a = spark.createDataFrame([(0, k, k, 60 * k, "s", 0.7, t, "u", "") for k, t in titles], "run_id long, article_id long, seq long, minute long, source string, reputation double, title string, url string, summary string")
+    rows, _ = stories.classes(stories.with_sets(a))
+    for found in (stories.similar_pairs(rows), stories.duplicate_event_pairs(rows, ("the",))):
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        each = [(x.a, x.b) for x in found.collect()]
+        assert sorted(each) == [(i, j) for i in range(4) for j in range(i + 1, 4)]
