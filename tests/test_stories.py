@@ -74,3 +74,11 @@ def test_pairs_are_judged_where_they_meet(spark):
         assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
         each = [(x.a, x.b) for x in found.collect()]
         assert sorted(each) == [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+
+def test_an_id_of_many_sets_is_no_window(spark):
+    sets = spark.createDataFrame([(0, 1, [1, 2]), (0, 2, [2, 3]), (0, 3, [3, 4]), (1, 4, [1, 2, 3, 4, 5]), (1, 5, [6, 9])], "run_id long, set_id long, ids array<long>")
+    known = spark.createDataFrame([(k, 0) for k in range(1, 7)], "node long, component long")
+    got = stories.validate_merge_sets(sets, known)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.set_id: x.valid for x in got.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
