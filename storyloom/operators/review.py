@@ -144,21 +144,26 @@ def token_difference(pairs: DataFrame) -> DataFrame:
 
 def fidelity_guard(pairs: DataFrame, entities: bool = True) -> DataFrame:
     """Whether rewrites keep the facts: (id, missing, added, missing_anchors, added_anchors, dropped_entities, passed) of
-    pairs (id, before, after). Figures, dates and anchors are compared as multisets, capitalised words as sets."""
+    pairs (id, before, after). Figures, dates and anchors are compared as multisets, capitalised words as sets. Rows are told
+    by a digest of their texts, so that null and repeated ids are judged each for itself; equal pairs are counted together."""
+    digest = F.unhex(F.md5(F.concat(F.md5(F.coalesce("before", F.lit(""))), F.md5(F.coalesce("after", F.lit(""))))))
+    pairs = pairs.withColumn("__key", digest)
 
     def counted(side: str, sign: int) -> DataFrame:
         tokens = F.concat(F.transform(figures(F.col(side)), lambda t: F.struct(F.lit("f").alias("kind"), t.alias("token"))), F.transform(anchors(F.col(side)), lambda t: F.struct(F.lit("a").alias("kind"), t.alias("token"))))
-        return pairs.select("id", F.inline(tokens)).select("id", "kind", "token", F.lit(sign).alias("n"))
+        return pairs.select("__key", F.inline(tokens)).select("__key", "kind", "token", F.lit(sign).alias("n"))
 
-    gap = counted("before", 1).union(counted("after", -1)).groupBy("id", "kind", "token").agg(F.sum("n").alias("n"))
+    gap = counted("before", 1).union(counted("after", -1)).groupBy("__key", "kind", "token").agg(F.sum("n").alias("n"))
 
     def over(kind: str, sign: int):
         return F.sum(F.when((F.col("kind") == kind) & (sign * F.col("n") > 0), sign * F.col("n")).otherwise(0))
 
-    d = gap.groupBy("id").agg(over("f", 1).alias("missing"), over("f", -1).alias("added"), over("a", 1).alias("missing_anchors"), over("a", -1).alias("added_anchors"))
+    d = gap.groupBy("__key").agg(over("f", 1).alias("missing"), over("f", -1).alias("added"), over("a", 1).alias("missing_anchors"), over("a", -1).alias("added_anchors"))
     names = ("missing", "added", "missing_anchors", "added_anchors")
-    dropped = pairs.select("id", F.size(F.array_except(capitalized(F.col("before")), capitalized(F.col("after")))).cast("long").alias("dropped_entities"))
-    out = dropped.join(d, "id", "left").select("id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], "dropped_entities")
+    copies = pairs.groupBy("__key").agg(F.count(F.lit(1)).alias("__copies"))
+    d = d.join(copies, "__key").select("__key", *[(F.col(n) / F.col("__copies")).cast("long").alias(n) for n in names])
+    dropped = pairs.select("id", "__key", F.size(F.array_except(capitalized(F.col("before")), capitalized(F.col("after")))).cast("long").alias("dropped_entities"))
+    out = dropped.join(d, "__key", "left").select("id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], "dropped_entities")
     kept = (F.col("missing") + F.col("added") + F.col("missing_anchors") + F.col("added_anchors") == 0) & (F.lit(not entities) | (F.col("dropped_entities") == 0))
     return out.withColumn("passed", kept)
 

@@ -68,3 +68,12 @@ def test_filing_headlines(spark):
     assert headline("a share buyback") == "Novo Nordisk updated its share buyback program."
     assert headline("", description="Dividend.") == "Novo Nordisk: Dividend."
     assert headline("", description="Form 6-K") == "Novo Nordisk filed an important company update."
+
+
+def test_fidelity_of_null_and_repeated_ids(spark):
+    from storyloom.operators import review
+
+    rows = [(1, "He might pay 5", ""), (1, "He might pay 5", ""), (1, "no 7 and 8", "no 7"), (None, "no 3", ""), (2, None, None)]
+    got = review.fidelity_guard(spark.createDataFrame(rows, "id long, before string, after string"))
+    want = [(1, 1, 1), (1, 1, 1), (1, 1, 0), (None, 1, 1), (2, 0, 0)]
+    assert sorted(map(str, [(x.id, x.missing, x.missing_anchors) for x in got.collect()])) == sorted(map(str, want))
