@@ -25,8 +25,3 @@ def sample_ids(ids: DataFrame, most: int) -> DataFrame:
     whatever the partitions."""
     n = ids.count()
     return ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < int(most / n * 2**31)) if n > most else ids
-
-
-def training_ids(labels: DataFrame, label: str, of: int, held: int, most: int) -> DataFrame:
-    """A sample of about ``most`` :func:`labelled_ids` at most."""
-    return sample_ids(labelled_ids(labels, label, of, held), most)

@@ -13,20 +13,21 @@ enter a score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bound_batches
-from .bounded import text_key, without_texts
-from .labelled import remainder, training_ids
+from ..session import bound_batches, cut
+from .bounded import bounded_ids, text_key, without_texts
+from .labelled import labelled_ids, remainder
 from .shingles import word_hashes
 
-#: Most labelled rows that the weights are fitted on, preference pairs drawn from them, and the fold held out.
+#: Labelled rows that are compared with each other, preference pairs made of them at least, and the fold held out.
 MOST_LABELLED, PAIRS, FOLDS, HELD = 20_000, 60_000, 5, 0
 #: Documents are rejected below this quantile of the scores of preferred training rows.
 REJECT_QUANTILE = 0.002
@@ -110,18 +111,49 @@ class Ranking:
         return 1 / (1 + F.exp(-(F.lit(self.slope) * worth + F.lit(self.shift))))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
-    """Weights of least regularised logistic loss."""
-    w = np.zeros(x.shape[1])
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Second and first derivatives of the logistic loss at ``w``, summed over the rows."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return (x * (p * (1 - p) + 1e-9)[:, None]).T @ x, x.T @ (p - y)
+
+
+def _newton(slopes: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], d: int, ridge: float, steps: int = 30) -> np.ndarray:
+    """Weights of least regularised logistic loss, from the sums that ``slopes`` gives at any weights."""
+    w = np.zeros(d)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        second, first = slopes(w)
+        step = np.linalg.solve(second + ridge * np.eye(d), first + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
+def _spread_slopes(rows: DataFrame) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """:func:`_slopes` over a table (x, y): tasks sum their rows, the driver adds one row of each task."""
+
+    def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            d = len(w)
+            total = np.zeros(d * d + d)
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+                total += np.concatenate([m.reshape(-1) for m in _slopes(x, batch.column(1).to_numpy(zero_copy_only=False), w)])
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["s"])
+
+        total = np.sum([r.s for r in rows.select("x", "y").mapInArrow(run, "s array<double>").collect()], axis=0)
+        d = len(w)
+        return total[: d * d].reshape(d, d), total[d * d :]
+
+    return at
+
+
+def _preferences(y: np.ndarray, pairs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of preferred rows and of those they beat: each row's turn comes as often as any other's of its label."""
+    turns = [np.concatenate([rng.permutation(own) for _ in range(-(-pairs // len(own)))])[:pairs] for own in (np.flatnonzero(y == 1), np.flatnonzero(y == 0))]
+    return turns[0], turns[1]
+
+
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7, quantile: float = REJECT_QUANTILE) -> Ranking:
     """Weights from preference pairs (a row labelled 1 beats a row labelled 0), and a two-parameter calibration."""
     d = len(FEATURES)
@@ -130,21 +162,61 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7, quantil
     mean, spread = x.mean(0), x.std(0) + 1e-6
     z = (x - mean) / spread
     rng = np.random.default_rng(seed)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    gap = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = _newton(gap, np.ones(pairs), ridge=1.0)
+    over, under = _preferences(y, max(pairs, len(y)), rng)
+    gap = z[over] - z[under]
+    w = _newton(lambda v: _slopes(gap, np.ones(len(gap)), v), d, ridge=1.0)
     m = z @ w
-    slope, shift = _newton(np.stack([m, np.ones(len(m))], 1), y.astype(float), ridge=1e-3)
-    kept = 1 / (1 + np.exp(-np.clip(slope * m[good] + shift, -30, 30)))
+    placed = np.stack([m, np.ones(len(m))], 1)
+    slope, shift = _newton(lambda v: _slopes(placed, y.astype(float), v), 2, ridge=1e-3)
+    kept = 1 / (1 + np.exp(-np.clip(slope * m[y == 1] + shift, -30, 30)))
     return Ranking(tuple(map(float, mean)), tuple(map(float, w / spread)), float(slope), float(shift), float(np.quantile(kept, quantile)))
 
 
+def fit_spread(rows: DataFrame, groups: int, pairs: int = PAIRS, seed: int = 7, quantile: float = REJECT_QUANTILE) -> Ranking:
+    """:func:`fit` over all rows (doc_id, x, y) of a written table, however many.
+
+    Rows are dealt to groups by a hash of their id and compared within their group, each with several of the other label;
+    groups without rows of both labels have no pairs. Scaling, calibration and quantile are those of all rows.
+    """
+    d = len(FEATURES)
+    each = [F.get("x", F.lit(k)) for k in range(d)]
+    told = rows.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0), *[F.avg(c) for c in each], *[F.stddev_pop(c) for c in each]).first()
+    if not told[0] or not told[1]:
+        return fit(np.zeros((0, d)), np.zeros(0))
+    mean, spread = np.array(told[2 : 2 + d]), np.array(told[2 + d :]) + 1e-6
+
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("doc_id")
+        y, z = part["y"].to_numpy(), (np.array(part["x"].tolist(), float) - mean) / spread
+        if y.min() == y.max():
+            return pd.DataFrame({"x": [], "y": []})
+        over, under = _preferences(y, max(pairs, len(y)), np.random.default_rng([seed, key[0]]))
+        return pd.DataFrame({"x": list(z[over] - z[under]), "y": 1.0})
+
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
+    gaps = cut(dealt.groupBy("g").applyInPandas(compare, "x array<double>, y double"), "preferences")
+    weight = _newton(_spread_slopes(gaps), d, ridge=1.0) / spread
+    worth = F.aggregate(F.zip_with(F.zip_with("x", F.array(*map(F.lit, mean.tolist())), lambda a, m: a - m), F.array(*map(F.lit, weight.tolist())), lambda a, w: a * w), F.lit(0.0), lambda s, a: s + a)
+    placed = cut(rows.select(F.array(worth, F.lit(1.0)).alias("x"), F.col("y").cast("double").alias("y")), "placed")
+    slope, shift = map(float, _newton(_spread_slopes(placed), 2, ridge=1e-3))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(slope) * F.get("x", F.lit(0)) + F.lit(shift)))))
+    at = quantile * (told[0] - 1)
+    lowest = placed.where("y = 1").select(score.alias("s")).orderBy("s").limit(int(at) + 2).orderBy(F.desc("s")).limit(2).collect()
+    high, low = lowest[0].s, lowest[-1].s
+    threshold = low + (high - low) * (at - int(at)) if told[0] > 1 else low
+    return Ranking(tuple(map(float, mean)), tuple(map(float, weight)), slope, shift, float(threshold))
+
+
 def train(featured: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Ranking:
-    """Fit on at most about ``most`` labelled rows outside the held-out fold."""
-    ids = training_ids(labels, "quality", FOLDS, HELD, most)
-    rows = featured.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "x", "y").toPandas().sort_values("doc_id")
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
-    return fit(x, rows["y"].to_numpy())
+    """Fit on all labelled rows outside the held-out fold; where they are more than ``most``, in groups of about so many."""
+    ids = bounded_ids(labelled_ids(labels, "quality", FOLDS, HELD))
+    rows = cut(featured.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "x", "y"), "labelled")
+    n = rows.count()
+    if n > most:
+        return fit_spread(rows, -(-n // most))
+    own = rows.toPandas().sort_values("doc_id")
+    x = np.array(own["x"].tolist(), float).reshape(n, len(FEATURES))
+    return fit(x, own["y"].to_numpy())
 
 
 def score_documents(featured: DataFrame, ranking: Ranking) -> DataFrame:

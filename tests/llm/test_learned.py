@@ -46,6 +46,23 @@ def test_quality_on_held_out_rows(spark, prose):
     assert sum(i in kept for i, q in want.items() if q == 1) >= 0.98 * sum(want.values())
 
 
+def test_quality_learns_from_all_labelled_rows(spark, prose):
+    docs, labels = labelled(prose)
+    frame = spark.createDataFrame(docs, SCHEMA)
+    featured = quality.features(frame)
+    ranking = quality.train(featured, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), most=60)
+    marks = {d: q for d, q, _ in labels}
+    own = [x for x in featured.collect() if x.doc_id in marks and zlib.crc32(str(x.doc_id).encode()) % 5 != 0]
+    assert len(own) > 180
+    np.testing.assert_allclose(ranking.mean, np.mean([x.x for x in own], 0), rtol=1e-9, atol=1e-12)
+    got = {x.doc_id: x for x in quality.score_documents(featured, ranking).collect()}
+    liked = [got[x.doc_id].score for x in own if marks[x.doc_id] == 1]
+    np.testing.assert_allclose(ranking.threshold, np.quantile(liked, quality.REJECT_QUANTILE), rtol=1e-9)
+    held = [(x.score, marks[x.doc_id]) for x in got.values() if x.held_out and x.doc_id in marks]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert np.mean([a > b for a in good for b in bad]) > 0.9
+
+
 def test_quality_features_by_hand(spark):
     x = quality.features(spark.createDataFrame([(1, "Ab ab ab 1|\nX"), (2, None)], SCHEMA)).collect()
     f = dict(zip(quality.FEATURES, x[0].x, strict=True))
