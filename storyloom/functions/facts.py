@@ -112,11 +112,16 @@ def capitalized(text: Column) -> Column:
 
 def headline_tickers(text: Column) -> Column:
     """Ticker symbols named in any of the usual ways, and those of well-known companies, as a set."""
-    t = ascii_words(text)
-    found = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in TICKERS]))
-    symbols = F.transform(found, lambda s: F.replace(s, F.lit("."), F.lit("-")))
-    named = F.array_compact(F.array(*[F.when(F.rlike(F.lower(t), F.lit(rf"\b{a}\b")), s) for a, s in ALIASES.items()]))
-    return F.array_distinct(F.concat(F.array_except(symbols, words_in(TICKER_STOPWORDS)), named))
+    alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+
+    def named(t: Column) -> Column:
+        found = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in TICKERS]))
+        symbols = F.transform(found, lambda s: F.replace(s, F.lit("."), F.lit("-")))
+        known = F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(rf"\b({'|'.join(ALIASES)})\b"), F.lit(1)))
+        return F.array_distinct(F.concat(F.array_except(symbols, words_in(TICKER_STOPWORDS)), F.transform(known, lambda a: F.element_at(alias, a))))
+
+    # the plain text is worked out once, as the one element of an array, and read once for all companies
+    return F.transform(F.array(ascii_words(text)), named)[0]
 
 
 def explicit_tickers(text: Column) -> Column:

@@ -77,3 +77,8 @@ def test_fidelity_of_null_and_repeated_ids(spark):
     got = review.fidelity_guard(spark.createDataFrame(rows, "id long, before string, after string"))
     want = [(1, 1, 1), (1, 1, 1), (1, 1, 0), (None, 1, 1), (2, 0, 0)]
     assert sorted(map(str, [(x.id, x.missing, x.missing_anchors) for x in got.collect()])) == sorted(map(str, want))
+
+
+def test_headline_is_read_once(spark):
+    plan = spark.range(1).select(X.headline_tickers(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"[^\p{L}\p{N}\x00-\x7F]") == 1 and "RLIKE" not in plan
