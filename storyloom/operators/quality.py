@@ -24,11 +24,17 @@ SOURCE_HINTS = (
 # End of fixed values.
 
 
+def _likeness(title: Column, text: Column) -> Column:
+    """Jaccard similarity of two texts' words, each text's words taken once, as the one element of an array."""
+    both = F.struct(T.tokenize(title).alias("a"), T.tokenize(text).alias("b"))
+    return F.transform(F.array(both), lambda t: T.jaccard(t["a"], t["b"]))[0]
+
+
 def hard_reject_reason(title: Column, text: Column, threshold: float = 0.85) -> Column:
     """Why an article is almost surely junk, or null."""
     bare = F.trim(T.nonnull(text))
     same = F.lower(F.trim(T.nonnull(title))) == F.lower(bare)
-    return F.when(bare == "", "empty_summary").when(same | (T.jaccard(T.tokenize(title), T.tokenize(text)) > threshold), "summary_duplicates_title")
+    return F.when(bare == "", "empty_summary").when(same | (_likeness(title, text) > threshold), "summary_duplicates_title")
 
 
 def quality_triggers(title: Column, text: Column, thin: int = 80) -> Column:
@@ -68,7 +74,7 @@ def evidence_score(title: Column, text: Column, status: Column, reputation: Colu
     rich = F.when((status == "feed_content") & (F.length(t) >= 300), 0.45).otherwise(0.0)
     score = (
         F.least(F.length(t), F.lit(1200)) / 300 + F.least(F.lit(3), T.count_matches(t, T.NUMBER)) * 0.35 + F.least(F.lit(4), T.count_matches(t, T.SENTENCE_END)) * 0.20
-        + reputation + extracted + rich - T.jaccard(T.tokenize(title), T.tokenize(t)) * 2.0 - penalty
+        + reputation + extracted + rich - _likeness(title, t) * 2.0 - penalty
     )
     return F.when(t == "", 0.0).otherwise(F.greatest(F.lit(0.0), score))
 

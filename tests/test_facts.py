@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from storyloom.functions import facts as X
+from storyloom.operators import quality as Q
 
 
 def one(spark, column):
@@ -82,3 +83,10 @@ def test_fidelity_of_null_and_repeated_ids(spark):
 def test_headline_is_read_once(spark):
     plan = spark.range(1).select(X.headline_tickers(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count(r"[^\p{L}\p{N}\x00-\x7F]") == 1 and "RLIKE" not in plan
+
+
+def test_words_of_a_text_are_taken_once(spark):
+    t = F.col("id").cast("string")
+    for score in (Q.hard_reject_reason(F.lit("a title"), t), Q.evidence_score(F.lit("a title"), t, F.lit("extracted"), F.lit(0.5), F.lit(0.0))):
+        plan = spark.range(1).select(score.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("([a-z0-9]{3,})") == 2
