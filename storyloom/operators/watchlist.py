@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..session import cut
 from .articles import bounded
 from .intervals import in_force, until_next
+from .mentions import best_names
 from .phrases import phrase_places, words_of
 
 # Forms, items and words that make a filing material.
@@ -102,39 +103,36 @@ def classify_mentions(texts: DataFrame, names: DataFrame, negatives: DataFrame,
     A text with a negative name of the ticker is a mention only. Otherwise the relationship is fresh if the name's row in
     force on the text's day was verified against the annual filing then current (filings: ticker, accession, accepted),
     where both are known; a name for the issuer itself always is. Without a row in force the last one verified by then tells the
-    relationship, or else the first, which is stale. Null days meet no row. Texts without any name have no row.
+    relationship, or else the first, which is stale. Null days meet no row. Texts without any name have no row; rows that
+    repeat an id are a text each.
+
+    A text's names are judged where it is read (:func:`mentions.best_names`); what meets relationships and filings is a row
+    for each ticker that a text names.
     """
     listed = names.where(F.size(words_of(F.col("name"))) >= F.coalesce("min_tokens", F.lit(1)))
-    dictionary = listed.select(F.col("name").alias("phrase")).unionByName(listed.select(F.explode("context").alias("phrase"))).unionByName(negatives.select(F.col("name").alias("phrase")))
-    places = cut(phrase_places(texts.select("id", "text"), dictionary), "places")
-    bad = places.join(bounded(negatives.select("ticker", F.col("name").alias("phrase")).distinct()), "phrase").groupBy("id", "ticker").agg(F.min_by(F.struct("phrase", F.col("places")[0].alias("place")), "phrase").alias("x"))
-    bad = cut(bad.select("id", "ticker", F.col("x.phrase").alias("name"), F.col("x.place").alias("place")), "negatives")
-    kinds = listed.groupBy("ticker", "name").agg(F.min("seq").alias("seq"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("context", F.array().cast("array<string>"))))).alias("context"))
-    hit = places.withColumnRenamed("phrase", "name").join(bounded(kinds), "name").join(bad.select("id", "ticker"), ["id", "ticker"], "left_anti")
-    free = hit.where(F.size("context") == 0).drop("context")
-    tied = hit.where(F.size("context") > 0).withColumn("phrase", F.explode("context")).join(places.select("id", "phrase"), ["id", "phrase"])
-    usable = free.unionByName(tied.select(*free.columns).distinct())
-    order = F.struct(F.length("name"), -F.col("seq"))
-    best = usable.groupBy("id", "ticker").agg(F.max_by(F.struct("name", F.col("places")[0].alias("place")), order).alias("x"))
-    dated = cut(best.select("id", "ticker", "x.*").join(texts.select("id", "day", "role"), "id"), "mentions")
+    kinds = listed.groupBy("ticker", "name").agg(
+        F.lit(False).alias("refused"), F.max(F.size(F.coalesce("context", F.array().cast("array<string>"))) > 0).alias("tied"), F.min("seq").alias("seq"),
+        F.min_by("relationship", F.struct("verified_at", "relationship")).alias("first"),
+    )
+    none = F.lit(None)
+    refused = negatives.select("ticker", "name").distinct().select("ticker", "name", F.lit(True).alias("refused"), F.lit(False).alias("tied"), none.cast("long").alias("seq"), none.cast("string").alias("first"))
+    # a negative name comes before all others, the least of them first
+    order = [F.col("refused"), F.when(F.col("refused"), 0).otherwise(F.length("name")), F.col("seq").desc_nulls_first(), F.col("name").desc()]
+    beside = listed.select("ticker", "name", F.explode("context").alias("phrase"))
+    found = best_names(texts.select("id", "day", "role", "text"), kinds.unionByName(refused), beside, order)
+    last = texts.agg(F.max("day").alias("d")).first().d
     rows = listed.select("ticker", "name", "verified_at", "relationship", "expires_at", "accession")
-    bounds = until_next(rows, ["ticker", "name"], "verified_at", "replaced").withColumn("until", F.least("expires_at", "replaced"))
+    versions = until_next(rows, ["ticker", "name"], "verified_at", "replaced")
     current = until_next(filings.select("ticker", F.col("accepted").alias("since"), F.col("accession").alias("current")), ["ticker"], "since", "current_until")
-    now = in_force(dated, bounds.select("ticker", "name", "verified_at", "until", "relationship", "accession"), ["ticker", "name"], "day", "verified_at", "until")
-    governed = in_force(dated.select("id", "ticker", "day"), current, ["ticker"], "day", "since", "current_until").select("id", "ticker", "current")
-    held = now.select("id", "ticker", "relationship", "accession").join(governed, ["id", "ticker"], "left")
-    agrees = F.coalesce(F.col("current") == F.col("accession"), F.lit(True))
-    held = held.select("id", "ticker", "relationship", agrees.alias("agrees"))
-    past = in_force(dated, until_next(rows, ["ticker", "name"], "verified_at", "replaced").select("ticker", "name", "verified_at", "replaced", F.col("relationship").alias("last")), ["ticker", "name"], "day", "verified_at", "replaced")
-    first = listed.groupBy("ticker", "name").agg(F.min_by("relationship", F.struct("verified_at", "relationship")).alias("first"))
-    all_ = dated.join(held, ["id", "ticker"], "left").join(past.select("id", "ticker", "last"), ["id", "ticker"], "left").join(bounded(first), ["ticker", "name"], "left")
-    relation = F.coalesce("relationship", "last", "first")
-    told = all_.withColumn("relation", relation).withColumn("fresh", (F.col("relation") == "self") | F.coalesce("agrees", F.lit(False)))
+    told = in_force(found.where("id is not null or refused"), versions, ["ticker", "name"], "day", "verified_at", "replaced", "left", last)
+    told = in_force(told, current, ["ticker"], "day", "since", "current_until", "left", last)
+    now = F.col("verified_at").isNotNull() & (F.col("expires_at").isNull() | (F.col("day") <= F.col("expires_at")))
+    told = told.withColumn("relation", F.coalesce("relationship", "first"))
+    told = told.withColumn("fresh", ~F.col("refused") & (F.coalesce(F.col("relation") == "self", F.lit(False)) | (now & F.coalesce(F.col("current") == F.col("accession"), F.lit(True)))))
     label = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])[F.col("relation")]
-    label = F.when(F.col("role").isin(*BESIDE_THE_EVENT) | (~F.col("fresh") & F.col("relation").isin(*MUST_BE_FRESH)), "MENTION_ONLY").otherwise(label)
-    matched = told.select("id", "ticker", "name", label.alias("label"), "fresh", "place", F.when(F.col("fresh"), "matched").otherwise("stale_relationship").alias("reason"))
-    refused = bad.select("id", "ticker", "name", F.lit("MENTION_ONLY").alias("label"), F.lit(False).alias("fresh"), "place", F.lit("negative_name").alias("reason"))
-    return matched.unionByName(refused)
+    beside_event = F.col("refused") | F.col("role").isin(*BESIDE_THE_EVENT) | (~F.col("fresh") & F.col("relation").isin(*MUST_BE_FRESH))
+    reason = F.when(F.col("refused"), "negative_name").when(F.col("fresh"), "matched").otherwise("stale_relationship")
+    return told.select("id", "ticker", "name", F.when(beside_event, "MENTION_ONLY").otherwise(label).alias("label"), "fresh", "place", reason.alias("reason"))
 
 
 def explode_filings(payloads: DataFrame) -> DataFrame:

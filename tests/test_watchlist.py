@@ -5,7 +5,7 @@ import random
 import re
 
 from pyspark.sql import functions as F
-from storyloom.operators import intervals, phrases, watchlist
+from storyloom.operators import intervals, mentions, phrases, watchlist
 
 
 def words(text):
@@ -108,3 +108,27 @@ def test_names_of_long_texts_do_not_carry_the_text(spark):
     got = watchlist.classify_entities(t, names, spark.createDataFrame([("A", "acme records")], "ticker string, name string"))
     assert sorted(map(tuple, got.collect())) == [(1, "A", "acme steel", "direct"), (2, "A", "acme", "related")]
     assert written() - before < 10 << 20
+
+
+def test_mentions_leave_no_more_than_a_row_for_each_ticker(spark, monkeypatch):
+    """Names that many tickers have meet in many texts: 400 texts with 60 names of 40 tickers would be 960,000 rows to shuffle."""
+    rng = random.Random(6)
+    listed = [(f"T{t}", " ".join(f"w{(k + j) % 60}" for j in range(1 + t % 3)), k * 40 + t, rng.choice(["self", "controlled_affiliate"]), day(rng.randrange(0, 90)), None, 1, [f"c{t % 4}"] if k % 3 == 0 else [], None) for k in range(60) for t in range(40)]
+    texts = [(i, " ".join(f"w{k}" for k in range(60)) + f" c{i % 5}" + (" bad thing" if i % 10 == 0 else ""), day(i % 100), "party") for i in range(400)]
+    names = spark.createDataFrame(listed, "ticker string, name string, seq bigint, relationship string, verified_at date, expires_at date, min_tokens int, context array<string>, accession string")
+    args = (spark.createDataFrame(texts, "id bigint, text string, day date, role string"), names, spark.createDataFrame([("T3", "thing"), ("T3", "bad thing")], "ticker string, name string"), spark.createDataFrame([], "ticker string, accession string, accepted date"))
+    want = {}
+    for i, text, _, _ in texts:
+        for t, n, seq, *_, near, _ in listed:
+            held = f" {text} "
+            if f" {n} " in held and (not near or any(f" {c} " in held for c in near)):
+                want[i, t] = max(want.get((i, t), (0,)), (len(n), -seq, n))
+        if i % 10 == 0:
+            want[i, "T3"] = (0, 0, "bad thing")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = {(x.id, x.ticker): x.name for x in watchlist.classify_mentions(*args).collect()}
+    assert got == {k: v[2] for k, v in want.items()} and written() - before < 1 << 20
+    monkeypatch.setattr(mentions, "SET_NAMES", 700)
+    monkeypatch.setattr(mentions, "STEP", 100)
+    assert {(x.id, x.ticker): x.name for x in watchlist.classify_mentions(*args).collect()} == got
