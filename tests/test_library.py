@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import numbers as N
 from storyloom.functions import text as T
+from storyloom.operators import graph
 from storyloom.operators import quality as Q
 from storyloom.operators import review as R
 from storyloom.operators import selection as Sel
@@ -228,3 +229,31 @@ def test_only_closed_references_are_decoded(spark):
     html, want = F.col("html"), "A &amp; B éA &ampx; &nosuch; C &amp"
     assert p.select(T.clean_text(html), T.html_to_text(html)).first()[:] == (want, want)
     assert P.extract_pages(p).first().body == want
+
+
+def test_components_that_are_stars_are_set_aside(spark, monkeypatch):
+    """Later rounds work on what is open: a long chain among many pairs does not read the pairs again and again."""
+    r = random.Random(8)
+    pairs = [(10_000 + 2 * k, 10_001 + 2 * k) for k in range(3000)]
+    chain = list(range(300))
+    edges = pairs + list(zip(chain, chain[1:])) + [(9_000, 9_001 + k) for k in range(50)] + [(r.randrange(5000, 6000), r.randrange(5000, 6000)) for _ in range(450)]
+    up = {n: n for e in edges for n in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    loops = {a for a, b in edges if a == b} - {n for a, b in edges if a != b for n in (a, b)}
+    want = {n: root(n) for n in up if n not in loops}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    worked = []
+    real = graph._to_least
+    monkeypatch.setattr(graph, "_to_least", lambda e: worked.append(e.count()) or real(e))
+    for few in (0, 1 << 16):
+        monkeypatch.setattr(graph, "FEW_LOOSE", few)
+        assert {x.node: x.component for x in graph.connected_components(frame).collect()} == want
+    assert max(worked) < 1000
