@@ -6,7 +6,7 @@ than the edits before and after it allow. Each line's segments are indexed under
 line's length; each line probes the substrings of its own at those shifts, for its own length and the shorter ones that it
 may link with. Where many lines meet, what is left of them without the shared segment is split and probed in the same way:
 a common beginning does not bring lines together unless they share a part of the rest too. Pairs that meet in the end are
-held against a bound on their character pairs, and verified with a banded bit-parallel edit distance.
+held against a bound on their character pairs, and verified by Spark's edit distance with a threshold, where they meet.
 
 Equal lines are one class, so a common line is searched once. Lines are trimmed; blank lines belong to no class.
 
@@ -142,50 +142,9 @@ def pair_sketch(line: Column) -> Column:
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
-    """The edit distance of ``a`` and ``b`` where it is at most ``edits``, else a greater number.
-
-    ``a`` must not be the shorter one, nor longer by more than ``edits``. A column of the table of distances is kept as
-    two bit vectors of 2 * edits + 1 rows around the diagonal, which slide down a row with each character of ``b``; the
-    distance is summed up along the diagonal that ends in the last cell.
-    """
-    width = 2 * edits + 1
-    mask = (1 << width) - 1
-
-    def lit(x: int) -> Column:
-        return F.lit(x).cast("bigint")
-
-    def walk(t: Column) -> Column:
-        first = F.struct(lit(mask & ~((1 << edits) - 1)).alias("up"), lit(0).alias("down"), t["gap"].cast("bigint").alias("score"))
-        walked = F.aggregate(F.sequence(F.lit(0), F.size(t["b"]) - 1), first, lambda s, j: step(t["a"], t["b"], t["gap"], s, j))["score"]
-        return walked.cast("int")
-
-    def step(ca: Column, cb: Column, gap: Column, s: Column, j: Column) -> Column:
-        c = F.get(cb, j)
-        eq = lit(0)
-        for t in range(width):
-            eq = eq.bitwiseOR(F.when((j - edits + t >= 0) & (F.get(ca, F.greatest(j - edits + t, F.lit(0))) == c), lit(1 << t)).otherwise(lit(0)))
-
-        def with_eq(e: Column) -> Column:
-            up, down = s["up"], s["down"]
-            carry = (e.bitwiseAND(up) + up).bitwiseAND(lit(mask))
-            return _let(carry.bitwiseXOR(up).bitwiseOR(e).bitwiseOR(down), with_diagonal)
-
-        def with_diagonal(d: Column) -> Column:
-            up, down = s["up"], s["down"]
-            rises = down.bitwiseOR(lit(mask).bitwiseAND(F.bitwise_not(d.bitwiseOR(up))))
-            falls = d.bitwiseAND(up)
-            below = F.shiftright(d, 1)
-            same = F.call_function("shiftright", d, (gap + edits).cast("int")).bitwiseAND(lit(1))
-            return F.struct(
-                falls.bitwiseOR(lit(mask).bitwiseAND(F.bitwise_not(below.bitwiseOR(rises)))).alias("up"),
-                below.bitwiseAND(rises).alias("down"),
-                (s["score"] + lit(1) - same).alias("score"),
-            )
-
-        return _let(eq, with_eq)
-
-    both = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), (F.length(a) - F.length(b)).alias("gap"))
-    return F.when(F.length(b) > 0, _let(both, walk)).otherwise(F.length(a))
+    """The edit distance of ``a`` and ``b`` where it is at most ``edits``, else a greater number."""
+    found = F.levenshtein(a, b, edits)
+    return F.when(found < 0, edits + 1).otherwise(found)
 
 
 def _firsts(lines: DataFrame, known: DataFrame) -> DataFrame:
@@ -195,22 +154,32 @@ def _firsts(lines: DataFrame, known: DataFrame) -> DataFrame:
     return joined.where(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no"))).select("key", "line")
 
 
-def _pairs(live: DataFrame, sketch: DataFrame, bands, once: bool) -> DataFrame:
-    """(i, j) of index rows and probes that meet in a bucket and whose sketches (id, sig, n) are close enough.
+def _near(s: str, p: str, bands) -> Column:
+    """Whether the lines of two rows (sig, n, line) are within the edits; sketches that are too far apart spare the distance."""
+    shorter, gap = F.least(f"{s}.n", f"{p}.n"), F.abs(F.col(f"{s}.n") - F.col(f"{p}.n"))
+    near = F.lit(False)
+    for least, edits, below in _banded(bands):
+        within = (gap <= edits) & (F.bit_count(F.col(f"{s}.sig").bitwiseXOR(F.col(f"{p}.sig"))) <= 4 * edits)
+        within = within & (banded_distance(F.col(f"{s}.line"), F.col(f"{p}.line"), edits) <= edits)
+        near = F.when((shorter >= least) & (shorter < below), within).otherwise(near)
+    return near
+
+
+def _links(live: DataFrame, texts: DataFrame, bands, once: bool) -> DataFrame:
+    """(a, b), a < b: the keys of lines (id, key, sig, n, line) that meet as index row and probe in a bucket and are within
+    the edits; they are judged where they meet, so that other pairs are neither shuffled nor written.
 
-    With ``once`` a pair is made in the least of the buckets that it meets in only; for that each row carries its line's
+    With ``once`` a pair is judged in the least of the buckets that it meets in only; for that each row carries its line's
     buckets, which is worth it where many lines meet again and again."""
     rows = live.select("h", "id", (F.col("c") < 0).alias("seg")).distinct()
-    ends = rows.join(sketch, "id")
+    ends = rows.join(texts, "id")
     if once:
         ends = ends.join(rows.groupBy("id", "seg").agg(F.collect_set("h").alias("all")), ["id", "seg"])
     s, p = ends.where("seg").alias("s"), ends.where("not seg").alias("p")
-    close = F.bit_count(F.col("s.sig").bitwiseXOR(F.col("p.sig"))) <= 4 * edits_of(F.least("s.n", "p.n"), bands)
-    other = (F.col("s.id") != F.col("p.id")) & ((F.col("s.n") < F.col("p.n")) | (F.col("s.id") < F.col("p.id")))
-    meet = (F.col("s.h") == F.col("p.h")) & other & close
+    meet = (F.col("s.h") == F.col("p.h")) & (F.col("s.id") != F.col("p.id")) & ((F.col("s.n") < F.col("p.n")) | (F.col("s.id") < F.col("p.id")))
     if once:
         meet = meet & (F.array_min(F.array_intersect("s.all", "p.all")) == F.col("s.h"))
-    return s.join(p, meet).select(F.col("s.id").alias("i"), F.col("p.id").alias("j"))
+    return s.join(p, meet & _near("s", "p", bands)).select(F.least("s.key", "p.key").alias("a"), F.greatest("s.key", "p.key").alias("b"))
 
 
 def near_lines(docs: DataFrame, bands=BANDS) -> DataFrame:
@@ -232,25 +201,17 @@ def _named_lines(docs: DataFrame, bands) -> DataFrame:
     ids = bounded_ids(live.select("id").distinct())
     again = _firsts(lines, known).withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi")
     texts = cut(again.select("id", "key", "line", pair_sketch(F.col("line")).alias("sig")).dropDuplicates(["key"]), "texts")
-    sketch = texts.select("id", "sig", F.length("line").alias("n"))
+    judged = texts.select("id", "key", "sig", F.length("line").alias("n"), "line")
     found = None
     for level in range(LEVELS + 1):
         hot = live.where(F.col("rows") > HOT) if level < LEVELS else live.limit(0)
         calm = live.where(F.col("rows") <= HOT) if level < LEVELS else live
-        own = _pairs(calm, sketch, bands, once=level > 0)
+        own = _links(calm, judged, bands, once=level > 0)
         found = own if found is None else found.union(own)
         if level == LEVELS or hot.isEmpty():
             break
         live = cut(met(split_again(hot, texts, bands)), "split")
-    pairs = cut(found.distinct(), "pairs")
-    i, j = texts.select(F.col("id").alias("i"), F.col("key").alias("b"), F.col("line").alias("y")), texts.select(F.col("id").alias("j"), F.col("key").alias("a"), F.col("line").alias("x"))
-    longer, shorter = F.when(F.length("x") >= F.length("y"), F.col("x")).otherwise(F.col("y")), F.when(F.length("x") >= F.length("y"), F.col("y")).otherwise(F.col("x"))
-    held = pairs.join(i, "i").join(j, "j").select("a", "b", longer.alias("x"), shorter.alias("y"))
-    near = F.lit(False)
-    for least, edits, below in _banded(bands):
-        fits = (F.length("y") >= least) & (F.length("y") < below) & (F.length("x") - F.length("y") <= edits)
-        near = F.when(fits, banded_distance(F.col("x"), F.col("y"), edits) <= edits).otherwise(near)
-    links = cut(held.where(near).select("a", "b").distinct(), "links")
+    links = cut(found.distinct(), "links")
     return _classes(light, known, links)
 
 
