@@ -1,9 +1,12 @@
-"""The sequential leader rule as a stream: state for each live story, and an index from terms to stories."""
+"""The sequential leader rule as a stream: state for each live story, and a batch's index from terms to stories."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -11,7 +14,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What events and time give together at most: a story that shares no term has no more.
 WITHOUT_TERMS = 0.25
-SETS = "n bigint, minute bigint, tokens array<string>, entities array<string>, events array<string>"
+#: So many stories that may reach the threshold are judged one by one; of more, the commonest tokens are counted first.
+FEW = 32
+#: So many stories that began one after the other are one entry of the state, for each entry costs a call to the store.
+BLOCK = 128
+SETS = "n array<bigint>, story array<bigint>, minute array<bigint>, tokens array<array<string>>, entities array<array<string>>, events array<array<string>>"
 
 
 def likeness(own: list[set], minute: int, sets: list[set], latest: int) -> float:
@@ -23,12 +30,111 @@ def likeness(own: list[set], minute: int, sets: list[set], latest: int) -> float
     return t * 0.55 + e * 0.2 + v * 0.15 + (1.0 if hours <= 3 else 0.7 if hours <= 12 else 0.35 if hours <= 24 else 0.0) * 0.1
 
 
+class Board:
+    """The live stories of a key in the order in which they began, and an index from their tokens and entities to them.
+
+    What an article shares with stories is counted along the index, the rarest tokens first. The commonest are left out, two
+    fewer than could be: a story met by no other token and by no entity stays below the threshold. Of those met, only the ones
+    that the counts and sizes allow to reach it are judged, so that time follows what is alike and not all that is live."""
+
+    def __init__(self, threshold: float, keep: int):
+        self.threshold, self.keep = threshold, keep
+        self.ids: list[int] = []
+        self.latest: list[int] = []
+        self.numbers: list[dict[str, int]] = [{}, {}, {}]
+        self.terms: list[list[str]] = [[], [], []]
+        # of tokens, entities and events: each story's, by number; of tokens and entities also the stories of each, and for
+        # each story how many it has and how many of an article's were counted
+        self.sets: list[list[tuple]] = [[], [], []]
+        self.index: list[list[array]] = [[], []]
+        self.sizes = [np.zeros(1024, np.int64) for _ in self.index]
+        self.shared = [np.zeros(1024, np.int64) for _ in self.index]
+
+    def numbered(self, sets) -> tuple:
+        """The sets of an article or story as numbers of their terms."""
+        out = []
+        for kind, words in enumerate(sets):
+            known, terms = self.numbers[kind], self.terms[kind]
+            own = dict.fromkeys(words)
+            for x in own:
+                if x not in known:
+                    known[x] = len(terms)
+                    terms.append(x)
+                    if kind < 2:
+                        self.index[kind].append(array("q"))
+            out.append(tuple(known[x] for x in own))
+        return tuple(out)
+
+    def named(self, k: int) -> list[list[str]]:
+        return [sorted(terms[x] for x in sets[k]) for terms, sets in zip(self.terms, self.sets, strict=True)]
+
+    def begin(self, story: int, minute: int, own: tuple) -> int:
+        k = len(self.ids)
+        if k == len(self.sizes[0]):
+            self.sizes, self.shared = ([np.concatenate([x, np.zeros_like(x)]) for x in of] for of in (self.sizes, self.shared))
+        self.ids.append(story)
+        self.latest.append(minute)
+        for sets in self.sets:
+            sets.append(())
+        self.join(k, minute, own)
+        return k
+
+    def join(self, k: int, minute: int, own: tuple) -> None:
+        for kind, sets in enumerate(self.sets):
+            fresh = tuple(x for x in own[kind] if x not in sets[k])
+            sets[k] += fresh
+            if kind < 2:
+                self.sizes[kind][k] += len(fresh)
+                for x in fresh:
+                    self.index[kind][x].append(k)
+        self.latest[k] = max(self.latest[k], minute)
+
+    def best(self, own: tuple, minute: int, newest: int) -> int | None:
+        """The story that an article joins: of those at the threshold the one most like it, the first of equal ones."""
+        rest = self.threshold - 0.1 - (0.15 if own[2] else 0.0) - 1e-9  # what tokens and entities must make up
+        tokens = sorted(own[0], key=lambda x: len(self.index[0][x]))
+        left = min(max(int(rest / 0.55 * len(tokens)) - 2, 0), len(tokens))
+        lists = self._count(0, tokens[: len(tokens) - left]) + self._count(1, own[1])
+        if not lists:
+            return None
+        met = np.concatenate(lists)
+        near = met[self._at_most(met, own, left) >= rest]
+        if len(near) > FEW and left:
+            lists += self._count(0, tokens[len(tokens) - left :])
+            near = near[self._at_most(near, own, 0) >= rest]
+        for x in lists:
+            self.shared[0][x] = self.shared[1][x] = 0
+        top, at, mine = 0.0, None, [set(x) for x in own]
+        for k in sorted(set(near.tolist())):
+            if newest - self.latest[k] <= self.keep:
+                score = likeness(mine, minute, [set(x[k]) for x in self.sets], self.latest[k])
+                if score > top:
+                    top, at = score, k
+        return at if top >= self.threshold else None
+
+    def _count(self, kind: int, terms) -> list[np.ndarray]:
+        lists = [np.frombuffer(x, np.int64) for t in terms if (x := self.index[kind][t])]
+        for x in lists:
+            self.shared[kind][x] += 1
+        return lists
+
+    def _at_most(self, k: np.ndarray, own: tuple, left: int) -> np.ndarray:
+        """What tokens and entities may give to the likeness of stories, while ``left`` tokens are not counted."""
+        size = self.sizes[0][k]
+        both = np.minimum(self.shared[0][k] + left, size)
+        out = both / np.maximum(size + len(own[0]) - both, 1) * 0.55
+        if own[1]:
+            both = self.shared[1][k]
+            out += both / (self.sizes[1][k] + len(own[1]) - both) * 0.2
+        return out
+
+
 class Leaders(StatefulProcessor):
     """Each article of a key, in order, joins the live story that it is most like, the first of equal ones, or begins one.
 
-    A story is kept with the unions of its articles' sets and its latest time; each of its tokens and entities names it in
-    the index, so that an article is compared only with stories that share a term: others stay below the threshold. A story
-    is forgotten once its latest time lies ``keep`` minutes before the key's newest article, so state follows what is live.
+    A story is kept with the unions of its articles' sets and its latest time. A batch reads the live stories once, as a
+    :class:`Board`, and writes the blocks of them that it has changed. A story is forgotten once its latest time lies ``keep``
+    minutes before the key's newest article, so state follows what is live.
     """
 
     def __init__(self, threshold: float, keep: int):
@@ -37,78 +143,45 @@ class Leaders(StatefulProcessor):
         self.threshold, self.keep = threshold, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stories = handle.getMapState("stories", "story bigint", SETS)
-        self.terms = handle.getMapState("terms", "term string", "stories array<bigint>")
+        self.stories = handle.getMapState("stories", "block bigint", SETS)
         self.seen = handle.getValueState("seen", "stories bigint, newest bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(["seq", "article_id"])
+        board = Board(self.threshold, self.keep)
         began, newest = self.seen.get() if self.seen.exists() else (0, -(2**62))
-        live: dict[int, list] = {}  # what this batch has looked at: story -> [n, minute, sets], or None if it has gone
-        index: dict[str, list[int]] = {}
-
-        def story(k: int):
-            if k not in live:
-                found = self.stories.getValue((k,)) if self.stories.containsKey((k,)) else None
-                live[k] = [found[0], found[1], [set(x) for x in found[2:]]] if found else None
-            return live[k]
-
-        def named(term: str) -> list[int]:
-            if term not in index:
-                index[term] = list(self.terms.getValue((term,))[0]) if self.terms.containsKey((term,)) else []
-            return index[term]
-
-        out = []
-        for r in frame.itertuples():
-            own = [set(r.tokens), set(r.entities), set(r.events)]
-            newest = max(newest, r.minute)
-            keys = [f"t{x}" for x in own[0]] + [f"e{x}" for x in own[1]]
-            near = {k for term in keys for k in named(term)}
-            kept = sorted((s[0], k) for k in near if (s := story(k)) and newest - s[1] <= self.keep)
-            best, at = 0.0, None
-            for _, k in kept:
-                score = likeness(own, r.minute, live[k][2], live[k][1])
-                if score > best:
-                    best, at = score, k
-            if at is None or best < self.threshold:
-                at, began = r.article_id, began + 1
-                live[at] = [began, r.minute, [set(), set(), set()]]
-            mine = live[at]
-            fresh = [f"t{x}" for x in own[0] - mine[2][0]] + [f"e{x}" for x in own[1] - mine[2][1]]
-            for term in fresh:
-                named(term).append(at)
-            for have, more in zip(mine[2], own, strict=True):
-                have |= more
-            mine[1] = max(mine[1], r.minute)
-            out.append((r.article_id, at))
-        self._keep(live, index, newest)
+        places: list[int] = []  # which of the key's stories each one of the board is
+        for _, block in sorted((k, s) for k, s in self.stories.iterator()):
+            for n, story, minute, *sets in zip(*block, strict=True):
+                board.begin(story, minute, board.numbered(sets))
+                places.append(n)
+        held, changed, out = len(places), set(), []
+        batch = []
+        for f in rows:
+            sets = map(board.numbered, zip(f["tokens"], f["entities"], f["events"], strict=True))
+            batch += zip(f["seq"].tolist(), f["article_id"].tolist(), f["minute"].tolist(), sets, strict=True)
+        for _, article, minute, own in sorted(batch, key=lambda r: r[:2]):
+            newest = max(newest, minute)
+            at = board.best(own, minute, newest)
+            out.append((article, article if at is None else board.ids[at]))
+            if at is not None:
+                board.join(at, minute, own)
+                changed.add(at)
+                continue
+            began += 1
+            if newest - minute <= self.keep:  # else it is out of date from the start
+                changed.add(board.begin(article, minute, own))
+                places.append(began)
+        for block, of in groupby(range(len(places)), lambda k: places[k] // BLOCK):
+            every = list(of)
+            live = [k for k in every if newest - board.latest[k] <= self.keep]
+            if live and (len(live) < len(every) or not changed.isdisjoint(live)):
+                entry = [(places[k], board.ids[k], board.latest[k], *board.named(k)) for k in live]
+                self.stories.updateValue((block,), tuple(map(list, zip(*entry, strict=True))))
+            elif not live and every[0] < held:
+                self.stories.removeKey((block,))
         self.seen.update((began, newest))
         yield pd.DataFrame(out, columns=["article_id", "story_id"])
 
-    def _keep(self, live: dict, index: dict, newest: int) -> None:
-        """Write what the batch has changed, without the stories that are out of date."""
-        old = {k for k, s in live.items() if s and newest - s[1] > self.keep}
-        for (k,), s in self.stories.iterator():
-            if k not in live and newest - s[1] > self.keep:
-                live[k] = [s[0], s[1], [set(x) for x in s[2:]]]
-                old.add(k)
-        for k in old:
-            for term in (f"{p}{x}" for p, xs in zip("te", live[k][2], strict=False) for x in xs):
-                if term not in index:
-                    index[term] = list(self.terms.getValue((term,))[0]) if self.terms.containsKey((term,)) else []
-        for k, s in live.items():
-            if k in old:
-                if self.stories.containsKey((k,)):
-                    self.stories.removeKey((k,))
-            elif s:
-                self.stories.updateValue((k,), (s[0], s[1], *(sorted(x) for x in s[2])))
-        for term, ids in index.items():
-            left = [k for k in ids if k not in old]
-            if left:
-                self.terms.updateValue((term,), (left,))
-            elif self.terms.containsKey((term,)):
-                self.terms.removeKey((term,))
-
     def close(self) -> None:
         pass
 

@@ -1,9 +1,11 @@
 """Streams against the rules that they follow, written out over sorted rows."""
 
 import os
+import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from storyloom.plans import registry
@@ -66,6 +68,71 @@ def test_stories_grow_and_are_forgotten(spark):
     assert got[2] == 1 and got[3] == 3 and got[7] == 7
 
 
+class Kept:
+    """State of one key in memory, as a value or a map, for what a batch does without a stream."""
+
+    def __init__(self):
+        self.states = defaultdict(dict)
+
+    def getMapState(self, name, *_):  # noqa: N802
+        state = self.states[name]
+
+        class Map:
+            containsKey, getValue, iterator = staticmethod(state.__contains__), staticmethod(state.get), staticmethod(lambda: iter(list(state.items())))
+            updateValue, removeKey = staticmethod(state.__setitem__), staticmethod(state.pop)
+
+        return Map
+
+    def getValueState(self, name, *_):  # noqa: N802
+        state = self.states[name]
+
+        class Value:
+            exists, get, update = staticmethod(lambda: "v" in state), staticmethod(lambda: state["v"]), staticmethod(lambda v: state.update(v=v))
+
+        return Value
+
+
+def in_lots(rows, lots, threshold=0.43, keep=48 * 60):
+    """(stories, what is kept at the end) of rows of one key that come in so many lots, each lot out of order."""
+    kept, out, size = Kept(), {}, -(-len(rows) // lots)
+    for i in range(0, len(rows), size):
+        leader = leaders.Leaders(threshold, keep)
+        leader.init(kept)
+        frame = pd.DataFrame(rows[i : i + size]).sample(frac=1, random_state=i)
+        for f in leader.handleInputRows(("k",), iter([frame[: size // 2], frame[size // 2 :]]), None):
+            out |= dict(zip(f["article_id"].tolist(), f["story_id"].tolist(), strict=True))
+    return out, kept.states["stories"]
+
+
+@pytest.mark.parametrize("threshold", [0.26, 0.43, 0.9])
+def test_leaders_of_random_articles_match_the_rule(threshold):
+    """Common and rare terms, with and without events, growing stories, equal scores, empty sets and times far apart."""
+    draw, rows = random.Random(5), []
+    for i in range(700):
+        words = [f"w{int(draw.paretovariate(0.7))}" for _ in range(draw.randint(0, 9))]
+        if rows and draw.random() < 0.3:
+            words = draw.choice(rows)["tokens"][:6] + words[:2]
+        names, events = ([f"{c}{draw.randint(1, n)}" for _ in range(draw.choice([0, 0, 1, 2]))] for c, n in (("e", 40), ("v", 5)))
+        rows.append(dict(article_id=1000 - i, seq=i, minute=draw.choice([i, 5 * i, 40 * (i % 90)]), tokens=words, entities=names, events=events))
+    want = by_rule([("k", r) for r in rows], 1500, threshold)
+    got, kept = in_lots(rows, 3, threshold, 1500)
+    assert got == want and (threshold > 0.5 or len(set(want.values())) < 600)
+    newest = max(r["minute"] for r in rows)
+    minutes = [m for block in kept.values() for m in block[2]]
+    assert minutes and all(newest - m <= 1500 for m in minutes)
+
+
+def test_common_words_do_not_make_articles_meet(monkeypatch):
+    """Titles that share two common words and entities of several are compared with few stories, whatever their number."""
+    rows = [dict(article_id=i, seq=i, minute=i, tokens=["der", "und", *(f"w{i}x{k}" for k in range(6))], entities=["the", f"e{i}"], events=[]) for i in range(1500)]
+    rows += [r | dict(article_id=2000 + i, seq=2000 + i) for i, r in enumerate(rows[::10])]
+    calls, judge = [], leaders.likeness
+    monkeypatch.setattr(leaders, "likeness", lambda *a: calls.append(1) or judge(*a))
+    got, _ = in_lots(rows, 4)
+    assert all(got[2000 + i] == 10 * i for i in range(150)) and len(set(got.values())) == 1500
+    assert len(calls) <= 2 * len(rows)
+
+
 def test_threshold_must_need_a_term(spark):
     with pytest.raises(ValueError):
         leaders.Leaders(0.2, 60)
