@@ -44,8 +44,13 @@ FIGURE = (
     rf"(?i)[+-]?{GAP}*[$€£]?{GAP}*[+-]?{GAP}*(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)(?:{GAP}*(?:thousand|million|billion|trillion))?"
     rf"(?:{GAP}*(?:%|percent(?:age{GAP}+points?)?|basis{GAP}+points?|bps|dollars?|euros?|pounds?))?"
 )
-#: Capital words may go on with accented letters of the Latin-1 block.
-CAPITAL = r"(?U)\b([A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’.-]*)\b"
+#: Capital words may go on with accented letters of the Latin-1 block, and begin and end where letters, numbers and "_" meet
+#: other signs, whatever a regex dialect takes for a word: marks, circled letters and joiners are other signs. A letter beyond
+#: the first 65,536 characters has Java look behind by whole ones.
+CAPITAL = (
+    "(?<![\\p{L}\\p{N}_\U00010000])"
+    r"([A-Z][A-Za-zÀ-ÖØ-öø-ÿ'’.-]*)(?:(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?![\p{L}\p{N}_])|(?<=['’.-])(?=[\p{L}\p{N}_]))"
+)
 
 
 def split_sentences(text: Column) -> Column:
@@ -74,6 +79,11 @@ def headline(text: Column, least: int = 20) -> Column:
     return grown
 
 
+def dates(text: Column) -> Column:
+    """Names of months and days, years and quarters, with repeats."""
+    return F.regexp_extract_all(F.lower(ascii_words(text)), F.lit(r"\b(" + "|".join(DATES) + r")\b"), F.lit(1))
+
+
 def figures(text: Column) -> Column:
     """Figures with sign, currency, scale and unit, and dates, as a multiset of normalised tokens."""
     plain = F.replace(nonnull(text), F.lit("−"), F.lit("-"))
@@ -89,17 +99,17 @@ def figures(text: Column) -> Column:
         sign = F.regexp_extract(low, "([+-])", 1)
         return F.concat_ws(":", F.coalesce(money, F.lit("num")), F.concat(sign, value), scale, F.when(money.isNull(), unit))
 
-    dates = F.regexp_extract_all(F.lower(ascii_words(text)), F.lit(r"\b(" + "|".join(DATES) + r")\b"), F.lit(1))
-    return F.concat(F.transform(F.regexp_extract_all(plain, F.lit(FIGURE), F.lit(0)), normal), F.transform(dates, lambda d: F.concat(F.lit("date:"), d)))
+    return F.concat(F.transform(F.regexp_extract_all(plain, F.lit(FIGURE), F.lit(0)), normal), F.transform(dates(text), lambda d: F.concat(F.lit("date:"), d)))
 
 
 def anchors(text: Column) -> Column:
     """Words of negation, modality, attribution and cause, as a multiset."""
     t = F.lower(ascii_words(text))
+    space = r"[ \t\n\f\r]"  # a vertical tab is white space in some dialects only
 
     def found(kind: str, terms) -> Column:
-        hits = F.regexp_extract_all(t, F.lit(r"\b(" + "|".join(terms) + r")\b"), F.lit(1))
-        return F.transform(hits, lambda m: F.concat(F.lit(kind + ":"), F.regexp_replace(m, r"\s+", " ")))
+        hits = F.regexp_extract_all(t, F.lit(r"\b(" + "|".join(terms).replace(r"\s", space) + r")\b"), F.lit(1))
+        return F.transform(hits, lambda m: F.concat(F.lit(kind + ":"), F.regexp_replace(m, space + "+", " ")))
 
     return F.concat(found("negation", NEGATIONS), found("modality", MODALS), found("attribution", ATTRIBUTIONS), found("causal", CAUSES))
 

@@ -80,6 +80,19 @@ def test_fidelity_of_null_and_repeated_ids(spark):
     assert sorted(map(str, [(x.id, x.missing, x.missing_anchors) for x in got.collect()])) == sorted(map(str, want))
 
 
+def test_fidelity_agrees_with_sql_on_odd_texts(spark, tmp_path):
+    """Digits beside words and names, spaces, letters and marks that regex dialects take differently, and ids below 0 or null."""
+    from oracle import TABLES, difference
+    from storyloom.plans import review_queries as RQ
+
+    texts = ["due 5 to rain", "can3", "50may", "may3,456june", "AB-CD5 of Apache-2.0", "due\vto \u00a0said", "K² Co\u20dd", "e\u0301AB", "ⒶCo. \u203fThe", "\U0001d400Co. A.B", "İq1 5", "", None, "He paid 5 dollars"]
+    rows = [(4 * k + n, t) for k, t in enumerate(texts) for n in range(4)] + [(-k, t) for k, t in enumerate(texts[:9], 1)] + [(None, t) for t in texts[:9]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in set(TABLES) - {"documents"}:
+        spark.range(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert difference(RQ.QUERIES["fidelity_guard"](spark, str(tmp_path)), RQ.ORACLES["fidelity_guard"], str(tmp_path)) is None
+
+
 def test_headline_is_read_once(spark):
     plan = spark.range(1).select(X.headline_tickers(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count(r"[^\p{L}\p{N}\x00-\x7F]") == 1 and "RLIKE" not in plan
