@@ -3,7 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
-from storyloom.operators import selection, stories
+from storyloom.operators import meetings, selection, stories
 
 
 def fitted(header, paragraphs, limit, most):
@@ -76,6 +76,32 @@ def test_pairs_are_judged_where_they_meet(spark):
         assert sorted(each) == [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
+def test_pairs_of_hot_keys_are_counted_in_cells(spark, monkeypatch):
+    """Sets with and without events, wide ones, and rows without a time, under keys dealt to many cells, against all pairs
+    judged one by one. No join makes a row for each pair that meets."""
+    r = random.Random(5)
+    monkeypatch.setattr(meetings, "PART", 16)
+    words, names, terms = [f"w{k}" for k in range(24)], [f"n{k}" for k in range(5)], ["merger", "recall", "war"]
+    some = lambda xs, most: r.sample(xs, r.randrange(0, most + 1))
+    rows = [(k, some(words, 6) + ["hot"] * (k % 3 > 0), some(names, 2), some(terms, 2) if k % 2 else [], [float(x) for x in sorted(r.sample(range(4000), r.randrange(0, 4)))]) for k in range(150)]
+    rows += [(200 + k, [f"w{x}" for x in range(40) if x != k], ["n1"], [], [float(k)]) for k in range(6)]
+    found = spark.createDataFrame(rows, "id long, tokens array<string>, entities array<string>, events array<string>, minutes array<double>").cache()
+    title, score = stories.pair_scores()
+    every = found.alias("a").join(found.alias("b"), F.col("a.id") < F.col("b.id")).cache()
+    for threshold in (0.43, 0.3):
+        got = stories.similar_pairs(found, threshold)
+        assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = every.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), title.alias("t"), score.alias("s")).where(F.col("s") >= threshold)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    shared = F.size(F.array_remove(F.array_intersect("a.entities", "b.entities"), "n0"))
+    over = F.arrays_overlap("a.events", "b.events")
+    apart = (title < 0.32) & (F.size("a.events") > 0) & (F.size("b.events") > 0) & ~over
+    want = every.where((shared > 0) & (stories._hours("a", "b") <= 24) & ((title >= 0.2) | over) & ~apart).select("a.id", "b.id", shared, title)
+    got = stories.duplicate_event_pairs(found, ("n0",))
+    assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_an_id_of_many_sets_is_no_window(spark):
     sets = spark.createDataFrame([(0, 1, [1, 2]), (0, 2, [2, 3]), (0, 3, [3, 4]), (1, 4, [1, 2, 3, 4, 5]), (1, 5, [6, 9])], "run_id long, set_id long, ids array<long>")
     known = spark.createDataFrame([(k, 0) for k in range(1, 7)], "node long, component long")
