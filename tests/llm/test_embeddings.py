@@ -67,3 +67,18 @@ def test_copies_of_a_hot_cell_are_dealt_in_slices(spark, monkeypatch):
     rows = [(i, (np.ones(6) + r.normal(size=6) * 0.25).tolist()) for i in range(150)]
     got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.95).collect()}
     assert got == brute(rows, 0.95)
+
+
+def test_vectors_are_not_copied_for_the_cells_that_they_visit(spark, monkeypatch):
+    """Vectors without clusters, which may link into every cell: each is written in one block, and nothing is dealt out for
+    the join, whose rows are pairs of blocks."""
+    for name, value in (("PER_PIVOT", 20), ("PART", 8), ("DEALT_ROWS", 30), ("LEAST_BLOCKS", 3)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    kept, write = {}, embedding_dedup.cut
+    monkeypatch.setattr(embedding_dedup, "cut", lambda df, label: kept.setdefault(label, (df, write(df, label)))[1])
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=5).tolist()) for i in range(200)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.9).collect()}
+    assert got == brute(rows, 0.9)
+    assert "RepartitionByExpression" not in kept["links"][0]._jdf.queryExecution().optimizedPlan().toString()
+    assert kept["blocks"][0].selectExpr("sum(length(rep)) / 8 as n").first().n == len(rows)
